@@ -147,3 +147,22 @@ def shingle_hashes(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarr
         w = word[first[d] : first[d] + count[d]]
         values[offsets[d]] = mix(np.sum(w * _SHINGLE[: len(w)], dtype=U64, keepdims=True) + U64(len(w)))[0]
     return values, offsets
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole runs of rows with one value in the first column, from rows sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = np.asarray(batch.column(0))
+        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        if held and len(key) and held[-1].column(0)[-1].as_py() != key[0]:
+            cuts = np.concatenate([[0], cuts])
+        at = 0
+        for cut in cuts:
+            part = [*held, batch.slice(at, cut - at)]
+            yield pa.Table.from_batches([p for p in part if p.num_rows])
+            held, at = [], int(cut)
+        held.append(batch.slice(at))
+    rest = [h for h in held if h.num_rows]
+    if rest:
+        yield pa.Table.from_batches(rest)
