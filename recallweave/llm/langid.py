@@ -194,3 +194,12 @@ def predict(model: LanguageModel, text: Column) -> Column:
 
     sent = SparkSession.active().sparkContext.broadcast(model)  # at most 2**bits * languages / 8 bytes
     return identify(text)
+
+
+def in_a_language(docs: DataFrame, text: str = "text", lang: str = "lang", least_coverage: float = 0.2, **how) -> DataFrame:
+    """docs without the rows that no learned language claims: texts without a letter, and texts whose share of
+    known n-grams is under `least_coverage` of what the language's own text reaches (documents with much
+    that is no prose stay far above it)."""
+    model = fit(docs, text, lang, **how)
+    found = docs.withColumn("__rw_found", predict(model, F.col(text)))
+    return found.where((F.col("__rw_found.lang") != UNDETERMINED) & (F.col("__rw_found.coverage") >= least_coverage)).select(*docs.columns)

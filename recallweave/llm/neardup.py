@@ -2,7 +2,7 @@
 
 Every distinct shingle set has a signature of `TREES` sequences of `DEPTH` minima: `TREES` sorted orders. Two
 sets are candidates where they share a prefix of `BASE` minima in some order; at a Jaccard likeness of
-0.85 a pair escapes all of them with a probability of about 1e-5. Depth adapts by region: a prefix that more
+0.85 a pair escapes all of them with a probability of about 1e-5, at 0.8 of 2e-4. Depth adapts by region: a prefix that more
 than `BLOCK` sets share is followed down to `DEPTH` minima, and what is crowded still is dealt into blocks.
 Within a block, neighbours in the sorted order are compared first; what they join needs no further
 comparison, and every remaining pair between components is compared, its sketch and size permitting, on
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -82,8 +82,8 @@ def _sign(words_in_shingle: int):
     return run
 
 
-#: Of the sketch's places, those that must agree: far below what 0.85 lets expect, 72 * 0.85 = 61 +- 3.
-_AGREE = 44
+#: Of the sketch's 72 places, those that must agree: far below what 0.8 lets expect, 57.6 +- 3.4.
+_AGREE = 40
 
 
 class _Block:
@@ -193,7 +193,7 @@ def _compare_blocks(rows: DataFrame, texts: DataFrame, words_in_shingle: int, pe
     return settle(ready.mapInArrow(_link(words_in_shingle, percent), "a long, b long"), "near")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words_in_shingle: int = 3, percent: int = 85, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words_in_shingle: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs: linked are documents whose sets of word
     shingles have 100 * intersection >= percent * union (percent should be 80 or more: the forest's depth
     is chosen for that)."""
@@ -225,6 +225,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs with one document of each group of near duplicates: the one with the smallest id. Of rows that
+    share an id the one with the smallest text stays; rows without an id stay."""
+    gone = near_duplicates(docs, key, text, **how).where("not kept").select(F.col("doc_id").alias(key)).distinct()
+    left = docs.join(gone, key, "left_anti").select(*docs.columns)
+    again = left.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    if not again.limit(1).count():
+        return left
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(text))
+    chosen = left.join(again, key, "left_semi").withColumn("__rw_rank", rank).where("__rw_rank = 1").drop("__rw_rank")
+    return left.join(again, key, "left_anti").unionByName(chosen).select(*docs.columns)
+
+
 def _across_blocks(regions: DataFrame, leaders: DataFrame, found: DataFrame, texts: DataFrame, words_in_shingle: int, percent: int, block: int) -> DataFrame:
     """Links between sets of a crowded prefix that were dealt into different blocks: those outside its largest
     component against all others, in pairs of half blocks."""

@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text:
     return spread.select("id", "copy", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(capacity).cast("long")).alias("tokens"), "source", "cluster")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = 1, key: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None, shard: int = SHARD) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = 4, key: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None, shard: int = SHARD) -> DataFrame:
     """The bin of every piece (shard, bin), its slot there, and what it holds (doc_id, copy, piece, start,
     tokens, source)."""
     rows = settle(pieces(docs, capacity, key, text, source, cluster), "pieces")
