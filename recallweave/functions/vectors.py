@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 TINY = 1e-10
 
@@ -70,13 +75,8 @@ def quantized_hash(v: Column) -> Column:
 
 def packed(v: Column) -> Column:
     """Little-endian float32 bytes, by Arrow."""
-    import pyarrow as pa
-    from pyspark.sql.functions import arrow_udf
-
     @arrow_udf("binary")
     def pack(column: pa.Array) -> pa.Array:
-        import numpy as np
-
         return pa.array([None if x is None else np.asarray(x, "<f4").tobytes() for x in column.to_pylist()], pa.binary())
 
     return pack(v)
@@ -84,30 +84,38 @@ def packed(v: Column) -> Column:
 
 def unpacked(b: Column) -> Column:
     """The vector of float32 bytes; what doesn't fill four bytes is dropped."""
-    import pyarrow as pa
-    from pyspark.sql.functions import arrow_udf
-
     @arrow_udf("array<float>")
     def unpack(column: pa.Array) -> pa.Array:
-        import numpy as np
-
         return pa.array([None if x is None else np.frombuffer(x[: len(x) // 4 * 4], "<f4") for x in column.to_pylist()], pa.list_(pa.float32()))
 
     return unpack(b)
 
 
+def _places(text: str, dim: int) -> np.ndarray:
+    low = text.lower()
+    out = np.zeros(dim)
+    points = np.frombuffer(low.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(points) >= 3:
+        mixed = points[:-2] * np.uint64(0x9E3779B97F4A7C15) + points[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + points[2:] * np.uint64(0x165667B19E3779F9)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out += np.bincount(((mixed >> np.uint64(16)) % np.uint64(dim)).astype(np.int64), minlength=dim)
+    words = low.split()
+    hashes = np.array([zlib.crc32(w.encode()) for w in words], np.int64)
+    pairs = np.array([zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:], strict=False)], np.int64)
+    for h, weight in ((hashes, 2.0), (hashes >> 16, 1.0), (pairs, 1.5)):
+        if len(h):
+            out += weight * np.bincount(h % dim, minlength=dim)
+    size = np.linalg.norm(out)
+    return out / size if size > TINY else out
+
+
 def hash_embedding(text: Column, dim: int = 384) -> Column:
-    """An embedding without a model: character trigrams weigh 1, words 2 and 1 at two places, word pairs 1.5;
-    normalised. Places come from the high and low halves of xxhash64."""
-    low = F.lower(text)
-    words = F.filter(F.split(low, r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
-    place = lambda h: F.pmod(h, F.lit(dim)).cast("int")
-    count = F.length(low)
-    grams = F.when(count >= 3, F.transform(F.sequence(F.lit(1), count - 2), lambda i: F.struct(place(F.xxhash64(F.substring(low, i, F.lit(3)))).alias("p"), F.lit(1.0).alias("w"))))
-    ones = F.transform(words, lambda w: F.struct(place(F.xxhash64(w)).alias("p"), F.lit(2.0).alias("w")))
-    twos = F.transform(words, lambda w: F.struct(place(F.shiftright(F.xxhash64(w), 16)).alias("p"), F.lit(1.0).alias("w")))
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.struct(place(F.xxhash64(F.get(words, i), F.get(words, i + 1))).alias("p"), F.lit(1.5).alias("w"))))
-    none = F.array().cast("array<struct<p:int,w:double>>")
-    parts = F.concat(F.coalesce(grams, none), ones, twos, F.coalesce(pairs, none))
-    spread = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: _sum(F.transform(F.filter(parts, lambda q: q["p"] == d), lambda q: q["w"])))
-    return normalize(spread)
+    """An embedding without a model: character trigrams weigh 1, words 2 and 1 at two places, word pairs 1.5; normalised.
+    One pass over each text in Arrow batches: as JVM expressions, substring() would scan a long text again for
+    every trigram."""
+
+    @arrow_udf("array<double>")
+    def embed(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _places(t, dim) for t in texts.to_pylist()], pa.list_(pa.float64()))
+
+    return embed(text)

@@ -84,7 +84,8 @@ def quantized(v: Column, access_share: Column) -> Column:
 def residual_gate(rows: DataFrame, by: list[str], order: list, value: str, threshold: float = 0.1) -> DataFrame:
     """Rows that differ from the one before by more than a part of it: what prediction leaves over."""
     before = F.lag(value).over(Window.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("residual", F.abs(F.col(value) - F.coalesce(before, F.lit(0.0)))).where(F.col("residual") > threshold * F.greatest(F.abs(F.coalesce(before, F.lit(0.0))), F.lit(1e-9)))
+    known = rows.withColumn("expected", F.coalesce(before, F.lit(0.0))).withColumn("residual", F.abs(F.col(value) - F.col("expected")))
+    return known.where(F.col("residual") > threshold * F.greatest(F.abs("expected"), F.lit(1e-9))).drop("expected")
 
 
 class Reranker:

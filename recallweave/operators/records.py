@@ -17,8 +17,8 @@ def ingest_mail(mail: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 def mail_records(raw: DataFrame, column: str) -> DataFrame:
     """Fetched mail: records end with U+241F, fields with U+241E; those with fewer than seven fields go."""
-    parts = F.split(F.explode(F.split(F.col(column), "␟")), "␞")
-    rows = raw.select(parts.alias("f")).where(F.size("f") >= 7)
+    records_ = raw.select(F.explode(F.split(F.col(column), "␟")).alias("one"))
+    rows = records_.select(F.split("one", "␞").alias("f")).where(F.size("f") >= 7)
     names = ("message_id", "subject", "sender", "date", "mailbox", "account", "body")
     return rows.select(*[text.strip(F.get("f", F.lit(i))).alias(n) for i, n in enumerate(names)])
 
@@ -95,8 +95,8 @@ def incremental(history: DataFrame, watermark: int, limit: int = 500) -> DataFra
 
 def notes(raw: DataFrame, column: str) -> DataFrame:
     """id, title, folder, body of notes between `<<<NOTE_START>>>` marks."""
-    part = F.explode(F.slice(F.split(F.col(column), "<<<NOTE_START>>>"), 2, 1 << 30))
-    rows = raw.select(F.substring_index(part, "<<<NOTE_END>>>", 1).alias("p"))
+    parts = raw.select(F.explode(F.slice(F.split(F.col(column), "<<<NOTE_START>>>"), 2, 1 << 30)).alias("one"))
+    rows = parts.select(F.substring_index("one", "<<<NOTE_END>>>", 1).alias("p"))
     line = lambda k: text.strip(F.regexp_extract("p", rf"(?m)^{k}:(.*)$", 1))
     return rows.select(line("ID").alias("id"), line("TITLE").alias("title"), line("FOLDER").alias("folder"), text.strip(F.regexp_extract("p", r"(?s)(?:^|\n)BODY:(.*)$", 1)).alias("body")).where("title <> '' or body <> ''")
 

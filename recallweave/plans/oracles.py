@@ -1 +1,283 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the registered queries. Shared derivations are CTEs put in front."""
+
+from __future__ import annotations
+
+from ..functions import labels
+from ..functions.text import STOP_WORDS
+from . import fixtures as fx
+
+WS = r"[ \t\n\r\f\x0B]"
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _in(values) -> str:
+    return "(" + ", ".join("'" + v + "'" for v in values) + ")"
+
+
+MEM = f"""memories AS (SELECT 'mem-' || vec_id AS id, vec_id, CAST(embedding AS DOUBLE[]) AS vector, {_list(labels.MEMORY_TYPES)}[(vec_id % 8) + 1] AS memory_type,
+  (vec_id * 37 % 100) / 100 AS importance, (vec_id * 53 % 120) / 100 AS decay, vec_id * 7 % 23 AS access_count, {fx.T0} + vec_id * 60000 AS timestamp FROM embeddings)"""
+Q = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
+FILES = f"""files AS (SELECT '/data/' || source || '/doc_' || doc_id || '.' || ext AS path, 'doc_' || doc_id || '.' || ext AS name, * FROM (
+  SELECT {_list(fx.EXTENSIONS)}[(doc_id % 6) + 1] AS ext, {fx.T0 // 1000} + doc_id * 3600 AS modified, doc_id, source, text, strlen(text) AS size FROM documents))"""
+
+
+def _words(t: str) -> str:
+    return f"list_filter(string_split_regex({t}, '{WS}+'), lambda w: w <> '')"
+
+
+def _chunked(name: str, src: str, keys: str, body: str, size: int, overlap: int) -> str:
+    step = max(size - overlap, 1)
+    return f"""{name}_w AS (SELECT {keys}, {_words(body)} AS w FROM {src}),
+{name} AS (SELECT {keys}, k AS chunk_index, array_to_string(w[k * {step} + 1 : k * {step} + {size}], ' ') AS content FROM (
+  SELECT *, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= {size} THEN [0] ELSE range(0, CAST(floor((len(w) - {overlap // 2} - 1) / {step}) AS BIGINT) + 1) END) AS k FROM {name}_w))"""
+
+
+CHUNKS = FILES + ",\n" + _chunked("chunks", "files", "path, doc_id", "'[' || path || ']' || chr(10) || text", 512, 128)
+CHUNK_VECTORS = CHUNKS + """,
+cv AS (SELECT c.*, CAST(e.embedding AS DOUBLE[]) AS vector FROM chunks c JOIN embeddings e ON e.vec_id = (c.doc_id * 31 + c.chunk_index) % (SELECT count(*) FROM embeddings))"""
+MAIL = f"""mail AS (SELECT doc_id AS message_id, {_list(fx.SENDERS)}[(doc_id % 7) + 1] AS sender,
+  array_to_string(({_words('text')})[1:6], ' ') || CASE WHEN doc_id % 5 = 0 THEN ' weekly digest' ELSE '' END AS subject,
+  text || CASE WHEN doc_id % 4 = 0 THEN ' unsubscribe' ELSE '' END AS body, {_list(fx.MAILBOXES)}[(doc_id % 6) + 1] AS mailbox, {fx.T0 // 1000} + doc_id * 60 AS indexed_at
+  FROM documents WHERE doc_id % 3 = 0)"""
+ACT = """act0 AS (SELECT event_id AS id, epoch_us(ts) // 1000 AS timestamp, event_type AS app_name, 'file' || json_extract_string(props, '$.k') || '.py — proj' || (user_id % 10) AS window_title, user_id, value, ts FROM events),
+act AS (SELECT *, nullif(regexp_extract(trim(string_split(window_title, ' — ')[-1]), '^[^\\[\\( ]*'), '') AS project FROM act0)"""
+HIST = """hist AS (SELECT p.page_id, url, count(*) AS visit_count, (CAST(floor(epoch(max(ts))) AS BIGINT) + 11644473600) * 1000000 AS last_visit_time
+  FROM pages p JOIN events e ON e.event_id % (SELECT count(*) FROM pages) = p.page_id GROUP BY p.page_id, url)"""
+EDGES = """pairs AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.vector, b.vector) AS similarity FROM memories a JOIN memories b ON a.id <> b.id),
+edges AS (SELECT * FROM pairs WHERE similarity > 0.3 QUALIFY row_number() OVER (PARTITION BY src ORDER BY similarity DESC, dst) <= 5),
+ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"""
+HYPER = """hyper AS (SELECT src, [src] || list(dst ORDER BY similarity DESC, dst)[1:4] AS members, 0.6 AS confidence FROM edges GROUP BY src HAVING count(*) >= 2)"""
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ",\n".join(parts) + "\n"
+
+
+SIM = {
+    "cosine": "list_cosine_similarity(vector, q)",
+    "dot": "list_dot_product(vector, q)",
+    "euclidean": "1 / (1 + list_distance(vector, q))",
+    "manhattan": "1 / (1 + list_sum(list_transform(range(1, 65), lambda i: abs(vector[i] - q[i]))))",
+}
+
+
+def _recalled(k=10, least=0.05, where="true", metric="cosine") -> str:
+    return f"""hits AS (SELECT *, {SIM[metric]} * greatest(1 - decay, 0.5) AS similarity FROM memories, q WHERE {where} AND {SIM[metric]} * greatest(1 - decay, 0.5) >= {least}
+  ORDER BY similarity DESC, id LIMIT {k})"""
+
+
+def _recall(**how) -> str:
+    return _with(MEM, Q, _recalled(**how)) + "SELECT id, memory_type, round(similarity, 6) AS similarity FROM hits"
+
+
+STATE = "id, memory_type, round({i}, 6) AS importance, round({d}, 6) AS decay, {a} AS access_count, timestamp"
+
+
+def _state(i="importance", d="decay", a="access_count") -> str:
+    return STATE.format(i=i, d=d, a=a)
+
+
+FILE_HITS = f"""filehits AS (SELECT f.path, f.name, f.ext, c.chunk_index, c.doc_id, c.content,
+    CASE WHEN f.ext IN {_in(labels.BOOSTED)} THEN s * 1.15 WHEN f.ext IN {_in(labels.LOWERED)} THEN s * 0.95 ELSE s END AS similarity
+  FROM (SELECT *, list_cosine_similarity(vector, q) AS s FROM cv, q) c JOIN files f USING (path) WHERE s > 0.2 ORDER BY similarity DESC, path, chunk_index LIMIT 20)"""
+MERGED = """merged AS (SELECT path, name, ext, string_agg(content, chr(10) || chr(10) ORDER BY r) AS content, max(similarity) AS similarity, min(r) AS rank
+  FROM (SELECT *, row_number() OVER (ORDER BY similarity DESC, path, chunk_index) AS r FROM filehits) GROUP BY ALL)"""
+PREVIEW = "CASE WHEN strlen({t}) > 200 THEN substr({t}, 1, least(199, length({t}) - 1)) ELSE {t} END"
+
+
+def _preview(t: str) -> str:
+    return PREVIEW.format(t=f"replace(replace({t}, chr(10), ' '), chr(13), '')")
+
+
+def _cut(t: str, n: str) -> str:
+    return f"CASE WHEN length({t}) <= {n} THEN {t} WHEN contains(substr({t}, 1, {n}), ' ') THEN regexp_replace(substr({t}, 1, {n}), ' [^ ]*$', '') ELSE substr({t}, 1, {n}) END"
+
+
+def _any(t: str, patterns) -> str:
+    return "(" + " OR ".join(f"contains({t}, '{p}')" for p in patterns) + ")"
+
+
+NEWS = f"""CASE WHEN {_any('lower(sender)', labels.SENDER_STRONG)} THEN 3 WHEN {_any('lower(sender)', labels.SENDER_MEDIUM)} THEN 2 WHEN {_any('lower(sender)', labels.SENDER_WEAK)} THEN 1 ELSE 0 END
+  + CASE WHEN {_any('lower(subject)', labels.SUBJECTS)} THEN 2 ELSE 0 END + CASE WHEN {_any('lower(body)', ('unsubscribe', 'abmelden'))} THEN 2 ELSE 0 END
+  + CASE WHEN {_any('lower(body)', ('view in browser', 'im browser anzeigen'))} THEN 2 ELSE 0 END + CASE WHEN {_any('lower(body)', ('manage preferences', 'opt out', 'email preferences'))} THEN 1 ELSE 0 END"""
+SENDER = "CASE WHEN contains(sender, '<') THEN nullif(trim(trim(trim(string_split(sender, '<')[1]), '\"')), '') END"
+CLEAN = "array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda x: regexp_replace(x, '^[ \\t\\r\\f\\x0B]+|[ \\t\\r\\f\\x0B]+$', '', 'g')), lambda x: x <> ''), chr(10))"
+NONBLANK = "array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda x: regexp_replace(x, '^" + WS + "+|" + WS + "+$', '', 'g')), lambda x: x <> ''), chr(10))"
+
+
+def _kind(ext: str) -> str:
+    return "CASE " + " ".join(f"WHEN {ext} IN {_in(v.split())} THEN '{k}'" for k, v in labels.KINDS.items()) + " ELSE 'file' END"
+
+
+def _type(name: str) -> str:
+    return "CASE " + " ".join(f"WHEN lower({name}) IN {_in([k.lower(), *labels.TYPE_ALIASES[k].split()])} THEN '{k}'" for k in labels.MEMORY_TYPES) + " ELSE 'Semantic' END"
+
+
+def _context(field: int) -> str:
+    found = [(p, v[field]) for p, v in labels.CONTEXTS.items() if v[field]]
+    return "CASE " + " ".join(f"WHEN starts_with(id, '{p}') THEN '{v}'" for p, v in found) + " END"
+
+
+PROJECTS = """marked AS (SELECT DISTINCT '/data/' || source AS root, source AS project FROM documents WHERE CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 2 = 0)"""
+MARKER_MAIL = "'From: ' || sender || chr(10) || 'Subject: ' || subject"
+
+ORACLES: dict[str, str] = {
+    "recall_topk": _recall(),
+    "recall_typed": _recall(k=5, where="lower(memory_type) IN ('semantic', 'goal')"),
+    "recall_euclidean": _recall(metric="euclidean"),
+    "recall_manhattan": _recall(metric="manhattan"),
+    "recall_dot": _recall(metric="dot", least=0.2),
+    "normalize_vectors": _with(MEM, "t AS (SELECT id, list_transform(vector, lambda x: x * 3) AS v FROM memories)") + "SELECT id, list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6)) AS unit FROM t",
+    "softmax_vectors": _with(MEM, "t AS (SELECT id, list_transform(vector[1:8], lambda x: exp(x - list_max(vector[1:8]))) AS e FROM memories)") + "SELECT id, list_transform(e, lambda x: round(x / list_sum(e), 6)) AS weights FROM t",
+    "fitted_vectors": _with(MEM) + "SELECT id, vector[1:60] || [0.0::DOUBLE, 0, 0, 0] AS padded, vector[1:16] AS cut FROM memories",
+    "state_hashes": _with(MEM) + "SELECT id, substr(md5(array_to_string(list_transform(vector[1:8], lambda x: CAST(CAST(round(x * 100) AS BIGINT) AS VARCHAR)), ',')), 1, 16) AS state FROM memories",
+    "vector_codec": "SELECT vec_id, CAST(len(embedding) * 4 AS BIGINT) AS bytes, embedding AS vector FROM embeddings",
+    "chunk_documents": "WITH " + _chunked("c", "documents", "doc_id", "text", 512, 128) + " SELECT doc_id, chunk_index, content AS chunk FROM c",
+    "clean_texts": "SELECT doc_id, " + CLEAN.format(t="' ' || chr(9) || replace(text, '. ', ' . ' || chr(10) || chr(10))") + " AS clean FROM documents",
+    "strip_markup_compat": "SELECT page_id, CASE WHEN regexp_matches(lower(html), '^[^<]*<(script|style)') THEN replace(string_split(html, '<')[1], '>', '') ELSE replace(regexp_replace(html, '<[^>]*(>|$)', '', 'g'), '>', '') END AS plain FROM pages",
+    "strip_markup": "SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)[^>]*>', '', 'g'), '<[^>]*(>|$)', '', 'g') AS plain FROM pages",
+    "email_headers": _with(MAIL) + f"SELECT message_id, {MARKER_MAIL} || chr(10) || 'Date: today' || CASE WHEN b = '' THEN '' ELSE chr(10) || b END AS plain FROM (SELECT *, {NONBLANK.format(t='body')} AS b FROM mail)",
+    "mime_bodies": _with(MAIL) + f"SELECT message_id, {MARKER_MAIL} || CASE WHEN b = '' THEN '' ELSE chr(10) || b END AS plain FROM (SELECT *, {NONBLANK.format(t='body')} AS b FROM mail)",
+    "stored_mail": _with(MAIL) + f"SELECT message_id, {MARKER_MAIL} || chr(10) || 'Date: today' || CASE WHEN b = '' THEN '' ELSE chr(10) || b END AS plain FROM (SELECT *, {NONBLANK.format(t='body')} AS b FROM mail)",
+    "concepts": f"""SELECT doc_id, list_filter(list_transform({_words('text')}, lambda w: lower(regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g'))),
+  lambda w: strlen(w) > 2 AND NOT list_contains({_list(STOP_WORDS)}, w))[1:5] AS concepts FROM documents""",
+    "gist": "SELECT doc_id, CASE WHEN length(g) > 200 THEN substr(g, 1, 197) || '...' ELSE g END AS gist FROM (SELECT doc_id, string_split_regex(text, '[.!?]')[1] AS g FROM documents)",
+    "kind_by_ext": _with(FILES) + f"SELECT path, {_kind('ext')} AS kind, CASE WHEN ext IN ('pdf', 'docx', 'xlsx', 'xls') THEN 0.55 ELSE 0.45 END::DOUBLE AS importance FROM files",
+    "type_alias": f"SELECT event_id, {_type('n')} AS memory_type FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'HowTo' WHEN 1 THEN 'about-me' ELSE event_type END AS n FROM events)",
+    "admitted_files": _with(FILES) + "SELECT path, size FROM files WHERE doc_id % 5 > 2 AND size * CASE WHEN doc_id % 7 = 0 THEN 1000 ELSE 1 END <= 1048576",
+    "previews": f"SELECT doc_id, {_preview('text')} AS preview, {_cut('text', '120')} AS cut FROM documents",
+    "note_frontmatter": f"SELECT doc_id, ['alpha', 'beta', 'gamma'] AS tags, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS body FROM documents",
+    "id_contexts": f"""WITH m AS (SELECT vec_id, {_list([*labels.CONTEXTS, 'mem-'])}[(vec_id % 10) + 1] || vec_id AS id FROM embeddings)
+SELECT vec_id, {_context(0)} AS who, {_context(1)} AS topic, {_context(2)} AS project, CASE WHEN starts_with(id, 'mem-') THEN ['source:direct'] ELSE CAST([] AS VARCHAR[]) END AS tags FROM m""",
+    "safe_queries": "SELECT page_id, url || '\\\"\\\\' AS q, NOT (contains(url, '..') OR contains(url, '/') OR contains(url, '\\')) AS slug, 'last_visit_time' AS snake, substr(md5(url), 1, 16) AS stable FROM pages",
+    "file_search": _with(CHUNK_VECTORS, Q, FILE_HITS) + "SELECT path, chunk_index, ext, round(similarity, 6) AS similarity FROM filehits",
+    "file_search_merged": _with(CHUNK_VECTORS, Q, FILE_HITS, MERGED) + "SELECT path, name, md5(content) AS content, round(similarity, 6) AS similarity, rank FROM merged",
+    "list_files": _with(FILES) + "SELECT path, modified, size FROM files ORDER BY modified DESC, path LIMIT 50 OFFSET 10",
+    "folder_files": _with(FILES) + "SELECT path, name FROM files WHERE starts_with(path, '/data/src1/')",
+    "file_chunks": _with(CHUNKS) + "SELECT path AS file_path, chunk_index, md5(content) AS content FROM chunks",
+    "index_stats": _with(CHUNKS) + "SELECT (SELECT count(*) FROM files) AS files, (SELECT CAST(sum(size) AS BIGINT) FROM files) AS bytes, (SELECT count(*) FROM chunks) AS chunks",
+    "projects": _with(CHUNKS, PROJECTS) + "SELECT project, count(DISTINCT f.path) AS files, count(c.chunk_index) AS chunks, min(root) AS root FROM files f JOIN marked m ON m.project = f.source LEFT JOIN chunks c ON c.path = f.path GROUP BY project",
+    "projects_with_activity": _with(FILES, PROJECTS, ACT, "a AS (SELECT project, max(timestamp) AS last_active FROM act WHERE project IS NOT NULL GROUP BY 1), o AS (SELECT m.project, count(*) AS files FROM files f JOIN marked m ON m.project = f.source GROUP BY 1)")
+    + "SELECT coalesce(a.project, o.project) AS project, last_active, coalesce(files, 0) AS files FROM a FULL JOIN o ON a.project = o.project",
+    "doc_reassembly": _with(
+        CHUNKS,
+        f"whole AS (SELECT path, ext, modified, array_to_string(({_words('b')})[1:4000], ' ') AS body FROM (SELECT f.path, f.ext, f.modified, string_agg(c.content, ' ' ORDER BY c.chunk_index) AS b FROM files f JOIN chunks c USING (path) WHERE f.ext IN ('md', 'pdf', 'csv') GROUP BY ALL))",
+        _chunked("again", "whole", "path, ext, modified", "body", 512, 128),
+    ) + "SELECT 'bootstrap::file::' || substr(md5(path), 1, 16) || '::' || chunk_index AS id, md5(content) AS content, round(CASE WHEN ext = 'pdf' THEN 0.55 ELSE 0.45 END::DOUBLE, 6) AS importance, modified * 1000 AS timestamp FROM again WHERE chunk_index < 5",
+    "enriched_hits": _with(CHUNK_VECTORS, Q, FILE_HITS, MERGED) + "SELECT m.path, rank, size, len(string_split(text, chr(10))) AS lines, md5(array_to_string(string_split(text, chr(10))[1:5], chr(10))) AS head FROM merged m JOIN files f USING (path)",
+    "folders": "SELECT source AS name, count(*) AS files FROM documents GROUP BY 1",
+    "content_search": _with(CHUNKS) + "SELECT path, count(*) AS chunks FROM chunks WHERE contains(lower(content), 'the and') GROUP BY path ORDER BY path LIMIT 50",
+    "changed_files": _with(FILES) + "SELECT path, modified FROM files WHERE doc_id % 4 = 0 OR ext = 'log'",
+    "transcripts": "SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || text || chr(10) || chr(10), '' ORDER BY turn) AS transcript FROM conversations WHERE role IN ('user', 'assistant') AND coalesce(text, '') <> '' GROUP BY conv_id",
+    "jsonl_transcripts": "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || text || chr(10) || chr(10) AS line FROM conversations WHERE role IN ('user', 'assistant') AND coalesce(text, '') <> ''",
+    "conversation_segments": _with(
+        "t AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || text || chr(10) || chr(10), '' ORDER BY turn) AS transcript FROM conversations WHERE role IN ('user', 'assistant') AND coalesce(text, '') <> '' GROUP BY conv_id), t2 AS (SELECT * FROM t WHERE strlen(transcript) >= 50)",
+        _chunked("c", "t2", "conv_id", "transcript", 400, 50),
+    ) + "SELECT conv_id, chunk_index, md5(content) AS chunk FROM c WHERE chunk_index < 10",
+    "chat_summary": """WITH s AS (SELECT conv_id, turn, substr(text, 1, 80) AS snippet, strlen(text) AS len FROM conversations WHERE coalesce(text, '') <> ''),
+d AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY conv_id, lower(snippet) ORDER BY len DESC, turn) = 1),
+b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY len DESC, turn) <= 8),
+t AS (SELECT conv_id, string_agg(snippet, '; ' ORDER BY len DESC, turn) AS topics FROM b GROUP BY conv_id)
+SELECT c.conv_id, messages, topics FROM (SELECT conv_id, count(*) AS messages FROM conversations GROUP BY 1) c LEFT JOIN t USING (conv_id)""",
+    "chat_memories": """WITH m AS (SELECT user_id % 50 AS chat, ts, 'a message about the ' || event_type AS text FROM events), n AS (SELECT *, count(*) OVER (PARTITION BY chat) AS n FROM m WHERE length(text) > 20)
+SELECT chat, CASE WHEN n <= 100 THEN 'all' ELSE strftime(ts, '%Y-%m') END AS period, count(*) AS messages, min(ts) AS first, max(ts) AS last FROM n GROUP BY 1, 2""",
+    "prompt_batches": """WITH r AS (SELECT conv_id % 4 AS g, conv_id, turn, text, row_number() OVER (PARTITION BY conv_id % 4 ORDER BY conv_id, turn) AS n FROM conversations WHERE role = 'user' AND length(text) > 20)
+SELECT g, CAST(floor((n - 1) / 10) AS BIGINT) AS batch, md5(string_agg(text, chr(10) || '---' || chr(10) ORDER BY n)) AS content, count(*) AS items FROM r GROUP BY 1, 2""",
+    "newsletter_score": _with(MAIL) + f"SELECT message_id, CAST({NEWS} AS BIGINT) AS score FROM mail",
+    "mail_ingest_filter": _with(MAIL) + f"SELECT message_id, mailbox FROM mail WHERE {NEWS} < 3 AND lower(mailbox) NOT IN {_in([m.lower() for m in labels.SKIPPED_MAILBOXES])} AND regexp_replace(body, '{WS}', '', 'g') <> ''",
+    "mail_search": _with(CHUNK_VECTORS, Q, MAIL) + f"SELECT message_id, chunk_index, {SENDER} AS sender, {_preview('content')} AS preview, round(s, 6) AS similarity FROM (SELECT m.*, c.*, list_cosine_similarity(vector, q) AS s FROM cv c JOIN mail m ON m.message_id = c.doc_id, q) WHERE s > 0.15 ORDER BY s DESC, doc_id, chunk_index LIMIT 15",
+    "recent_mail": _with(CHUNKS, MAIL) + f"SELECT message_id, subject, indexed_at, {_preview('p')} AS preview FROM (SELECT m.*, coalesce(c.content, '') AS p FROM mail m LEFT JOIN chunks c ON c.doc_id = m.message_id AND c.chunk_index = 0 AND c.doc_id % 2 = 0) ORDER BY indexed_at DESC, message_id LIMIT 30",
+    "mail_by_field": _with(MAIL) + f"SELECT message_id, subject, {SENDER} AS sender FROM mail WHERE contains(lower(sender), 'example') AND contains(lower(subject), 'the') ORDER BY message_id LIMIT 25",
+    "consolidate": _with(MEM) + f"SELECT {_state(d='decay + 0.01')} FROM memories WHERE NOT (decay > 0.9 AND importance < 0.3)",
+    "evict": _with(MEM, "n AS (SELECT count(*) AS n FROM memories), r AS (SELECT *, row_number() OVER (ORDER BY importance * (1 - decay), id) AS r FROM memories)") + f"SELECT {_state()} FROM r, n WHERE n <= 400 OR r > n - 400 + 40",
+    "apply_access": _with(MEM, Q, _recalled(), "h AS (SELECT id AS hit FROM hits)") + f"SELECT {_state(d='CASE WHEN hit IS NULL THEN decay ELSE 0 END', a='access_count + CASE WHEN hit IS NULL THEN 0 ELSE 1 END')} FROM memories LEFT JOIN h ON hit = id",
+    "merge_update": _with(MEM) + "SELECT id, CASE WHEN vec_id % 6 = 0 THEN 'Goal' ELSE memory_type END AS memory_type, round(CASE WHEN vec_id % 3 = 0 THEN 0.5 ELSE importance END, 6) AS importance, round(decay, 6) AS decay, access_count, timestamp FROM memories",
+    "store_new": _with(MEM) + f"SELECT {_state()} FROM memories UNION ALL SELECT 'new-' || vec_id, memory_type, round(importance, 6), round(decay, 6), access_count, timestamp FROM memories WHERE vec_id % 10 = 0 AND vec_id % 20 <> 0",
+    "connect_memories": """WITH l AS (SELECT 'mem-' || vec_id AS a, 'mem-' || (vec_id // 2) AS b FROM embeddings WHERE vec_id > 0), e AS (SELECT a AS id, b AS o FROM l UNION SELECT b, a FROM l)
+SELECT 'mem-' || vec_id AS id, coalesce((SELECT list(o ORDER BY o) FROM e WHERE e.id = 'mem-' || vec_id), CAST([] AS VARCHAR[])) AS connections FROM embeddings""",
+    "memory_stats": _with(MEM) + "SELECT count(*) AS n, round(coalesce(avg(importance), 0), 6) AS avg_importance, round(coalesce(avg(decay), 0), 6) AS avg_decay, CAST(coalesce(sum(access_count), 0) AS BIGINT) AS accesses FROM memories",
+    "compression_scan": _with(MEM, "t AS (SELECT access_count / (SELECT greatest(sum(access_count), 1) FROM memories) AS s FROM memories)")
+    + "SELECT count(*) FILTER (WHERE s > 0.8) AS hot, count(*) FILTER (WHERE s > 0.4 AND s <= 0.8) AS warm, count(*) FILTER (WHERE s <= 0.4) AS cold, round((count(*) FILTER (WHERE s > 0.4 AND s <= 0.8) * 50 + count(*) FILTER (WHERE s <= 0.4) * 75) / greatest(count(*), 1), 1) AS savings_percent FROM t",
+    "unbridged": _with(MEM) + "SELECT id, timestamp FROM memories WHERE vec_id % 3 <> 0 ORDER BY timestamp, id LIMIT 40",
+    "list_memories": _with(MEM) + "SELECT id, timestamp FROM memories WHERE memory_type = 'Semantic' ORDER BY timestamp DESC, id LIMIT 20 OFFSET 5",
+    "goal_progress": _with(MEM) + "SELECT id, round(least((vec_id % 13) / 10, 1.0), 6) AS progress, CASE WHEN (vec_id % 13) >= 10 THEN 'Completed' WHEN vec_id % 13 > 0 THEN 'Active' ELSE 'Pending' END AS status FROM memories WHERE memory_type = 'Goal'",
+    "versioned_store": _with(MEM) + "SELECT id, memory_type, round(CASE WHEN vec_id % 4 = 0 THEN 1.0 ELSE importance END, 6) AS importance FROM memories WHERE vec_id % 7 <> 0",
+    "migration_report": "SELECT CASE WHEN vec_id % 2 = 0 THEN 'email' ELSE 'file' END AS source, count(*) FILTER (WHERE vec_id % 9 <> 0) AS migrated, count(*) FILTER (WHERE vec_id % 9 = 0) AS skipped FROM embeddings GROUP BY 1",
+    "knn_edges": _with(MEM, EDGES) + "SELECT src, dst, round(similarity, 6) AS similarity FROM edges",
+    "hyperedges": _with(MEM, EDGES, HYPER) + "SELECT src, members, CAST(confidence AS DOUBLE) AS confidence FROM hyper",
+    "k_hop": "WITH RECURSIVE " + ",\n".join([MEM, EDGES, "walk AS (SELECT 'mem-0' AS id, 0 AS hop UNION SELECT dst, hop + 1 FROM walk JOIN ways ON src = id WHERE hop < 2)"]) + " SELECT id, CAST(min(hop) AS BIGINT) AS hop FROM walk GROUP BY id HAVING min(hop) > 0",
+    "degree": _with(MEM, EDGES) + "SELECT src AS id, count(*) AS degree FROM ways GROUP BY 1",
+    "graph_stats": _with(MEM, EDGES, HYPER) + "SELECT (SELECT count(*) FROM memories) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) // 2 FROM ways) AS pairs, (SELECT count(*) FROM hyper) AS hyperedges",
+    "graph_augmented_recall": _with(MEM, Q, EDGES, _recalled(k=5), "best AS (SELECT id FROM hits ORDER BY similarity DESC, id LIMIT 3)")
+    + "SELECT id, round(similarity, 6) AS similarity FROM hits UNION ALL SELECT DISTINCT dst, 0.4 FROM best JOIN ways ON src = id WHERE dst NOT IN (SELECT id FROM hits)",
+    "graph_view": _with(MEM) + "SELECT id, memory_type, timestamp FROM memories QUALIFY row_number() OVER (PARTITION BY memory_type ORDER BY timestamp DESC, id) <= 25",
+    "activity_changes": _with(ACT) + """SELECT id, user_id, app_name, window_title FROM act WINDOW w AS (PARTITION BY user_id ORDER BY timestamp, id)
+QUALIFY row_number() OVER w = 1 OR lag(app_name) OVER w IS DISTINCT FROM app_name OR lag(window_title) OVER w IS DISTINCT FROM window_title""",
+    "activity_stream": _with(ACT) + "SELECT id, timestamp, app_name, project FROM act WHERE app_name IN ('click', 'error') AND project = 'proj3' ORDER BY timestamp DESC, id LIMIT 100",
+    "masked_activity": _with(ACT) + "SELECT id, CASE WHEN app_name = 'purchase' THEN '[private]' ELSE window_title END AS window_title, CASE WHEN app_name <> 'purchase' THEN project END AS project FROM act",
+    "activity_projects": _with(ACT) + "SELECT project, max(timestamp) AS last_active FROM act WHERE project IS NOT NULL GROUP BY 1",
+    "retention": _with(ACT) + "SELECT count(*) AS kept, min(timestamp) AS first FROM act WHERE timestamp >= (SELECT max(timestamp) - 604800000 FROM act)",
+    "current_activity": _with(ACT) + "SELECT user_id, arg_max(app_name, (timestamp, id)) AS app_name, max(timestamp) AS last FROM act GROUP BY 1",
+    "recent_ring": _with(ACT) + "SELECT id, timestamp FROM act ORDER BY timestamp DESC, id DESC LIMIT 100",
+    "reward_trend": "WITH l AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 100), r AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM l) SELECT round(coalesce(regr_slope(value, i), 0), 6) AS trend FROM r",
+    "latency_percentiles": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, round(max(value) FILTER (WHERE i = n // 2), 6) AS p50, round(max(value) FILTER (WHERE i = least(n * 99 // 100, n - 1)), 6) AS p99 FROM r GROUP BY 1""",
+    "clipboard_changes": "SELECT event_id, trim(event_type) AS copied FROM events WHERE trim(event_type) <> '' QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type",
+    "time_labels": _with(ACT, f"m AS (SELECT id, CAST(floor(({fx.AS_OF} - timestamp) / 60000) AS BIGINT) AS m, ({fx.AS_OF} - timestamp) / 86400000 AS d FROM act)")
+    + "SELECT id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN (m // 60) || 'h ago' ELSE (m // 1440) || 'd ago' END AS ago, CAST(CASE WHEN d <= 7 THEN 0.7 WHEN d <= 30 THEN 0.55 ELSE 0.4 END AS DOUBLE) AS quality FROM m",
+    "residual_gate": "WITH r AS (SELECT event_id, value, coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS e FROM events) SELECT event_id, round(abs(value - e), 6) AS residual FROM r WHERE abs(value - e) > 0.5 * greatest(abs(e), 1e-9)",
+    "history_importance": _with(HIST) + """SELECT url, visit_count, CAST(CASE WHEN visit_count > 20 THEN 0.7 WHEN visit_count > 5 THEN 0.5 ELSE 0.3 END AS DOUBLE) AS sync,
+  round(CAST(least(0.3 + CASE WHEN visit_count > 20 THEN 0.4 WHEN visit_count > 5 THEN 0.2 WHEN visit_count > 2 THEN 0.1 ELSE 0 END, 1) AS DOUBLE), 6) AS history,
+  round(CAST(least(0.3 + CASE WHEN visit_count * 100 > 10000 THEN 0.3 WHEN visit_count * 100 > 1000 THEN 0.2 WHEN visit_count * 100 > 100 THEN 0.1 ELSE 0 END, 1) AS DOUBLE), 6) AS frecency,
+  last_visit_time // 1000 - 11644473600000 AS last_ms FROM hist""",
+    "search_term_batches": """WITH t AS (SELECT DISTINCT event_type AS profile, json_extract_string(props, '$.k') AS term FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY term) AS n FROM t)
+SELECT profile, CAST(floor((n - 1) / 20) AS BIGINT) AS batch, string_agg(term, ',' ORDER BY n) AS content, count(*) AS items FROM n GROUP BY 1, 2""",
+    "incremental_sync": _with(HIST) + f"SELECT page_id, url, last_visit_time FROM hist WHERE last_visit_time > {(fx.T0 // 1000 + 11644473600) * 1000000} ORDER BY last_visit_time, page_id LIMIT 40",
+    "url_rollup": _with(HIST) + "SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, count(*) AS urls, CAST(sum(visit_count) AS BIGINT) AS visits, arg_max(url, (visit_count, url)) AS top_url FROM hist GROUP BY 1",
+    "fused_context_budget": _with(
+        CHUNK_VECTORS, Q, FILE_HITS,
+        "sc AS (SELECT *, list_cosine_similarity(vector, q) AS s FROM cv, q)",
+        """hits AS (SELECT * FROM (SELECT 'email' AS source, doc_id || '/' || chunk_index AS id, content, s AS similarity FROM sc WHERE doc_id % 3 = 0 ORDER BY s DESC, doc_id, chunk_index LIMIT 5)
+  UNION ALL SELECT * FROM (SELECT 'file', doc_id || '/' || chunk_index, content, similarity FROM filehits ORDER BY similarity DESC, path, chunk_index LIMIT 10)
+  UNION ALL SELECT * FROM (SELECT 'system', doc_id || '/' || chunk_index, content, 0.0 FROM cv WHERE chunk_index = 0 ORDER BY doc_id LIMIT 8))""",
+        """w AS (SELECT *, sum(similarity) OVER (PARTITION BY source) AS total, count(*) OVER (PARTITION BY source) AS n FROM hits)""",
+        """b AS (SELECT source, id, content, CAST(floor(CASE source WHEN 'email' THEN 8000 / n WHEN 'file' THEN greatest(10000 * CASE WHEN total > 0 THEN similarity / total ELSE 1 / n END, 200.0) ELSE 2000 / n END) AS BIGINT) AS chars FROM w)""",
+    ) + f"SELECT source, id, chars, md5({_cut('content', 'chars')}) AS content FROM b",
+    "rerank_blend": _with(MEM, Q, _recalled()) + "SELECT id, round(0.7 * similarity + (1 - 0.7::DOUBLE) * list_cosine_similarity(vector, q), 6) AS score FROM hits",
+    "rerank_features": _with(MEM, Q, _recalled()) + f"SELECT id, round(ln(1 + access_count) / 10, 6) AS f_access, round(exp((timestamp - {fx.AS_OF}) / 86400000), 6) AS f_recency, CASE WHEN memory_type = 'Semantic' THEN 1.0 ELSE 0.0 END::DOUBLE AS f_type, round(similarity, 6) AS f_index FROM hits",
+    "pattern_boost": _with(MEM, Q, "n AS (SELECT greatest(list_cosine_similarity(vector, q), 0) AS w, importance AS quality FROM memories, q WHERE vec_id % 10 = 5 ORDER BY list_cosine_similarity(vector, q) DESC, id LIMIT 5)") + "SELECT round(coalesce(sum(w * quality) / nullif(sum(w), 0), 0.5), 6) AS boost FROM n",
+    "memory_context": _with(MEM, Q, _recalled(k=5), "r AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) AS r FROM hits)") + "SELECT string_agg(printf('%d. [%s] (similarity: %.2f): %s', r, lower(memory_type), similarity, 'content of ' || id), chr(10) ORDER BY r) AS context FROM r",
+    "query_log": _with(MEM, Q, _recalled(k=5)) + "SELECT list(id ORDER BY similarity DESC, id) AS result_ids, first(id ORDER BY similarity DESC, id) AS selected_id FROM hits",
+    "fan_out": _with(FILES, MAIL, ACT) + """SELECT * FROM (SELECT 'document' AS source, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE contains(lower(text), 'the') ORDER BY doc_id LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'email', CAST(message_id AS VARCHAR) FROM mail WHERE contains(lower(subject), 'the') ORDER BY message_id LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'chat', CAST(conv_id AS VARCHAR) FROM conversations WHERE turn = 0 AND contains(lower(text), 'the') ORDER BY conv_id LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'page', CAST(page_id AS VARCHAR) FROM pages WHERE contains(lower(html), 'the') ORDER BY page_id LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'activity', CAST(id AS VARCHAR) FROM act WHERE contains(lower(window_title), 'the') ORDER BY id LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'file', path FROM files WHERE contains(lower(name), 'the') ORDER BY path LIMIT 5)""",
+    "q_learning": """WITH q AS (SELECT DISTINCT user_id % 20 AS state, event_id % 4 AS action, ((user_id % 20) * 7 + (event_id % 4) * 3) % 10 / 10 AS value FROM events),
+x AS (SELECT user_id % 20 AS state, event_id % 4 AS action, event_id % 5 / 4 AS reward, (user_id + 1) % 20 AS next_state, event_id % 9 = 0 AS done FROM events),
+b AS (SELECT state AS next_state, max(value) AS best FROM q GROUP BY 1),
+t AS (SELECT state, action, avg(reward + 0.95 * CASE WHEN done THEN 0 ELSE coalesce(best, 0) END) AS target, count(*) AS n FROM x LEFT JOIN b USING (next_state) GROUP BY 1, 2)
+SELECT state, action, round(CASE WHEN target IS NULL THEN coalesce(value, 0) ELSE coalesce(value, 0) + 0.1 * (target - coalesce(value, 0)) END, 6) AS value, coalesce(n, 0) AS visits FROM q FULL JOIN t USING (state, action)""",
+    "greedy_actions": "WITH q AS (SELECT user_id % 20 AS state, event_id % 4 AS action, round(avg(value), 6) AS value FROM events GROUP BY 1, 2) SELECT state, action FROM q QUALIFY row_number() OVER (PARTITION BY state ORDER BY value DESC, action) = 1",
+    "reward_signals": """WITH e AS (SELECT event_id, (event_id % 21 - 10) / 5 AS x, event_id % 5 AS v FROM events)
+SELECT event_id, round(least(greatest((x + 1) / 2, 0), 1), 6) AS quality, round(CASE WHEN v = 0 THEN 1 ELSE 1 / (1 + sqrt(v)) END, 6) AS curiosity, round(1 / (1 + exp(-x)), 6) AS sigmoid,
+  round(CAST(CASE WHEN x / 10 < -0.05 THEN 0.11 WHEN x / 10 > 0.05 THEN 0.095 ELSE 0.1 END AS DOUBLE), 6) AS exploration FROM e""",
+    "synchrony": "SELECT round(sqrt(pow(avg(cos(p)), 2) + pow(avg(sin(p)), 2)), 6) AS synchrony FROM (SELECT event_id % 100 / 50 AS p FROM events)",
+    "hopfield_retrieve": _with(MEM, Q, "t AS (SELECT id, list_cosine_similarity(vector, q) AS s FROM memories, q ORDER BY s DESC, id LIMIT 5)") + "SELECT id, round(s, 6) AS similarity, round(exp(8 * s) / sum(exp(8 * s)) OVER (), 6) AS weight FROM t",
+    "quantized_vectors": _with(MEM, "t AS (SELECT id, vector, access_count / 22 AS s, list_max(list_transform(vector, lambda x: abs(x))) AS top FROM memories), u AS (SELECT *, CASE WHEN s > 0.8 THEN 0 WHEN s > 0.4 THEN 127 ELSE 7 END AS n FROM t)")
+    + "SELECT id, CASE WHEN n = 0 THEN list_transform(vector, lambda x: round(x, 6)) ELSE list_transform(vector, lambda x: round(round(x / top * n) / n * top, 6)) END AS vector FROM u",
+    "concept_summaries": f"""WITH d AS (SELECT source, doc_id, (doc_id % 10) / 10 AS salience, CASE WHEN length(g) > 200 THEN substr(g, 1, 197) || '...' ELSE g END AS gist,
+  list_filter(list_transform({_words('text')}, lambda w: lower(regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g'))), lambda w: strlen(w) > 2 AND NOT list_contains({_list(STOP_WORDS)}, w))[1:5] AS c
+  FROM (SELECT *, string_split_regex(text, '[.!?]')[1] AS g FROM documents)),
+f AS (SELECT source, concept, min((doc_id, i)) AS pos FROM (SELECT source, doc_id, unnest(c) AS concept, generate_subscripts(c, 1) AS i FROM d) GROUP BY 1, 2),
+s AS (SELECT source, list(concept ORDER BY pos, concept)[1:7] AS concepts FROM f GROUP BY 1)
+SELECT d.source AS topic, round(avg(salience), 6) AS salience, arg_min(gist, doc_id) AS gist, any_value(s.concepts) AS concepts FROM d LEFT JOIN s USING (source) GROUP BY 1""",
+    "debounce_sessions": """WITH e AS (SELECT ts, '/p/' || user_id AS path, lag(ts) OVER (ORDER BY ts) AS before FROM events), s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 10 MINUTE THEN 1 ELSE 0 END) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
+SELECT epoch_us(min(ts)) // 1000 AS start_ms, epoch_us(max(ts)) // 1000 + 600000 AS end_ms, count(*) AS changes, count(DISTINCT path) AS paths FROM s GROUP BY n""",
+    "stream_activity_changes": "WITH c AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS b FROM events) SELECT user_id, count(*) AS changes FROM c WHERE b IS DISTINCT FROM event_type GROUP BY 1",
+    "available_now_import": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
+}

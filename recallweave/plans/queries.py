@@ -89,7 +89,7 @@ def vector_codec(spark, sf):
 
 @query
 def hash_embed(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", vectors.hash_embedding(F.substring("text", 1, 1 << 30), 16).alias("embedding"))
+    return fx.table(spark, sf, "documents").select("doc_id", F.transform(vectors.hash_embedding(F.col("text"), 64), lambda x: F.round(x, 6)).alias("embedding"))
 
 
 # Text and chunks
@@ -764,7 +764,7 @@ def _stream_dir(spark):
 @query
 def stream_debounce(spark, sf):
     rows = _stream(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("/p/"), "user_id").alias("path"))
-    return streams.run_to_table(streams.debounced(rows, "2 hours"), f"debounced_{uuid.uuid4().hex}", _stream_dir(spark))
+    return streams.run_to_table(streams.debounced(rows, "10 minutes"), f"debounced_{uuid.uuid4().hex}", _stream_dir(spark))
 
 
 @query

@@ -11,9 +11,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def debounced(changes: DataFrame, gap: str = "2 seconds", delay: str = "1 minute") -> DataFrame:
-    """Bursts of changes (ts timestamp, path): a burst ends with a quiet gap; each gives its distinct paths."""
+    """Bursts of changes (ts timestamp, path): a burst ends with a quiet gap; each gives its distinct paths.
+    A burst is one whatever its paths, so all changes share one key."""
     return (
-        changes.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"))
+        changes.withWatermark("ts", delay).withColumn("all", F.lit(True)).groupBy(F.session_window("ts", gap).alias("w"), "all")
         .agg(F.count("*").alias("changes"), F.sort_array(F.collect_set("path")).alias("paths")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "changes", "paths")
     )
 
