@@ -28,7 +28,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Poisson copies of each document, so that sources weigh as the square root of their mass."""
-    return mixing.replicate(docs, exponent=0.5).select(*docs.columns)
+    return mixing.replicate(docs, exponent=0.5, copy="__rw_copy", copies="__rw_copies").select(*docs.columns)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
