@@ -16,8 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: Larger rates are drawn as sums of independent parts of at most this mean, so exp(-rate) stays exact.
 PART = 16.0
+#: The table of rates is broadcast up to so many sources.
+BROADCAST_SOURCES = 20_000
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -51,8 +55,7 @@ def replicate(
     docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source", copy: str = "copy", copies: str = "copies"
 ) -> DataFrame:
     """Every column of docs, `copy` (from 1) and `copies`, one row for each drawn copy, in a shuffled order.
-    The table of rates has a row for each source; Spark broadcasts it if it measures small, and else
-    joins by source, where adaptive execution splits a hot one."""
+    The table of rates has a row for each source; it is written first, so its size is known."""
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
     table = rates(docs, weights, exponent, text, source).select(F.col("source").alias("__rw_source"), parts.alias("__rw_parts"), poisson_table(F.col("rate") / parts).alias("__rw_table"))
     drawn = F.aggregate(
@@ -60,7 +63,10 @@ def replicate(
         F.lit(0),
         lambda n, i: n + F.size(F.filter("__rw_table", lambda c: c <= uniform(str(seed), F.col(key), i))),
     )
-    joined = docs.join(table, F.col(source).eqNullSafe(F.col("__rw_source")))
+    table = settle(table, "rates")
+    # A checked size: beyond it Spark joins by source, and adaptive execution splits a hot one.
+    small = table.count() <= BROADCAST_SOURCES
+    joined = docs.join(F.broadcast(table) if small else table, F.col(source).eqNullSafe(F.col("__rw_source")))
     counted = joined.select(*[docs[c] for c in docs.columns], drawn.alias(copies)).where(F.col(copies) > 0)
     spread = counted.select("*", F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy))
     order = F.md5(F.concat_ws("|", F.lit(f"{seed} order"), F.col(key).cast("string"), F.col(copy).cast("string")))
