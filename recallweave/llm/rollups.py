@@ -133,8 +133,8 @@ def corpus_history(docs: DataFrame, path: str, settle) -> TokenRollup:
     rollup = TokenRollup(docs.sparkSession, path)
     rollup.commit("words", signed(rows, "words-1", F.col("w"), 1))
     rollup.commit("pieces", signed(rows, "pieces-1", F.col("p"), 1))
-    first = rows.groupBy("h").agg(F.min("doc_id").alias("first"))
-    joined = rows.join(first, "h")
+    first = settle(rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first"), "firsts")
+    joined = rows.join(first, "h", "left").withColumn("first", F.coalesce("first", "doc_id"))
     copies, kept = joined.where("doc_id > first"), joined.where("not coalesce(doc_id > first, false)")
     rollup.commit("copies", signed(copies, "words-1", F.col("w"), -1).unionByName(signed(copies, "pieces-1", F.col("p"), -1)))
     changed = kept.where("w <> s")
