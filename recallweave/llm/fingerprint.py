@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import bounded_batches, shuffle_width
 from .textkit import BLOCK_BYTES, U64, code_points, constants, mix, string_buffers
 
 MIN_SPAN = 8
@@ -185,6 +185,7 @@ def edit_probe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     The order is cut into ranges of keys; every range gets the next range's first row as a sentinel, so
     each row meets its successor inside one sorted stream and no task reads more than its range."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = shuffle_width(spark)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     edges = rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10000)).first()[0] if n > 1 else None

@@ -18,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import forget, settle, unit_hash
+from .common import bounded_batches, forget, settle, unit_hash
 from .textkit import U64, blocks, code_points, constants, mix
 
 UNDETERMINED = "und"
@@ -190,9 +190,9 @@ def predict(model: LanguageModel, text: Column) -> Column:
         names = np.array([*m.languages, UNDETERMINED], object)[best]
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(coverage)], names=["lang", "score", "coverage"])
 
-    from pyspark.sql import SparkSession
-
-    sent = SparkSession.active().sparkContext.broadcast(model)  # at most 2**bits * languages / 8 bytes
+    spark = SparkSession.active()
+    bounded_batches(spark)
+    sent = spark.sparkContext.broadcast(model)  # at most 2**bits * languages / 8 bytes
     return identify(text)
 
 
