@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, settle
 from .textkit import BLOCK_BYTES, blocks, constants, prefix_hash, span_hash, words
 
 #: Bits 11 to 15 of the gear hash depend on the 16 bytes up to a place.
@@ -79,6 +80,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """digest, id, place (start in code points and a tag of the text), size (code points, words, and whether
     an equal chunk stands earlier in the document)."""
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(_emit, "digest long, id long, place long, size long")
 
@@ -130,11 +132,13 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """id, tag, start and chars (code points), words, chunks of every repeated passage, and the smallest id
     of a document with one of its chunks.
 
-    The smallest id of a digest comes from a partial aggregate, so a chunk that very many documents share
-    reaches one task as one row from each; joined to the chunks, one row meets them, which adaptive execution splits."""
+    The smallest id of a digest comes from a partial aggregate, so a chunk that very many documents share reaches one
+    task as one row from each. Only digests of several documents are kept and written; joined to the chunks, one row
+    meets a hot one, and a join of written and scanned rows is one that adaptive execution can split."""
     found = chunks(docs, key, text)
-    first = found.groupBy("digest").agg(F.min("id").alias("first"))
-    repeated = found.join(first, "digest").where((F.col("first") < F.col("id")) | (F.col("size").bitwiseAND(F.lit(1)) == 1))
+    shared = found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
+    repeated = found.join(settle(shared, "shared"), "digest", "left").withColumn("first", F.coalesce("first", "id"))
+    repeated = repeated.where((F.col("first") < F.col("id")) | (F.col("size").bitwiseAND(F.lit(1)) == 1))
     # Rows with equal id and text give each chunk as often; one of each is enough.
     runs = repeated.select("id", "place", "size", "first").repartition("id").dropDuplicates(["id", "place"]).sortWithinPartitions("id", F.col("place").bitwiseAND(F.lit(0xFFFF)), "place")
     return runs.mapInArrow(_runs(min_words), "id long, tag long, start long, chars long, words long, chunks long, first_id long")
