@@ -199,9 +199,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     is chosen for that)."""
     signed = settle(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_sign(words_in_shingle), SIGNATURE), "signatures")
     usable = signed.where("n > 0 and id is not null")
-    first = usable.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
+    # Written, not reused: a join straight above the aggregate couldn't split a set that very many documents share.
+    first = settle(usable.groupBy("set_a", "set_b").agg(F.min("id").alias("rep")), "sets")
     members = settle(usable.select("id", "n", "set_a", "set_b").join(first, ["set_a", "set_b"]).select("id", "n", "rep"), "members")
-    leaders = usable.join(first.select(F.col("rep").alias("id"), "set_a", "set_b"), ["id", "set_a", "set_b"]).dropDuplicates(["set_a", "set_b"])
+    leaders = usable.join(first.select(F.col("rep").alias("id"), "set_a", "set_b"), ["id", "set_a", "set_b"]).dropDuplicates(["id", "set_a", "set_b"])
 
     slim = leaders.select("id", "n", F.posexplode(F.arrays_zip("base", "deep")).alias("tree", "key")).select("id", "n", "tree", F.col("key.base").alias("base"), F.col("key.deep").alias("deep"))
     crowd = slim.groupBy("base").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where("c > 1")
