@@ -209,7 +209,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     over = F.ceil(F.greatest(F.col("c") / block, F.col("s") / BLOCK_SHINGLES)).cast("int")
     near = settle(slim.join(crowd, "base").select("id", "n", "tree", "base", "deep", over.alias("over")), "regions")
     parts = near.where("over > 1").groupBy("deep").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("deep", over.alias("parts"))
-    placed = near.join(parts, "deep", "left").select("id", "tree", F.when(F.col("over") == 1, F.col("base")).otherwise(F.xxhash64("deep", F.pmod(F.xxhash64("id"), F.col("parts")))).alias("block"))
+    fine = near.where("over = 1").select("id", "tree", F.col("base").alias("block"))
+    dealt = near.where("over > 1").join(parts, "deep").select("id", "tree", F.xxhash64("deep", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+    placed = fine.unionByName(dealt)
     homes = placed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("tree", "block"))).alias("keys"))  # at most TREES each
     payload = leaders.select("id", "n", "sketch").dropDuplicates(["id"]).join(homes, "id")
     rows = payload.select("id", "n", F.col("id").alias("label"), "sketch", "keys", F.explode("keys").alias("k")).select("id", "n", "label", "sketch", "keys", "k.tree", "k.block")
