@@ -1,13 +1,14 @@
 """Substring deduplication by content-defined chunking.
 
 A gear hash rolls over the text's bytes. A chunk begins at each word start where the hash of the bytes just
-before it meets the cut condition, so cuts follow content: an insertion moves the chunks after it but doesn't
-change them, and a passage that stands in two documents has the same chunks inside in both. A chunk of which
-an equal one stands in a document with a smaller id, or earlier in the same document, is repeated; where
-adjoining repeated chunks together hold at least `min_words` words, they are a repeated passage. The
-first occurrence of every chunk stays.
-
-Edge cases: null and empty texts have no chunks; a null text stays null. Rows with the same id and text are
+before it meets the cut condition or is the least for some words, so cuts follow content: an insertion moves the chunks after it but doesn't
+change them, and a passage that stands in two documents has the same chunks inside in both. Single chunks
+are short and common ones stand in very many documents, so what is looked up by its digest is a chunk with as
+many of its followers as hold `min_words` words. A stretch of which an equal one stands in a document with a smaller
+id, or earlier in the same document, is repeated; overlapping and adjoining repeated stretches are one repeated
+passage. So no passage is put together from phrases of different origin, whatever the size of the corpus.
+
+Edge cases: null and empty texts have no chunks, and texts of fewer than `min_words` words no stretches; a null text stays null. Rows with the same id and text are
 one document: both are treated alike. Rows with a null id count as having the largest id.
 """
 
@@ -26,8 +27,10 @@ from .textkit import BLOCK_BYTES, blocks, constants, prefix_hash, span_hash, wor
 #: Bits 11 to 15 of the gear hash depend on the 16 bytes up to a place.
 _GEAR = (constants(256, 53) >> np.uint64(32)).astype(np.uint32)
 _WINDOW = 16
-#: Of 32 values of these bits those that cut: about one word start in five.
-CUTS = 6
+#: Of 32 values of these bits those that cut: one word start in four.
+CUTS = 8
+REACH = 16
+_NEVER = np.uint32(0xFFFFFFFF)
 MIN_WORDS = 20
 _NULL_ID = (1 << 63) - 1
 
@@ -43,105 +46,114 @@ def gear(raw: np.ndarray) -> np.ndarray:
 
 
 def chunk_starts(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start byte of each chunk, words in it); every text with bytes has a chunk at its start. The hash
-    at a text's first places looks back no farther than its start."""
-    word, _, _ = words(raw, at)
-    h = gear(raw)
-    cut = word[(word > 0)]
-    cut = cut[((h[cut - 1] >> np.uint32(11)) & np.uint32(31)) < CUTS]
+    """(start byte of each chunk, words in it); every text with bytes has a chunk at its start. A word start cuts
+    if the hash before it meets the condition, or is the least of those at the last `REACH` word starts; so texts that
+    say few words over and over are cut once a period. Places without `_WINDOW` bytes of their text before them don't cut."""
+    word, _, doc = words(raw, at)
+    known = word - at[doc] >= _WINDOW
+    h = np.where(known, gear(raw)[word - 1], _NEVER)
+    least, width = h, 1
+    while width < REACH:
+        least = np.concatenate([least[:width], np.minimum(least[width:], least[:-width])])
+        width *= 2
+    inside = np.arange(len(word)) - np.searchsorted(doc, doc) >= REACH - 1
+    cut = word[known & ((((h >> np.uint32(11)) & np.uint32(31)) < CUTS) | (inside & (h == least)))]
     starts = np.unique(np.concatenate([cut, at[:-1][np.diff(at) > 0]]))
     count = np.diff(np.searchsorted(word, np.append(starts, len(raw))))
     return starts, count
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0)
-        for i, j, raw, at in blocks(batch.column(1), BLOCK_BYTES // 2):
-            if not len(raw):
-                continue
-            starts, count = chunk_starts(raw, at)
-            ends = np.append(starts[1:], len(raw))
-            doc = np.searchsorted(at, starts, "right") - 1
-            run = prefix_hash(raw)
-            digest = span_hash(run, starts, ends)
-            tag = (span_hash(run, at[:-1], at[1:]) & np.uint64(0xFFFF)).astype(np.int64)
-            lead = np.zeros(len(raw) + 1, np.int64)
-            np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])
-            order = np.lexsort((starts, digest, doc))
-            again = np.zeros(len(starts), bool)
-            again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
-            place = ((lead[starts] - lead[at[doc]]) << 16) | tag[doc]
-            size = ((lead[ends] - lead[starts]) << 17) | (np.minimum(count, 0xFFFF) << 1) | again
-            own = np.asarray(ids[i:j])[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(own), pa.array(place), pa.array(size)], names=["digest", "id", "place", "size"])
-
-
-def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """digest, id, place (start in code points and a tag of the text), size (code points, words, and whether
-    an equal chunk stands earlier in the document)."""
+def _emit(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, raw, at in blocks(batch.column(1), BLOCK_BYTES // 2):
+                if len(raw):
+                    yield _stretches(np.asarray(batch.column(0)[i:j]), raw, at, min_words)
+
+    return run
+
+
+def _stretches(ids: np.ndarray, raw: np.ndarray, at: np.ndarray, min_words: int) -> pa.RecordBatch:
+    starts, count = chunk_starts(raw, at)
+    doc = np.searchsorted(at, starts, "right") - 1
+    before = np.concatenate([[0], np.cumsum(count)])
+    # The last chunk of each stretch: the first with which it holds enough words.
+    last = np.searchsorted(before, before[:-1] + max(1, min_words)) - 1
+    whole = last < len(starts)
+    whole[whole] = doc[last[whole]] == doc[whole]
+    first_word = before[np.searchsorted(doc, doc)]
+    ends = np.append(starts[1:], len(raw))[last[whole]]
+    n_words, word = before[last[whole] + 1] - before[:-1][whole], (before[:-1] - first_word)[whole]
+    starts, doc = starts[whole], doc[whole]
+    run = prefix_hash(raw)
+    digest = span_hash(run, starts, ends)
+    tag = (span_hash(run, at[:-1], at[1:]) & np.uint64(0xFFFF)).astype(np.int64)
+    lead = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])
+    order = np.lexsort((starts, digest, doc))
+    again = np.zeros(len(starts), bool)
+    again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+    place = ((lead[starts] - lead[at[doc]]) << 16) | tag[doc]
+    size = ((lead[ends] - lead[starts]) << 17) | (np.minimum(n_words, 0xFFFF) << 1) | again
+    columns = [pa.array(digest.view(np.int64)), pa.array(ids[doc]), pa.array(place), pa.array(size), pa.array(word.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["digest", "id", "place", "size", "word"])
+
+
+def stretches(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row for each chunk that has enough words with its followers: digest, id, place (start in code points and a
+    tag of the text), size (code points, words, and whether an equal stretch stands earlier in the document), word (the
+    number of words before it)."""
     bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_emit, "digest long, id long, place long, size long")
+    return rows.mapInArrow(_emit(min_words), "digest long, id long, place long, size long, word int")
 
 
-def _runs(min_words: int):
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            new = [np.asarray(batch.column(k)) for k in range(4)]  # id, place, size, first
-            cols = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
-            last = _last_run(cols)
-            held = [c[last:] for c in cols]
-            if last:
-                yield from _passages([c[:last] for c in cols], min_words)
-        if held and len(held[0]):
-            yield from _passages(held, min_words)
-
-    return join
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages of sorted stretches; the last run waits for what may adjoin it in the next batch."""
+    held = None
+    for batch in batches:
+        new = [np.asarray(batch.column(k)) for k in range(5)]  # id, place, size, word, first
+        cols = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+        last = int(_breaks(cols)[-1]) if len(cols[0]) else 0
+        held = [c[last:] for c in cols]
+        if last:
+            yield _passages([c[:last] for c in cols])
+    if held and len(held[0]):
+        yield _passages(held)
 
 
 def _breaks(cols) -> np.ndarray:
-    """Where a run of adjoining chunks begins."""
-    own, place, size, _ = cols
+    """Where a run of overlapping or adjoining stretches begins; later stretches of a text never end before earlier ones."""
+    own, place, size = cols[:3]
     new = np.ones(len(own), bool)
-    new[1:] = (own[1:] != own[:-1]) | ((place[1:] & 0xFFFF) != (place[:-1] & 0xFFFF)) | ((place[1:] >> 16) != (place[:-1] >> 16) + (size[:-1] >> 17))
+    new[1:] = (own[1:] != own[:-1]) | ((place[1:] & 0xFFFF) != (place[:-1] & 0xFFFF)) | ((place[1:] >> 16) > (place[:-1] >> 16) + (size[:-1] >> 17))
     return np.flatnonzero(new)
 
 
-def _last_run(cols) -> int:
-    return int(_breaks(cols)[-1]) if len(cols[0]) else 0
-
-
-def _passages(cols, min_words: int) -> Iterator[pa.RecordBatch]:
-    own, place, size, first = cols
-    starts = _breaks(cols)
-    n_words = np.add.reduceat((size >> 1) & 0xFFFF, starts)
-    chars = np.add.reduceat(size >> 17, starts)
-    n_chunks = np.diff(np.append(starts, len(own)))
-    low = np.minimum.reduceat(first, starts)
-    keep = n_words >= min_words
-    at = starts[keep]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(own[at]), pa.array(place[at] & 0xFFFF), pa.array(place[at] >> 16), pa.array(chars[keep]), pa.array(n_words[keep]), pa.array(n_chunks[keep]), pa.array(low[keep])],
-        names=["id", "tag", "start", "chars", "words", "chunks", "first_id"],
-    )
+def _passages(cols) -> pa.RecordBatch:
+    own, place, size, word, first = cols
+    at = _breaks(cols)
+    end = np.append(at[1:], len(own)) - 1
+    chars = (place[end] >> 16) + (size[end] >> 17) - (place[at] >> 16)
+    n_words = word[end].astype(np.int64) + ((size[end] >> 1) & 0xFFFF) - word[at]
+    columns = [own[at], place[at] & 0xFFFF, place[at] >> 16, chars, n_words, end - at + 1, np.minimum.reduceat(first, at)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "tag", "start", "chars", "words", "stretches", "first_id"])
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """id, tag, start and chars (code points), words, chunks of every repeated passage, and the smallest id
-    of a document with one of its chunks.
+    """id, tag, start and chars (code points), words, repeated stretches in it of every repeated passage, and the
+    smallest id of a document with one of these.
 
-    The smallest id of a digest comes from a partial aggregate, so a chunk that very many documents share reaches one
-    task as one row from each. Only digests of several documents are kept and written; joined to the chunks, one row
+    The smallest id of a digest comes from a partial aggregate, so a stretch that very many documents share reaches one
+    task as one row from each. Only digests of several documents are kept and written; joined to the stretches, one row
     meets a hot one, and a join of written and scanned rows is one that adaptive execution can split."""
-    found = chunks(docs, key, text)
+    found = stretches(docs, key, text, min_words)
     shared = found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
     repeated = found.join(settle(shared, "shared"), "digest", "left").withColumn("first", F.coalesce("first", "id"))
     repeated = repeated.where((F.col("first") < F.col("id")) | (F.col("size").bitwiseAND(F.lit(1)) == 1))
-    # Rows with equal id and text give each chunk as often; one of each is enough.
-    runs = repeated.select("id", "place", "size", "first").repartition("id").dropDuplicates(["id", "place"]).sortWithinPartitions("id", F.col("place").bitwiseAND(F.lit(0xFFFF)), "place")
-    return runs.mapInArrow(_runs(min_words), "id long, tag long, start long, chars long, words long, chunks long, first_id long")
+    # Rows with equal id and text give each stretch as often; one of each is enough.
+    runs = repeated.select("id", "place", "size", "word", "first").repartition("id").dropDuplicates(["id", "place"]).sortWithinPartitions("id", F.col("place").bitwiseAND(F.lit(0xFFFF)), "place")
+    return runs.mapInArrow(_runs, "id long, tag long, start long, chars long, words long, stretches long, first_id long")
 
 
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -69,7 +69,7 @@ PACKED = "shard long, bin long, slot int, doc_id long, copy int, piece int, star
 
 def _pack(capacity: int, per_source: int):
     def shard(rows) -> pa.Table:
-        rows = rows.sort_by([("id", "ascending"), ("copy", "ascending"), ("piece", "ascending")])
+        rows = rows.sort_by([("id", "ascending"), ("copy", "ascending"), ("piece", "ascending"), ("tokens", "ascending"), ("cluster", "ascending")])
         sizes = rows.column("tokens").to_pylist()
         bins = np.array(best_fit(sizes, rows.column("source").to_pylist(), rows.column("cluster").to_pylist(), capacity, per_source), np.int64)
         order = np.lexsort((np.arange(len(bins)), -np.array(sizes), bins))

@@ -56,7 +56,7 @@ def op8_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every repeated passage of the documents: where it stands and the document that has it first."""
     found = chunkdedup.repeated_passages(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "start", "chars", "words", "chunks", F.col("first_id").alias("first_doc_id"))
+    return found.select(F.col("id").alias("doc_id"), "start", "chars", "words", "stretches", F.col("first_id").alias("first_doc_id"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,42 +221,54 @@ def test_chat_round_trip(spark):
 
 
 def brute_passages(rows, least):
-    """Chunks by a plain rolling loop, and the repeated runs of them."""
+    """Chunks by a plain rolling loop; the stretches of them that stand earlier too, merged."""
     cut_docs = []
     for i, t in sorted(rows):
         raw = t.encode()
-        h, hashes = 0, []
-        for b in raw:
-            h = ((h << 1) + int(chunkdedup._GEAR[b])) & 0xFFFFFFFF
+        hashes = []
+        for upto in range(1, len(raw) + 1):
+            h = 0
+            for b in raw[max(0, upto - 16) : upto]:
+                h = ((h << 1) + int(chunkdedup._GEAR[b])) & 0xFFFFFFFF
             hashes.append(h)
-        starts = sorted({0} | {m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw) if m.start() >= 16 and (hashes[m.start() - 1] >> 11 & 31) < chunkdedup.CUTS})
+        at = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        before = [hashes[s - 1] if s >= 16 else 0xFFFFFFFF for s in at]
+        starts = {0}
+        for k, s in enumerate(at):
+            least = k >= chunkdedup.REACH - 1 and before[k] == min(before[k - chunkdedup.REACH + 1 : k + 1])
+            if s >= 16 and ((before[k] >> 11 & 31) < chunkdedup.CUTS or least):
+                starts.add(s)
+        starts = sorted(starts)
         starts = [s for s in starts if s < len(raw)]
         cut_docs.append((i, [(s, raw[s:e]) for s, e in zip(starts, [*starts[1:], len(raw)])]))
-    first, out = {}, []
+    seen, out = set(), []
     for i, cut in cut_docs:
-        for s, c in cut:
-            first.setdefault(c, (i, s))
-    for i, cut in cut_docs:
-        run = []
-        for s, c in [*cut, (None, None)]:
-            if c is not None and first[c] != (i, s):
-                run.append((s, c))
-            elif run:
-                if sum(len(word_list(c.decode())) for _, c in run) >= least:
-                    out.append((i, run[0][0], sum(len(c) for _, c in run)))
-                run = []
-    return sorted(out)
+        for k, (s, _) in enumerate(cut):
+            stretch = b""
+            for _, c in cut[k:]:
+                stretch += c
+                if len(word_list(stretch.decode())) >= least:
+                    break
+            else:
+                continue
+            if stretch in seen:
+                if out and out[-1][0] == i and out[-1][2] >= s:
+                    out[-1][2] = s + len(stretch)
+                else:
+                    out.append([i, s, s + len(stretch)])
+            seen.add(stretch)
+    return sorted((i, s, e - s) for i, s, e in out)
 
 
 def test_chunk_dedup_against_a_loop(spark):
     rng = np.random.default_rng(8)
     word = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(n))
     passage, other = word(70), word(60)
-    rows = [(1, word(80) + " " + passage + " " + word(50)), (2, word(33) + " " + passage + " " + word(9)), (3, word(120)), (4, passage + " x " + other), (5, other + " " + word(30) + " " + other), (6, "")]
+    rows = [(1, word(80) + " " + passage + " " + word(50)), (2, word(33) + " " + passage + " " + word(9)), (3, word(120)), (4, passage + " x " + other), (5, other + " " + word(30) + " " + other), (6, ""), (8, "again " * 90), (9, word(5) + " again" * 80)]
     df = spark.createDataFrame([*rows, (7, None)], "doc_id long, text string")
     got = sorted((r.id, r.start, r.chars) for r in chunkdedup.repeated_passages(df).collect())
     want = [w for w in brute_passages(rows, chunkdedup.MIN_WORDS)]
-    assert got == want and {g[0] for g in got} == {2, 4, 5}
+    assert got == want and {g[0] for g in got} == {2, 4, 5, 8, 9}
     kept = {r.doc_id: r.text for r in chunkdedup.remove_repeated(df).collect()}
     assert kept[1] == rows[0][1] and kept[3] == rows[2][1] and kept[7] is None and kept[6] == ""
     assert len(kept[2]) < 400 and passage[150:300] not in kept[2]
