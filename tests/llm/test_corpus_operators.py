@@ -235,8 +235,8 @@ def brute_passages(rows, least):
         before = [hashes[s - 1] if s >= 16 else 0xFFFFFFFF for s in at]
         starts = {0}
         for k, s in enumerate(at):
-            least = k >= chunkdedup.REACH - 1 and before[k] == min(before[k - chunkdedup.REACH + 1 : k + 1])
-            if s >= 16 and ((before[k] >> 11 & 31) < chunkdedup.CUTS or least):
+            lowest = k >= chunkdedup.REACH - 1 and before[k] == min(before[k - chunkdedup.REACH + 1 : k + 1])
+            if s >= 16 and ((before[k] >> 11 & 31) < chunkdedup.CUTS or lowest):
                 starts.add(s)
         starts = sorted(starts)
         starts = [s for s in starts if s < len(raw)]
