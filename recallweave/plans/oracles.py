@@ -281,3 +281,19 @@ SELECT epoch_us(min(ts)) // 1000 AS start_ms, epoch_us(max(ts)) // 1000 + 600000
     "stream_activity_changes": "WITH c AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS b FROM events) SELECT user_id, count(*) AS changes FROM c WHERE b IS DISTINCT FROM event_type GROUP BY 1",
     "available_now_import": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
 }
+
+ITEMS = """items AS (SELECT 'memory' AS kind, id AS key, CAST(timestamp AS BIGINT) AS timestamp, importance, CAST(access_count AS BIGINT) AS access_count, memory_type AS type, '' AS name, lower(id || chr(10) || memory_type) AS searched FROM memories
+  UNION ALL SELECT 'file', path, CAST(modified AS BIGINT), 0, 0, '', name, lower(name || chr(10) || path) FROM files)"""
+
+ORACLES |= {
+    "browse_recent": _with(MEM, FILES, ITEMS) + "SELECT kind, key, timestamp, importance, access_count, type, name FROM items WHERE contains(searched, '1') ORDER BY timestamp DESC, kind, key LIMIT 100",
+    "browse_important": _with(MEM, FILES, ITEMS) + "SELECT kind, key, round(importance, 6) AS importance FROM items WHERE contains(searched, 'goal') ORDER BY items.importance DESC, kind, key LIMIT 25",
+    "browse_by_name": _with(MEM, FILES, ITEMS) + "SELECT kind, key, name FROM items ORDER BY name, kind, key LIMIT 1000",
+    "topic_listing": _with(FILES) + """SELECT source AS topic, CAST(sum(1 + len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: starts_with(l, '### '))) + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS memories, max(modified) AS modified FROM files GROUP BY 1""",
+    "maintenance_policy": _with(MEM, "t AS (SELECT memory_type, count(*) AS n, avg(decay) AS d, sum(access_count) AS a FROM memories GROUP BY 1)")
+    + """SELECT memory_type, concat_ws(',', CASE WHEN a % 2 > 0 THEN 'learn' END, CASE WHEN d > 0.5 THEN 'consolidate' END, CASE WHEN n > 60 THEN 'near_capacity' END, CASE WHEN n % 10 > 7 THEN 'synchronised' END) AS due,
+  CASE WHEN n > 10 AND n % 10 > 5 THEN 'improving' WHEN a % 2 > 0 THEN 'declining' ELSE 'stable' END AS trend FROM t""",
+    "softmax_actions": """WITH q AS (SELECT user_id % 20 AS state, event_id % 4 AS action, round(avg(value), 6) AS value FROM events GROUP BY 1, 2),
+e AS (SELECT state, action, exp((value - max(value) OVER (PARTITION BY state)) / 10.0) AS w FROM q)
+SELECT state, action, round(w / sum(w) OVER (PARTITION BY state), 6) AS probability FROM e""",
+}

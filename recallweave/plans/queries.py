@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, vectors
-from ..operators import chunking, graph, learning, lifecycle, records, search
+from ..operators import browse, chunking, graph, learning, lifecycle, records, search
 from ..sources import connectors, files, store
 from ..streaming import streams
 from . import fixtures as fx
@@ -781,3 +781,46 @@ def available_now_import(spark, sf):
     for _ in range(2):  # a second run finds nothing new
         streams.import_available(stream, f"{root}/at", lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}"))
     return spark.read.parquet(f"{root}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# Browsing and maintenance
+
+
+def _items(spark, sf):
+    memories = browse.items(fx.memories(spark, sf), "memory", "id", ["id", "memory_type"], timestamp="timestamp", importance="importance", access_count="access_count", type="memory_type")
+    return [memories, browse.items(fx.file_index(spark, sf), "file", "path", ["name", "path"], timestamp="modified", name="name")]
+
+
+@query
+def browse_recent(spark, sf):
+    return browse.browse(_items(spark, sf), "1")
+
+
+@query
+def browse_important(spark, sf):
+    return browse.browse(_items(spark, sf), "GOAL", by="importance", limit=25).select("kind", "key", r6("importance"))
+
+
+@query
+def browse_by_name(spark, sf):
+    return browse.browse(_items(spark, sf), by="name", descending=False, limit=1000).select("kind", "key", "name")
+
+
+@query
+def topic_listing(spark, sf):
+    body = F.concat(F.lit("# topic\n### "), "doc_id", F.lit("\n"), F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 2 == 0, F.lit("\n### end")).otherwise(F.lit("")))
+    return browse.topics(fx.file_index(spark, sf).withColumn("body", body), "source", "body", "modified")
+
+
+@query
+def maintenance_policy(spark, sf):
+    by_type = fx.memories(spark, sf).groupBy("memory_type").agg(F.count("*").alias("n"), F.avg("decay").alias("avg_decay"), F.sum("access_count").alias("accesses"))
+    dropped, sync = F.col("accesses") % 2, (F.col("n") % 10) / 10
+    due = browse.adaptations(dropped, F.col("avg_decay"), F.col("n"), F.lit(75), sync)
+    return by_type.select("memory_type", F.concat_ws(",", due).alias("due"), browse.learning_trend(F.col("n"), sync, dropped).alias("trend"))
+
+
+@query
+def softmax_actions(spark, sf):
+    q = fx.table(spark, sf, "events").groupBy((F.col("user_id") % 20).alias("state"), (F.col("event_id") % 4).alias("action")).agg(F.round(F.avg("value"), 6).alias("value"))
+    return browse.softmax_policy(q, 10.0).select("state", "action", r6("probability"))
