@@ -12,7 +12,7 @@ from recallweave.llm.common import settle, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without a letter or without known n-grams go."""
+    """Documents in a learned language; those without a letter or with too few known n-grams go."""
     return langid.in_a_language(docs)
 
 

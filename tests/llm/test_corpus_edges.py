@@ -1,5 +1,8 @@
 """Nulls in any column, empty and very long texts, ties and repeated rows, empty tables, clashing extra columns."""
 
+import base64
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +73,19 @@ def test_clean_documents_stay(spark):
     assert langid.in_a_language(docs).count() == docs.count()
 
 
+def test_noise_and_unlearned_languages_go(spark):
+    rng = random.Random(1)
+    words = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(100))
+    noise = [words("abcdefghijklmnopqrstuvwxyz"), words("bcdfghjklmnpqrstvwxz"), base64.b64encode(rng.randbytes(450)).decode(), rng.randbytes(300).hex()]
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem."
+    italian = "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri."
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    bad = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate([*noise, polish, italian, finnish])], docs.schema)
+    kept = langid.in_a_language(docs.unionByName(bad))
+    assert kept.where("doc_id < 0").count() == 0 and kept.count() == docs.count()
+
+
 @pytest.mark.parametrize("rows", [[], [(0, [1.0, 2.0])], [(0, [1.0, 2.0]), (100, [1.0, 2.0]), (0, [3.0, 4.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0])]], ids=["empty", "one", "few"])
 def test_nearest(spark, rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("extra") for c in EXTRA})
