@@ -764,7 +764,7 @@ def _stream_dir(spark):
 @query
 def stream_debounce(spark, sf):
     rows = _stream(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("/p/"), "user_id").alias("path"))
-    return streams.run_to_table(streams.debounced(rows, "10 minutes"), f"debounced_{uuid.uuid4().hex}", _stream_dir(spark))
+    return streams.run_to_table(streams.debounced(rows, "10 minutes"), f"debounced_{uuid.uuid4().hex}", _stream_dir(spark), "complete")  # the input ends: its last burst too
 
 
 @query

@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from recallweave.plans.oracles import ORACLES
 from recallweave.plans.queries import QUERIES
@@ -41,3 +42,11 @@ def test_query(spark, duck, name):
     assert sorted(names) == cols
     order = [names.index(c) for c in cols]
     assert rows == Counter(tuple(canonical(r[i]) for i in order) for r in found.fetchall())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_stream_gives_every_burst(spark, sf):
+    out = QUERIES["stream_debounce"](spark, f"/root/testdata/{sf}")
+    got = out.select(F.unix_millis("start"), F.unix_millis("end"), "changes", F.size("paths").cast("long")).collect()
+    want = QUERIES["debounce_sessions"](spark, f"/root/testdata/{sf}").select("start_ms", "end_ms", "changes", "paths").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
