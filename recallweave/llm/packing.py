@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import neardup
 from .common import settle
 from .textkit import groups
 
@@ -94,12 +95,18 @@ def _per_shard(capacity: int, per_source: int):
     return run
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None, near: bool = False) -> DataFrame:
     """id, copy, piece, start (first token), tokens, source, cluster: what is packed. Without a cluster column,
-    documents with equal texts are one cluster."""
+    documents with equal texts are one cluster; with `near`, also those that near copies link."""
     tokens = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     own = F.col(cluster).cast("string") if cluster else F.md5(F.coalesce(F.col(text), F.lit("")))
-    narrow = docs.select(F.col(key).cast("long").alias("id"), tokens.alias("n"), F.col(source).cast("string").alias("source"), own.alias("cluster"))
+    node = F.coalesce(F.col(key).cast("long"), F.xxhash64(F.col(text)))  # rows without an id take part by their text
+    narrow = docs.select(F.col(key).cast("long").alias("id"), tokens.alias("n"), F.col(source).cast("string").alias("source"), own.alias("cluster"), node.alias("node"))
+    if near:
+        nodes = docs.select(F.col(key).isNull().alias("none"), node.alias("id"), F.col(text).alias("text"))
+        once = nodes.where(~F.col("none")).unionByName(nodes.where("none").dropDuplicates(["id"]))
+        found = neardup.near_duplicates(once, "id", "text").where("n_shingles > 0").groupBy(F.col("doc_id").alias("node")).agg(F.min("component_id").alias("component"))
+        narrow = narrow.join(settle(found, "clusters"), "node", "left").withColumn("cluster", F.coalesce(F.col("component").cast("string"), "cluster"))
     # Rows of one id are alike but for their number; counting them first keeps a hot id out of one task.
     counted = narrow.groupBy("id", "n", "source", "cluster").agg(F.count("*").cast("int").alias("copies"))
     copied = counted.select("id", "n", "source", "cluster", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
@@ -109,10 +116,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text:
     return spread.select("id", "copy", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(capacity).cast("long")).alias("tokens"), "source", "cluster")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = 4, key: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None, shard: int = SHARD) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = 4, key: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None, shard: int = SHARD, near: bool = False) -> DataFrame:
     """The bin of every piece (shard, bin), its slot there, and what it holds (doc_id, copy, piece, start,
     tokens, source)."""
-    rows = settle(pieces(docs, capacity, key, text, source, cluster), "pieces")
+    rows = settle(pieces(docs, capacity, key, text, source, cluster, near), "pieces")
     shards = max(1, -(-rows.count() // shard))
     dealt = rows.select(F.pmod(F.xxhash64("id", "copy", "piece"), F.lit(shards)).cast("long").alias("shard"), "*").repartition("shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(_per_shard(capacity, per_source), PACKED)

@@ -22,7 +22,8 @@ def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    """No bin holds two near copies: five-word shingles, likeness of 0.8 or more, as in the pipeline's near-dedup."""
+    return packing.pack(table(spark, sf_dir, "documents"), near=True)
 
 
 def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

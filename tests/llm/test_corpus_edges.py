@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recallweave.llm import annforest, chat, chunkdedup, fingerprint, langid, mixing, neardup, packing, quality, rollups
+from recallweave.llm import annforest, chat, chunkdedup, fingerprint, langid, mixing, neardup, packing, quality, queries, rollups
 
 EXTRA = "id t k b n rep place size first copy copies bin cluster tokens component kept block label tag digest score base deep sketch".split()
 LONG = " ".join(f"word{i % 977} and the ounce of it" for i in range(40_000))
@@ -86,6 +86,15 @@ def test_noise_and_unlearned_languages_go(spark):
     assert kept.where("doc_id < 0").count() == 0 and kept.count() == docs.count()
 
 
+def test_bins_hold_no_near_copies(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, text), (2, text + " more"), (None, "some " + text), (None, "some " + text), (3, ""), (4, ""), (5, "other words"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op3_best_fit(spark, str(tmp_path)).collect()
+    assert len(got) == 8 and len({(r.shard, r.bin) for r in got if r.tokens > 100}) == 4 and len({(r.shard, r.bin) for r in got if not r.tokens}) == 3
+
+
 @pytest.mark.parametrize("rows", [[], [(0, [1.0, 2.0])], [(0, [1.0, 2.0]), (100, [1.0, 2.0]), (0, [3.0, 4.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0])]], ids=["empty", "one", "few"])
 def test_nearest(spark, rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("extra") for c in EXTRA})
