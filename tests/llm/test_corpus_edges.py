@@ -86,6 +86,14 @@ def test_noise_and_unlearned_languages_go(spark):
     assert kept.where("doc_id < 0").count() == 0 and kept.count() == docs.count()
 
 
+def test_no_language_keeps_texts_with_letters(spark):
+    texts = ["The ounce of the and", "文字", "𝔘", "12345 !!", "", None, " \n"]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    for df in (docs, docs.unionByName(spark.createDataFrame([(8, None, "en"), (9, "12", "en")], docs.schema))):
+        kept = langid.in_a_language(df)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {0, 1, 2}
+
+
 def test_bins_hold_no_near_copies(spark, tmp_path):
     text = " ".join(f"w{i}" for i in range(200))
     rows = [(1, text), (2, text + " more"), (None, "some " + text), (None, "some " + text), (3, ""), (4, ""), (5, "other words"), (6, None)]
