@@ -10,10 +10,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A stable salt-free hash of the document's key in [0, 1), for bounded samples.
-_TWO64 = 2.0**64
-
-
 #: Rows and bytes of an Arrow batch, unless the session sets them: texts can be long, and a batch is held by both the
 #: JVM and a Python worker.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
@@ -49,12 +45,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and survives lost executors."""
+#: Rows of a narrow table that one task writes, where their number is known beforehand.
+ROWS_A_FILE = 20_000
+
+
+def settle(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here and survives lost executors. With at most
+    `rows` narrow rows known, the last stage has as many tasks and files as they need, not one for each shuffle partition."""
     spark = df.sparkSession
     bounded_batches(spark)
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -79,5 +80,14 @@ def crc_residue(key, modulus: int) -> F.Column:
     return F.pmod(F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")), F.lit(modulus))
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def one_of_equal(df: DataFrame, *keys: str) -> DataFrame:
+    """df with one row for each distinct value of the keys (which name all of its columns). Hashes of the keys are counted first,
+    so rows are shuffled only where there are repeated ones; their copies are reduced before they meet."""
+    name = "__rw_hash"
+    hashed = df.withColumn(name, F.xxhash64(*keys))
+    again = hashed.groupBy(name).count().where("count > 1").select(name)
+    if not again.limit(1).count():
+        return df
+    again = settle(again, "again")
+    single = hashed.join(again, name, "left_anti").select(*keys)
+    return single.unionByName(hashed.join(again, name, "left_semi").groupBy(*keys).agg(F.count("*")).select(*keys))
