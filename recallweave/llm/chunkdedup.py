@@ -1,15 +1,16 @@
 """Substring deduplication by content-defined chunking.
 
 A gear hash rolls over the text's bytes. A chunk begins at each word start where the hash of the bytes just
-before it meets the cut condition or is the least for some words, so cuts follow content: an insertion moves the chunks after it but doesn't
+before it is the least among `REACH` word starts on either side, so cuts follow content: an insertion moves the chunks after it but doesn't
 change them, and a passage that stands in two documents has the same chunks inside in both. Single chunks
-are short and common ones stand in very many documents, so what is looked up by its digest is a chunk with as
+are short (seven words on average) and common ones stand in very many documents, so what is looked up by its digest is a chunk with as
 many of its followers as hold `min_words` words. A stretch of which an equal one stands in a document with a smaller
 id, or earlier in the same document, is repeated; overlapping and adjoining repeated stretches are one repeated
-passage. So no passage is put together from phrases of different origin, whatever the size of the corpus.
+passage. So no passage is put together from phrases of different origin, whatever the size of the corpus. Digests have 128 bits.
 
 Edge cases: null and empty texts have no chunks, and texts of fewer than `min_words` words no stretches; a null text stays null. Rows with the same id and text are
-one document: both are treated alike. Rows with a null id count as having the largest id.
+one document: both are treated alike. Different texts under one id, or under none, are documents of their own: they come in the
+order of a hash, those without an id after all others.
 """
 
 from __future__ import annotations
@@ -18,176 +19,190 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, settle
-from .textkit import BLOCK_BYTES, blocks, constants, prefix_hash, span_hash, words
+from .textkit import BLOCK_BYTES, WINDOW, blocks, constants, span_hash, words
 
-#: Bits 11 to 15 of the gear hash depend on the 16 bytes up to a place.
 _GEAR = (constants(256, 53) >> np.uint64(32)).astype(np.uint32)
-_WINDOW = 16
-#: Of 32 values of these bits those that cut: one word start in four.
-CUTS = 8
-REACH = 16
+#: Bytes that a gear hash covers.
+_ROLL = 16
+#: Word starts on either side among which a cut has the least hash.
+REACH = 3
 _NEVER = np.uint32(0xFFFFFFFF)
 MIN_WORDS = 20
-_NULL_ID = (1 << 63) - 1
 
 
 def gear(raw: np.ndarray) -> np.ndarray:
     """The gear hash h = 2 h + g(byte) of the last 16 bytes at each place, by doubling."""
     h = _GEAR[raw]
     width = 1
-    while width < _WINDOW:
+    while width < _ROLL:
         h[width:] += h[:-width] << np.uint32(width)
         width *= 2
     return h
 
 
+def _gear_before(raw: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The gear hash just before each word start; a window of the text at a time."""
+    out = np.full(len(word), _NEVER)
+    for a in range(0, len(raw), WINDOW):
+        low, b = max(0, a - _ROLL), min(a + WINDOW, len(raw))
+        i, j = np.searchsorted(word, [a, b], "right")
+        out[i:j] = gear(raw[low:b])[word[i:j] - 1 - low]
+    return out
+
+
 def chunk_starts(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start byte of each chunk, words in it); every text with bytes has a chunk at its start. A word start cuts
-    if the hash before it meets the condition, or is the least of those at the last `REACH` word starts; so texts that
-    say few words over and over are cut once a period. Places without `_WINDOW` bytes of their text before them don't cut."""
+    """(start byte of each chunk, words in it); every text with bytes has a chunk at its start. Equal least hashes all
+    cut, so texts that say few words over and over are cut at least once a period. Places without 16 bytes of their text before them don't cut."""
     word, _, doc = words(raw, at)
-    known = word - at[doc] >= _WINDOW
-    h = np.where(known, gear(raw)[word - 1], _NEVER)
-    least, width = h, 1
-    while width < REACH:
-        least = np.concatenate([least[:width], np.minimum(least[width:], least[:-width])])
-        width *= 2
-    inside = np.arange(len(word)) - np.searchsorted(doc, doc) >= REACH - 1
-    cut = word[known & ((((h >> np.uint32(11)) & np.uint32(31)) < CUTS) | (inside & (h == least)))]
-    starts = np.unique(np.concatenate([cut, at[:-1][np.diff(at) > 0]]))
+    cut = word - at[doc] >= _ROLL
+    h = np.where(cut, _gear_before(raw, word), _NEVER)
+    for d in range(1, REACH + 1):
+        apart = doc[d:] != doc[:-d]
+        cut[d:] &= (h[d:] <= h[:-d]) | apart
+        cut[:-d] &= (h[:-d] <= h[d:]) | apart
+    starts = np.unique(np.concatenate([word[cut], at[:-1][np.diff(at) > 0]]))
     count = np.diff(np.searchsorted(word, np.append(starts, len(raw))))
     return starts, count
 
 
-def _emit(min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, raw, at in blocks(batch.column(1), BLOCK_BYTES // 2):
-                if len(raw):
-                    yield _stretches(np.asarray(batch.column(0)[i:j]), raw, at, min_words)
-
-    return run
-
-
-def _stretches(ids: np.ndarray, raw: np.ndarray, at: np.ndarray, min_words: int) -> pa.RecordBatch:
+def _stretches(raw: np.ndarray, at: np.ndarray, min_words: int, whole: bool):
+    """For each chunk that has enough words with its followers: document index, two digests, and with `whole` place (start in code
+    points, words before it) and size (code points, words, and whether an equal stretch stands earlier in the document)."""
     starts, count = chunk_starts(raw, at)
     doc = np.searchsorted(at, starts, "right") - 1
     before = np.concatenate([[0], np.cumsum(count)])
     # The last chunk of each stretch: the first with which it holds enough words.
     last = np.searchsorted(before, before[:-1] + max(1, min_words)) - 1
-    whole = last < len(starts)
-    whole[whole] = doc[last[whole]] == doc[whole]
+    full = last < len(starts)
+    full[full] = doc[last[full]] == doc[full]
     first_word = before[np.searchsorted(doc, doc)]
-    ends = np.append(starts[1:], len(raw))[last[whole]]
-    n_words, word = before[last[whole] + 1] - before[:-1][whole], (before[:-1] - first_word)[whole]
-    starts, doc = starts[whole], doc[whole]
-    run = prefix_hash(raw)
-    digest = span_hash(run, starts, ends)
-    tag = (span_hash(run, at[:-1], at[1:]) & np.uint64(0xFFFF)).astype(np.int64)
-    lead = np.zeros(len(raw) + 1, np.int64)
+    ends = np.append(starts[1:], len(raw))[last[full]]
+    n_words, word = before[last[full] + 1] - before[:-1][full], (before[:-1] - first_word)[full]
+    starts, doc = starts[full], doc[full]
+    digests = [span_hash(raw, starts, ends, way).view(np.int64) for way in (0, 1)]
+    if not whole:
+        return doc, *digests
+    lead = np.zeros(len(raw) + 1, np.int32)
     np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])
-    order = np.lexsort((starts, digest, doc))
+    order = np.lexsort((starts, *digests, doc))
     again = np.zeros(len(starts), bool)
-    again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
-    place = ((lead[starts] - lead[at[doc]]) << 16) | tag[doc]
-    size = ((lead[ends] - lead[starts]) << 17) | (np.minimum(n_words, 0xFFFF) << 1) | again
-    columns = [pa.array(digest.view(np.int64)), pa.array(ids[doc]), pa.array(place), pa.array(size), pa.array(word.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=["digest", "id", "place", "size", "word"])
+    again[order[1:]] = np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in (*digests, doc)])
+    place = ((lead[starts] - lead[at[doc]]).astype(np.int64) << 32) | word
+    size = ((lead[ends] - lead[starts]).astype(np.int64) << 32) | (n_words << 1) | again
+    return doc, *digests, place, size
 
 
-def stretches(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each chunk that has enough words with its followers: digest, id, place (start in code points and a
-    tag of the text), size (code points, words, and whether an equal stretch stands earlier in the document), word (the
-    number of words before it)."""
-    bounded_batches(docs.sparkSession)
-    rows = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_emit(min_words), "digest long, id long, place long, size long, word int")
+def _emit(min_words: int, whole: bool):
+    names = ["digest", "second", *(["place", "size"] if whole else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.drop_columns(["text"])
+            for i, j, raw, at in blocks(batch.column("text"), BLOCK_BYTES // 2):
+                if len(raw):
+                    doc, *found = _stretches(raw, at, min_words, whole)
+                    yield pa.RecordBatch.from_arrays([*own.slice(i, j - i).take(pa.array(doc)).columns, *map(pa.array, found)], names=[*own.schema.names, *names])
+
+    return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages of sorted stretches; the last run waits for what may adjoin it in the next batch."""
+def identity(key: str, text: str) -> dict[str, Column]:
+    """Two numbers that tell documents apart: the id, or without one a hash of the text; and a hash of id and text."""
+    own = F.col(key).cast("long")
+    return {"own": F.coalesce(own, F.xxhash64(F.col(text), F.lit(1))), "node": F.xxhash64(own, F.col(text))}
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of overlapping or adjoining stretches, from sorted stretches; the last run waits, as one row, for what may adjoin it in the next batch.
+    Later stretches of a text never end before earlier ones."""
     held = None
     for batch in batches:
-        new = [np.asarray(batch.column(k)) for k in range(5)]  # id, place, size, word, first
-        cols = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
-        last = int(_breaks(cols)[-1]) if len(cols[0]) else 0
-        held = [c[last:] for c in cols]
-        if last:
-            yield _passages([c[:last] for c in cols])
-    if held and len(held[0]):
-        yield _passages(held)
-
-
-def _breaks(cols) -> np.ndarray:
-    """Where a run of overlapping or adjoining stretches begins; later stretches of a text never end before earlier ones."""
-    own, place, size = cols[:3]
-    new = np.ones(len(own), bool)
-    new[1:] = (own[1:] != own[:-1]) | ((place[1:] & 0xFFFF) != (place[:-1] & 0xFFFF)) | ((place[1:] >> 16) > (place[:-1] >> 16) + (size[:-1] >> 17))
-    return np.flatnonzero(new)
-
-
-def _passages(cols) -> pa.RecordBatch:
-    own, place, size, word, first = cols
-    at = _breaks(cols)
-    end = np.append(at[1:], len(own)) - 1
-    chars = (place[end] >> 16) + (size[end] >> 17) - (place[at] >> 16)
-    n_words = word[end].astype(np.int64) + ((size[end] >> 1) & 0xFFFF) - word[at]
-    columns = [own[at], place[at] & 0xFFFF, place[at] >> 16, chars, n_words, end - at + 1, np.minimum.reduceat(first, at)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "tag", "start", "chars", "words", "stretches", "first_id"])
+        own, node, none, place, size = (np.asarray(batch.column(k)) for k in range(5))
+        first = batch.column(5).fill_null(0)
+        start, chars, word = place >> 32, size >> 32, place & 0xFFFFFFFF
+        rows = [own, node, none, start, start + chars, word, word + ((size & 0xFFFFFFFF) >> 1), np.ones(len(own), np.int64), np.asarray(first), np.asarray(batch.column(5).is_valid())]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        if not len(rows[0]):
+            continue
+        new = np.ones(len(rows[0]), bool)
+        new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1]) | (rows[3][1:] > rows[4][:-1])
+        at = np.flatnonzero(new)
+        end = np.append(at[1:], len(new)) - 1
+        known = np.maximum.reduceat(rows[9], at)
+        least = np.minimum.reduceat(np.where(rows[9], rows[8], (1 << 63) - 1), at)
+        runs = [rows[0][at], rows[1][at], rows[2][at], rows[3][at], rows[4][end], rows[5][at], rows[6][end], np.add.reduceat(rows[7], at), np.where(known, least, 0), known]
+        held = [r[-1:] for r in runs]
+        if len(at) > 1:
+            yield _report([r[:-1] for r in runs])
+    if held is not None:
+        yield _report(held)
+
+
+PASSAGE = "id long, own long, node long, start long, chars long, words long, stretches long, first_id long"
+
+
+def _report(runs) -> pa.RecordBatch:
+    own, node, none, start, end, word, end_word, n, first, known = runs
+    columns = [pa.array(own, mask=none.astype(bool)), pa.array(own), pa.array(node), pa.array(start), pa.array(end - start), pa.array(end_word - word), pa.array(n), pa.array(first, mask=~known.astype(bool))]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PASSAGE.split(", ")])
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """id, tag, start and chars (code points), words, repeated stretches in it of every repeated passage, and the
-    smallest id of a document with one of these.
+    """id, start and chars (code points), words, repeated stretches in it of every repeated passage, and the
+    smallest id of a document with one of these; own and node tell its document (see identity).
 
-    The smallest id of a digest comes from a partial aggregate, so a stretch that very many documents share reaches one
-    task as one row from each. Only digests of several documents are kept and written; joined to the stretches, one row
+    Digests of several documents come from a partial aggregate, so a stretch that very many documents share reaches one
+    task as one row from each. They are written and joined to the stretches; one row
     meets a hot one, and a join of written and scanned rows is one that adaptive execution can split."""
-    found = stretches(docs, key, text, min_words)
-    shared = found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
-    repeated = found.join(settle(shared, "shared"), "digest", "left").withColumn("first", F.coalesce("first", "id"))
-    repeated = repeated.where((F.col("first") < F.col("id")) | (F.col("size").bitwiseAND(F.lit(1)) == 1))
+    bounded_batches(docs.sparkSession)
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), *[c.alias(n) for n, c in identity(key, text).items()], F.col(text).alias("text"))
+    digest, by = ["digest", "second"], "digest long, second long"
+    slim = rows.select("id", "node", "text").mapInArrow(_emit(min_words, False), f"id long, node long, {by}")
+    several = slim.groupBy(*digest).agg(F.min("node").alias("a"), F.max("node").alias("b"), F.min("id").alias("first")).where("a < b")
+    shared = settle(several.select(*digest, "first"), "shared")
+    full = rows.mapInArrow(_emit(min_words, True), f"id long, own long, node long, {by}, place long, size long")
+    met = full.join(shared.withColumn("met", F.lit(True)), digest, "left").withColumn("met", F.coalesce("met", F.lit(False)))
+    later = (F.col("size").bitwiseAND(F.lit(1)) == 1) | (F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first"))))
+    tied = F.col("met") & F.col("id").eqNullSafe(F.col("first"))
+    # Ids (and none) of several texts: there the order within the smallest id matters too.
+    odd = rows.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select(F.col("id").alias("odd"))
+    if odd.limit(1).count():
+        met = settle(met.where(later | tied), "stretches")
+        holder = met.where(tied).join(settle(odd, "odd"), F.col("id").eqNullSafe(F.col("odd")), "left_semi").groupBy(*digest).agg(F.min("node").alias("holder"))
+        repeated = met.join(settle(holder, "holders"), digest, "left").where(later | (tied & (F.col("node") > F.col("holder"))))
+    else:
+        repeated = met.where(later)
     # Rows with equal id and text give each stretch as often; one of each is enough.
-    runs = repeated.select("id", "place", "size", "word", "first").repartition("id").dropDuplicates(["id", "place"]).sortWithinPartitions("id", F.col("place").bitwiseAND(F.lit(0xFFFF)), "place")
-    return runs.mapInArrow(_runs, "id long, tag long, start long, chars long, words long, stretches long, first_id long")
+    once = repeated.groupBy("own", "node", F.col("id").isNull().alias("none"), "place", "size").agg(F.min(F.coalesce("first", "id")).alias("first"))
+    return once.repartition("own", "node").sortWithinPartitions("own", "node", "none", "place").mapInArrow(_passages, PASSAGE)
 
 
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with every repeated passage cut from its text; rows, order of columns and other values stay."""
     from pyspark.sql.functions import arrow_udf
 
-    from .textkit import string_buffers
-
-    @arrow_udf("long")
-    def tag(texts: pa.Array) -> pa.Array:
-        n = len(texts)
-        out = np.zeros(n, np.int64)
-        for i, j, raw, at in blocks(texts):
-            if len(raw):
-                out[i:j] = (span_hash(prefix_hash(raw), at[:-1], at[1:]) & np.uint64(0xFFFF)).astype(np.int64)
-        return pa.array(out)
-
     @arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        raw, at = string_buffers(texts)
-        data, known = raw.tobytes(), texts.is_null().to_pylist()
         out = []
-        for k, found in enumerate(spans.to_pylist()):
-            whole = data[at[k] : at[k + 1]].decode("utf-8", "replace")
-            if found:
-                parts, upto = [], 0
-                for s in sorted(found, key=lambda s: s["start"]):
-                    parts.append(whole[upto : s["start"]])
-                    upto = s["start"] + s["chars"]
-                whole = "".join([*parts, whole[upto:]])
-            out.append(None if known[k] else whole)
+        for whole, found in zip(texts, spans, strict=True):
+            if not found.is_valid:
+                out.append(None)
+                continue
+            whole, parts, upto = whole.as_py(), [], 0
+            for s in sorted(found.as_py(), key=lambda s: s["start"]):
+                parts.append(whole[upto : s["start"]])
+                upto = s["start"] + s["chars"]
+            out.append("".join([*parts, whole[upto:]]))
         return pa.array(out, pa.string())
 
-    spans = repeated_passages(docs, key, text, min_words).groupBy("id", "tag").agg(F.collect_list(F.struct("start", "chars")).alias("__rw_spans")).withColumnsRenamed({"id": "__rw_id", "tag": "__rw_tag"})
-    ready = docs.withColumn("__rw_own", F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID))).withColumn("__rw_tagged", tag(F.col(text)))
-    joined = ready.join(spans, (F.col("__rw_own") == F.col("__rw_id")) & (F.col("__rw_tagged") == F.col("__rw_tag")), "left")
-    return joined.withColumn(text, cut(F.col(text), F.col("__rw_spans"))).select(*docs.columns)
+    found = repeated_passages(docs, key, text, min_words)
+    spans = found.groupBy(F.col("own").alias("__rw_own"), F.col("node").alias("__rw_node")).agg(F.collect_list(F.struct("start", "chars")).alias("__rw_spans"))
+    ready = docs.withColumns({f"__rw_{n}": c for n, c in identity(key, text).items()})
+    joined = ready.join(spans, ["__rw_own", "__rw_node"], "left")
+    touched = F.col("__rw_spans").isNotNull()  # other texts don't go through Python
+    return joined.withColumn(text, F.when(touched, cut(F.when(touched, F.col(text)), F.col("__rw_spans"))).otherwise(F.col(text))).select(*docs.columns)

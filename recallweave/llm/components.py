@@ -21,17 +21,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, component (the smallest id reachable) of every node of the links (a, b) but the smallest ones.
-    Each round is written to the shared folder; a node with very many links meets one row of its minimum,
+    """id, component (the smallest id reachable) of every node of the links (a, b) but the smallest ones. The links
+    should be a written table: they are counted first.
+    Each round is written to the shared folder, in files that follow the number of links; a node with very many links meets one row of its minimum,
     so adaptive execution can split it. Self-links and repeated links don't matter."""
     oriented = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    edges = settle(oriented, "links")
+    edges = settle(oriented, "links", links.count())
     sign = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first()
         if now == sign or not now[0]:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
         sign = now
-        following = settle(_small_star(_large_star(edges)), "links")
+        following = settle(_small_star(_large_star(edges)), "links", now[0])
         forget(edges)
         edges = following

@@ -2,18 +2,22 @@
 
 Every distinct shingle set has a signature of `TREES` sequences of `DEPTH` minima: `TREES` sorted orders. Two
 sets are candidates where they share a prefix of `BASE` minima in some order; at a Jaccard likeness of
-0.85 a pair escapes all of them with a probability of about 1e-5, at 0.8 of 2e-4. Depth adapts by region: a prefix that more
-than `BLOCK` sets share is followed down to `DEPTH` minima, and what is crowded still is dealt into blocks.
-Within a block, neighbours in the sorted order are compared first; what they join needs no further
-comparison, and every remaining pair between components is compared, its sketch and size permitting, on
-its full sets. Pairs that a crowded prefix's cuts kept apart are compared in a second round: all sets outside
-the region's largest component against all of the region, in pairs of blocks. So no bound on a region
+0.85 a pair escapes all of them with a probability of about 1e-5, at 0.8 of 2e-4. Depth adapts by region: where more
+than `BLOCK` sets share a prefix, each set goes down to the shortest longer prefix that no more than `BLOCK` share; what is crowded at `DEPTH` minima still is dealt into blocks.
+Within a block the sets stand in the sorted order of its tree, and the lengths of the common prefixes of neighbours span a tree
+of regions. Candidates come from the longest common prefixes first, then from ever shorter ones: two sets are compared where their
+common prefix ends, unless they are joined already, and, sketch and size permitting, on their full sets.
+
+Pairs that depth or blocks kept apart in a crowded prefix are found exactly in a second round. If at most `BLOCK` sets stand
+outside the prefix's largest component, they meet all of it in pairs of blocks. If more do, as where a boilerplate
+is common to texts that aren't alike, linked sets must share one of their rarest shingles: the sets meet by these (n - ceil(0.85 n) + 1 of n
+at 0.85, by their number in such regions), so the boilerplate itself brings nobody together. So no bound on a region
 loses a link; the cuts only decide where it is found.
 
 Only links that join components leave a block, never all pairs of a group.
 
 Edge cases: a null or blank text has the empty set and is linked with nothing. Rows that share an id are one
-node. Rows with a null id take no part: their component is null and they are kept.
+node: each of their sets is compared, and the sets of an id are one component. Rows with a null id take no part: their component is null and they are kept.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import one_of_equal, settle
 from .components import components
 from .textkit import BLOCK_BYTES, U64, blocks, constants, groups, mix, shingle_hashes
 
@@ -45,7 +49,7 @@ def _distinct(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return values[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(offsets) - 1))]).astype(np.int64)
 
 
-SIGNATURE = "id long, n long, set_a long, set_b long, base array<long>, deep array<long>, sketch binary"
+SIGNATURE = "id long, written long, n long, set_a long, set_b long, base array<long>, sketch binary"
 
 
 def _sign(words_in_shingle: int):
@@ -58,7 +62,7 @@ def _sign(words_in_shingle: int):
                 starts = offsets[:-1][some]
                 least = np.zeros((j - i, TREES * DEPTH), np.uint32)
                 sums = np.zeros((j - i, 2), U64)
-                base, deep = np.zeros((j - i, TREES), U64), np.zeros((j - i, TREES), U64)
+                base = np.zeros((j - i, TREES), U64)
                 if len(some):
                     for k in range(TREES * DEPTH):
                         least[some, k] = np.minimum.reduceat((values ^ _FLIP[k]) * _TURN[k], starts) >> U64(32)
@@ -66,17 +70,14 @@ def _sign(words_in_shingle: int):
                         sums[some, k] = np.add.reduceat(mix(values ^ _FLIP[k]), starts)
                     for t in range(TREES):
                         key = np.full(len(some), t + 1, U64)
-                        for k in range(DEPTH):
+                        for k in range(BASE):
                             key = mix(key + least[some, t * DEPTH + k])
-                            if k == BASE - 1:
-                                base[some, t] = key
-                        deep[some, t] = key
-                upto = pa.array(np.arange(j - i + 1, dtype=np.int32) * TREES)
-                lists = [pa.ListArray.from_arrays(upto, pa.array(x.view(np.int64).reshape(-1))) for x in (base, deep)]
+                        base[some, t] = key
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * TREES), pa.array(base.view(np.int64).reshape(-1)))
                 sketch = (least & 0xFF).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], pa.array(size), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), *lists, pa.array([s.tobytes() for s in sketch], pa.binary())],
-                    names=["id", "n", "set_a", "set_b", "base", "deep", "sketch"],
+                    [batch.column(0)[i:j], batch.column(2)[i:j], pa.array(size), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), keys, pa.array([s.tobytes() for s in sketch], pa.binary())],
+                    names=["id", "written", "n", "set_a", "set_b", "base", "sketch"],
                 )
 
     return run
@@ -112,10 +113,21 @@ class _Block:
         # Pairs that share a block of an earlier order are compared there.
         return o[~((self.earlier[o] == self.earlier[i]) & (self.earlier[i] != 0)).any(axis=1)]
 
-    def order(self) -> np.ndarray:
-        """The sorted order of this tree, then the others."""
-        turn = max(self.tree, 0) * DEPTH
-        return np.lexsort(np.roll(self.sketch, -turn, axis=1).T[::-1])
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(a set, those after it in this tree's sorted order that its common prefix with first ends at this length), from
+        the longest prefixes to the shortest. Each pair comes once. In the second round the first tree's order serves."""
+        first = max(self.tree, 0) * DEPTH
+        order = np.lexsort(np.roll(self.sketch, -first, axis=1).T[::-1])
+        own = self.sketch[order, first : first + DEPTH]
+        common = np.cumprod(own[1:] == own[:-1], axis=1).sum(axis=1)  # the longest common prefix of neighbours
+        place = np.arange(len(order))
+        inner = place + 1  # where the region of the next longer prefix ends
+        for length in range(DEPTH, -1, -1):
+            ends = np.append(np.flatnonzero(common < length) + 1, len(order))
+            outer = ends[np.searchsorted(ends, place, "right")]
+            for i in np.flatnonzero(outer > inner):
+                yield order[i], order[inner[i] : outer[i]]
+            inner = outer
 
 
 def _take_part(percent: int):
@@ -171,61 +183,94 @@ def _link(words_in_shingle: int, percent: int):
                         links.append((block.id[i], block.id[j]))  # noqa: B023
                         block.label[block.label == block.label[j]] = block.label[i]  # noqa: B023
 
-            order = block.order()
-            for i, j in zip(order[:-1], order[1:], strict=True):
-                compare(i, block.partners(i, np.array([j])))
-            for k, i in enumerate(order[:-1]):
-                compare(i, block.partners(i, order[k + 1 :]))
+            for i, others in block.candidates():
+                compare(i, block.partners(i, others))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
     return run
 
 
-BLOCK_ROW = "block long, tree int, id long, n long, label long, sketch binary, keys array<struct<tree:int,block:long>>"
+BLOCK_ROW = "block long, tree int, id long, n long, label long, sketch binary, keys array<struct<tree:int,block:long>>, rep long, written long"
 
 
 def _compare_blocks(rows: DataFrame, texts: DataFrame, words_in_shingle: int, percent: int) -> DataFrame:
     """Links (a, b) from rows of blocks. Texts are fetched only for the sets that have a partner."""
-    order = [c.split()[0] for c in ("block", "tree", "id", "n", "label", "sketch", "keys")]
+    order = [c.split()[0] for c in BLOCK_ROW.replace("tree:int,", "").split(", ")]
     able = settle(rows.select(*order).repartition("block").sortWithinPartitions("block").mapInArrow(_take_part(percent), BLOCK_ROW), "blocks")
-    ready = able.join(texts, "id").select(*order, "text").repartition("block").sortWithinPartitions("block")
+    ready = able.join(texts, ["rep", "written"]).select(*order, "text").repartition("block").sortWithinPartitions("block")
     return settle(ready.mapInArrow(_link(words_in_shingle, percent), "a long, b long"), "near")
 
 
+def _nodes(sets: DataFrame, n: int) -> tuple[DataFrame, bool]:
+    """set_a, set_b, rep, node: the node of a set is its smallest id, and where ids are shared by several sets a hash, with a seed that
+    makes all nodes distinct; and whether there are such ids."""
+    odd = sets.groupBy("rep").count().where("count > 1").select("rep")
+    if not odd.limit(1).count():
+        return sets.withColumn("node", F.col("rep")), False
+    odd = settle(odd.withColumn("shared", F.lit(True)), "shared")
+    for seed in range(100):
+        named = settle(sets.join(odd, "rep", "left").select("set_a", "set_b", "rep", F.when(F.col("shared"), F.xxhash64("rep", "set_a", "set_b", F.lit(seed))).otherwise(F.col("rep")).alias("node")), "nodes", n)
+        if not named.groupBy("node").count().where("count > 1").limit(1).count():
+            return named, True
+    raise ValueError("no seed gives distinct nodes")
+
+
+def _regions(leaders: DataFrame, block: int) -> DataFrame:
+    """node, tree, base, over, block of every set that shares a prefix with another: its region at the depth that fits."""
+    over = F.ceil(F.greatest(F.col("c") / block, F.col("s") / BLOCK_SHINGLES)).cast("int")
+    count = lambda df, by: df.groupBy(by).agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    slim = leaders.select("node", "n", "sketch", F.posexplode("base").alias("tree", "base"))
+    slim = slim.select("node", "n", "tree", "base", F.substring("sketch", F.col("tree") * DEPTH + BASE + 1, F.lit(DEPTH - BASE)).alias("rest"))
+    near = settle(slim.join(count(slim, "base").where("c > 1"), "base").select("node", "n", "tree", "base", "rest", over.alias("over")), "regions")
+    prefix = lambda depth: F.xxhash64("base", F.substring("rest", F.lit(1), depth))
+    crowded = near.where("over > 1")
+    longer = crowded.select("node", "n", "tree", "base", "rest", F.explode(F.sequence(F.lit(1), F.lit(DEPTH - BASE))).alias("depth")).withColumn("prefix", prefix(F.col("depth")))
+    sizes = settle(count(longer, "prefix").select("prefix", over.alias("parts")), "prefixes")
+    fit = longer.join(sizes, "prefix").groupBy("node", "tree", "base", "rest").agg(F.min(F.when(F.col("parts") == 1, F.col("depth"))).alias("depth"), F.max(F.when(F.col("depth") == DEPTH - BASE, F.col("parts"))).alias("parts"))
+    dealt = F.xxhash64(prefix(F.lit(DEPTH - BASE)), F.pmod(F.xxhash64("node"), F.col("parts")))
+    deep = fit.select("node", "tree", "base", F.lit(2).alias("over"), F.when(F.col("depth").isNotNull(), prefix(F.col("depth"))).otherwise(dealt).alias("block"))
+    return near.where("over = 1").select("node", "tree", "base", "over", F.col("base").alias("block")).unionByName(deep)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words_in_shingle: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs: linked are documents whose sets of word
     shingles have 100 * intersection >= percent * union (percent should be 80 or more: the forest's depth
     is chosen for that)."""
-    signed = settle(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_sign(words_in_shingle), SIGNATURE), "signatures")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("written"))
+    signed = settle(rows.mapInArrow(_sign(words_in_shingle), SIGNATURE), "signatures")
     usable = signed.where("n > 0 and id is not null")
+    n = signed.count()
     # Written, not reused: a join straight above the aggregate couldn't split a set that very many documents share.
-    first = settle(usable.groupBy("set_a", "set_b").agg(F.min("id").alias("rep")), "sets")
-    members = settle(usable.select("id", "n", "set_a", "set_b").join(first, ["set_a", "set_b"]).select("id", "n", "rep"), "members")
-    leaders = usable.join(first.select(F.col("rep").alias("id"), "set_a", "set_b"), ["id", "set_a", "set_b"]).dropDuplicates(["id", "set_a", "set_b"])
-
-    slim = leaders.select("id", "n", F.posexplode(F.arrays_zip("base", "deep")).alias("tree", "key")).select("id", "n", "tree", F.col("key.base").alias("base"), F.col("key.deep").alias("deep"))
-    crowd = slim.groupBy("base").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where("c > 1")
-    over = F.ceil(F.greatest(F.col("c") / block, F.col("s") / BLOCK_SHINGLES)).cast("int")
-    near = settle(slim.join(crowd, "base").select("id", "n", "tree", "base", "deep", over.alias("over")), "regions")
-    parts = near.where("over > 1").groupBy("deep").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("deep", over.alias("parts"))
-    fine = near.where("over = 1").select("id", "tree", F.col("base").alias("block"))
-    dealt = near.where("over > 1").join(parts, "deep").select("id", "tree", F.xxhash64("deep", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
-    placed = fine.unionByName(dealt)
-    homes = placed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("tree", "block"))).alias("keys"))  # at most TREES each
-    payload = leaders.select("id", "n", "sketch").dropDuplicates(["id"]).join(homes, "id")
-    rows = payload.select("id", "n", F.col("id").alias("label"), "sketch", "keys", F.explode("keys").alias("k")).select("id", "n", "label", "sketch", "keys", "k.tree", "k.block")
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    links = _compare_blocks(rows, texts, words_in_shingle, percent)
+    sets = settle(usable.groupBy("set_a", "set_b").agg(F.min("id").alias("rep")), "sets", n)
+    sets, shared = _nodes(sets, n)
+    members = settle(usable.select("id", "set_a", "set_b").join(sets, ["set_a", "set_b"]).select("id", "node"), "members", n)
+    # One row for each set; of the texts that have it under its smallest id, one stands for it.
+    leaders = usable.join(sets.withColumnRenamed("rep", "id"), ["id", "set_a", "set_b"]).dropDuplicates(["node"])
+    leaders = settle(leaders.select("node", F.col("id").alias("rep"), "written", "n", "base", "sketch"), "leaders", n)
+    texts = one_of_equal(rows.where("id is not null").select(F.col("id").alias("rep"), "written", "text"), "rep", "written", "text")
+
+    placed = settle(_regions(leaders, block), "placed")
+    homes = placed.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("tree", "block"))).alias("keys"))  # at most TREES each
+    payload = leaders.select("node", "n", "sketch", "rep", "written").join(homes, "node")
+    met = payload.select(F.col("node").alias("id"), "n", F.col("node").alias("label"), "sketch", "keys", "rep", "written", F.explode("keys").alias("k")).select("*", "k.tree", "k.block")
+    links = _compare_blocks(met, texts, words_in_shingle, percent)
+    if shared:  # the sets of an id are one node
+        least = members.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("id", "a")
+        links = settle(links.unionByName(members.join(settle(least, "least"), "id").select("a", F.col("node").alias("b"))), "near")
     found = components(links)
-
-    if near.where("over > 1").limit(1).count():
-        links = links.unionByName(_across_blocks(near.where("over > 1"), leaders, found, texts, words_in_shingle, percent, block))
+    crowded = placed.where("over > 1")
+    if crowded.limit(1).count():
+        links = settle(links.unionByName(_second_round(crowded, leaders, found, texts, words_in_shingle, percent, block)), "near")
         found = components(links)
-    rep = members.join(found.withColumnsRenamed({"id": "rep"}), "rep", "left").select("id", F.coalesce("component", "rep").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
+    rep = members.join(found.withColumnRenamed("id", "node"), "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    if shared:  # nodes are not all ids
+        rep = settle(rep, "found", n)
+        rep = rep.join(settle(rep.groupBy("component").agg(F.min("id").alias("least")), "least", n), "component").select("id", F.col("least").alias("component"))
+    rep = rep.groupBy("id").agg(F.min("component").alias("component"))
     out = signed.select("id", "n").join(rep, "id", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -241,26 +286,55 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
     return left.join(again, key, "left_anti").unionByName(chosen).select(*docs.columns)
 
 
-def _across_blocks(regions: DataFrame, leaders: DataFrame, found: DataFrame, texts: DataFrame, words_in_shingle: int, percent: int, block: int) -> DataFrame:
-    """Links between sets of a crowded prefix that were dealt into different blocks: those outside its largest
-    component against all others, in pairs of half blocks."""
+def _shape(rows: DataFrame) -> DataFrame:
+    """group, main (its largest component), m (sets in it), outside (all others), from rows of group, node, label."""
+    sizes = rows.groupBy("group", "label").agg(F.count("*").alias("c"))
+    largest = F.max_by("label", F.struct("c", "label"))
+    return sizes.groupBy("group").agg(largest.alias("main"), F.max("c").alias("m"), F.sum("c").alias("all")).where("all > m").select("group", "main", "m", (F.col("all") - F.col("m")).alias("outside"))
+
+
+def _pairs_of_blocks(rows: DataFrame, shape: DataFrame, block: int) -> DataFrame:
+    """node, label, block: those outside the largest component of a group meet all of it, in pairs of half blocks."""
     half = max(1, block // 2)
-    rows = regions.join(found, "id", "left").select("id", "base", F.coalesce("component", "id").alias("label"))
-    sizes = rows.groupBy("base", "label").agg(F.count("*").alias("c"))
-    shape = sizes.groupBy("base").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("m"), F.sum("c").alias("all"))
-    shape = shape.where("all > m").select("base", "main", F.ceil(F.col("m") / half).cast("int").alias("q"), F.ceil((F.col("all") - F.col("m")) / half).cast("int").alias("p"))
-    dealt = rows.join(shape, "base").withColumn("outside", F.col("label") != F.col("main"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.when(F.col("outside"), F.col("p")).otherwise(F.col("q"))).cast("int"))
-    pair = lambda kind, i, j: F.xxhash64("base", F.lit(kind), i, j)
+    shape = shape.select("group", "main", F.ceil(F.col("m") / half).cast("int").alias("q"), F.ceil(F.col("outside") / half).cast("int").alias("p"))
+    dealt = rows.join(shape, "group").withColumn("out", F.col("label") != F.col("main"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.when(F.col("out"), F.col("p")).otherwise(F.col("q"))).cast("int"))
+    pair = lambda kind, i, j: F.xxhash64("group", F.lit(kind), i, j)
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    blocks_of = F.when(
-        F.col("outside"),
-        F.array_union(
-            F.transform(upto(F.col("p")), lambda j: pair("out", F.least(F.col("own"), j), F.greatest(F.col("own"), j))),
-            F.transform(upto(F.col("q")), lambda j: pair("main", F.col("own"), j)),
-        ),
-    ).otherwise(F.transform(upto(F.col("p")), lambda j: pair("main", j, F.col("own"))))
-    spread = dealt.select("id", "label", F.explode(blocks_of).alias("block"))
-    payload = leaders.select("id", "n", "sketch").dropDuplicates(["id"])
+    others = F.transform(upto(F.col("p")), lambda j: pair("out", F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
+    blocks_of = F.when(F.col("out"), F.array_union(others, F.transform(upto(F.col("q")), lambda j: pair("main", F.col("own"), j)))).otherwise(F.transform(upto(F.col("p")), lambda j: pair("main", j, F.col("own"))))
+    return dealt.select("node", "label", F.explode(blocks_of).alias("block"))
+
+
+def _shingles(words_in_shingle: int):
+    """node, label, n, group: every distinct shingle of a set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, raw, at in blocks(batch.column(3), BLOCK_BYTES // 2):
+                values, offsets = _distinct(*shingle_hashes(raw, at, words_in_shingle))
+                own = pa.array(np.repeat(np.arange(j - i), np.diff(offsets)))
+                yield pa.RecordBatch.from_arrays([*[batch.column(k)[i:j].take(own) for k in range(3)], pa.array(values.view(np.int64))], names=["node", "label", "n", "group"])
+
+    return run
+
+
+def _second_round(crowded: DataFrame, leaders: DataFrame, found: DataFrame, texts: DataFrame, words_in_shingle: int, percent: int, block: int) -> DataFrame:
+    """Links between sets of a crowded prefix that the first round didn't compare."""
+    rows = crowded.join(found.withColumnRenamed("id", "node"), "node", "left").select("node", F.col("base").alias("group"), F.coalesce("component", "node").alias("label"))
+    shape = settle(_shape(rows), "shapes")
+    met = _pairs_of_blocks(rows, shape.where(F.col("outside") <= block), block)
+    wide = shape.where(F.col("outside") > block).select("group")
+    if wide.limit(1).count():
+        apart = rows.join(wide, "group", "left_semi").select("node", "label").distinct().join(leaders.select("node", "n", "rep", "written"), "node").join(texts, ["rep", "written"]).select("node", "label", "n", "text")
+        postings = settle(apart.mapInArrow(_shingles(words_in_shingle), "node long, label long, n long, group long"), "postings")
+        often = settle(postings.groupBy("group").agg(F.count("*").alias("often"), F.min("label").alias("a"), F.max("label").alias("b")), "often")
+        # Linked sets share one of the rarest n - ceil(percent n) + 1 shingles of each, in any one order of all shingles.
+        rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "group"))
+        least = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+        rarest = settle(postings.join(often, "group").withColumn("rank", rank).where((F.col("rank") <= least) & (F.col("a") < F.col("b"))).select("node", "label", "group"), "rarest")
+        met = met.unionByName(_pairs_of_blocks(rarest, settle(_shape(rarest), "shapes"), block))
     none = F.array().cast("array<struct<tree:int,block:long>>")
-    return _compare_blocks(spread.join(payload, "id").select("block", F.lit(-1).alias("tree"), "id", "n", "label", "sketch", none.alias("keys")), texts, words_in_shingle, percent)
+    payload = leaders.select("node", "n", "sketch", "rep", "written")
+    ready = met.join(payload, "node").select("block", F.lit(-1).alias("tree"), F.col("node").alias("id"), "n", "label", "sketch", none.alias("keys"), "rep", "written")
+    return _compare_blocks(ready, texts, words_in_shingle, percent)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import unit_hash
-from .textkit import LOWER, blocks, prefix_hash, span_hash, words
+from .textkit import LOWER, blocks, span_hash, words
 
 #: Kinds of bytes: upper, lower, digit, blank, line feed, stop marks, "!" or "?", bars, other ASCII marks, beyond ASCII.
 _KIND = np.full(256, 9, np.uint8)
@@ -54,10 +54,9 @@ def block_statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     kinds = np.bincount(doc * 10 + _KIND[raw], minlength=n * 10).reshape(n, 10).astype(float)
     start, end, owner = words(raw, at)
     low = LOWER[raw]
-    run = prefix_hash(low)
     count = np.bincount(owner, minlength=n)
     length = end - start
-    distinct, most = _repeats(owner, span_hash(run, start, end), n)
+    distinct, most = _repeats(owner, span_hash(low, start, end), n)
     upper = np.concatenate([[0], np.cumsum(_KIND[raw] == 0)])
     letters = np.concatenate([[0], np.cumsum((_KIND[raw] <= 1) | (_KIND[raw] == 9))])
     marks = np.concatenate([[0], np.cumsum((_KIND[raw] >= 6) & (_KIND[raw] <= 8))])
@@ -67,7 +66,7 @@ def block_statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     by = lambda x: np.bincount(owner, weights=x, minlength=n)
     mean = _ratio(by(length), count)
     spread = np.sqrt(np.maximum(_ratio(by(length.astype(float) ** 2), count) - mean**2, 0))
-    pair = span_hash(run, start[:-1], end[1:]) if len(start) > 1 else np.zeros(0, np.uint64)
+    pair = span_hash(low, start[:-1], end[1:]) if len(start) > 1 else np.zeros(0, np.uint64)
     same = owner[1:] == owner[:-1]
     pairs_distinct, _ = _repeats(owner[1:][same], pair[same], n)
     feed = np.flatnonzero(raw == 0x0A)
@@ -77,7 +76,7 @@ def block_statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     line_start, line_end = line_start[solid], line_end[solid]
     line_doc = np.searchsorted(at, line_start, "right") - 1
     lines = np.bincount(line_doc, minlength=n)
-    lines_distinct, _ = _repeats(line_doc, span_hash(run, line_start, line_end), n)
+    lines_distinct, _ = _repeats(line_doc, span_hash(low, line_start, line_end), n)
     total = np.maximum(size, 1)[:, None]
     return np.column_stack(
         [

@@ -7,6 +7,7 @@ its own), so a worker's memory follows the longest text and not the batch size.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +26,11 @@ LOWER[0x41:0x5B] += 32
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> U64(32))
-    x = x * U64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> U64(29))
-    x = x * U64(0xA0761D6478BD642F)
-    return x ^ (x >> U64(32))
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(29)
+    x *= U64(0xA0761D6478BD642F)
+    x ^= x >> U64(32)
+    return x
 
 
 def constants(n: int, seed: int) -> np.ndarray:
@@ -38,20 +40,19 @@ def constants(n: int, seed: int) -> np.ndarray:
 
 
 BYTE = constants(256, 11)
-_STEP = 0xF1357AEA2E62A9C5
-_STEP_INVERSE = pow(_STEP, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: Bases of the rolling sums: the hash of a span, and a second one where 64 bits are too few.
+_STEPS = (0xF1357AEA2E62A9C5, 0x9FB21C651E98DF25)
+#: Bytes that are hashed at a time; so tables and temporary arrays don't grow with a text.
+WINDOW = 1 << 19
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept and grown by doubling."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.ones(1, U64)
-        while len(have) < n:
-            have = np.concatenate([have, have * U64(pow(base, len(have), 1 << 64))])
-        _powers[base] = have
-    return have[:n]
+@functools.cache
+def powers(base: int) -> np.ndarray:
+    """base**0 .. base**WINDOW modulo 2**64."""
+    have = np.ones(1, U64)
+    while len(have) <= WINDOW:
+        have = np.concatenate([have, have * U64(pow(base, len(have), 1 << 64))])
+    return have[: WINDOW + 1]
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,17 +105,25 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return start, end, np.searchsorted(at, start, "right") - 1
 
 
-def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """Running sums from which span_hash() reads the hash of any span of the block."""
-    run = np.zeros(len(raw) + 1, U64)
-    np.cumsum(BYTE[raw] * powers(_STEP, len(raw)), out=run[1:])
-    return run
-
-
-def span_hash(run: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans, equal for equal bytes wherever they stand."""
-    back = powers(_STEP_INVERSE, len(run))
-    return mix((run[end] - run[start]) * back[start] + (end - start).astype(U64))
+def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, way: int = 0) -> np.ndarray:
+    """64-bit hashes of spans of a block, equal for equal bytes wherever they stand. Starts and ends must both
+    ascend; spans may overlap. Two ways give independent hashes. Bytes are read a window at a time; a span that goes
+    on over an edge carries its sum along."""
+    step, out = _STEPS[way], np.zeros(len(start), U64)
+    up, down = powers(step), powers(pow(step, -1, 1 << 64))
+    for a in range(0, len(raw), WINDOW):
+        b = min(a + WINDOW, len(raw))
+        i, j = int(np.searchsorted(end, a, "right")), int(np.searchsorted(start, b, "left"))
+        if i >= j:
+            continue
+        run = np.zeros(b - a + 1, U64)
+        np.cumsum(BYTE[raw[a:b]] * up[: b - a], out=run[1:])
+        s, e = np.maximum(start[i:j], a) - a, np.minimum(end[i:j], b) - a
+        part = (run[e] - run[s]) * down[s]
+        for k in range(int(np.searchsorted(start[i:j], a, "left"))):
+            part[k] = int(part[k]) * pow(step, a - int(start[i + k]), 1 << 64) & 0xFFFFFFFFFFFFFFFF
+        out[i:j] += part
+    return mix(out + (end - start).astype(U64) * U64(2 * way + 1))
 
 
 _SHINGLE = constants(16, 23)
@@ -126,8 +135,14 @@ def shingle_hashes(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarr
     A document with fewer words than `size` has one shingle, its whole sequence; without words, none."""
     low = LOWER[raw]
     start, end, doc = words(low, at)
-    word = span_hash(prefix_hash(low), start, end)
+    word = span_hash(low, start, end)
     n = len(at) - 1
+    if n == 1 and len(word) >= size:  # a long text is a block of its own: no arrays but the hashes
+        del low, start, end, doc
+        out = np.zeros(len(word) - size + 1, U64)
+        for k in range(size):
+            out += word[k : k + len(out)] * _SHINGLE[k]
+        return mix(out + U64(size)), np.array([0, len(out)])
     count = np.bincount(doc, minlength=n)
     first = np.cumsum(count) - count
     out = np.zeros(max(0, len(word) - size + 1), U64)
