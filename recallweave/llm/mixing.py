@@ -1,14 +1,16 @@
 """Mixing sources to target weights by Poisson replication.
 
 A document's number of copies is drawn by inverting the Poisson distribution with its source's mean
-repetition rate at a uniform number hashed from seed and key; so it depends on nothing but these, whatever
-the partitioning, and a lost task draws the same again. The copies are shuffled globally by a hash.
+repetition rate at a uniform number hashed from seed, key, text and, among equal rows, an ordinal; so it depends on nothing but these, whatever
+the partitioning, and a lost task draws the same again. The copies are shuffled globally by a hash of the same and the copy's number, so
+neither a key nor a row that is repeated very often meets in one partition.
 
 A source's rate is (total mass) * (its target weight) / (its mass); mass is characters. Weights are given by
 source, or else follow mass ** `exponent` (temperature sampling).
 
 Edge cases: sources may be null (a source of their own); a source whose texts are all empty has rate 1; a
-source without a weight, where weights are given, has rate 0. Rows with equal keys get equal counts.
+source without a weight, where weights are given, has rate 0. Rows that share a key (or have none) draw apart, and so do equal rows.
+Where docs has a column named as one of the new ones, the new one's name gets underscores at its end until it is free.
 """
 
 from __future__ import annotations
@@ -51,23 +53,40 @@ def poisson_table(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda a: a["c"])
 
 
+def _ordinals(docs: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """docs and the ordinal of each row among equal rows. Only rows whose key and text repeat are counted, and reduced before they are shuffled."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = docs.withColumn("__rw_hash", F.xxhash64(key, text))
+    again = hashed.groupBy("__rw_hash").count().where("count > 1").select("__rw_hash")
+    if not again.limit(1).count():
+        return docs.withColumn(name, F.lit(1).cast("long"))
+    again = settle(again, "again")
+    single = hashed.join(again, "__rw_hash", "left_anti").select(*columns, F.lit(1).cast("long").alias(name))
+    multiple = hashed.join(again, "__rw_hash", "left_semi").groupBy(*columns).agg(F.count("*").alias("__rw_n"))
+    return single.unionByName(multiple.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__rw_n"))).alias(name)))
+
+
 def replicate(
     docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source", copy: str = "copy", copies: str = "copies"
 ) -> DataFrame:
     """Every column of docs, `copy` (from 1) and `copies`, one row for each drawn copy, in a shuffled order.
     The table of rates has a row for each source; it is written first, so its size is known."""
+    while copy in docs.columns:
+        copy += "_"
+    while copies in [*docs.columns, copy]:
+        copies += "_"
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
     table = rates(docs, weights, exponent, text, source).select(F.col("source").alias("__rw_source"), parts.alias("__rw_parts"), poisson_table(F.col("rate") / parts).alias("__rw_table"))
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("__rw_parts")),
-        F.lit(0),
-        lambda n, i: n + F.size(F.filter("__rw_table", lambda c: c <= uniform(str(seed), F.col(key), i))),
-    )
     table = settle(table, "rates")
     # A checked size: beyond it Spark joins by source, and adaptive execution splits a hot one.
     small = table.count() <= BROADCAST_SOURCES
-    joined = docs.join(F.broadcast(table) if small else table, F.col(source).eqNullSafe(F.col("__rw_source")))
-    counted = joined.select(*[docs[c] for c in docs.columns], drawn.alias(copies)).where(F.col(copies) > 0)
-    spread = counted.select("*", F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy))
-    order = F.md5(F.concat_ws("|", F.lit(f"{seed} order"), F.col(key).cast("string"), F.col(copy).cast("string")))
-    return spread.withColumn("__rw_order", order).repartition("__rw_order").sortWithinPartitions("__rw_order").drop("__rw_order")
+    own = _ordinals(docs, key, text, "__rw_ordinal").withColumn("__rw_text", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    joined = own.join(F.broadcast(table) if small else table, F.col(source).eqNullSafe(F.col("__rw_source")))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("__rw_parts")), lambda i: uniform(str(seed), F.col(key), F.col("__rw_text"), F.col("__rw_ordinal"), i))
+    drawn = F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter("__rw_table", lambda c: c <= u)))
+    counted = joined.select(*columns, "__rw_text", "__rw_ordinal", drawn.alias("__rw_copies")).where("__rw_copies > 0")
+    spread = counted.select("*", F.explode(F.sequence(F.lit(1), F.col("__rw_copies"))).alias("__rw_copy"))
+    order = F.md5(F.concat_ws("|", F.lit(f"{seed} order"), F.col(key).cast("string"), "__rw_text", F.col("__rw_ordinal").cast("string"), F.col("__rw_copy").cast("string")))
+    mixed = spread.withColumn("__rw_order", order).repartition("__rw_order").sortWithinPartitions("__rw_order")
+    return mixed.select(*columns, F.col("__rw_copy").alias(copy), F.col("__rw_copies").alias(copies))

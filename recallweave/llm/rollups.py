@@ -4,7 +4,9 @@ A rollup keeps additive totals by source, language and tokenizer version. It cha
 of signed rows: an insert counts +1, a delete -1, and a revised count is a delete of the old and an insert
 of the new. A batch is aggregated, written aside and renamed into place in one step under its id; an id that
 is there already, or that a snapshot has absorbed, is not applied again, so a batch can be retried after
-any failure. Totals are the newest snapshot and the batches after it.
+any failure. Totals are the newest snapshot and the batches after it. Commits and compactions may run at the same time: each sums the
+folders that it listed, and a rename decides which of two writers was first. A reader whose batches a compaction has just
+removed fails on a missing file and asks again.
 
 Edge cases: null sources, languages and tokenizers are groups of their own; a null count is 0; groups
 whose totals are all zero have no row; an empty batch commits its id.
@@ -12,6 +14,7 @@ whose totals are all zero have no row; an empty batch commits its id.
 
 from __future__ import annotations
 
+import uuid
 from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,31 +70,43 @@ class TokenRollup:
     def batches(self) -> list[str]:
         """Ids of all batches that count, those in the snapshot included."""
         base = self._base()
-        absorbed = [r[0] for r in self.spark.read.parquet(f"{base}/applied").collect()] if base else []
+        absorbed = [r[0] for r in self._applied(base).collect()] if base else []
         return sorted({unquote(n) for n in self._names("batches")} | set(absorbed))
 
     def _base(self) -> str | None:
         names = self._names("bases")
         return f"{self.path}/bases/{names[-1]}" if names else None
 
+    def _applied(self, base: str) -> DataFrame:
+        return self.spark.read.schema("id string").parquet(f"{base}/applied")
+
+    def _pending(self, base: str | None) -> list[str]:
+        """Folders of the batches that are not in that snapshot; as many as came since it was made."""
+        names = self._names("batches")
+        if not base or not names:
+            return names
+        known = {r[0] for r in self._applied(base).where(F.col("id").isin([unquote(n) for n in names])).collect()}
+        return [n for n in names if unquote(n) not in known]
+
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply signed changes (source, lang, tokenizer, sign, tokens, chars) once; False if the id counts already."""
-        if batch_id in self.batches():
+        base = self._base()
+        if quote(batch_id, safe="") in self._names("batches") or base and self._applied(base).where(F.col("id") == batch_id).limit(1).count():
             return False
         signed = [F.sum(F.col("sign") * v).cast("long").alias(n) for n, v in (("docs", F.lit(1)), ("tokens", F.coalesce("tokens", F.lit(0))), ("chars", F.coalesce("chars", F.lit(0))))]
-        import uuid
-
         aside = f"{self.path}/aside-{uuid.uuid4().hex}"
         changes.groupBy(*KEYS).agg(*signed).write.parquet(aside)
         return self._place(aside, "batches", quote(batch_id, safe=""))
 
     def totals(self) -> DataFrame:
+        """source, lang, tokenizer, docs, tokens, chars as of now: of the newest snapshot and the batches after it."""
         base = self._base()
-        absorbed = {r[0] for r in self.spark.read.parquet(f"{base}/applied").collect()} if base else set()
-        paths = [f"{self.path}/batches/{n}" for n in self._names("batches") if unquote(n) not in absorbed]
+        return self._sum(base, self._pending(base))
+
+    def _sum(self, base: str | None, names: list[str]) -> DataFrame:
         parts = [self.spark.read.schema(SCHEMA).parquet(x) for x in ([f"{base}/totals"] if base else [])]
         # A quoted id may hold "%": names go to the reader as they are, one by one.
-        parts += [self.spark.read.schema(SCHEMA).parquet(p) for p in paths]
+        parts += [self.spark.read.schema(SCHEMA).parquet(f"{self.path}/batches/{n}") for n in names]
         if not parts:
             return self.spark.createDataFrame([], SCHEMA)
         rows = parts[0]
@@ -99,19 +114,23 @@ class TokenRollup:
             rows = rows.unionByName(p)
         return rows.groupBy(*KEYS).agg(*[F.sum(t).cast("long").alias(t) for t in TOTALS]).where("docs <> 0 or tokens <> 0 or chars <> 0")
 
-    def compact(self) -> None:
-        """Fold all batches into a new snapshot; their folders may go afterwards, their ids stay known."""
-        import uuid
-
-        applied, bases = self.batches(), self._names("bases")
+    def compact(self) -> bool:
+        """Fold the batches that are there now into a new snapshot; their folders go afterwards, their ids stay known.
+        The list of folders is fixed once, and exactly those are summed and named, so a batch that is committed meanwhile stays
+        a batch of its own. False if another compaction was first."""
+        bases = self._names("bases")
+        base = f"{self.path}/bases/{bases[-1]}" if bases else None
+        names = self._pending(base)
         aside = f"{self.path}/aside-{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{aside}/totals")
-        self.spark.createDataFrame([(a,) for a in applied], "id string").coalesce(1).write.parquet(f"{aside}/applied")
-        if self._place(aside, "bases", f"{len(bases):09d}"):
-            fs, folder = self._fs(f"{self.path}/batches")
-            for name in self._names("batches"):
-                if unquote(name) in applied:
-                    fs.delete(self._hadoop.Path(folder, name), True)
+        self._sum(base, names).write.parquet(f"{aside}/totals")
+        ids = self.spark.createDataFrame([(unquote(n),) for n in names], "id string")
+        (ids.unionByName(self._applied(base)) if base else ids).coalesce(1).write.parquet(f"{aside}/applied")
+        if not self._place(aside, "bases", f"{len(bases):09d}"):
+            return False
+        fs, folder = self._fs(f"{self.path}/batches")
+        for name in names:
+            fs.delete(self._hadoop.Path(folder, name), True)
+        return True
 
 
 def signed(rows: DataFrame, tokenizer: str, tokens: Column, sign: int) -> DataFrame:
