@@ -31,7 +31,11 @@ def test_operators(spark, rows, tmp_path):
     found = df.select("text", langid.predict(model, F.col("text")).alias("p")).collect()
     assert len(found) == n and all(r.p.lang == "und" and r.p.score == 0 for r in found if not any(c.isalpha() for c in r.text or ""))
     assert packing.pack(df, capacity=1000).where("piece = 0").count() == n
-    assert mixing.replicate(df, {"s": 1.0}, copy="c1", copies="c2").select(*df.columns).count() >= 0
+    mixed = mixing.replicate(df, {"s": 1.0})  # rate 11.6 or so for source s, 0 for others; its own columns stay
+    assert mixed.columns == [*df.columns, "copy_", "copies_"] and {r.source for r in mixed.collect()} <= {"s"}
+    drawn = mixed.groupBy("doc_id", "text", "copies_").agg(F.count("*").alias("n"), F.max("copy_").alias("last")).collect()
+    assert all(r.n % r.copies_ == 0 and r["last"] == r.copies_ for r in drawn)
+    assert {r["copy"] for r in mixed.collect()} <= {"extra"} and bool(drawn) == bool(rows)
     prints = fingerprint.edit_probe(df).collect()
     assert len(prints) == n
     near = neardup.near_duplicates(df).collect()
@@ -41,7 +45,19 @@ def test_operators(spark, rows, tmp_path):
     stats = df.select("doc_id", quality.statistics(F.col("text")).alias("stats"))
     scorer = quality.fit(stats, spark.createDataFrame([(1, 1), (5, 0), (6, None), (None, 1), (7, 0), (8, 1)], "doc_id long, quality int"))
     assert all(0 <= r.s <= 1 for r in stats.select(quality.score(scorer, F.col("stats")).alias("s")).collect())
-    assert rollups.corpus_history(df, str(tmp_path / "r"), lambda d, name: d).totals().count() >= 0
+    totals = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens, r.chars) for r in rollups.corpus_history(df, str(tmp_path / "r"), lambda d, name: d).totals().collect()}
+    want = {(None, "en", "words-1"): (1, 0, 0), ("s", "en", "words-1"): (4, 22 + len(LONG.split()), 92 + len(LONG)), ("r", "fr", "words-1"): (1, 1, 8)}
+    assert all(totals[k] == v for k, v in want.items()) if rows else not totals
+
+
+def test_copies_of_one_row_draw_apart(spark):
+    """Rows that share a key or have none, and equal rows, draw for themselves, whatever the partitioning."""
+    rows = [(None, "same text", "s")] * 3000 + [(5, "same text", "s")] * 3000 + [(6, f"text {i}", "s") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.replicate(docs, {"s": 1.0})
+    by = {r.doc_id: r for r in out.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copies").alias("kinds")).collect()}
+    assert set(by) == {None, 5, 6} and all(abs(r.n - 3000) < 250 and r.kinds >= 4 for r in by.values())
+    assert sorted(map(str, out.collect())) == sorted(map(str, mixing.replicate(docs.repartition(9), {"s": 1.0}).collect()))
 
 
 def test_no_labels(spark):

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,32 @@ def test_rollup(spark, tmp_path):
     assert set(map(tuple, r.totals().collect())) == {("s", "en", "t", 1, 7, 50)} and r.batches() == ["2", "3", "b/1%"]
 
 
+def test_commit_during_compaction(spark, tmp_path, monkeypatch):
+    r = rollups.TokenRollup(spark, str(tmp_path))
+    row = lambda n: spark.createDataFrame([("s", "en", "t", 1, n, n)], "source string, lang string, tokenizer string, sign int, tokens long, chars long")
+    r.commit("1", row(10))
+    place, late = r._place, []
+
+    def slow(aside, folder, name):  # the other writer comes after the list was made, before the snapshot is in place
+        if folder == "bases" and not late:
+            late.append(r.commit("2", row(10)))
+        return place(aside, folder, name)
+
+    monkeypatch.setattr(r, "_place", slow)
+    assert r.compact() and late == [True]
+    assert [x.tokens for x in r.totals().collect()] == [20] and r.batches() == ["1", "2"]
+    names, listed = r._names, []
+
+    def between(folder):  # and once more, between the list of snapshots and that of batches
+        if folder == "batches" and not listed:
+            listed.append(rollups.TokenRollup(spark, str(tmp_path)).commit("3", row(10)))
+        return names(folder)
+
+    monkeypatch.setattr(r, "_names", between)
+    assert r.compact() and listed == [True]
+    assert [x.tokens for x in r.totals().collect()] == [30] and not r.commit("2", row(1)) and not r.commit("3", row(1))
+
+
 def brute_components(texts, k, percent):
     sets = {i: ({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())) for i, w in ((i, word_list(t)) for i, t in texts)}
     root = {i: i for i in sets}
@@ -195,6 +222,38 @@ def test_near_duplicates(spark, docs, size):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_rows_that_share_an_id(spark):
+    """All sets of an id are compared, and are one node."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(n)) for k, n in (("a", 200), ("b", 400), ("c", 90)))
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, c), (5, c + " c"), (6, a + " " + b), (7, c), (7, c), (None, a), *[(8, f"{c} {c[:i]}") for i in range(3)]]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 4), (7, 4), (8, 4), (8, 4), (8, 4)]
+    assert len(got) == len(rows) and all(r.component_id is None and r.kept for r in got if r.doc_id is None)
+
+
+@pytest.mark.parametrize("size", [2048, 16])
+def test_boilerplate_brings_nobody_together(spark, size):
+    """Texts of one long boilerplate and bodies of their own share prefixes in every order; only like bodies are linked."""
+    rng = np.random.default_rng(11)
+    body = lambda k: " ".join(f"v{k}x{i}" for i in range(40))
+    plate = " ".join(f"p{i}" for i in rng.integers(0, 900, 110))
+    texts = [(i, f"{plate} {body(i % 70 if i < 100 else i)}" + (" end" if i >= 70 else "")) for i in range(160)]
+    got = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), words_in_shingle=3, percent=85, block=size).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, 3, 85)
+
+
+def test_prefixes_come_longest_first():
+    """Every pair comes once, at the length of its common prefix."""
+    rng = np.random.default_rng(12)
+    sketch = rng.integers(0, 3, (40, neardup.TREES * neardup.DEPTH)).astype(np.uint8)
+    table = pa.table({"tree": pa.array([2] * 40, pa.int32()), "id": list(range(40)), "n": [5] * 40, "label": list(range(40)), "sketch": [s.tobytes() for s in sketch], "keys": [[]] * 40})
+    own = sketch[:, 2 * neardup.DEPTH : 3 * neardup.DEPTH]
+    common = lambda i, j: next((k for k in range(neardup.DEPTH) if own[i, k] != own[j, k]), neardup.DEPTH)
+    found = [(i, j) for i, others in neardup._Block(table, 85).candidates() for j in others]
+    lengths = [common(i, j) for i, j in found]
+    assert len({frozenset(p) for p in found}) == len(found) == 780 and lengths == sorted(lengths, reverse=True)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1040)]
@@ -235,8 +294,7 @@ def brute_passages(rows, least):
         before = [hashes[s - 1] if s >= 16 else 0xFFFFFFFF for s in at]
         starts = {0}
         for k, s in enumerate(at):
-            lowest = k >= chunkdedup.REACH - 1 and before[k] == min(before[k - chunkdedup.REACH + 1 : k + 1])
-            if s >= 16 and ((before[k] >> 11 & 31) < chunkdedup.CUTS or lowest):
+            if s >= 16 and before[k] == min(before[max(0, k - chunkdedup.REACH) : k + chunkdedup.REACH + 1]):
                 starts.add(s)
         starts = sorted(starts)
         starts = [s for s in starts if s < len(raw)]
@@ -274,6 +332,22 @@ def test_chunk_dedup_against_a_loop(spark):
     assert len(kept[2]) < 400 and passage[150:300] not in kept[2]
 
 
+def test_passages_of_shared_and_missing_ids(spark):
+    """Different texts under one id, or under none, are documents of their own; no other text is cut."""
+    rng = np.random.default_rng(9)
+    word = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(n))
+    p, q, r = word(70), word(70), word(70)
+    clean = [word(90) for _ in range(700)]
+    texts = [(None, word(30) + " " + p), (None, word(31) + " " + p), (7, word(32) + " " + q), (7, word(33) + " " + q), (7, word(33) + " " + q), (1, word(9) + " " + r), (None, r + " " + word(8))]
+    df = spark.createDataFrame([*texts, *[(None, t) for t in clean], *[(7, t) for t in clean[:50]]], "doc_id long, text string")
+    kept = [(x.doc_id, x.text) for x in chunkdedup.remove_repeated(df).collect()]
+    held = lambda passage: sum(passage in t for _, t in kept)
+    assert len(kept) == 757 and held(p) == 1 and held(r) == 1 and held(q) in (1, 2)  # q's texts 4 and 5 are one document
+    assert sum(passage[120:300] in t for _, t in kept for passage in (p, q, r)) == held(p) + held(q) + held(r)
+    assert (1, texts[5][1]) in kept and {(7, t) for t in clean[:50]} | {(None, t) for t in clean[50:]} <= set(kept)
+    assert not any(t == c and i is None for c in clean[:50] for i, t in kept)  # the id comes first
+
+
 def test_isotonic():
     x, y = np.arange(6.0), np.array([0, 1, 0, 1, 1, 0.0])
     _, v = quality.isotonic(x, y)
