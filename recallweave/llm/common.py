@@ -45,17 +45,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Rows of a narrow table that one task writes, where their number is known beforehand.
-ROWS_A_FILE = 20_000
+#: Rows of a narrow table, and bytes of texts, that one task writes where their number is known beforehand.
+ROWS_A_FILE, BYTES_A_FILE = 20_000, 8 << 20
 
 
-def settle(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and survives lost executors. With at most
-    `rows` narrow rows known, the last stage has as many tasks and files as they need, not one for each shuffle partition."""
+def in_files(df: DataFrame, rows: int | None, each: int = ROWS_A_FILE) -> DataFrame:
+    """df, its last stage with no more tasks (and files) than `rows` of `each` to a task need. Shuffle partitions are as many
+    as the largest exchange needs; small results shouldn't be as many small files."""
+    return df if rows is None else df.coalesce(max(1, -(-rows // each)))
+
+
+def settle(df: DataFrame, name: str, rows: int | None = None, each: int = ROWS_A_FILE) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here and survives lost executors. `rows`: how many there
+    are at most, if that is known (see in_files)."""
     spark = df.sparkSession
     bounded_batches(spark)
     path = scratch_path(spark, name)
-    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))).write.parquet(path)
+    in_files(df, rows, each).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -88,6 +94,6 @@ def one_of_equal(df: DataFrame, *keys: str) -> DataFrame:
     again = hashed.groupBy(name).count().where("count > 1").select(name)
     if not again.limit(1).count():
         return df
-    again = settle(again, "again")
+    again = settle(again, "again", df.count())
     single = hashed.join(again, name, "left_anti").select(*keys)
     return single.unionByName(hashed.join(again, name, "left_semi").groupBy(*keys).agg(F.count("*")).select(*keys))
