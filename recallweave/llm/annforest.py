@@ -32,6 +32,8 @@ from .textkit import groups
 TREES, LEAF, SAMPLE = 12, 96, 20_000
 #: Rows of a leaf, and queries, that meet in one block.
 ROWS, QUERIES = 8192, 4096
+#: Vectors that one task writes.
+VECTORS_A_FILE = 5000
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -155,12 +157,13 @@ def nearest(vectors: DataFrame, queries, k: int = 10, key: str = "vec_id", vecto
     nearest of all other rows by Euclidean distance, ties to the smaller id. The forest and the share of
     leaves to visit come from at most about `sample` vectors (a bounded sample by a hash of the id)."""
     spark = vectors.sparkSession
-    rows = settle(usable_vectors(vectors, key, vector), "vectors")
+    n = vectors.count()
+    rows = settle(usable_vectors(vectors, key, vector), "vectors", n, VECTORS_A_FILE)
     # Salted first, so the copies of one very common vector don't meet in one task.
     salt = F.pmod(F.xxhash64("id"), F.lit(16))
     ranked = lambda w, df: df.withColumn("r", F.row_number().over(w.orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
     few = ranked(Window.partitionBy("v"), ranked(Window.partitionBy("v", "salt"), rows.withColumn("salt", salt)))
-    entries = settle(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("entry"), "ids", "v"), "entries")
+    entries = settle(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("entry"), "ids", "v"), "entries", n, VECTORS_A_FILE)
     total = entries.count()
     if not total:
         return spark.createDataFrame([], RESULT)
@@ -196,7 +199,7 @@ def nearest(vectors: DataFrame, queries, k: int = 10, key: str = "vec_id", vecto
                         break
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(leaves, pa.int32())], names=["query", "leaf"])
 
-    asked = settle(rows.where(queries), "queries")
+    asked = settle(rows.where(queries), "queries", n, VECTORS_A_FILE)
     probes = settle(asked.repartition(F.col("id")).mapInArrow(probe, "query long, leaf int"), "probes")
     blocks = placed.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / ROWS).cast("int").alias("nr"))
     asking = probes.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / QUERIES).cast("int").alias("nq"))

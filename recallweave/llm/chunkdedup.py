@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, settle
+from .common import BYTES_A_FILE, bounded_batches, in_files, settle
 from .textkit import BLOCK_BYTES, WINDOW, blocks, constants, span_hash, words
 
 _GEAR = (constants(256, 53) >> np.uint64(32)).astype(np.uint32)
@@ -152,6 +152,14 @@ def _report(runs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PASSAGE.split(", ")])
 
 
+#: A chunk has about seven words.
+BYTES_A_CHUNK = 40
+
+
+def _bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """id, start and chars (code points), words, repeated stretches in it of every repeated passage, and the
     smallest id of a document with one of these; own and node tell its document (see identity).
@@ -160,11 +168,12 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     task as one row from each. They are written and joined to the stretches; one row
     meets a hot one, and a join of written and scanned rows is one that adaptive execution can split."""
     bounded_batches(docs.sparkSession)
+    n = _bytes(docs, text) // BYTES_A_CHUNK
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), *[c.alias(n) for n, c in identity(key, text).items()], F.col(text).alias("text"))
     digest, by = ["digest", "second"], "digest long, second long"
     slim = rows.select("id", "node", "text").mapInArrow(_emit(min_words, False), f"id long, node long, {by}")
     several = slim.groupBy(*digest).agg(F.min("node").alias("a"), F.max("node").alias("b"), F.min("id").alias("first")).where("a < b")
-    shared = settle(several.select(*digest, "first"), "shared")
+    shared = settle(several.select(*digest, "first"), "shared", n)
     full = rows.mapInArrow(_emit(min_words, True), f"id long, own long, node long, {by}, place long, size long")
     met = full.join(shared.withColumn("met", F.lit(True)), digest, "left").withColumn("met", F.coalesce("met", F.lit(False)))
     later = (F.col("size").bitwiseAND(F.lit(1)) == 1) | (F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first"))))
@@ -205,4 +214,5 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     ready = docs.withColumns({f"__rw_{n}": c for n, c in identity(key, text).items()})
     joined = ready.join(spans, ["__rw_own", "__rw_node"], "left")
     touched = F.col("__rw_spans").isNotNull()  # other texts don't go through Python
+    joined = in_files(joined, _bytes(docs, text), BYTES_A_FILE)
     return joined.withColumn(text, F.when(touched, cut(F.when(touched, F.col(text)), F.col("__rw_spans"))).otherwise(F.col(text))).select(*docs.columns)

@@ -154,7 +154,7 @@ def fit(
                 names=["lang", "n", "gram", "c"],
             )
 
-    counted = settle(sample.mapInArrow(count, "lang string, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")), "ngrams")
+    counted = settle(sample.mapInArrow(count, "lang string, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")), "ngrams", sum(min(n, per_language) for n in sizes.values()), 1000)
     totals = {(r[0], r[1]): r[2] for r in counted.groupBy("lang", "n").agg(F.sum("c")).collect()}
     least = F.coalesce(*[F.when((F.col("lang") == k) & (F.col("n") == n), F.lit(least_share * t)) for (k, n), t in totals.items()], F.lit(0.0))
     often = counted.where(F.col("c") >= least).toPandas()

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import BYTES_A_FILE, in_files, settle
 
 #: Larger rates are drawn as sums of independent parts of at most this mean, so exp(-rate) stays exact.
 PART = 16.0
@@ -33,8 +33,8 @@ def uniform(*parts: Column | str) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, text: str = "text", source: str = "source") -> DataFrame:
-    """source, mass, rate: the mean number of copies of a document of that source."""
-    mass = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.coalesce(F.length(text), F.lit(0))).cast("double").alias("mass"))
+    """source, mass (characters), bytes, rate: the mean number of copies of a document of that source."""
+    mass = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.coalesce(F.length(text), F.lit(0))).cast("double").alias("mass"), F.sum(F.coalesce(F.octet_length(text), F.lit(0))).alias("bytes"))
     if weights is None:
         weight = F.pow("mass", F.lit(exponent))
     else:
@@ -42,7 +42,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, exponent: fl
     mass = mass.withColumn("weight", weight)
     whole = mass.agg(F.sum("mass").alias("all_mass"), F.sum("weight").alias("all_weight"))  # one row
     rate = F.when(F.col("mass") == 0, 1.0).when(F.col("all_weight") == 0, 0.0).otherwise(F.col("all_mass") * F.col("weight") / F.col("all_weight") / F.col("mass"))
-    return mass.crossJoin(F.broadcast(whole)).select("source", "mass", rate.alias("rate"))
+    return mass.crossJoin(F.broadcast(whole)).select("source", "mass", "bytes", rate.alias("rate"))
 
 
 def poisson_table(rate: Column) -> Column:
@@ -60,7 +60,7 @@ def _ordinals(docs: DataFrame, key: str, text: str, name: str) -> DataFrame:
     again = hashed.groupBy("__rw_hash").count().where("count > 1").select("__rw_hash")
     if not again.limit(1).count():
         return docs.withColumn(name, F.lit(1).cast("long"))
-    again = settle(again, "again")
+    again = settle(again, "again", docs.count())
     single = hashed.join(again, "__rw_hash", "left_anti").select(*columns, F.lit(1).cast("long").alias(name))
     multiple = hashed.join(again, "__rw_hash", "left_semi").groupBy(*columns).agg(F.count("*").alias("__rw_n"))
     return single.unionByName(multiple.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__rw_n"))).alias(name)))
@@ -77,10 +77,11 @@ def replicate(
         copies += "_"
     columns = [F.col(f"`{c}`") for c in docs.columns]
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
-    table = rates(docs, weights, exponent, text, source).select(F.col("source").alias("__rw_source"), parts.alias("__rw_parts"), poisson_table(F.col("rate") / parts).alias("__rw_table"))
+    table = rates(docs, weights, exponent, text, source).select(F.col("source").alias("__rw_source"), (F.col("bytes") * F.col("rate")).alias("__rw_bytes"), parts.alias("__rw_parts"), poisson_table(F.col("rate") / parts).alias("__rw_table"))
     table = settle(table, "rates")
     # A checked size: beyond it Spark joins by source, and adaptive execution splits a hot one.
-    small = table.count() <= BROADCAST_SOURCES
+    sources, size = table.agg(F.count("*"), F.sum("__rw_bytes")).first()
+    small = sources <= BROADCAST_SOURCES
     own = _ordinals(docs, key, text, "__rw_ordinal").withColumn("__rw_text", F.md5(F.coalesce(F.col(text), F.lit(""))))
     joined = own.join(F.broadcast(table) if small else table, F.col(source).eqNullSafe(F.col("__rw_source")))
     numbers = F.transform(F.sequence(F.lit(1), F.col("__rw_parts")), lambda i: uniform(str(seed), F.col(key), F.col("__rw_text"), F.col("__rw_ordinal"), i))
@@ -89,4 +90,4 @@ def replicate(
     spread = counted.select("*", F.explode(F.sequence(F.lit(1), F.col("__rw_copies"))).alias("__rw_copy"))
     order = F.md5(F.concat_ws("|", F.lit(f"{seed} order"), F.col(key).cast("string"), "__rw_text", F.col("__rw_ordinal").cast("string"), F.col("__rw_copy").cast("string")))
     mixed = spread.withColumn("__rw_order", order).repartition("__rw_order").sortWithinPartitions("__rw_order")
-    return mixed.select(*columns, F.col("__rw_copy").alias(copy), F.col("__rw_copies").alias(copies))
+    return in_files(mixed, int(size or 0), BYTES_A_FILE).select(*columns, F.col("__rw_copy").alias(copy), F.col("__rw_copies").alias(copies))

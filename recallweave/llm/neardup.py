@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import one_of_equal, settle
+from .common import BYTES_A_FILE, in_files, one_of_equal, settle
 from .components import components
 from .textkit import BLOCK_BYTES, U64, blocks, constants, groups, mix, shingle_hashes
 
@@ -194,12 +194,16 @@ def _link(words_in_shingle: int, percent: int):
 BLOCK_ROW = "block long, tree int, id long, n long, label long, sketch binary, keys array<struct<tree:int,block:long>>, rep long, written long"
 
 
-def _compare_blocks(rows: DataFrame, texts: DataFrame, words_in_shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) from rows of blocks. Texts are fetched only for the sets that have a partner."""
+#: Sets with their texts that one task compares.
+TEXTS_A_TASK = 4000
+
+
+def _compare_blocks(rows: DataFrame, n: int | None, texts: DataFrame, words_in_shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) from rows (n at most) of blocks. Texts are fetched only for the sets that have a partner."""
     order = [c.split()[0] for c in BLOCK_ROW.replace("tree:int,", "").split(", ")]
-    able = settle(rows.select(*order).repartition("block").sortWithinPartitions("block").mapInArrow(_take_part(percent), BLOCK_ROW), "blocks")
+    able = settle(rows.select(*order).repartition("block").sortWithinPartitions("block").mapInArrow(_take_part(percent), BLOCK_ROW), "blocks", n)
     ready = able.join(texts, ["rep", "written"]).select(*order, "text").repartition("block").sortWithinPartitions("block")
-    return settle(ready.mapInArrow(_link(words_in_shingle, percent), "a long, b long"), "near")
+    return settle(ready.mapInArrow(_link(words_in_shingle, percent), "a long, b long"), "near", able.count(), TEXTS_A_TASK)
 
 
 def _nodes(sets: DataFrame, n: int) -> tuple[DataFrame, bool]:
@@ -216,17 +220,17 @@ def _nodes(sets: DataFrame, n: int) -> tuple[DataFrame, bool]:
     raise ValueError("no seed gives distinct nodes")
 
 
-def _regions(leaders: DataFrame, block: int) -> DataFrame:
+def _regions(leaders: DataFrame, n: int, block: int) -> DataFrame:
     """node, tree, base, over, block of every set that shares a prefix with another: its region at the depth that fits."""
     over = F.ceil(F.greatest(F.col("c") / block, F.col("s") / BLOCK_SHINGLES)).cast("int")
     count = lambda df, by: df.groupBy(by).agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     slim = leaders.select("node", "n", "sketch", F.posexplode("base").alias("tree", "base"))
     slim = slim.select("node", "n", "tree", "base", F.substring("sketch", F.col("tree") * DEPTH + BASE + 1, F.lit(DEPTH - BASE)).alias("rest"))
-    near = settle(slim.join(count(slim, "base").where("c > 1"), "base").select("node", "n", "tree", "base", "rest", over.alias("over")), "regions")
+    near = settle(slim.join(count(slim, "base").where("c > 1"), "base").select("node", "n", "tree", "base", "rest", over.alias("over")), "regions", TREES * n)
     prefix = lambda depth: F.xxhash64("base", F.substring("rest", F.lit(1), depth))
     crowded = near.where("over > 1")
     longer = crowded.select("node", "n", "tree", "base", "rest", F.explode(F.sequence(F.lit(1), F.lit(DEPTH - BASE))).alias("depth")).withColumn("prefix", prefix(F.col("depth")))
-    sizes = settle(count(longer, "prefix").select("prefix", over.alias("parts")), "prefixes")
+    sizes = settle(count(longer, "prefix").select("prefix", over.alias("parts")), "prefixes", (DEPTH - BASE) * crowded.count())
     fit = longer.join(sizes, "prefix").groupBy("node", "tree", "base", "rest").agg(F.min(F.when(F.col("parts") == 1, F.col("depth"))).alias("depth"), F.max(F.when(F.col("depth") == DEPTH - BASE, F.col("parts"))).alias("parts"))
     dealt = F.xxhash64(prefix(F.lit(DEPTH - BASE)), F.pmod(F.xxhash64("node"), F.col("parts")))
     deep = fit.select("node", "tree", "base", F.lit(2).alias("over"), F.when(F.col("depth").isNotNull(), prefix(F.col("depth"))).otherwise(dealt).alias("block"))
@@ -250,18 +254,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     leaders = settle(leaders.select("node", F.col("id").alias("rep"), "written", "n", "base", "sketch"), "leaders", n)
     texts = one_of_equal(rows.where("id is not null").select(F.col("id").alias("rep"), "written", "text"), "rep", "written", "text")
 
-    placed = settle(_regions(leaders, block), "placed")
+    placed = settle(_regions(leaders, n, block), "placed", TREES * n)
     homes = placed.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("tree", "block"))).alias("keys"))  # at most TREES each
     payload = leaders.select("node", "n", "sketch", "rep", "written").join(homes, "node")
     met = payload.select(F.col("node").alias("id"), "n", F.col("node").alias("label"), "sketch", "keys", "rep", "written", F.explode("keys").alias("k")).select("*", "k.tree", "k.block")
-    links = _compare_blocks(met, texts, words_in_shingle, percent)
+    links = _compare_blocks(met, TREES * n, texts, words_in_shingle, percent)
     if shared:  # the sets of an id are one node
         least = members.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("id", "a")
-        links = settle(links.unionByName(members.join(settle(least, "least"), "id").select("a", F.col("node").alias("b"))), "near")
+        links = settle(links.unionByName(members.join(settle(least, "least", n), "id").select("a", F.col("node").alias("b"))), "near", n)
     found = components(links)
     crowded = placed.where("over > 1")
     if crowded.limit(1).count():
-        links = settle(links.unionByName(_second_round(crowded, leaders, found, texts, words_in_shingle, percent, block)), "near")
+        links = settle(links.unionByName(_second_round(crowded, TREES * n, leaders, found, texts, words_in_shingle, percent, block)), "near", n)
         found = components(links)
     rep = members.join(found.withColumnRenamed("id", "node"), "node", "left").select("id", F.coalesce("component", "node").alias("component"))
     if shared:  # nodes are not all ids
@@ -276,11 +280,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs with one document of each group of near duplicates: the one with the smallest id. Of rows that
     share an id the one with the smallest text stays; rows without an id stay."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     gone = near_duplicates(docs, key, text, **how).where("not kept").select(F.col("doc_id").alias(key)).distinct()
-    left = docs.join(gone, key, "left_anti").select(*docs.columns)
-    again = left.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    left = in_files(docs.join(gone, key, "left_anti").select(*docs.columns), size, BYTES_A_FILE)
+    again = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
     if not again.limit(1).count():
         return left
+    again = settle(again, "again")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(text))
     chosen = left.join(again, key, "left_semi").withColumn("__rw_rank", rank).where("__rw_rank = 1").drop("__rw_rank")
     return left.join(again, key, "left_anti").unionByName(chosen).select(*docs.columns)
@@ -319,10 +325,10 @@ def _shingles(words_in_shingle: int):
     return run
 
 
-def _second_round(crowded: DataFrame, leaders: DataFrame, found: DataFrame, texts: DataFrame, words_in_shingle: int, percent: int, block: int) -> DataFrame:
+def _second_round(crowded: DataFrame, n: int, leaders: DataFrame, found: DataFrame, texts: DataFrame, words_in_shingle: int, percent: int, block: int) -> DataFrame:
     """Links between sets of a crowded prefix that the first round didn't compare."""
     rows = crowded.join(found.withColumnRenamed("id", "node"), "node", "left").select("node", F.col("base").alias("group"), F.coalesce("component", "node").alias("label"))
-    shape = settle(_shape(rows), "shapes")
+    shape = settle(_shape(rows), "shapes", n)
     met = _pairs_of_blocks(rows, shape.where(F.col("outside") <= block), block)
     wide = shape.where(F.col("outside") > block).select("group")
     if wide.limit(1).count():
@@ -337,4 +343,4 @@ def _second_round(crowded: DataFrame, leaders: DataFrame, found: DataFrame, text
     none = F.array().cast("array<struct<tree:int,block:long>>")
     payload = leaders.select("node", "n", "sketch", "rep", "written")
     ready = met.join(payload, "node").select("block", F.lit(-1).alias("tree"), F.col("node").alias("id"), "n", "label", "sketch", none.alias("keys"), "rep", "written")
-    return _compare_blocks(ready, texts, words_in_shingle, percent)
+    return _compare_blocks(ready, None, texts, words_in_shingle, percent)

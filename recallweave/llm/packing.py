@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text:
         nodes = docs.select(F.col(key).isNull().alias("none"), node.alias("id"), F.col(text).alias("text"))
         once = nodes.where(~F.col("none")).unionByName(nodes.where("none").dropDuplicates(["id"]))
         found = neardup.near_duplicates(once, "id", "text").where("n_shingles > 0").groupBy(F.col("doc_id").alias("node")).agg(F.min("component_id").alias("component"))
-        narrow = narrow.join(settle(found, "clusters"), "node", "left").withColumn("cluster", F.coalesce(F.col("component").cast("string"), "cluster"))
+        narrow = narrow.join(settle(found, "clusters", docs.count()), "node", "left").withColumn("cluster", F.coalesce(F.col("component").cast("string"), "cluster"))
     # Rows of one id are alike but for their number; counting them first keeps a hot id out of one task.
     counted = narrow.groupBy("id", "n", "source", "cluster").agg(F.count("*").cast("int").alias("copies"))
     copied = counted.select("id", "n", "source", "cluster", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
@@ -119,7 +119,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text:
 def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = 4, key: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None, shard: int = SHARD, near: bool = False) -> DataFrame:
     """The bin of every piece (shard, bin), its slot there, and what it holds (doc_id, copy, piece, start,
     tokens, source)."""
-    rows = settle(pieces(docs, capacity, key, text, source, cluster, near), "pieces")
+    rows = settle(pieces(docs, capacity, key, text, source, cluster, near), "pieces", docs.count())
     shards = max(1, -(-rows.count() // shard))
     dealt = rows.select(F.pmod(F.xxhash64("id", "copy", "piece"), F.lit(shards)).cast("long").alias("shard"), "*").repartition("shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(_per_shard(capacity, per_source), PACKED)

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 KEYS = ("source", "lang", "tokenizer")
 TOTALS = ("docs", "tokens", "chars")
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long, chars long"
+#: Files of a batch at most: it has a row for each group.
+FILES = 16
 #: A word is a run of anything but 0x20 and 0x09 to 0x0D; a piece is a run of letters, a digit or a mark.
 WORDS = r"[^\x20\x09-\x0D]+"
 PIECES = r"\p{L}+|[0-9]|[^\p{L}0-9\x20\x09-\x0D]"
@@ -95,7 +97,7 @@ class TokenRollup:
             return False
         signed = [F.sum(F.col("sign") * v).cast("long").alias(n) for n, v in (("docs", F.lit(1)), ("tokens", F.coalesce("tokens", F.lit(0))), ("chars", F.coalesce("chars", F.lit(0))))]
         aside = f"{self.path}/aside-{uuid.uuid4().hex}"
-        changes.groupBy(*KEYS).agg(*signed).write.parquet(aside)
+        changes.groupBy(*KEYS).agg(*signed).coalesce(FILES).write.parquet(aside)
         return self._place(aside, "batches", quote(batch_id, safe=""))
 
     def totals(self) -> DataFrame:
@@ -122,7 +124,7 @@ class TokenRollup:
         base = f"{self.path}/bases/{bases[-1]}" if bases else None
         names = self._pending(base)
         aside = f"{self.path}/aside-{uuid.uuid4().hex}"
-        self._sum(base, names).write.parquet(f"{aside}/totals")
+        self._sum(base, names).coalesce(FILES).write.parquet(f"{aside}/totals")
         ids = self.spark.createDataFrame([(unquote(n),) for n in names], "id string")
         (ids.unionByName(self._applied(base)) if base else ids).coalesce(1).write.parquet(f"{aside}/applied")
         if not self._place(aside, "bases", f"{len(bases):09d}"):
@@ -152,7 +154,7 @@ def corpus_history(docs: DataFrame, path: str, settle) -> TokenRollup:
     rollup = TokenRollup(docs.sparkSession, path)
     rollup.commit("words", signed(rows, "words-1", F.col("w"), 1))
     rollup.commit("pieces", signed(rows, "pieces-1", F.col("p"), 1))
-    first = settle(rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first"), "firsts")
+    first = settle(rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first"), "firsts", rows.count())
     joined = rows.join(first, "h", "left").withColumn("first", F.coalesce("first", "doc_id"))
     copies, kept = joined.where("doc_id > first"), joined.where("not coalesce(doc_id > first, false)")
     rollup.commit("copies", signed(copies, "words-1", F.col("w"), -1).unionByName(signed(copies, "pieces-1", F.col("p"), -1)))

@@ -45,7 +45,7 @@ def test_operators(spark, rows, tmp_path):
     stats = df.select("doc_id", quality.statistics(F.col("text")).alias("stats"))
     scorer = quality.fit(stats, spark.createDataFrame([(1, 1), (5, 0), (6, None), (None, 1), (7, 0), (8, 1)], "doc_id long, quality int"))
     assert all(0 <= r.s <= 1 for r in stats.select(quality.score(scorer, F.col("stats")).alias("s")).collect())
-    totals = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens, r.chars) for r in rollups.corpus_history(df, str(tmp_path / "r"), lambda d, name: d).totals().collect()}
+    totals = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens, r.chars) for r in rollups.corpus_history(df, str(tmp_path / "r"), lambda d, name, rows=None: d).totals().collect()}
     want = {(None, "en", "words-1"): (1, 0, 0), ("s", "en", "words-1"): (4, 22 + len(LONG.split()), 92 + len(LONG)), ("r", "fr", "words-1"): (1, 1, 8)}
     assert all(totals[k] == v for k, v in want.items()) if rows else not totals
 
