@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -77,7 +78,12 @@ def packed(v: Column) -> Column:
     """Little-endian float32 bytes, by Arrow."""
     @arrow_udf("binary")
     def pack(column: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else np.asarray(x, "<f4").tobytes() for x in column.to_pylist()], pa.binary())
+        lists = column.cast(pa.list_(pa.float32()))
+        rows = np.asarray(lists.value_lengths().fill_null(0))
+        parts = np.asarray(lists.flatten().fill_null(np.nan), "<f4")
+        upto = np.concatenate([[0], np.cumsum(rows * 4)]).astype(np.int32)
+        known = pa.array(np.asarray(lists.is_valid())).buffers()[1]
+        return pa.Array.from_buffers(pa.binary(), len(lists), [known, pa.py_buffer(upto), pa.py_buffer(parts)])
 
     return pack(v)
 
@@ -86,7 +92,12 @@ def unpacked(b: Column) -> Column:
     """The vector of float32 bytes; what doesn't fill four bytes is dropped."""
     @arrow_udf("array<float>")
     def unpack(column: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else np.frombuffer(x[: len(x) // 4 * 4], "<f4") for x in column.to_pylist()], pa.list_(pa.float32()))
+        size = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
+        whole, first = size // 4 * 4, np.cumsum(size) - size
+        raw = np.frombuffer(b"".join(column.drop_null().to_pylist()), np.uint8)
+        kept = raw if (whole == size).all() else raw[np.arange(len(raw)) - np.repeat(first, size) < np.repeat(whole, size)]
+        upto = pa.array(np.concatenate([[0], np.cumsum(whole // 4)]).astype(np.int32))
+        return pa.ListArray.from_arrays(upto, pa.array(kept.view("<f4")), mask=column.is_null())
 
     return unpack(b)
 

@@ -46,7 +46,7 @@ def trend(rows: DataFrame, value: str, index: str) -> DataFrame:
 
 def weighted_sample(rows: DataFrame, n: int, weight: str, key: str, seed: int = 1) -> DataFrame:
     """n rows without replacement, each chosen in proportion to its weight, by exponential keys hashed from the id."""
-    u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
+    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 13), 16, 10).cast("double") + 1) / F.lit(float(16**13))
     return rows.where(F.col(weight) > 0).withColumn("__k", -F.log(u) / F.col(weight)).orderBy("__k", key).limit(n).drop("__k")
 
 
@@ -78,7 +78,8 @@ def quantized(v: Column, access_share: Column) -> Column:
     """A vector rounded by how often it is used: as it is when hot, to 1/127 of its largest part when warm, to 1/7 when cold."""
     top = F.greatest(F.array_max(F.transform(v, lambda x: F.abs(x))), F.lit(1e-12))
     levels = F.when(access_share > 0.8, 0).when(access_share > 0.4, 127).otherwise(7)
-    return F.when(levels == 0, v).otherwise(F.transform(v, lambda x: F.round(x / top * levels) / levels * top))
+    # Adding 0.0 leaves no negative zero.
+    return F.when(levels == 0, v).otherwise(F.transform(v, lambda x: F.round(x / top * levels) / levels * top + F.lit(0.0)))
 
 
 def residual_gate(rows: DataFrame, by: list[str], order: list, value: str, threshold: float = 0.1) -> DataFrame:

@@ -116,3 +116,18 @@ def folder_listing(files: DataFrame, parent: str) -> DataFrame:
     rest = F.substring("path", len(root) + 1, 1 << 20)
     inside = files.where(F.startswith("path", F.lit(root)) & F.contains(rest, F.lit("/")))
     return inside.groupBy(F.substring_index(rest, "/", 1).alias("name")).agg(F.count("*").alias("files"))
+
+
+def bursts(events: DataFrame, at: str, path: str, gap: int, slice_: int = 86_400_000_000) -> DataFrame:
+    """start, end, changes, paths (distinct) of bursts of events (microseconds), which end with a quiet gap. Time is cut into
+    slices: within one, an event's predecessor is near by; between them only the ends of slices meet, one row each. So no task
+    sees more than a slice."""
+    rows = events.select(F.col(at).alias("t"), F.col(path).alias("p"), F.floor(F.col(at) / slice_).alias("s"))
+    within = rows.withColumn("new", (F.col("t") - F.lag("t").over(Window.partitionBy("s").orderBy("t")) >= gap).cast("int"))
+    ends = within.groupBy("s").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.sum("new").alias("inner"))
+    order = Window.orderBy("s")  # a row for each slice
+    ends = ends.withColumn("edge", F.coalesce((F.col("first") - F.lag("last").over(order) >= gap).cast("int"), F.lit(1)))
+    upto = ends.withColumn("before", F.sum(F.coalesce("inner", F.lit(0)) + F.col("edge")).over(order) - F.coalesce("inner", F.lit(0))).select("s", "before")
+    numbered = within.join(upto, "s").withColumn("n", F.col("before") + F.sum(F.coalesce("new", F.lit(0))).over(Window.partitionBy("s").orderBy("t")))
+    by_path = numbered.groupBy("n", "p").agg(F.min("t").alias("a"), F.max("t").alias("z"), F.count("*").alias("c"))
+    return by_path.groupBy("n").agg(F.min("a").alias("start"), (F.max("z") + gap).alias("end"), F.sum("c").alias("changes"), F.count("p").alias("paths")).drop("n")

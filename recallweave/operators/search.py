@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,44 +27,72 @@ def recall(memories: DataFrame, query: DataFrame, k: int = 10, min_similarity: f
 
 
 def search_chunks(chunks: DataFrame, files: DataFrame, query: DataFrame, k: int = 10, above: float = 0.25) -> DataFrame:
-    """The k best chunks with their files; the boost by file type comes after the threshold."""
+    """The k best chunks with their files; the boost by file type comes after the threshold. What is ranked needs no text: see with_content."""
     rows = scored(chunks, query).where(F.col("similarity") > above)
-    joined = rows.join(files.select("path", "name", "ext"), rows.file_path == F.col("path"))
+    joined = rows.join(files.select("path", "name", "ext"), rows.file_path == F.col("path")).drop("vector")
     return joined.withColumn("similarity", labels.type_boost(F.col("ext"), F.col("similarity"))).orderBy(F.desc("similarity"), "path", "chunk_index").limit(k)
 
 
+def search_index(chunks: DataFrame, files: DataFrame, query: DataFrame, k: int = 10, least: float = 0.25, fetch: int = 3) -> DataFrame:
+    """As search_chunks, as an index answers: of the `fetch` * k nearest chunks those with at least `least`, then the files and the boost."""
+    rows = scored(chunks, query).drop("vector").orderBy(F.desc("similarity"), "file_path", "chunk_index").limit(k * fetch).where(F.col("similarity") >= least)
+    joined = files.select("path", "name", "ext").join(F.broadcast(rows), rows.file_path == F.col("path"))  # rows are k * fetch
+    return joined.withColumn("similarity", labels.type_boost(F.col("ext"), F.col("similarity"))).orderBy(F.desc("similarity"), "path", "chunk_index").limit(k)
+
+
+def with_content(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A top-k of chunks with their texts."""
+    texts = chunks.select("file_path", "chunk_index", "content")
+    return texts.join(F.broadcast(hits), ["file_path", "chunk_index"])  # hits are k rows
+
+
 def merge_by_file(hits: DataFrame) -> DataFrame:
     """One row for each file: its chunks in rank order, its best similarity and rank."""
     ranked = hits.withColumn("r", F.row_number().over(Window.orderBy(F.desc("similarity"), "path", "chunk_index")))  # hits are a top-k
     return ranked.groupBy("path", "name", "ext").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "content"))), lambda x: x["content"]), "\n\n").alias("content"), F.max("similarity").alias("similarity"), F.min("r").cast("bigint").alias("rank"))
 
 
-def pairs_above(rows: DataFrame, k: int, above: float, key: str = "id", vector: str = "vector", block: int = 4096) -> DataFrame:
-    """src, dst, similarity: for each row its k most similar other rows above a cosine similarity. Exact: rows are
-    dealt into blocks, every pair of blocks is one matrix product in Arrow, and each block pair sends only
-    its k best of each row; work grows with the square of the rows, memory with a block."""
+def _best(x: np.ndarray, weight: np.ndarray, own: np.ndarray, others: np.ndarray, y: np.ndarray, k: int, above: float) -> list[tuple]:
+    """(id, id of another, similarity) of the k best of y for each row of x."""
+    out = []
+    for name, row in zip(own, x @ y.T * weight, strict=True):
+        near = np.flatnonzero((row > above) & (others != name))
+        near = near[np.lexsort((others[near], -row[near]))][:k]
+        out += [(name, others[j], row[j]) for j in near]
+    return out
+
+
+def pairs_above(rows: DataFrame, k: int, above: float, key: str = "id", vector: str = "vector", block: int = 4096, only: DataFrame | None = None, weight: str | None = None) -> DataFrame:
+    """src, dst, similarity: for each row its k most similar other rows above a cosine similarity (times the weight of
+    the other). Exact: rows are dealt into blocks, each unordered pair of blocks is one matrix product in Arrow that serves both sides, and sends only the
+    k best of each row; work grows with the square of the rows, memory with a block. With `only` (a table of ids) neighbours are sought for these alone:
+    work grows with their number times that of all rows. Beyond some 10 million rows use InvertedFileIndex instead."""
     n = max(1, -(-rows.count() // block))
-    own = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("b"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asks = own.select(F.col("b").alias("i"), other.alias("j"), F.lit(0).alias("side"), "id", "v")
-    holds = own.select(other.alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), "id", "v")
+    mass = F.col(weight).cast("double") if weight else F.lit(1.0)
+    own = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), mass.alias("w"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("b"))
+    all_blocks = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    if only is None:
+        met = own.withColumn("o", all_blocks).select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") < F.col("o")).cast("int").alias("side"), "id", "v", "w")
+    else:
+        asked = own.join(only.select(F.col(only.columns[0]).alias("id")).distinct(), "id", "left_semi")
+        m = max(1, -(-asked.count() // block))
+        asks = asked.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(m)).cast("int").alias("i"), all_blocks.alias("j"), F.lit(0).alias("side"), "id", "v", "w")
+        met = asks.unionByName(own.select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), "id", "v", "w"))
 
     def best(group: pa.Table) -> pa.Table:
-        side, ids = np.asarray(group.column("side")), group.column("id").to_numpy(zero_copy_only=False)
+        side, ids, w = np.asarray(group.column("side")), group.column("id").to_numpy(zero_copy_only=False), np.asarray(group.column("w"))
         x = np.asarray(group.column("v").combine_chunks().flatten()).reshape(len(ids), -1)
         x = x / np.maximum(np.linalg.norm(x, axis=1), vectors.TINY)[:, None]
-        a, b, names, others = x[side == 0], x[side == 1], ids[side == 0], ids[side == 1]
-        src, dst, sim = [], [], []
-        if len(a) and len(b):
-            for i, row in enumerate(a @ b.T):
-                near = np.flatnonzero((row > above) & (others != names[i]))
-                near = near[np.lexsort((others[near], -row[near]))][:k]
-                src += [names[i]] * len(near)
-                dst += others[near].tolist()
-                sim += row[near].tolist()
+        a, b = (side == 0, side == 1) if only is not None or group.column("i")[0] != group.column("j")[0] else (side == 0, side == 0)
+        found = []
+        if a.any() and b.any():
+            found = _best(x[a], w[b], ids[a], ids[b], x[b], k, above)
+            if only is None and a is not b and not (a == b).all():
+                found += _best(x[b], w[a], ids[b], ids[a], x[a], k, above)
+        src, dst, sim = zip(*found, strict=True) if found else ((), (), ())
         return pa.table({"src": pa.array(src, pa.string()), "dst": pa.array(dst, pa.string()), "similarity": pa.array(sim, pa.float64())})
 
-    found = asks.unionByName(holds).groupBy("i", "j").applyInArrow(best, "src string, dst string, similarity double")
+    found = met.groupBy("i", "j").applyInArrow(best, "src string, dst string, similarity double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "dst"))
     return found.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
@@ -152,3 +183,16 @@ def context_text(hits: DataFrame) -> DataFrame:
     line = F.format_string("%d. [%s] (similarity: %.2f): %s", F.col("r"), F.lower("memory_type"), F.col("similarity"), F.col("content"))
     ranked = hits.withColumn("r", F.row_number().over(Window.orderBy(F.desc("similarity"), "id")))  # hits are a top-k
     return ranked.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", line.alias("line")))), lambda x: x["line"]), "\n").alias("context"))
+
+
+def fan_out(sources: dict[str, tuple[Callable[[], DataFrame], list[str], str]], needle: str, each: int) -> DataFrame:
+    """source, id: the first rows by key of each source (how to get it, its key, the text searched) that hold a text, whatever its
+    case. A source that can't be opened gives no rows and doesn't stop the others."""
+    out = None
+    for name, (open_, key, column) in sources.items():
+        try:
+            hit = open_().where(F.contains(F.lower(column), F.lit(needle.lower()))).orderBy(*key).limit(each).select(F.lit(name).alias("source"), F.concat_ws("/", *key).alias("id"))
+        except PySparkException:
+            continue
+        out = hit if out is None else out.unionByName(hit)
+    return out

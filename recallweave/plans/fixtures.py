@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
-from ..operators import chunking
+from ..operators import chunking, search
+from .stored import stored
 
 T0 = 1704067200000
 AS_OF = T0 + 30 * 86_400_000
@@ -42,17 +43,32 @@ def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table, written once."""
+    return stored(spark, sf_dir, "chunks", ["documents"], lambda: _cut_chunks(spark, sf_dir))
+
+
+def _cut_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = file_index(spark, sf_dir)
     rows = chunking.chunk(files.select("path", "doc_id", F.concat(F.lit("["), "path", F.lit("]\n"), "text").alias("body")), "body", 512, 128)
     return rows.select(F.col("path").alias("file_path"), "doc_id", "chunk_index", F.col("chunk").alias("content"))
 
 
 def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with the embedding that belongs to each."""
-    e = table(spark, sf_dir, "embeddings")
-    n = e.agg(F.count("*").alias("n"))
-    keyed = file_chunks(spark, sf_dir).crossJoin(F.broadcast(n)).withColumn("vec_id", (F.col("doc_id") * 31 + F.col("chunk_index")) % F.col("n"))
-    return keyed.join(e.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")), "vec_id").drop("n")
+    """The embedding that belongs to each chunk: file_path, doc_id, chunk_index, vector, without texts. Written once."""
+
+    def make() -> DataFrame:
+        e = table(spark, sf_dir, "embeddings")
+        n = e.agg(F.count("*").alias("n"))
+        keyed = file_chunks(spark, sf_dir).select("file_path", "doc_id", "chunk_index").crossJoin(F.broadcast(n)).withColumn("vec_id", (F.col("doc_id") * 31 + F.col("chunk_index")) % F.col("n"))
+        return keyed.join(e.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")), "vec_id").drop("n", "vec_id")
+
+    return stored(spark, sf_dir, "chunk-vectors", ["documents", "embeddings"], make)
+
+
+def edges(spark: SparkSession, sf_dir: str, above: float = 0.3) -> DataFrame:
+    """The graph's similarity edges: each memory's five most similar others above 0.2, written once; `above` filters them."""
+    made = stored(spark, sf_dir, "edges", ["embeddings"], lambda: search.pairs_above(memories(spark, sf_dir), 5, 0.2))
+    return made.where(F.col("similarity") > above)
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> DataFrame:

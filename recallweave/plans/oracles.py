@@ -131,9 +131,9 @@ ORACLES: dict[str, str] = {
     "recall_manhattan": _recall(metric="manhattan"),
     "recall_dot": _recall(metric="dot", least=0.2),
     "normalize_vectors": _with(MEM, "t AS (SELECT id, list_transform(vector, lambda x: x * 3) AS v FROM memories)") + "SELECT id, list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6)) AS unit FROM t",
-    "softmax_vectors": _with(MEM, "t AS (SELECT id, list_transform(vector[1:8], lambda x: exp(x - list_max(vector[1:8]))) AS e FROM memories)") + "SELECT id, list_transform(e, lambda x: round(x / list_sum(e), 6)) AS weights FROM t",
+    "softmax_vectors": _with(MEM, "t AS (SELECT id, list_transform(vector, lambda x: exp(x - list_max(vector))) AS e FROM memories)") + "SELECT id, list_transform(e, lambda x: round(x / list_sum(e), 6)) AS weights FROM t",
     "fitted_vectors": _with(MEM) + "SELECT id, vector[1:60] || [0.0::DOUBLE, 0, 0, 0] AS padded, vector[1:16] AS cut FROM memories",
-    "state_hashes": _with(MEM) + "SELECT id, substr(md5(array_to_string(list_transform(vector[1:8], lambda x: CAST(CAST(round(x * 100) AS BIGINT) AS VARCHAR)), ',')), 1, 16) AS state FROM memories",
+    "state_hashes": _with(MEM) + "SELECT id, substr(md5(array_to_string(list_transform(vector, lambda x: CAST(CAST(round(x * 100) AS BIGINT) AS VARCHAR)), ',')), 1, 16) AS state FROM memories",
     "vector_codec": "SELECT vec_id, CAST(len(embedding) * 4 AS BIGINT) AS bytes, embedding AS vector FROM embeddings",
     "chunk_documents": "WITH " + _chunked("c", "documents", "doc_id", "text", 512, 128) + " SELECT doc_id, chunk_index, content AS chunk FROM c",
     "clean_texts": "SELECT doc_id, " + CLEAN.format(t="' ' || chr(9) || replace(text, '. ', ' . ' || chr(10) || chr(10))") + " AS clean FROM documents",
@@ -189,7 +189,7 @@ SELECT g, CAST(floor((n - 1) / 10) AS BIGINT) AS batch, md5(string_agg(text, chr
     "newsletter_score": _with(MAIL) + f"SELECT message_id, CAST({NEWS} AS BIGINT) AS score FROM mail",
     "mail_ingest_filter": _with(MAIL) + f"SELECT message_id, mailbox FROM mail WHERE {NEWS} < 3 AND lower(mailbox) NOT IN {_in([m.lower() for m in labels.SKIPPED_MAILBOXES])} AND regexp_replace(body, '{WS}', '', 'g') <> ''",
     "mail_search": _with(CHUNK_VECTORS, Q, MAIL) + f"SELECT message_id, chunk_index, {SENDER} AS sender, {_preview('content')} AS preview, round(s, 6) AS similarity FROM (SELECT m.*, c.*, list_cosine_similarity(vector, q) AS s FROM cv c JOIN mail m ON m.message_id = c.doc_id, q) WHERE s > 0.15 ORDER BY s DESC, doc_id, chunk_index LIMIT 15",
-    "recent_mail": _with(CHUNKS, MAIL) + f"SELECT message_id, subject, indexed_at, {_preview('p')} AS preview FROM (SELECT m.*, coalesce(c.content, '') AS p FROM mail m LEFT JOIN chunks c ON c.doc_id = m.message_id AND c.chunk_index = 0 AND c.doc_id % 2 = 0) ORDER BY indexed_at DESC, message_id LIMIT 30",
+    "recent_mail": _with(CHUNKS, MAIL) + f"SELECT message_id, subject, indexed_at, {_preview('p')} AS preview FROM (SELECT m.*, coalesce(c.content, '') AS p FROM mail m LEFT JOIN chunks c ON c.doc_id = m.message_id AND c.chunk_index = 0) ORDER BY indexed_at DESC, message_id LIMIT 30",
     "mail_by_field": _with(MAIL) + f"SELECT message_id, subject, {SENDER} AS sender FROM mail WHERE contains(lower(sender), 'example') AND contains(lower(subject), 'the') ORDER BY message_id LIMIT 25",
     "consolidate": _with(MEM) + f"SELECT {_state(d='decay + 0.01')} FROM memories WHERE NOT (decay > 0.9 AND importance < 0.3)",
     "evict": _with(MEM, "n AS (SELECT count(*) AS n FROM memories), r AS (SELECT *, row_number() OVER (ORDER BY importance * (1 - decay), id) AS r FROM memories)") + f"SELECT {_state()} FROM r, n WHERE n <= 400 OR r > n - 400 + 40",
@@ -242,18 +242,18 @@ SELECT profile, CAST(floor((n - 1) / 20) AS BIGINT) AS batch, string_agg(term, '
         "sc AS (SELECT *, list_cosine_similarity(vector, q) AS s FROM cv, q)",
         """hits AS (SELECT * FROM (SELECT 'email' AS source, doc_id || '/' || chunk_index AS id, content, s AS similarity FROM sc WHERE doc_id % 3 = 0 ORDER BY s DESC, doc_id, chunk_index LIMIT 5)
   UNION ALL SELECT * FROM (SELECT 'file', doc_id || '/' || chunk_index, content, similarity FROM filehits ORDER BY similarity DESC, path, chunk_index LIMIT 10)
-  UNION ALL SELECT * FROM (SELECT 'system', doc_id || '/' || chunk_index, content, 0.0 FROM cv WHERE chunk_index = 0 ORDER BY doc_id LIMIT 8))""",
+  UNION ALL SELECT * FROM (SELECT 'system', doc_id || '/' || chunk_index, content, 0.0 FROM cv WHERE contains(lower(content), 'the and') ORDER BY doc_id, chunk_index LIMIT 8))""",
         """w AS (SELECT *, sum(similarity) OVER (PARTITION BY source) AS total, count(*) OVER (PARTITION BY source) AS n FROM hits)""",
         """b AS (SELECT source, id, content, CAST(floor(CASE source WHEN 'email' THEN 8000 / n WHEN 'file' THEN greatest(10000 * CASE WHEN total > 0 THEN similarity / total ELSE 1 / n END, 200.0) ELSE 2000 / n END) AS BIGINT) AS chars FROM w)""",
     ) + f"SELECT source, id, chars, md5({_cut('content', 'chars')}) AS content FROM b",
     "rerank_blend": _with(MEM, Q, _recalled()) + "SELECT id, round(0.7 * similarity + (1 - 0.7::DOUBLE) * list_cosine_similarity(vector, q), 6) AS score FROM hits",
     "rerank_features": _with(MEM, Q, _recalled()) + f"SELECT id, round(ln(1 + access_count) / 10, 6) AS f_access, round(exp((timestamp - {fx.AS_OF}) / 86400000), 6) AS f_recency, CASE WHEN memory_type = 'Semantic' THEN 1.0 ELSE 0.0 END::DOUBLE AS f_type, round(similarity, 6) AS f_index FROM hits",
-    "pattern_boost": _with(MEM, Q, "n AS (SELECT greatest(list_cosine_similarity(vector, q), 0) AS w, importance AS quality FROM memories, q WHERE vec_id % 10 = 5 ORDER BY list_cosine_similarity(vector, q) DESC, id LIMIT 5)") + "SELECT round(coalesce(sum(w * quality) / nullif(sum(w), 0), 0.5), 6) AS boost FROM n",
+    "pattern_boost": _with(MEM, Q, "n AS (SELECT greatest(list_cosine_similarity(vector, q), 0) AS w, importance AS quality FROM memories, q ORDER BY list_cosine_similarity(vector, q) DESC, id LIMIT 5)") + "SELECT round(coalesce(sum(w * quality) / nullif(sum(w), 0), 0.5), 6) AS boost FROM n",
     "memory_context": _with(MEM, Q, _recalled(k=5), "r AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) AS r FROM hits)") + "SELECT string_agg(printf('%d. [%s] (similarity: %.2f): %s', r, lower(memory_type), similarity, 'content of ' || id), chr(10) ORDER BY r) AS context FROM r",
     "query_log": _with(MEM, Q, _recalled(k=5)) + "SELECT list(id ORDER BY similarity DESC, id) AS result_ids, first(id ORDER BY similarity DESC, id) AS selected_id FROM hits",
     "fan_out": _with(FILES, MAIL, ACT) + """SELECT * FROM (SELECT 'document' AS source, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE contains(lower(text), 'the') ORDER BY doc_id LIMIT 5)
 UNION ALL SELECT * FROM (SELECT 'email', CAST(message_id AS VARCHAR) FROM mail WHERE contains(lower(subject), 'the') ORDER BY message_id LIMIT 5)
-UNION ALL SELECT * FROM (SELECT 'chat', CAST(conv_id AS VARCHAR) FROM conversations WHERE turn = 0 AND contains(lower(text), 'the') ORDER BY conv_id LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'chat', conv_id || '/' || turn FROM conversations WHERE contains(lower(text), 'the') ORDER BY conv_id, turn LIMIT 5)
 UNION ALL SELECT * FROM (SELECT 'page', CAST(page_id AS VARCHAR) FROM pages WHERE contains(lower(html), 'the') ORDER BY page_id LIMIT 5)
 UNION ALL SELECT * FROM (SELECT 'activity', CAST(id AS VARCHAR) FROM act WHERE contains(lower(window_title), 'the') ORDER BY id LIMIT 5)
 UNION ALL SELECT * FROM (SELECT 'file', path FROM files WHERE contains(lower(name), 'the') ORDER BY path LIMIT 5)""",
@@ -269,7 +269,7 @@ SELECT event_id, round(least(greatest((x + 1) / 2, 0), 1), 6) AS quality, round(
     "synchrony": "SELECT round(sqrt(pow(avg(cos(p)), 2) + pow(avg(sin(p)), 2)), 6) AS synchrony FROM (SELECT event_id % 100 / 50 AS p FROM events)",
     "hopfield_retrieve": _with(MEM, Q, "t AS (SELECT id, list_cosine_similarity(vector, q) AS s FROM memories, q ORDER BY s DESC, id LIMIT 5)") + "SELECT id, round(s, 6) AS similarity, round(exp(8 * s) / sum(exp(8 * s)) OVER (), 6) AS weight FROM t",
     "quantized_vectors": _with(MEM, "t AS (SELECT id, vector, access_count / 22 AS s, list_max(list_transform(vector, lambda x: abs(x))) AS top FROM memories), u AS (SELECT *, CASE WHEN s > 0.8 THEN 0 WHEN s > 0.4 THEN 127 ELSE 7 END AS n FROM t)")
-    + "SELECT id, CASE WHEN n = 0 THEN list_transform(vector, lambda x: round(x, 6)) ELSE list_transform(vector, lambda x: round(round(x / top * n) / n * top, 6)) END AS vector FROM u",
+    + "SELECT id, CASE WHEN n = 0 THEN list_transform(vector, lambda x: round(x, 6)) ELSE list_transform(vector, lambda x: round(round(x / top * n) / n * top + 0.0, 6)) END AS vector FROM u",
     "concept_summaries": f"""WITH d AS (SELECT source, doc_id, (doc_id % 10) / 10 AS salience, CASE WHEN length(g) > 200 THEN substr(g, 1, 197) || '...' ELSE g END AS gist,
   list_filter(list_transform({_words('text')}, lambda w: lower(regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g'))), lambda w: strlen(w) > 2 AND NOT list_contains({_list(STOP_WORDS)}, w))[1:5] AS c
   FROM (SELECT *, string_split_regex(text, '[.!?]')[1] AS g FROM documents)),
@@ -297,3 +297,24 @@ ORACLES |= {
 e AS (SELECT state, action, exp((value - max(value) OVER (PARTITION BY state)) / 10.0) AS w FROM q)
 SELECT state, action, round(w / sum(w) OVER (PARTITION BY state), 6) AS probability FROM e""",
 }
+
+EDGES_LOW = EDGES.replace("> 0.3", "> 0.2")
+SESSIONS = """e AS (SELECT ts, '/p/' || user_id AS path, lag(ts) OVER (ORDER BY ts) AS before FROM events), s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 10 MINUTE THEN 1 ELSE 0 END) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)"""
+
+ORACLES |= {
+    "chunk_paragraphs": f"""WITH RECURSIVE d AS (SELECT doc_id, parts, list_transform(parts, lambda p: len({_words('p')})) AS c FROM (
+  SELECT doc_id, list_filter(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda p: regexp_replace(p, '{WS}', '', 'g') <> '') AS parts FROM documents) WHERE len(parts) > 0),
+walk AS (SELECT doc_id, 1 AS i, c[1] AS n, 0 AS g FROM d
+  UNION ALL SELECT doc_id, i + 1, CASE WHEN n + c[i + 1] > 100 THEN c[i + 1] ELSE n + c[i + 1] END, CASE WHEN n + c[i + 1] > 100 THEN g + 1 ELSE g END FROM walk JOIN d USING (doc_id) WHERE i < len(c))
+SELECT doc_id, CAST(g AS BIGINT) AS n, string_agg(parts[i], chr(10) || chr(10) ORDER BY i) AS chunk FROM walk JOIN d USING (doc_id) GROUP BY doc_id, g""",
+    "weighted_sample": _with(MEM)
+    + "SELECT id FROM memories WHERE importance > 0 ORDER BY -ln((CAST('0x' || substr(md5('1|' || id), 1, 13) AS BIGINT)::DOUBLE + 1) / 4503599627370496.0) / importance, id LIMIT 20",
+    "stream_debounce": f"WITH {SESSIONS} SELECT epoch_us(min(ts)) // 1000 AS start_ms, epoch_us(max(ts)) // 1000 + 600000 AS end_ms, count(*) AS changes, list_sort(list(DISTINCT path)) AS paths FROM s GROUP BY n",
+    "attention_rerank": _with(
+        MEM, Q, EDGES_LOW, _recalled(),
+        "n AS (SELECT h.id, h.vector AS a, m.vector AS b FROM hits h JOIN edges e ON e.src = h.id JOIN memories m ON m.id = e.dst)",
+        "w AS (SELECT id, hd, a[hd * 16 + 1 : hd * 16 + 16] AS pa, b[hd * 16 + 1 : hd * 16 + 16] AS pb, exp(list_dot_product(a[hd * 16 + 1 : hd * 16 + 16], b[hd * 16 + 1 : hd * 16 + 16]) / 4.0) AS w FROM n, range(4) AS t(hd))",
+        "x AS (SELECT id, hd, i, any_value(pa[i]) + sum(w * pb[i]) / sum(w) AS y FROM w, range(1, 17) AS r(i) GROUP BY 1, 2, 3)",
+        "v AS (SELECT id, list(y ORDER BY hd, i) AS aware FROM x GROUP BY 1)",
+    ) + "SELECT h.id, round(similarity, 6) AS similarity, round(0.7 * similarity + (1 - 0.7::DOUBLE) * list_cosine_similarity(coalesce(aware, vector), q), 6) AS score FROM hits h LEFT JOIN v USING (id)",
+}

@@ -12,6 +12,7 @@ from ..operators import browse, chunking, graph, learning, lifecycle, records, s
 from ..sources import connectors, files, store
 from ..streaming import streams
 from . import fixtures as fx
+from .stored import shared_folder
 
 QUERIES: dict = {}
 
@@ -67,7 +68,7 @@ def normalize_vectors(spark, sf):
 
 @query
 def softmax_vectors(spark, sf):
-    return fx.memories(spark, sf).select("id", F.transform(vectors.softmax(F.slice("vector", 1, 8)), lambda x: F.round(x, 6)).alias("weights"))
+    return fx.memories(spark, sf).select("id", F.transform(vectors.softmax(F.col("vector")), lambda x: F.round(x, 6)).alias("weights"))
 
 
 @query
@@ -77,7 +78,7 @@ def fitted_vectors(spark, sf):
 
 @query
 def state_hashes(spark, sf):
-    return fx.memories(spark, sf).select("id", vectors.quantized_hash(F.slice("vector", 1, 8)).alias("state"))
+    return fx.memories(spark, sf).select("id", vectors.quantized_hash(F.col("vector")).alias("state"))
 
 
 @query
@@ -213,7 +214,7 @@ def file_search(spark, sf):
 
 @query
 def file_search_merged(spark, sf):
-    return search.merge_by_file(_hits(spark, sf)).select("path", "name", F.md5("content").alias("content"), r6("similarity"), "rank")
+    return search.merge_by_file(search.with_content(_hits(spark, sf), fx.file_chunks(spark, sf))).select("path", "name", F.md5("content").alias("content"), r6("similarity"), "rank")
 
 
 @query
@@ -264,7 +265,7 @@ def doc_reassembly(spark, sf):
 
 @query
 def enriched_hits(spark, sf):
-    hits = search.merge_by_file(_hits(spark, sf)).select("path", "rank")
+    hits = search.merge_by_file(search.with_content(_hits(spark, sf), fx.file_chunks(spark, sf))).select("path", "rank")
     return files.enriched(hits, fx.file_index(spark, sf)).select("path", "rank", "size", "lines", F.md5("head").alias("head"))
 
 
@@ -346,14 +347,15 @@ def mail_ingest_filter(spark, sf):
 def mail_search(spark, sf):
     m = fx.emails(spark, sf)
     rows = fx.chunk_vectors(spark, sf).join(m.select(F.col("message_id").alias("doc_id"), "subject", "sender"), "doc_id")
-    hits = search.scored(rows, fx.query_vector(spark, sf)).where("similarity > 0.15").orderBy(F.desc("similarity"), "doc_id", "chunk_index").limit(15)
+    hits = search.scored(rows, fx.query_vector(spark, sf)).drop("vector").where("similarity > 0.15").orderBy(F.desc("similarity"), "doc_id", "chunk_index").limit(15)
+    hits = search.with_content(hits, fx.file_chunks(spark, sf))
     return hits.select(F.col("doc_id").alias("message_id"), "chunk_index", text.sender_name(F.col("sender")).alias("sender"), text.preview(F.col("content")).alias("preview"), r6("similarity"))
 
 
 @query
 def recent_mail(spark, sf):
     m = fx.emails(spark, sf)
-    first = fx.file_chunks(spark, sf).where("chunk_index = 0 and doc_id % 2 = 0").select(F.col("doc_id").alias("message_id"), "content")
+    first = fx.file_chunks(spark, sf).where("chunk_index = 0").select(F.col("doc_id").alias("message_id"), "content")
     return m.join(first, "message_id", "left").orderBy(F.desc("indexed_at"), "message_id").limit(30).select("message_id", "subject", "indexed_at", text.preview(F.coalesce("content", F.lit(""))).alias("preview"))
 
 
@@ -443,8 +445,7 @@ def concept_summaries(spark, sf):
 @query
 def versioned_store(spark, sf):
     """Upserts, deletes and a compaction in a table store, then its state."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
-    s = store.TableStore(spark, f"{root}/store-{uuid.uuid4().hex}")
+    s = store.TableStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
     m = fx.memories(spark, sf).select("id", "vec_id", "memory_type", "importance")
     s.upsert("memories", m)
     s.upsert("memories", m.where("vec_id % 4 = 0").withColumn("importance", F.lit(1.0)))
@@ -466,12 +467,13 @@ def migration_report(spark, sf):
 
 
 def _edges(spark, sf, above=0.3):
-    return search.pairs_above(fx.memories(spark, sf), 5, above)
+    return fx.edges(spark, sf, above)
 
 
 @query
 def knn_edges(spark, sf):
-    return _edges(spark, sf).select("src", "dst", r6("similarity"))
+    """The join itself; the other graph queries read its stored result."""
+    return search.pairs_above(fx.memories(spark, sf), 5, 0.3).select("src", "dst", r6("similarity"))
 
 
 @query
@@ -617,11 +619,13 @@ def url_rollup(spark, sf):
 @query
 def fused_context_budget(spark, sf):
     q = fx.query_vector(spark, sf)
-    chunks = fx.chunk_vectors(spark, sf)
-    mail = search.scored(chunks.where("doc_id % 3 = 0"), q).orderBy(F.desc("similarity"), "doc_id", "chunk_index").limit(5).select(F.lit("email").alias("source"), F.concat_ws("/", "doc_id", "chunk_index").alias("id"), "content", "similarity")
-    found = _hits(spark, sf).limit(10).select(F.lit("file").alias("source"), F.concat_ws("/", "doc_id", "chunk_index").alias("id"), "content", "similarity")
-    system = chunks.where("chunk_index = 0").orderBy("doc_id").limit(8).select(F.lit("system").alias("source"), F.concat_ws("/", "doc_id", "chunk_index").alias("id"), "content", F.lit(0.0).alias("similarity"))
-    return search.budget(mail.unionByName(found).unionByName(system)).select("source", "id", "chars", F.md5("content").alias("content"))
+    vectors_, chunks = fx.chunk_vectors(spark, sf), fx.file_chunks(spark, sf)
+    named = lambda df, source, s: df.select(F.lit(source).alias("source"), F.concat_ws("/", "doc_id", "chunk_index").alias("id"), "content", s)
+    mail = search.scored(vectors_.where("doc_id % 3 = 0"), q).drop("vector").orderBy(F.desc("similarity"), "doc_id", "chunk_index").limit(5)
+    system = chunks.where(F.contains(F.lower("content"), F.lit("the and"))).orderBy("doc_id", "chunk_index").limit(8)
+    found = search.with_content(mail.withColumn("source", F.lit("email")).unionByName(_hits(spark, sf).limit(10).select("file_path", "doc_id", "chunk_index", "similarity", F.lit("file").alias("source"))), chunks)
+    both = found.select("source", F.concat_ws("/", "doc_id", "chunk_index").alias("id"), "content", "similarity")
+    return search.budget(both.unionByName(named(system, "system", F.lit(0.0).alias("similarity")))).select("source", "id", "chars", F.md5("content").alias("content"))
 
 
 @query
@@ -647,7 +651,7 @@ def attention_rerank(spark, sf):
 
 @query
 def pattern_boost(spark, sf):
-    p = fx.memories(spark, sf).where("vec_id % 10 = 5").select("id", "vector", F.col("importance").alias("quality"))
+    p = fx.memories(spark, sf).select("id", "vector", F.col("importance").alias("quality"))
     return search.pattern_boost(p, fx.query_vector(spark, sf)).select(r6("boost"))
 
 
@@ -666,17 +670,13 @@ def query_log(spark, sf):
 
 @query
 def fan_out(spark, sf):
-    """Six sources searched by one text, each on its own, tagged with its source."""
-    needle = F.lit("the")
-    hit = lambda df, name, key, c: df.where(F.contains(F.lower(c), needle)).orderBy(key).limit(5).select(F.lit(name).alias("source"), F.col(key).cast("string").alias("id"))
-    parts = [
-        hit(_docs(spark, sf), "document", "doc_id", "text"), hit(fx.emails(spark, sf), "email", "message_id", "subject"), hit(_turns(spark, sf).where("turn = 0"), "chat", "conv_id", "text"),
-        hit(fx.table(spark, sf, "pages"), "page", "page_id", "html"), hit(fx.activity(spark, sf), "activity", "id", "window_title"), hit(fx.file_index(spark, sf), "file", "path", "name"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Sources searched by one text, each on its own, tagged with its source; one of them isn't there."""
+    sources = {
+        "document": (lambda: _docs(spark, sf), ["doc_id"], "text"), "email": (lambda: fx.emails(spark, sf), ["message_id"], "subject"), "chat": (lambda: _turns(spark, sf), ["conv_id", "turn"], "text"),
+        "page": (lambda: fx.table(spark, sf, "pages"), ["page_id"], "html"), "activity": (lambda: fx.activity(spark, sf), ["id"], "window_title"), "file": (lambda: fx.file_index(spark, sf), ["path"], "name"),
+        "missing": (lambda: fx.table(spark, sf, "no such table"), ["id"], "text"),
+    }
+    return search.fan_out(sources, "the", 5)
 
 
 # Learning
@@ -747,9 +747,9 @@ def weighted_sample(spark, sf):
 
 @query
 def debounce_sessions(spark, sf):
-    e = fx.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("/p/"), "user_id").alias("path"))
-    out = e.groupBy(F.session_window("ts", "10 minutes").alias("w")).agg(F.count("*").alias("changes"), F.count_distinct("path").alias("paths"))
-    return out.select(F.unix_millis(F.col("w.start")).alias("start_ms"), F.unix_millis(F.col("w.end")).alias("end_ms"), "changes", "paths")
+    e = fx.table(spark, sf, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.concat(F.lit("/p/"), "user_id").alias("path"))
+    out = records.bursts(e, "us", "path", 600_000_000)
+    return out.select(F.floor(F.col("start") / 1000).alias("start_ms"), F.floor(F.col("end") / 1000).alias("end_ms"), "changes", "paths")
 
 
 def _stream(spark, sf):
@@ -757,20 +757,20 @@ def _stream(spark, sf):
 
 
 def _stream_dir(spark):
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query
 def stream_debounce(spark, sf):
     rows = _stream(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("/p/"), "user_id").alias("path"))
-    return streams.run_to_table(streams.debounced(rows, "10 minutes"), f"debounced_{uuid.uuid4().hex}", _stream_dir(spark), "complete")  # the input ends: its last burst too
+    out = streams.run_to_table(streams.debounced(rows, "10 minutes"), _stream_dir(spark), "complete")  # the input ends: its last burst too
+    return out.select(F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "changes", "paths")
 
 
 @query
 def stream_activity_changes(spark, sf):
     rows = _stream(spark, sf).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    out = streams.run_to_table(streams.changed_only(rows, "user_id", ["event_type"]), f"changes_{uuid.uuid4().hex}", _stream_dir(spark))
+    out = streams.run_to_table(streams.changed_only(rows, "user_id", ["event_type"]), _stream_dir(spark))
     return out.groupBy("user_id").agg(F.count("*").alias("changes"))
 
 

@@ -15,6 +15,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def rename_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder to a name that isn't taken; if it is, the folder goes and nothing else changes. The rename itself fails on a
+    taken name, so of two writers one wins."""
+    jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    old, new = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    fs = new.getFileSystem(conf)
+    fs.mkdirs(new.getParent())
+    try:
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf)
+        context.rename(old, new, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        return True
+    except Exception:
+        if not fs.exists(new):
+            raise
+    fs.delete(old, True)
+    return False
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -29,11 +47,7 @@ class TableStore:
     def _place(self, df: DataFrame, folder: str, name: str) -> None:
         aside = f"{self.root}/_aside/{uuid.uuid4().hex}"
         df.write.parquet(aside)
-        target = self._path(f"{folder}/{name}")
-        fs = target.getFileSystem(self._conf)
-        fs.mkdirs(target.getParent())
-        if fs.exists(target) or not fs.rename(self._path(aside), target):
-            fs.delete(self._path(aside), True)
+        if not rename_new(self.spark, aside, f"{folder}/{name}"):
             raise RuntimeError(f"version {name} of {folder} was written by another writer; retry")
 
     def _versions(self, table: str) -> tuple[int, list[int]]:
@@ -45,18 +59,28 @@ class TableStore:
         base, log = self._versions(table)
         return bool(base or log)
 
-    def _append(self, table: str, rows: DataFrame, gone: bool) -> int:
+    def _append(self, table: str, rows: DataFrame, gone: bool | None) -> int:
+        """One version of rows; they bring `_gone` themselves where it is None."""
         base, log = self._versions(table)
         version = max([base, *log]) + 1
-        self._place(rows.withColumns({"_version": F.lit(version), "_gone": F.lit(gone)}), f"{self.root}/{table}/log", f"{version:012d}")
+        marked = rows if gone is None else rows.withColumn("_gone", F.lit(gone))
+        self._place(marked.withColumn("_version", F.lit(version)), f"{self.root}/{table}/log", f"{version:012d}")
         return version
 
     def upsert(self, table: str, rows: DataFrame) -> int:
         return self._append(table, rows, False)
 
+    def insert_new(self, table: str, key: list[str], rows: DataFrame) -> int:
+        """Rows whose key is there already are ignored."""
+        return self.upsert(table, rows.join(self.read(table, key).select(*key), key, "left_anti").select(*rows.columns) if self.exists(table) else rows)
+
     def delete(self, table: str, keys: DataFrame) -> int:
         return self._append(table, keys, True)
 
+    def delete_where(self, table: str, key: list[str], condition) -> int:
+        """All rows that a condition holds for, such as those of one source."""
+        return self.delete(table, self.read(table, key).where(condition).select(*key))
+
     def read(self, table: str, key: list[str]) -> DataFrame:
         base, log = self._versions(table)
         paths = ([f"{self.root}/{table}/base/{base:012d}"] if base else []) + [f"{self.root}/{table}/log/{v:012d}" for v in log]
@@ -69,11 +93,11 @@ class TableStore:
         return latest(rows, key)
 
     def replace_where(self, table: str, key: list[str], group: str, rows: DataFrame) -> int:
-        """All rows of the groups that `rows` holds are replaced by them, as when a file is indexed again."""
-        if self.exists(table):
-            old = self.read(table, key).join(rows.select(group).distinct(), group, "left_semi")
-            self.delete(table, old.join(rows.select(*key), key, "left_anti"))
-        return self.upsert(table, rows)
+        """All rows of the groups that `rows` holds are replaced by them, as when a file is indexed again; in one version."""
+        if not self.exists(table):
+            return self.upsert(table, rows)
+        old = self.read(table, key).join(rows.select(group).distinct(), group, "left_semi").join(rows.select(*key), key, "left_anti")
+        return self._append(table, rows.withColumn("_gone", F.lit(False)).unionByName(old.withColumn("_gone", F.lit(True)), allowMissingColumns=True), None)
 
     def compact(self, table: str, key: list[str]) -> None:
         base, log = self._versions(table)

@@ -29,14 +29,14 @@ def changed_only(events: DataFrame, key: str, values: list[str], ts: str = "ts")
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values([ts, *values])
-        keep = []
-        for row in rows[values].itertuples(index=False, name=None):
-            now = tuple(None if v is None else str(v) for v in row)
-            keep.append(now != last)
-            last = now
-        state.update(last)
-        yield rows.loc[keep, names]
+        rows = pd.concat(list(batches)).sort_values([ts, *values]).reset_index(drop=True)
+        now = rows[values].astype("string")
+        before = now.shift()
+        same = ((now == before) | (now.isna() & before.isna())).fillna(False).all(axis=1).to_numpy(bool)
+        first, end = (tuple(None if pd.isna(v) else v for v in now.iloc[i]) for i in (0, -1))
+        same[0] = first == last  # only the edge needs the state
+        state.update(end)
+        yield rows.loc[~same, names]
 
     return events.groupBy(key).applyInPandasWithState(step, schema, ", ".join(f"v{i} string" for i in range(len(values))), "append", GroupStateTimeout.NoTimeout)
 
@@ -47,10 +47,14 @@ def import_available(stream: DataFrame, checkpoint: str, sink: Callable[[DataFra
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that is there now, written as Parquet below a shared folder and read from there. A batch that is tried again replaces
+    itself; in complete mode each batch replaces the one before."""
+    spark = stream.sparkSession
+    sink = lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n if mode == 'append' else 0}")
+    stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/out/batch=-1")  # a folder is there, whatever came
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)
 
 
 def as_stream(spark, table: DataFrame, path: str) -> DataFrame:
