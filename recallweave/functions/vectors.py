@@ -102,6 +102,13 @@ def unpacked(b: Column) -> Column:
     return unpack(b)
 
 
+def decoded_rows(rows, blob: str, listed: str):
+    """rows with `vector` (doubles) from float32 bytes or else a JSON list; those with neither are dropped."""
+    from_list = F.from_json(listed, "array<double>")
+    decoded = F.coalesce(unpacked(F.col(blob)).cast("array<double>"), F.when(F.size(from_list) > 0, from_list))
+    return rows.withColumn("vector", decoded).where(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()))
+
+
 def _places(text: str, dim: int) -> np.ndarray:
     low = text.lower()
     out = np.zeros(dim)

@@ -79,15 +79,17 @@ def pairs_above(rows: DataFrame, k: int, above: float, key: str = "id", vector:
         asks = asked.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(m)).cast("int").alias("i"), all_blocks.alias("j"), F.lit(0).alias("side"), "id", "v", "w")
         met = asks.unionByName(own.select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), "id", "v", "w"))
 
+    asked_only = only is not None
+
     def best(group: pa.Table) -> pa.Table:
         side, ids, w = np.asarray(group.column("side")), group.column("id").to_numpy(zero_copy_only=False), np.asarray(group.column("w"))
         x = np.asarray(group.column("v").combine_chunks().flatten()).reshape(len(ids), -1)
         x = x / np.maximum(np.linalg.norm(x, axis=1), vectors.TINY)[:, None]
-        a, b = (side == 0, side == 1) if only is not None or group.column("i")[0] != group.column("j")[0] else (side == 0, side == 0)
+        a, b = (side == 0, side == 1) if asked_only or group.column("i")[0] != group.column("j")[0] else (side == 0, side == 0)
         found = []
         if a.any() and b.any():
             found = _best(x[a], w[b], ids[a], ids[b], x[b], k, above)
-            if only is None and a is not b and not (a == b).all():
+            if not asked_only and a is not b:
                 found += _best(x[b], w[a], ids[b], ids[a], x[a], k, above)
         src, dst, sim = zip(*found, strict=True) if found else ((), (), ())
         return pa.table({"src": pa.array(src, pa.string()), "dst": pa.array(dst, pa.string()), "similarity": pa.array(sim, pa.float64())})

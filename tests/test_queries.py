@@ -7,8 +7,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from recallweave.plans.oracles import ORACLES
-from recallweave.plans.queries import QUERIES
+from recallweave.plans import assist, oracles, queries
+
+ORACLES, QUERIES = oracles.ORACLES | assist.ORACLES, queries.QUERIES | assist.QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events documents embeddings pages conversations".split()
