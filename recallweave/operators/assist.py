@@ -183,7 +183,7 @@ def thoughts(outcomes: DataFrame) -> DataFrame:
     """A thought for each learning outcome (id, reward, timestamp): an evaluation of a good one, else a reflection."""
     quality = labels.reward_quality(F.col("reward"))
     sure = F.least(F.abs("reward"), F.lit(1.0))
-    said = F.format_string("SONA trajectory recorded: reward=%.2f, quality=%.2f", F.col("reward"), quality)
+    said = F.format_string("Trajectory recorded: reward=%.2f, quality=%.2f", F.col("reward"), quality)
     return outcomes.select("id", F.when(F.col("reward") > 0, "Evaluation").otherwise("Reflection").alias("kind"), said.alias("content"), sure.alias("confidence"), F.lit(0.5).alias("novelty"), sure.alias("utility"), "timestamp")
 
 

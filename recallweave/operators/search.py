@@ -85,11 +85,12 @@ def pairs_above(rows: DataFrame, k: int, above: float, key: str = "id", vector:
         side, ids, w = np.asarray(group.column("side")), group.column("id").to_numpy(zero_copy_only=False), np.asarray(group.column("w"))
         x = np.asarray(group.column("v").combine_chunks().flatten()).reshape(len(ids), -1)
         x = x / np.maximum(np.linalg.norm(x, axis=1), vectors.TINY)[:, None]
-        a, b = (side == 0, side == 1) if asked_only or group.column("i")[0] != group.column("j")[0] else (side == 0, side == 0)
+        apart = asked_only or group.column("i")[0] != group.column("j")[0]
+        a, b = side == 0, side == (1 if apart else 0)
         found = []
         if a.any() and b.any():
             found = _best(x[a], w[b], ids[a], ids[b], x[b], k, above)
-            if not asked_only and a is not b:
+            if apart and not asked_only:
                 found += _best(x[b], w[a], ids[b], ids[a], x[a], k, above)
         src, dst, sim = zip(*found, strict=True) if found else ((), (), ())
         return pa.table({"src": pa.array(src, pa.string()), "dst": pa.array(dst, pa.string()), "similarity": pa.array(sim, pa.float64())})

@@ -432,7 +432,7 @@ def bridge_import(spark, sf):
 
 
 @query("""WITH r AS (SELECT event_id AS id, (event_id % 21 - 10) / 5 AS reward FROM events)
-SELECT id, CASE WHEN reward > 0 THEN 'Evaluation' ELSE 'Reflection' END AS kind, printf('SONA trajectory recorded: reward=%.2f, quality=%.2f', reward, least(greatest((reward + 1) / 2, 0), 1)) AS content, round(least(abs(reward), 1), 6) AS confidence FROM r ORDER BY id DESC LIMIT 10""")
+SELECT id, CASE WHEN reward > 0 THEN 'Evaluation' ELSE 'Reflection' END AS kind, printf('Trajectory recorded: reward=%.2f, quality=%.2f', reward, least(greatest((reward + 1) / 2, 0), 1)) AS content, round(least(abs(reward), 1), 6) AS confidence FROM r ORDER BY id DESC LIMIT 10""")
 def recent_thoughts(spark, sf):
     e = fx.table(spark, sf, "events").select(F.col("event_id").alias("id"), ((F.col("event_id") % 21 - 10) / 5).alias("reward"), F.col("event_id").alias("timestamp"))
     return records.last_n(assist.thoughts(e), [F.desc("timestamp")], 10).select("id", "kind", "content", r6("confidence"))
