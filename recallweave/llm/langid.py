@@ -56,6 +56,8 @@ def _ngrams(raw: np.ndarray, at: np.ndarray):
     letter = norm != 0x20
     keep = letter.copy()
     keep[1:] |= letter[:-1]
+    first = offsets[:-1][np.diff(offsets) > 0]
+    keep[first] = letter[first]  # what stands before a text is no part of it
     doc = np.repeat(np.arange(len(at) - 1), np.diff(offsets))
     norm, letter, doc = norm[keep], letter[keep], doc[keep]
     symbol = mix(norm.astype(U64))

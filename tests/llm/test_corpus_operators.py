@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -46,16 +47,47 @@ def test_language_held_out(spark, docs):
     assert sum(r.lang_pred == r.lang for r in held) / len(held) > 0.97 and all(0 <= r.score <= 1 for r in rows)
 
 
-def test_language_counts_match_sets(docs):
+def all_ngrams(text):
+    """A run of anything but letters is one space, none at the start; n-grams of all orders, but no lone space."""
+    norm = ""
+    for c in text:
+        if c.isalpha():
+            norm += c.lower() if len(c.lower()) == 1 else c
+        elif norm and norm[-1] != " ":
+            norm += " "
+    return [(n, norm[i : i + n]) for n in langid.ORDERS for i in range(len(norm) - n + 1) if n > 1 or norm[i] != " "]
+
+
+def test_language_filters_against_sets(docs):
+    """Counts from masks, less false positives, against exact sets of n-grams; a language has fewer rows than the sample's bound."""
+    rows = [(r.text, r.lang) for r in docs.collect() if r.text and r.lang]
     model = langid.fit(docs)
-    raw, at = block("The ounce of the and", "")
-    shares, total = model.score(raw, at)
-    grams = [set(), set()]
-    for n in (1, 2, 3, 4):
-        t = "the ounce of the and"
-        grams[0] |= {(n, t[i : i + n]) for i in range(len(t) - n + 1)}
-    assert total[0] == sum(len([i for i in range(20 - n + 1) if n > 1 or "the ounce of the and"[i] != " "]) for n in (1, 2, 3, 4)) and total[1] == 0
-    assert model.languages[int(np.argmax(shares[0]))] == "en"
+    counts = {k: collections.Counter() for k in model.languages}
+    for t, k in rows:
+        counts[k].update(all_ngrams(t))
+    total = collections.Counter()
+    for k, found in counts.items():
+        for (n, _), c in found.items():
+            total[k, n] += c
+    rate = {k: {g: c / total[k, g[0]] for g, c in found.items() if c >= 2e-5 * total[k, g[0]]} for k, found in counts.items()}
+    top = collections.defaultdict(float)
+    for found in rate.values():
+        for g, r in found.items():
+            top[g] = max(top[g], r)
+    member = {k: {g for g, r in found.items() if r >= 0.4 * top[g]} for k, found in rate.items()}
+    reach = [sum(counts[k][g] for g in member[k]) / sum(counts[k].values()) for k in model.languages]
+    assert model.reach == pytest.approx(reach, rel=1e-9)
+    texts = ["the end", " 12 Zürich, ab", "", "a", "?!", "x", *[t for t, _ in rows[:150]]]
+    shares, sizes = model.score(*block(*texts))
+    for t, share, size in zip(texts, shares, sizes):
+        grams = all_ngrams(t)
+        assert size == len(grams)
+        for k, name in enumerate(model.languages):
+            exact, fp = sum(g in member[name] for g in grams), model.false_positive[k]
+            corrected = share[k] * model.reach[k] * max(size, 1)
+            assert corrected * (1 - fp) + fp * size >= exact - 1e-6  # a filter forgets nothing
+            assert abs(corrected - exact) <= 0.02 * size + 3
+    assert all(model.score(*block(t))[0] == pytest.approx(share[None]) for t, share in zip(texts[:20], shares))  # whatever stands beside a text
 
 
 def test_nearest_against_brute_force(spark):
@@ -144,6 +176,45 @@ def test_phrases_do_not_depend_on_offset():
     assert fingerprint.fingerprints([b"", b"a", b"aaaa"])[0].size == 0
 
 
+def plain_phrases(text, min_span=fingerprint.MIN_SPAN):
+    """(name, span) of the kept phrases of all levels, symbol by symbol."""
+    full = (1 << 64) - 1
+    mixed = lambda x: int(textkit.mix(np.array([x & full], np.uint64))[0])
+    seed, place = [int(x) for x in fingerprint._SEED], [int(x) for x in fingerprint._PLACE]
+    lowest = lambda x: (x & -x).bit_length() - 1
+    symbols, kept, level = [(mixed(ord(c) + seed[2]), 1) for c in text], set(), 0
+    while symbols:
+        level += 1
+        if len(symbols) == 1:
+            return kept | set(symbols)
+        runs = [(s, len(x := [w for _, w in run]), sum(x)) for s, run in itertools.groupby(symbols, lambda x: x[0])]
+        symbols = [(mixed(s + n * seed[0] + level), w) for s, n, w in runs]
+        label = [s for s, _ in symbols]
+        for toss in range(4):
+            beside = [label[0] ^ (full if toss == 0 else 1), *label[:-1]]
+            at = [lowest(a ^ b) for a, b in zip(label, beside)]
+            label = [2 * i + (a >> i & 1) for a, i in zip(label, at)]
+        after = [*label[1:], -1]
+        starts = [i for i in range(len(label)) if i == 0 or (label[i] > label[i - 1] and label[i] >= after[i])]
+        phrases = [symbols[a:b] for a, b in zip(starts, [*starts[1:], len(symbols)])]
+        symbols = [(mixed(mixed_sum(p, place) + len(p) * seed[1]), sum(w for _, w in p)) for p in phrases]
+        kept |= {x for x in symbols if x[1] >= min_span}
+    return kept
+
+
+def mixed_sum(phrase, place):
+    return sum(s * place[j % len(place)] for j, (s, _) in enumerate(phrase))
+
+
+def test_parse_against_a_loop():
+    rng = np.random.default_rng(8)
+    drawn = ["".join(rng.choice(list(letters), n)) for letters, n in (("ab", 300), ("abc ", 900), ("the of\né文", 1500), ("abcdefghijklmnopqrstuvwxyz ", 2000))]
+    texts = ["", "a", "aaaa", "ab" * 60, "é𝔘文" * 9 + "zz", *drawn, drawn[0] + drawn[2], "a" * 500 + drawn[1]]
+    name, span, doc = fingerprint.phrase_names(*block(*texts))
+    for d, t in enumerate(texts):
+        assert set(zip(name[doc == d].tolist(), span[doc == d].tolist())) == plain_phrases(t)
+
+
 def test_rollup(spark, tmp_path):
     r = rollups.TokenRollup(spark, str(tmp_path))
     row = lambda *x: spark.createDataFrame([x], "source string, lang string, tokenizer string, sign int, tokens long, chars long")
@@ -348,6 +419,40 @@ def test_passages_of_shared_and_missing_ids(spark):
     assert not any(t == c and i is None for c in clean[:50] for i, t in kept)  # the id comes first
 
 
+def plain_kind(c):
+    if chr(c).isascii() and chr(c).isalnum():
+        return 0 if chr(c).isupper() else 1 if chr(c).islower() else 2
+    for kind, chars in ((3, b" \t\r\x0b\x0c"), (4, b"\n"), (5, b".,;:'\"-()"), (6, b"!?"), (7, b"|/\\_=<>[]{}")):
+        if c in chars:
+            return kind
+    return 8 if 0x21 <= c < 0x7F or c < 9 else 9
+
+
+def plain_statistics(text):
+    raw = text.encode()
+    low = raw.lower()  # of ASCII
+    share = lambda a, b: a / max(b, 1)
+    kinds = collections.Counter(map(plain_kind, raw))
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    n, size = len(spans), [b - a for a, b in spans]
+    mean = share(sum(size), n)
+    words = collections.Counter(low[a:b] for a, b in spans)
+    sets = [[plain_kind(c) for c in raw[a:b]] for a, b in spans]
+    letters = [sum(k in (0, 1, 9) for k in s) for s in sets]
+    pairs = {low[a : spans[i + 1][1]] for i, (a, _) in enumerate(spans[:-1])}
+    lines = [x for x in low.split(b"\n") if x]
+    return [
+        np.log1p(len(raw)), np.log1p(n), *[share(kinds[k], len(raw)) for k in range(10)], mean, np.sqrt(max(share(sum(x * x for x in size), n) - mean**2, 0)), len(words) / np.sqrt(max(n, 1)), share(len(words), n),
+        share(max(words.values(), default=0), n), share(sum(m > 0 and s.count(0) == m and len(s) > 1 for s, m in zip(sets, letters)), n), share(sum(any(k in (6, 7, 8) for k in s) for s in sets), n), share(letters.count(0), n),
+        share(len(pairs), n - 1) if n > 1 else 0, np.log1p(len(lines)), share(len(set(lines)), len(lines)), np.log1p(share(len(raw), len(lines))),
+    ]
+
+
+def test_statistics_against_a_loop(docs):
+    texts = ["", " ", "a", "A B", "NASA nasa Nasa!", "x\n\nx\ny", "\n", "12 | <b> é文\x01\x7f\t.", "a b a b a b", *[r.text or "" for r in docs.limit(150).collect()], ""]
+    assert quality.block_statistics(*block(*texts)) == pytest.approx(np.array([plain_statistics(t) for t in texts]), abs=1e-9)
+
+
 def test_isotonic():
     x, y = np.arange(6.0), np.array([0, 1, 0, 1, 1, 0.0])
     _, v = quality.isotonic(x, y)
