@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -102,22 +103,27 @@ def pairs_above(rows: DataFrame, k: int, above: float, key: str = "id", vector:
 
 class InvertedFileIndex:
     """An index of cells around k-means centres; a search probes the nearest cells and ranks exactly there.
+    With a folder (one that all executors share) rows are written there by cell, so a probe reads its cells only; without, every search assigns them again.
     Deleted ids are tombstones until they exceed a fifth, when the index is rebuilt without them."""
 
-    def __init__(self, rows: DataFrame, cells: int = 16, key: str = "id", vector: str = "vector", seed: int = 7):
+    def __init__(self, rows: DataFrame, cells: int = 16, key: str = "id", vector: str = "vector", seed: int = 7, folder: str | None = None):
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        self.cells, self.seed = cells, seed
+        self.cells, self.seed, self.folder = cells, seed, folder
         ready = rows.select(F.col(key).alias("id"), vectors.normalize(F.col(vector).cast("array<double>")).alias("vector")).withColumn("features", array_to_vector("vector"))
         self.model = KMeans(k=cells, seed=seed, maxIter=12).fit(ready)
         self.rows = self.model.transform(ready).select("id", "vector", F.col("prediction").alias("cell"))
+        if folder:
+            path = f"{folder}/cells-{uuid.uuid4().hex}"
+            self.rows.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("cell").parquet(path)
+            self.rows = rows.sparkSession.read.schema(self.rows.schema).parquet(path)
         self.stale: DataFrame | None = None
 
     def delete(self, ids: DataFrame) -> InvertedFileIndex:
         self.stale = ids if self.stale is None else self.stale.unionByName(ids).distinct()
         if self.stale.count() > 0.2 * self.rows.count():
-            return InvertedFileIndex(self.rows.join(self.stale, "id", "left_anti"), self.cells, seed=self.seed)
+            return InvertedFileIndex(self.rows.join(self.stale, "id", "left_anti"), self.cells, seed=self.seed, folder=self.folder)
         return self
 
     def search(self, query: list[float], k: int, probes: int = 4) -> DataFrame:

@@ -729,7 +729,7 @@ def kmeans_patterns(spark, sf):
 def ivf_recall(spark, sf):
     m = fx.memories(spark, sf)
     q = fx.query_vector(spark, sf).first()[0]
-    return search.InvertedFileIndex(m, 16).search(q, 10, 8).select("id", r6("similarity"))
+    return search.InvertedFileIndex(m, 16, folder=shared_folder(spark)).search(q, 10, 8).select("id", r6("similarity"))
 
 
 @query

@@ -93,11 +93,13 @@ def test_graph(spark):
     assert [r.members for r in graph.hyperedges(h).collect()] == [["x", "y", "z"]]
 
 
-def test_index_recall_and_tombstones(spark):
+def test_index_recall_and_tombstones(spark, tmp_path):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 8))
     df = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(x)], "id string, vector array<double>")
-    index = search.InvertedFileIndex(df, 8)
+    index = search.InvertedFileIndex(df, 8, folder=str(tmp_path))
+    probed = index.search(x[0].tolist(), 10, 2)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [cell" in probed and search.InvertedFileIndex(df, 8).search(x[0].tolist(), 10, 5).collect() == index.search(x[0].tolist(), 10, 5).collect()
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     found, wanted = 0, 0
     for i in range(5):
