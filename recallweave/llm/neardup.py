@@ -202,7 +202,9 @@ def _compare_blocks(rows: DataFrame, n: int | None, texts: DataFrame, words_in_s
     """Links (a, b) from rows (n at most) of blocks. Texts are fetched only for the sets that have a partner."""
     order = [c.split()[0] for c in BLOCK_ROW.replace("tree:int,", "").split(", ")]
     able = settle(rows.select(*order).repartition("block").sortWithinPartitions("block").mapInArrow(_take_part(percent), BLOCK_ROW), "blocks", n)
-    ready = able.join(texts, ["rep", "written"]).select(*order, "text").repartition("block").sortWithinPartitions("block")
+    # By the narrow keys first: where these fit a broadcast, only the texts that are needed are shuffled.
+    needed = texts.join(able.select("rep", "written"), ["rep", "written"], "left_semi")
+    ready = able.join(needed, ["rep", "written"]).select(*order, "text").repartition("block").sortWithinPartitions("block")
     return settle(ready.mapInArrow(_link(words_in_shingle, percent), "a long, b long"), "near", able.count(), TEXTS_A_TASK)
 
 
