@@ -97,3 +97,31 @@ def one_of_equal(df: DataFrame, *keys: str) -> DataFrame:
     again = settle(again, "again", df.count())
     single = hashed.join(again, name, "left_anti").select(*keys)
     return single.unionByName(hashed.join(again, name, "left_semi").groupBy(*keys).agg(F.count("*")).select(*keys))
+
+
+#: Bits of a Bloom filter for each key, the most that one has (8 MB, the bound of what is broadcast), and the places that a key marks.
+BITS_A_KEY, MOST_BITS, PLACES = 16, 1 << 26, 3
+
+
+def maybe_in(df: DataFrame, column: str, keys: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """df without most of the rows whose `column` is null or isn't in the same column of `keys` (a written table); rows that are in it all stay.
+    A join after it shuffles little more than it keeps. Where the keys are so many that a filter of `most_bits` would let
+    most rows pass, df comes back as it is."""
+    n = keys.count()
+    words = 1 << max(0, (max(1, min(BITS_A_KEY * n, most_bits)) - 1).bit_length() - 6)
+    if 64 * words < n:
+        return df
+    slots = [F.pmod(F.xxhash64(F.col(column), F.lit(place)), F.lit(64 * words)) for place in range(PLACES)]
+
+    def word(slot):
+        return F.shiftright(slot, 6).cast("int")
+
+    def bit(slot):
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+
+    marks = keys.select(F.explode(F.array(*slots)).alias("slot")).select(word(F.col("slot")).alias("word"), bit(F.col("slot")).alias("bits"))
+    marks = marks.unionByName(df.sparkSession.range(words).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits")))
+    marks = settle(marks.groupBy("word").agg(F.bit_or("bits").alias("bits")), "filter", words)
+    bits = marks.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"])).scalar()
+    known = [F.get(bits, word(slot)).bitwiseAND(bit(slot)) != 0 for slot in slots]
+    return df.where(known[0] & known[1] & known[2])

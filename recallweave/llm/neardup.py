@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTES_A_FILE, in_files, one_of_equal, settle
+from .common import BYTES_A_FILE, in_files, maybe_in, one_of_equal, settle
 from .components import components
 from .textkit import BLOCK_BYTES, U64, blocks, constants, groups, mix, shingle_hashes
 
@@ -198,14 +198,25 @@ BLOCK_ROW = "block long, tree int, id long, n long, label long, sketch binary, k
 TEXTS_A_TASK = 4000
 
 
-def _compare_blocks(rows: DataFrame, n: int | None, texts: DataFrame, words_in_shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) from rows (n at most) of blocks. Texts are fetched only for the sets that have a partner."""
+def _able(rows: DataFrame, n: int | None, percent: int) -> DataFrame:
+    """Of rows (n at most) of blocks, those of sets that have a partner to be compared with."""
     order = [c.split()[0] for c in BLOCK_ROW.replace("tree:int,", "").split(", ")]
-    able = settle(rows.select(*order).repartition("block").sortWithinPartitions("block").mapInArrow(_take_part(percent), BLOCK_ROW), "blocks", n)
-    ready = able.join(texts, ["rep", "written"]).select(*order, "text").repartition("block").sortWithinPartitions("block")
+    return settle(rows.select(*order).repartition("block").sortWithinPartitions("block").mapInArrow(_take_part(percent), BLOCK_ROW), "blocks", n)
+
+
+def _compare(able: DataFrame, texts: DataFrame, words_in_shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) inside the blocks of `able`, confirmed on the texts."""
+    ready = able.join(texts, ["rep", "written"]).select(*able.columns, "text").repartition("block").sortWithinPartitions("block")
     return settle(ready.mapInArrow(_link(words_in_shingle, percent), "a long, b long"), "near", able.count(), TEXTS_A_TASK)
 
 
+def _fetch(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of texts whose (rep, written) are in keys, written once for both rounds. Those that a Bloom filter of the keys
+    doesn't know aren't shuffled."""
+    keys = settle(keys.distinct(), "keys")
+    return settle(maybe_in(texts, "rep", keys).join(keys, ["rep", "written"], "left_semi").select("rep", "written", "text"), "texts")
+
+
 def _nodes(sets: DataFrame, n: int) -> tuple[DataFrame, bool]:
     """set_a, set_b, rep, node: the node of a set is its smallest id, and where ids are shared by several sets a hash, with a seed that
     makes all nodes distinct; and whether there are such ids."""
@@ -258,12 +269,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     homes = placed.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("tree", "block"))).alias("keys"))  # at most TREES each
     payload = leaders.select("node", "n", "sketch", "rep", "written").join(homes, "node")
     met = payload.select(F.col("node").alias("id"), "n", F.col("node").alias("label"), "sketch", "keys", "rep", "written", F.explode("keys").alias("k")).select("*", "k.tree", "k.block")
-    links = _compare_blocks(met, TREES * n, texts, words_in_shingle, percent)
+    able = _able(met, TREES * n, percent)
+    crowded = placed.where("over > 1")
+    texts = _fetch(texts, able.select("rep", "written").unionByName(leaders.join(crowded.select("node").distinct(), "node").select("rep", "written")))
+    links = _compare(able, texts, words_in_shingle, percent)
     if shared:  # the sets of an id are one node
         least = members.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("id", "a")
         links = settle(links.unionByName(members.join(settle(least, "least", n), "id").select("a", F.col("node").alias("b"))), "near", n)
     found = components(links)
-    crowded = placed.where("over > 1")
     if crowded.limit(1).count():
         links = settle(links.unionByName(_second_round(crowded, TREES * n, leaders, found, texts, words_in_shingle, percent, block)), "near", n)
         found = components(links)
@@ -332,7 +345,8 @@ def _second_round(crowded: DataFrame, n: int, leaders: DataFrame, found: DataFra
     met = _pairs_of_blocks(rows, shape.where(F.col("outside") <= block), block)
     wide = shape.where(F.col("outside") > block).select("group")
     if wide.limit(1).count():
-        apart = rows.join(wide, "group", "left_semi").select("node", "label").distinct().join(leaders.select("node", "n", "rep", "written"), "node").join(texts, ["rep", "written"]).select("node", "label", "n", "text")
+        apart = rows.join(wide, "group", "left_semi").select("node", "label").distinct().join(leaders.select("node", "n", "rep", "written"), "node")
+        apart = settle(apart, "apart", n).join(texts, ["rep", "written"]).select("node", "label", "n", "text")
         postings = settle(apart.mapInArrow(_shingles(words_in_shingle), "node long, label long, n long, group long"), "postings")
         often = settle(postings.groupBy("group").agg(F.count("*").alias("often"), F.min("label").alias("a"), F.max("label").alias("b")), "often")
         # Linked sets share one of the rarest n - ceil(percent n) + 1 shingles of each, in any one order of all shingles.
@@ -343,4 +357,4 @@ def _second_round(crowded: DataFrame, n: int, leaders: DataFrame, found: DataFra
     none = F.array().cast("array<struct<tree:int,block:long>>")
     payload = leaders.select("node", "n", "sketch", "rep", "written")
     ready = met.join(payload, "node").select("block", F.lit(-1).alias("tree"), F.col("node").alias("id"), "n", "label", "sketch", none.alias("keys"), "rep", "written")
-    return _compare_blocks(ready, None, texts, words_in_shingle, percent)
+    return _compare(_able(ready, None, percent), texts, words_in_shingle, percent)

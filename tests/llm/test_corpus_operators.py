@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallweave.llm import annforest, chat, chunkdedup, fingerprint, langid, mixing, neardup, packing, quality, queries, rollups, textkit
-from recallweave.llm.common import settle
+from recallweave.llm.common import maybe_in, settle
 from recallweave.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -293,6 +293,17 @@ def test_near_duplicates(spark, docs, size):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("n", [0, 1, 3000])
+def test_filter_of_keys(spark, n):
+    keys = settle(spark.range(n).select((F.col("id") * 7).alias("k")), "keys")
+    rows = spark.range(30000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("x").alias("text"))
+    wanted = {7 * i for i in range(1, n)}
+    found = [r.k for r in maybe_in(rows, "k", keys).select("k").collect()]
+    assert wanted <= set(found) and None not in found and len(found) - len(wanted) < 300
+    few = {r.k for r in maybe_in(rows, "k", keys, most_bits=2048).select("k").collect()}
+    assert wanted <= few
+
+
 def test_rows_that_share_an_id(spark):
     """All sets of an id are compared, and are one node."""
     a, b, c = (" ".join(f"{k}{i}" for i in range(n)) for k, n in (("a", 200), ("b", 400), ("c", 90)))
