@@ -125,3 +125,19 @@ def maybe_in(df: DataFrame, column: str, keys: DataFrame, most_bits: int = MOST_
     bits = marks.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"])).scalar()
     known = [F.get(bits, word(slot)).bitwiseAND(bit(slot)) != 0 for slot in slots]
     return df.where(known[0] & known[1] & known[2])
+
+
+def numbered(df: DataFrame, order: list[F.Column], column: str) -> DataFrame:
+    """df with each row's place in the order, from 1. Rows are dealt into ranges and numbered inside each; what comes before a
+    range is a sum over one count for each range, so no task holds more than its range. df is read more than once: give a written table."""
+    at = "__rw_at"
+    sorted_rows = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranges")
+    counts = sorted_rows.groupBy(F.shiftright(at, 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    before, upto = {}, 0
+    for r in counts:
+        before[r.part] = upto
+        upto += r.n
+    offsets = df.sparkSession.createDataFrame(list(before.items()), "__rw_part long, __rw_before long")
+    placed = sorted_rows.join(F.broadcast(offsets), F.shiftright(at, 33) == F.col("__rw_part"))
+    inside = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.select(*df.columns, (F.col("__rw_before") + inside + 1).alias(column))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annforest, chat, chunkdedup, fingerprint, langid, mixing, neardup, packing, quality, rollups
+from . import annforest, chat, chunkdedup, fingerprint, htmltext, langid, maxtree, mixing, neardup, packing, quality, resample, rollups
 from .common import crc_residue, scratch_path, settle, table
 
 
@@ -70,7 +70,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_projection_forest, op3_best_fit, op4_poisson_mix, op5_parse_fingerprint, op6_token_rollup, op7_lsh_forest, op8_prefix_targets, op9_chunk_dedup, op10_quality)}
+def op11_overlap_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10, least_words=20)
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
+def op13_max_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = maxtree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10, b=90)
+    return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_projection_forest, op3_best_fit, op4_poisson_mix, op5_parse_fingerprint, op6_token_rollup, op7_lsh_forest, op8_prefix_targets, op9_chunk_dedup, op10_quality, op11_overlap_resample, op12_consensus_html, op13_max_tree)}
 
 ORACLES = {
     "op4_poisson_mix": r"""
@@ -127,5 +141,52 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(upto) FILTER (WHERE role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
 FROM placed GROUP BY conv_id
+""",
+    "op11_overlap_resample": r"""
+WITH RECURSIVE crc(b, k, c) AS (
+  SELECT b, 0, b FROM range(256) r(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8
+), steps AS (SELECT list(c ORDER BY b) AS t FROM crc WHERE k = 8
+), words AS (
+  SELECT 0 AS side, row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), single AS (SELECT side, row, unnest(w) AS w FROM words
+), kinds AS (SELECT DISTINCT w FROM single
+), coded AS (
+  SELECT w, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(CAST(strlen(w) AS BIGINT)), lambda i: CAST(('0x' || substr(hex(encode(w)), 2 * i + 1, 2)) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS BIGINT) AS bucket FROM kinds, steps
+), held AS (SELECT s.side, s.row, c.bucket FROM single s JOIN coded c USING (w)
+), sums AS (SELECT b.bucket, count(h.row) FILTER (WHERE h.side = 0) AS s, count(h.row) FILTER (WHERE h.side = 1) AS t FROM range(10000) b(bucket) LEFT JOIN held h USING (bucket) GROUP BY b.bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (SELECT sum(s) + 10000 FROM sums) AS DOUBLE) / CAST((s + 1) * (SELECT sum(t) + 10000 FROM sums) AS DOUBLE))) AS BIGINT) AS gain FROM sums
+), weights AS (SELECT row, sum(gain) AS total, count(*) AS n FROM held JOIN gains USING (bucket) WHERE side = 0 GROUP BY row
+), scored AS (
+  SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_features, CAST(CASE WHEN g.n IS NULL THEN 0 ELSE (g.total - (g.total % g.n + g.n) % g.n) // g.n END AS BIGINT) AS weight,
+    CAST(('0x' || substr(sha256('2024:' || coalesce(CAST(w.doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) AS h
+  FROM words w LEFT JOIN weights g USING (row) WHERE w.side = 0
+), summed AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM scored)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_features >= 20 AND row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) <= 10 * count(*) FILTER (WHERE n_features >= 20) OVER () // 100
+    THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) END AS rank
+FROM summed
+""",
+    "op13_max_tree": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), termed AS (SELECT row, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM docs WHERE len(w) > 0
+), stats AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM termed
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), counted AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(w) AS term FROM termed) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), stats
+), scored AS (
+  SELECT a.item_id, c.doc_id, c.row, CAST(sum(w.w * ((1000000000 * c.tf) // (1000 * c.tf + 8 * (10 + (90 * c.n * s.n_docs) // s.n_terms)))) AS BIGINT) AS score
+  FROM asked a JOIN counted c USING (term) JOIN weights w USING (term), stats s GROUP BY a.item_id, c.doc_id, c.row
+), ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """,
 }
