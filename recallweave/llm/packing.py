@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup
-from .common import settle
+from .common import numbered, settle
 from .textkit import groups
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -95,18 +95,31 @@ def _per_shard(capacity: int, per_source: int):
     return run
 
 
+def _near_clusters(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """known_id, known_digest (of texts without an id), component: the near copies' clusters. Texts without an id are one
+    for each digest and get numbers beside those that are ids."""
+    named = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    low, high = named.agg(F.coalesce(F.min("id"), F.lit(0)), F.coalesce(F.max("id"), F.lit(0))).first()
+    texts = docs.where(F.col(key).isNull() & F.col(text).isNotNull()).groupBy(F.md5(text).alias("digest")).agg(F.first(text).alias("text"))
+    texts = numbered(settle(texts, "unnamed"), [F.col("digest")], "place")
+    free = F.lit(high) + F.col("place") if high < 1 << 62 else F.lit(low) - F.col("place")
+    texts = settle(texts.select(free.cast("long").alias("id"), "digest", "text"), "numbered")
+    found = neardup.near_duplicates(named.unionByName(texts.select("id", "text")), "id", "text").where("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("node")).agg(F.min("component_id").alias("component"))
+    known = found.join(texts.select(F.col("id").alias("node"), "digest"), "node", "left")
+    return known.select(F.when(F.col("digest").isNull(), F.col("node")).alias("known_id"), F.col("digest").alias("known_digest"), "component")
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None, near: bool = False) -> DataFrame:
     """id, copy, piece, start (first token), tokens, source, cluster: what is packed. Without a cluster column,
     documents with equal texts are one cluster; with `near`, also those that near copies link."""
     tokens = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     own = F.col(cluster).cast("string") if cluster else F.md5(F.coalesce(F.col(text), F.lit("")))
-    node = F.coalesce(F.col(key).cast("long"), F.xxhash64(F.col(text)))  # rows without an id take part by their text
-    narrow = docs.select(F.col(key).cast("long").alias("id"), tokens.alias("n"), F.col(source).cast("string").alias("source"), own.alias("cluster"), node.alias("node"))
+    unnamed = F.when(F.col(key).isNull(), F.md5(text))  # a text without an id is known by its digest, never by a number that an id could be
+    narrow = docs.select(F.col(key).cast("long").alias("id"), tokens.alias("n"), F.col(source).cast("string").alias("source"), own.alias("cluster"), unnamed.alias("digest"))
     if near:
-        nodes = docs.select(F.col(key).isNull().alias("none"), node.alias("id"), F.col(text).alias("text"))
-        once = nodes.where(~F.col("none")).unionByName(nodes.where("none").dropDuplicates(["id"]))
-        found = neardup.near_duplicates(once, "id", "text").where("n_shingles > 0").groupBy(F.col("doc_id").alias("node")).agg(F.min("component_id").alias("component"))
-        narrow = narrow.join(settle(found, "clusters", docs.count()), "node", "left").withColumn("cluster", F.coalesce(F.col("component").cast("string"), "cluster"))
+        same = narrow["id"].eqNullSafe(F.col("known_id")) & narrow["digest"].eqNullSafe(F.col("known_digest"))
+        narrow = narrow.join(settle(_near_clusters(docs, key, text), "clusters", docs.count()), same, "left").withColumn("cluster", F.coalesce(F.col("component").cast("string"), "cluster"))
     # Rows of one id are alike but for their number; counting them first keeps a hot id out of one task.
     counted = narrow.groupBy("id", "n", "source", "cluster").agg(F.count("*").cast("int").alias("copies"))
     copied = counted.select("id", "n", "source", "cluster", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))

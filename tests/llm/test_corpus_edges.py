@@ -119,6 +119,17 @@ def test_bins_hold_no_near_copies(spark, tmp_path):
     assert len(got) == 8 and len({(r.shard, r.bin) for r in got if r.tokens > 100}) == 4 and len({(r.shard, r.bin) for r in got if not r.tokens}) == 3
 
 
+def test_rows_without_an_id_share_no_cluster_with_a_number(spark):
+    """A null text hashes to the hash's seed, 42, and other texts to numbers that could be ids; neither makes a row a copy of that document."""
+    text = " ".join(f"w{i}" for i in range(60))
+    (hashed,) = spark.sql("select xxhash64('another text of five words or more')").first()
+    rows = [(42, text), (None, None), (7, text + " more"), (None, text + " less"), (None, "another text of five words or more"), (hashed, "nothing like it but as long as that"), ((1 << 63) - 1, "x"), (-(1 << 63) + 9, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    got = {(r.id, r.n): r.cluster for r in packing.pieces(docs, near=True).selectExpr("id", "tokens n", "cluster").collect()}
+    assert len(got) == 8 and got[42, 60] == got[7, 61] == got[None, 61]
+    assert len({got[None, 0], got[None, 7], got[hashed, 8], got[42, 60]}) == 4
+
+
 @pytest.mark.parametrize("rows", [[], [(0, [1.0, 2.0])], [(0, [1.0, 2.0]), (100, [1.0, 2.0]), (0, [3.0, 4.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0])]], ids=["empty", "one", "few"])
 def test_nearest(spark, rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("extra") for c in EXTRA})
