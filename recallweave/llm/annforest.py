@@ -9,7 +9,7 @@ exact distance. The share is found on the sample: the smallest that reaches the
 there against brute force, so clustered data are searched sparsely and shapeless data broadly.
 
 Equal vectors are one entry with the smallest `k + 1` ids: a query needs no more of them, whatever their number.
-Leaves meet queries in blocks bounded in both, and each task sends a query's best few.
+Leaves meet queries in blocks bounded in both, and each block sends a query's best few when it is done.
 
 Edge cases: vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows
 without an id or with another length than most; of rows that share an id the smallest vector counts.
@@ -221,8 +221,8 @@ def nearest(vectors: DataFrame, queries, k: int = 10, key: str = "vec_id", vecto
 
 def _rank(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for rows in groups(batches):
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of this block; the aggregate behind it merges blocks
             kind = np.asarray(rows.column("kind").combine_chunks())
             ids = np.asarray(rows.column("id").combine_chunks())
             x = _matrix(rows.column("v"))
@@ -246,7 +246,6 @@ def _rank(k: int):
                     d = d[first]
                     order = np.lexsort((names, d))[:k]
                     best[int(qid[at + i])] = (d[order], names[order])
-        if best:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(np.array(list(best), np.int64), [len(v[0]) for v in best.values()])), pa.array(np.concatenate([v[1] for v in best.values()])), pa.array(np.concatenate([v[0] for v in best.values()]))],
                 names=["query", "entry", "d"],
