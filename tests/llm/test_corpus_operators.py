@@ -369,14 +369,14 @@ def brute_passages(rows, least):
         hashes = []
         for upto in range(1, len(raw) + 1):
             h = 0
-            for b in raw[max(0, upto - 16) : upto]:
+            for b in raw[max(0, upto - chunkdedup._ROLL) : upto]:
                 h = ((h << 1) + int(chunkdedup._GEAR[b])) & 0xFFFFFFFF
             hashes.append(h)
         at = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
-        before = [hashes[s - 1] if s >= 16 else 0xFFFFFFFF for s in at]
+        before = [hashes[s - 1] if s >= chunkdedup._ROLL else 0xFFFFFFFF for s in at]
         starts = {0}
         for k, s in enumerate(at):
-            if s >= 16 and before[k] == min(before[max(0, k - chunkdedup.REACH) : k + chunkdedup.REACH + 1]):
+            if s >= chunkdedup._ROLL and before[k] == min(before[max(0, k - chunkdedup.REACH) : k + chunkdedup.REACH + 1]):
                 starts.add(s)
         starts = sorted(starts)
         starts = [s for s in starts if s < len(raw)]
@@ -414,6 +414,26 @@ def test_chunk_dedup_against_a_loop(spark):
     assert len(kept[2]) < 400 and passage[150:300] not in kept[2]
 
 
+def test_passages_by_length(spark):
+    """Recall of passages of random words that stand in two documents, by length; no other word is marked but by chance at an end."""
+    rng = np.random.default_rng(12)
+    vocabulary = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(3000)]
+    share = 1 / np.arange(1, 3001)
+    word = lambda n: " ".join(rng.choice(vocabulary, n, p=share / share.sum()))
+    lengths, rows = (15, 25, 28, 30, 40, 60), []
+    for n in lengths:
+        for _ in range(100):
+            passage = word(n)
+            rows += [(2 * len(rows), f"{word(40)} {passage} {word(37)}", n), (2 * len(rows) + 1, f"{word(33)} {passage} {word(45)}", n)]
+    rows = [(i, t, n) for i, (_, t, n) in enumerate(rows)]
+    found = {r.id: r.words for r in chunkdedup.repeated_passages(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert all(i % 2 for i in found)  # the first of the two stays whole
+    recall = {n: sum(i in found for i, _, m in rows[1::2] if m == n) / 100 for n in lengths}
+    assert recall[15] == 0 and recall[25] >= 0.6 and recall[28] >= 0.9 and min(recall[n] for n in (30, 40, 60)) >= 0.98, recall
+    marked = {n: sum(found.get(i, 0) for i, _, m in rows[1::2] if m == n) / (100 * n) for n in lengths}
+    assert marked[30] > 0.8 and marked[60] > 0.9 and all(found[i] <= n + 2 for i, _, n in rows if i in found), marked
+
+
 def test_passages_of_shared_and_missing_ids(spark):
     """Different texts under one id, or under none, are documents of their own; no other text is cut."""
     rng = np.random.default_rng(9)
