@@ -36,10 +36,13 @@ class Remembered(NamedTuple):
 
 def fresh(existing: DataFrame, new: DataFrame, dim: int | None = None, least_bytes: int = 0) -> DataFrame:
     """The rows of new (id, content, vector, memory_type, importance, timestamp) that become memories: with enough content, a vector of
-    the dimension and an id that isn't there. Vectors are normalised, types parsed; decay and access count begin at 0."""
+    the dimension and an id that isn't there; one for each id. Vectors are normalised, types parsed; decay and access count begin at 0."""
     rows = new.where(F.octet_length(text.strip(F.col("content"))) >= least_bytes)
     rows = rows if dim is None else rows.where(F.size("vector") == dim)
     rows = rows.join(existing.select("id"), "id", "left_anti")
+    # Of new rows with one id the first by time, then by content, counts.
+    once = rows.groupBy("id").agg(F.min(F.struct("timestamp", "content", F.col("memory_type").alias("memory_type"), "importance", F.col("vector").alias("vector"))).alias("r"))
+    rows = once.where("id is not null").select("id", "r.*")
     return rows.select("id", "content", vectors.normalize(vectors.doubles(F.col("vector"))).alias("vector"), labels.memory_type(F.col("memory_type")).alias("memory_type"), "importance", F.lit(0.0).alias("decay"), F.lit(0).cast("bigint").alias("access_count"), "timestamp")
 
 
@@ -241,7 +244,9 @@ def cycles(ticks: DataFrame, every: int = 100) -> DataFrame:
 
 
 def added_goals(goals: DataFrame, new: DataFrame) -> DataFrame:
-    """Goals (id, description, priority, progress, status) with new ones (id, description, priority), which begin active at 0; priorities are 0 to 1."""
+    """Goals (id, description, priority, progress, status) with new ones (id, description, priority), which begin active at 0; priorities are 0 to 1.
+    Of new goals with one id the least by description, then priority, counts."""
+    new = new.groupBy("id").agg(F.min(F.struct("description", "priority")).alias("r")).select("id", "r.description", "r.priority")
     rows = new.select("id", "description", F.least(F.greatest("priority", F.lit(0.0)), F.lit(1.0)).alias("priority"), F.lit(0.0).alias("progress"), F.lit("Pending").alias("status"))
     return goals.unionByName(rows.join(goals.select("id"), "id", "left_anti").select(*goals.columns))
 

@@ -56,8 +56,10 @@ def merge_by_file(hits: DataFrame) -> DataFrame:
 def _best(x: np.ndarray, weight: np.ndarray, own: np.ndarray, others: np.ndarray, y: np.ndarray, k: int, above: float) -> list[tuple]:
     """(id, id of another, similarity) of the k best of y for each row of x."""
     out = []
+    few = min(k + 1, len(others))  # its own row may be one of them
     for name, row in zip(own, x @ y.T * weight, strict=True):
-        near = np.flatnonzero((row > above) & (others != name))
+        least = max(above, np.partition(row, -few)[-few]) if few < len(row) else above
+        near = np.flatnonzero((row > above) & (row >= least) & (others != name))
         near = near[np.lexsort((others[near], -row[near]))][:k]
         out += [(name, others[j], row[j]) for j in near]
     return out
@@ -67,8 +69,13 @@ def pairs_above(rows: DataFrame, k: int, above: float, key: str = "id", vector:
     """src, dst, similarity: for each row its k most similar other rows above a cosine similarity (times the weight of
     the other). Exact: rows are dealt into blocks, each unordered pair of blocks is one matrix product in Arrow that serves both sides, and sends only the
     k best of each row; work grows with the square of the rows, memory with a block. With `only` (a table of ids) neighbours are sought for these alone:
-    work grows with their number times that of all rows. Beyond some 10 million rows use InvertedFileIndex instead."""
-    n = max(1, -(-rows.count() // block))
+    work grows with their number times that of all rows. Beyond some million rows use neighbours.descent instead.
+    Rows without an id or a vector, with a null or non-finite part, or of another length than most have no neighbours and are none."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
+    rows = rows.where(F.col(key).isNotNull() & ~F.coalesce(bad, F.lit(True)))
+    lengths = rows.groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").collect()  # one row for each length
+    rows = rows.where(F.size(vector) == lengths[0].d) if len(lengths) > 1 else rows
+    n = max(1, -(-(lengths[0]["count"] if lengths else 0) // block))
     mass = F.col(weight).cast("double") if weight else F.lit(1.0)
     own = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), mass.alias("w"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("b"))
     all_blocks = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -196,7 +203,9 @@ def context_text(hits: DataFrame) -> DataFrame:
 
 def fan_out(sources: dict[str, tuple[Callable[[], DataFrame], list[str], str]], needle: str, each: int) -> DataFrame:
     """source, id: the first rows by key of each source (how to get it, its key, the text searched) that hold a text, whatever its
-    case. A source that can't be opened gives no rows and doesn't stop the others."""
+    case. A source that can't be opened gives no rows and doesn't stop the others; without any there is an empty table."""
+    from pyspark.sql import SparkSession
+
     out = None
     for name, (open_, key, column) in sources.items():
         try:
@@ -204,4 +213,4 @@ def fan_out(sources: dict[str, tuple[Callable[[], DataFrame], list[str], str]],
         except PySparkException:
             continue
         out = hit if out is None else out.unionByName(hit)
-    return out
+    return SparkSession.active().createDataFrame([], "source string, id string") if out is None else out

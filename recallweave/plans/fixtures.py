@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
-from ..operators import chunking, search
+from ..operators import chunking, search, wordindex
 from .stored import stored
 
 T0 = 1704067200000
@@ -15,6 +15,9 @@ EXTENSIONS = ("md", "pdf", "rs", "py", "csv", "log")
 SENDERS = ("noreply@shop.example", "updates@site.example", "info@club.example", '"Ann Lee" <ann@home.example>', "bob@work.example", "Carla <carla@work.example>", "dan@home.example")
 MAILBOXES = ("INBOX", "Junk", "Work", "Papierkorb", "INBOX", "Family")
 
+#: What the content searches look for: a phrase, a part of a word, words of which the first is cut, and what is nowhere.
+NEEDLES = ("the and", "ingth", "ou the", "no such words")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -98,3 +101,19 @@ def url_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = events.crossJoin(F.broadcast(n)).groupBy((F.col("event_id") % F.col("n")).alias("page_id")).agg(F.count("*").alias("visit_count"), F.max("ts").alias("last"))
     seconds = F.unix_seconds(F.col("last").cast("timestamp"))
     return pages.join(counts, "page_id").select("page_id", "url", "visit_count", ((seconds + 11644473600) * 1000000).alias("last_visit_time"))
+
+
+def _indexed(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame, keys: list[str], fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    make = lambda: wordindex.postings(rows, keys, fields).repartition("slot", F.pmod(F.xxhash64("word"), F.lit(4))).sortWithinPartitions("slot", "word")
+    index = stored(spark, sf_dir, f"{name}-words", ["documents"], make, ["slot"])
+    return index, stored(spark, sf_dir, f"{name}-dictionary", ["documents"], lambda: wordindex.dictionary(index))
+
+
+def chunk_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The chunks' inverted index and its dictionary, written once."""
+    return _indexed(spark, sf_dir, "chunks", file_chunks(spark, sf_dir), ["file_path", "doc_id", "chunk_index"], ["content"])
+
+
+def mail_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The mails' inverted index over sender, subject and body, and its dictionary, written once."""
+    return _indexed(spark, sf_dir, "mails", emails(spark, sf_dir), ["message_id"], ["sender", "subject", "body"])

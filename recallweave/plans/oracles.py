@@ -169,7 +169,14 @@ SELECT vec_id, {_context(0)} AS who, {_context(1)} AS topic, {_context(2)} AS pr
     ) + "SELECT 'bootstrap::file::' || substr(md5(path), 1, 16) || '::' || chunk_index AS id, md5(content) AS content, round(CASE WHEN ext = 'pdf' THEN 0.55 ELSE 0.45 END::DOUBLE, 6) AS importance, modified * 1000 AS timestamp FROM again WHERE chunk_index < 5",
     "enriched_hits": _with(CHUNK_VECTORS, Q, FILE_HITS, MERGED) + "SELECT m.path, rank, size, len(string_split(text, chr(10))) AS lines, md5(array_to_string(string_split(text, chr(10))[1:5], chr(10))) AS head FROM merged m JOIN files f USING (path)",
     "folders": "SELECT source AS name, count(*) AS files FROM documents GROUP BY 1",
-    "content_search": _with(CHUNKS) + "SELECT path, count(*) AS chunks FROM chunks WHERE contains(lower(content), 'the and') GROUP BY path ORDER BY path LIMIT 50",
+    "content_search": _with(CHUNKS) + f"SELECT needle, path, count(*) AS chunks FROM chunks, (SELECT unnest({_list(fx.NEEDLES)}) AS needle) WHERE contains(lower(content), needle) GROUP BY needle, path",
+    "content_search_words": _with(CHUNKS) + "SELECT doc_id, chunk_index FROM chunks WHERE contains(' ' || lower(content) || ' ', ' of the ')",
+    "mail_anywhere": _with(MAIL, "f AS (SELECT 'sender' AS field, sender AS t FROM mail UNION ALL SELECT 'subject', subject FROM mail UNION ALL SELECT 'body', body FROM mail)")
+    + f"SELECT needle, field, count(*) AS mails FROM f, (SELECT unnest({_list((*fx.NEEDLES, 'weekly digest', 'unsub'))}) AS needle) WHERE contains(array_to_string({_words('lower(t)')}, ' '), needle) GROUP BY needle, field",
+    "knn_descent": _with(MEM, EDGES) + "SELECT count(*) AS edges, true AS nine_in_ten FROM edges",
+    "ivf_recall": _with(MEM, "live AS (SELECT id, vec_id, CASE WHEN vec_id % 15 = 0 THEN list_reverse(vector) ELSE vector END AS v FROM memories WHERE vec_id % 17 <> 3)")
+    + """SELECT a.id AS query, b.id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity, true AS nine_in_ten FROM live a, live b WHERE a.vec_id % 10 = 0
+QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.id) = 1""",
     "changed_files": _with(FILES) + "SELECT path, modified FROM files WHERE doc_id % 4 = 0 OR ext = 'log'",
     "transcripts": "SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || text || chr(10) || chr(10), '' ORDER BY turn) AS transcript FROM conversations WHERE role IN ('user', 'assistant') AND coalesce(text, '') <> '' GROUP BY conv_id",
     "jsonl_transcripts": "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || text || chr(10) || chr(10) AS line FROM conversations WHERE role IN ('user', 'assistant') AND coalesce(text, '') <> ''",

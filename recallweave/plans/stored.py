@@ -11,13 +11,10 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import shared_folder
 from ..sources.store import rename_new
 
 
-def shared_folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
-
-
 def _state(spark: SparkSession, sf_dir: str, tables: Iterable[str]) -> str:
     path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark._jsparkSession.sessionState().newHadoopConf()
     out = [sf_dir]
@@ -27,12 +24,12 @@ def _state(spark: SparkSession, sf_dir: str, tables: Iterable[str]) -> str:
     return hashlib.md5("\n".join(out).encode()).hexdigest()
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, sources: Iterable[str], make: Callable[[], DataFrame]) -> DataFrame:
+def stored(spark: SparkSession, sf_dir: str, name: str, sources: Iterable[str], make: Callable[[], DataFrame], by: Iterable[str] = ()) -> DataFrame:
     folder = f"{shared_folder(spark)}/index-{spark.sparkContext.applicationId}"
     final = f"{folder}/{name}-{_state(spark, sf_dir, sources)}"
     path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(final), spark._jsparkSession.sessionState().newHadoopConf()
     if not path.getFileSystem(conf).exists(path):
         aside = f"{folder}/aside-{uuid.uuid4().hex}"
-        make().write.parquet(aside)
+        make().write.partitionBy(*by).parquet(aside)
         rename_new(spark, aside, final)
     return spark.read.parquet(final)

@@ -71,7 +71,7 @@ class TableStore:
         return self._append(table, rows, False)
 
     def insert_new(self, table: str, key: list[str], rows: DataFrame) -> int:
-        """Rows whose key is there already are ignored."""
+        """Rows whose key is there already are ignored; of rows that share a key one is inserted (see `latest`)."""
         return self.upsert(table, rows.join(self.read(table, key).select(*key), key, "left_anti").select(*rows.columns) if self.exists(table) else rows)
 
     def delete(self, table: str, keys: DataFrame) -> int:
@@ -107,6 +107,7 @@ class TableStore:
 
 
 def latest(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The newest version of each key, without tombstones."""
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_version")))
+    """The newest version of each key, without tombstones. Of rows of one key in one version the least by a hash of all columns
+    counts, so every reader sees the same one. Old versions go before rows meet, by the maximum of each task's."""
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_version"), F.xxhash64(*sorted(rows.columns))))
     return rows.withColumn("_r", rank).where((F.col("_r") == 1) & ~F.col("_gone")).drop("_r", "_version", "_gone")
