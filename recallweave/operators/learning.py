@@ -87,51 +87,3 @@ def residual_gate(rows: DataFrame, by: list[str], order: list, value: str, thres
     before = F.lag(value).over(Window.partitionBy(*by).orderBy(*order))
     known = rows.withColumn("expected", F.coalesce(before, F.lit(0.0))).withColumn("residual", F.abs(F.col(value) - F.col("expected")))
     return known.where(F.col("residual") > threshold * F.greatest(F.abs("expected"), F.lit(1e-9))).drop("expected")
-
-
-class Reranker:
-    """A small network over query, candidate and four features, trained on pairs with a margin; numpy weights, broadcast."""
-
-    def __init__(self, dim: int, hidden: int = 128, seed: int = 9):
-        rng = np.random.default_rng(seed)
-        self.w1 = rng.normal(size=(2 * dim, hidden)) / np.sqrt(2 * dim)
-        self.b1 = np.zeros(hidden)
-        self.w2 = rng.normal(size=hidden + 4) / np.sqrt(hidden)
-        self.b2 = 0.0
-
-    def forward(self, q: np.ndarray, c: np.ndarray, features: np.ndarray) -> np.ndarray:
-        h = np.maximum(np.concatenate([np.broadcast_to(q, c.shape), c], axis=1) @ self.w1 + self.b1, 0)
-        return 1 / (1 + np.exp(-(np.concatenate([h, features], axis=1) @ self.w2 + self.b2)))
-
-    def train_step(self, q, better, worse, f_better, f_worse, rate: float = 0.05, margin: float = 0.1) -> float:
-        """One step of the margin ranking loss on the output layer and bias; returns the loss."""
-        hidden = lambda c: np.maximum(np.concatenate([np.broadcast_to(q, c.shape), c], axis=1) @ self.w1 + self.b1, 0)
-        a, b = np.concatenate([hidden(better), f_better], axis=1), np.concatenate([hidden(worse), f_worse], axis=1)
-        sa, sb = self.forward(q, better, f_better), self.forward(q, worse, f_worse)
-        loss = np.maximum(0, margin - sa + sb)
-        on = (loss > 0)[:, None]
-        self.w2 += rate * (on * ((sa * (1 - sa))[:, None] * a - (sb * (1 - sb))[:, None] * b)).mean(0)
-        return float(loss.mean())
-
-    def to_row(self) -> dict:
-        return {k: np.asarray(v, float).reshape(-1).tolist() for k, v in self.__dict__.items()}
-
-    @classmethod
-    def from_row(cls, row: dict) -> Reranker:
-        out = cls.__new__(cls)
-        hidden = len(row["b1"])
-        out.w1, out.b1, out.w2, out.b2 = np.array(row["w1"]).reshape(-1, hidden), np.array(row["b1"]), np.array(row["w2"]), float(row["b2"][0])
-        return out
-
-    def rerank(self, hits: DataFrame, query: list[float], features: list[str], weight: float = 0.7) -> DataFrame:
-        """hits (id, vector, similarity and the features) with the blended score."""
-        net, q = self, np.asarray(query, float)
-
-        def run(batches):
-            for batch in batches:
-                c = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-                f = np.column_stack([np.asarray(batch.column(3 + i)) for i in range(4)])
-                s = np.asarray(batch.column(2))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(weight * s + (1 - weight) * net.forward(q, c, f))], names=["id", "similarity", "score"])
-
-        return hits.select("id", F.col("vector").cast("array<double>"), "similarity", *[F.col(x).cast("double") for x in features]).mapInArrow(run, "id string, similarity double, score double")

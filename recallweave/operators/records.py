@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
+from . import selection
 from . import chunking
 
 
@@ -52,9 +53,9 @@ def last_n(rows: DataFrame, order: list, n: int) -> DataFrame:
 
 
 def batched(rows: DataFrame, order: Column | str, value: str, size: int, by: list[str], glue: str = "\n---\n") -> DataFrame:
-    """Values joined in batches of a fixed number, in order within each partition; a batch is what is collected."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    numbered = rows.withColumn("__n", n).withColumn("batch", F.floor((F.col("__n") - 1) / size))
+    """Values joined in batches of a fixed number, in order within each group; a batch is what is collected. Groups may be few and
+    large: they are numbered by ranges."""
+    numbered = selection.numbered(rows, [F.col(order) if isinstance(order, str) else order], by, "__n").withColumn("batch", F.floor((F.col("__n") - 1) / size))
     grouped = numbered.groupBy(*by, "batch").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__n", F.col(value).alias("v")))), lambda x: x["v"]), glue).alias("content"), F.count("*").alias("items"))
     return grouped
 

@@ -51,6 +51,24 @@ edges AS (SELECT * FROM pairs WHERE similarity > 0.3 QUALIFY row_number() OVER (
 ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"""
 HYPER = """hyper AS (SELECT src, [src] || list(dst ORDER BY similarity DESC, dst)[1:4] AS members, 0.6 AS confidence FROM edges GROUP BY src HAVING count(*) >= 2)"""
 
+LOG = f"""shown AS (SELECT src, list(dst ORDER BY similarity DESC, dst) AS r FROM edges GROUP BY src),
+log AS (SELECT r, r[(CAST(substr(src, 5) AS BIGINT) % len(r)) + 1] AS selected FROM shown),
+shown_pairs AS (SELECT selected, other FROM (SELECT selected, unnest(r) AS other FROM log) WHERE other <> selected),
+f AS (SELECT id, vector, ln(1 + access_count) / 10 AS fa, exp((timestamp - {fx.AS_OF}) / 86400000) AS fr, CASE WHEN memory_type = 'Semantic' THEN 1.0 ELSE 0.0 END::DOUBLE AS ft FROM memories),
+pairs_of AS (SELECT p.selected, p.other, s.vector AS q, o.vector AS v, s.fa AS sa, s.fr AS sr, s.ft AS st, o.fa AS oa, o.fr AS ors, o.ft AS ot FROM shown_pairs p JOIN f s ON s.id = p.selected JOIN f o ON o.id = p.other)"""
+#: One step of the network with four hidden units: its outputs for both of a pair, which pairs lose, and the sums of their gradients.
+STEP = """cols AS (SELECT h, list_transform(range(128), lambda j: 0.1 * sin(1 + j * 4 + h)) AS w FROM range(4) AS t(h)),
+numbered AS (SELECT row_number() OVER () AS p, * FROM pairs_of),
+hid AS (SELECT p, h, greatest(0, list_dot_product(q || q, w)) AS a, greatest(0, list_dot_product(q || v, w)) AS b FROM numbered, cols),
+outs AS (SELECT p, sum(0.1 * sin(1 + h) * a) AS oa, sum(0.1 * sin(1 + h) * b) AS ob FROM hid GROUP BY p),
+feats AS (SELECT p, 4 + k AS h, [1.0, sa, sr, st][k + 1] AS a, [0.5, oa, ors, ot][k + 1] AS b FROM numbered, range(4) AS t(k)),
+fouts AS (SELECT p, sum(0.1 * sin(1 + h) * a) AS oa, sum(0.1 * sin(1 + h) * b) AS ob FROM feats GROUP BY p),
+active AS (SELECT p FROM outs JOIN fouts USING (p) WHERE 0.1 - (outs.oa + fouts.oa) + (outs.ob + fouts.ob) > 0),
+total AS (SELECT count(*) AS n FROM pairs_of),
+g2 AS (SELECT h, sum(CASE WHEN p IN (FROM active) THEN b - a ELSE 0 END) AS g FROM (FROM hid UNION ALL FROM feats) GROUP BY h),
+gb AS (SELECT h, sum(CASE WHEN p IN (FROM active) THEN 0.1 * sin(1 + h) * ((b > 0)::INT - (a > 0)::INT) ELSE 0 END) AS g FROM hid GROUP BY h),
+g1 AS (SELECT j, h, sum(CASE WHEN p IN (FROM active) THEN 0.1 * sin(1 + h) * ((b > 0)::INT * (q || v)[j + 1] - (a > 0)::INT * (q || q)[j + 1]) ELSE 0 END) AS g FROM hid JOIN numbered USING (p), range(128) AS t(j) GROUP BY j, h)"""
+
 
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
@@ -254,6 +272,16 @@ SELECT profile, CAST(floor((n - 1) / 20) AS BIGINT) AS batch, string_agg(term, '
         """b AS (SELECT source, id, content, CAST(floor(CASE source WHEN 'email' THEN 8000 / n WHEN 'file' THEN greatest(10000 * CASE WHEN total > 0 THEN similarity / total ELSE 1 / n END, 200.0) ELSE 2000 / n END) AS BIGINT) AS chars FROM w)""",
     ) + f"SELECT source, id, chars, md5({_cut('content', 'chars')}) AS content FROM b",
     "rerank_blend": _with(MEM, Q, _recalled()) + "SELECT id, round(0.7 * similarity + (1 - 0.7::DOUBLE) * list_cosine_similarity(vector, q), 6) AS score FROM hits",
+    "rerank_pairs": _with(MEM, EDGES, LOG) + """SELECT selected, other, count(*) AS n, any_value(round(1.0::DOUBLE + 10 * sa + 100 * sr + 1000 * st, 6)) AS f_selected, any_value(round(0.5::DOUBLE + 10 * oa + 100 * ors + 1000 * ot, 6)) AS f_other FROM pairs_of GROUP BY 1, 2""",
+    "rerank_step": _with(MEM, EDGES, LOG, STEP) + """SELECT 'w1' AS name, CAST(j AS INT) AS i, CAST(h AS INT) AS h, round(0.1 * sin(1 + j * 4 + h) - 0.5 / n * g, 6) AS value FROM g1, total
+UNION ALL SELECT 'b1', 0, CAST(h AS INT), round(0 - 0.5 / n * g, 6) FROM gb, total
+UNION ALL SELECT 'w2', 0, CAST(h AS INT), round(0.1 * sin(1 + h) - 0.5 / n * g, 6) FROM g2, total UNION ALL SELECT 'b2', 0, 0, 0.0""",
+    "rerank_learned": _with(
+        MEM, EDGES, LOG, STEP, Q, _recalled(),
+        "new1 AS (SELECT h, list(0.1 * sin(1 + j * 4 + h) - 0.5 / n * g ORDER BY j) AS w FROM g1, total GROUP BY h), new_b AS (SELECT h, -0.5 / n * g AS b FROM gb, total), new2 AS (SELECT h, 0.1 * sin(1 + h) - 0.5 / n * g AS w FROM g2, total)",
+        f"hf AS (SELECT h.id, similarity, h.vector, q, [similarity, ln(1 + h.access_count) / 10, exp((h.timestamp - {fx.AS_OF}) / 86400000), CASE WHEN h.memory_type = 'Semantic' THEN 1.0 ELSE 0.0 END::DOUBLE] AS fs FROM hits h)",
+        "o AS (SELECT id, any_value(similarity) AS s, sum(greatest(0, list_dot_product(q || vector, n1.w) + b) * n2.w) + any_value(list_dot_product(fs, (SELECT list(w ORDER BY h) FROM new2 WHERE h >= 4))) AS out FROM hf, new1 n1 JOIN new_b USING (h) JOIN new2 n2 USING (h) GROUP BY id)",
+    ) + "SELECT id, round(0.7 * s + (1 - 0.7::DOUBLE) / (1 + exp(-out)), 6) AS score FROM o",
     "rerank_features": _with(MEM, Q, _recalled()) + f"SELECT id, round(ln(1 + access_count) / 10, 6) AS f_access, round(exp((timestamp - {fx.AS_OF}) / 86400000), 6) AS f_recency, CASE WHEN memory_type = 'Semantic' THEN 1.0 ELSE 0.0 END::DOUBLE AS f_type, round(similarity, 6) AS f_index FROM hits",
     "pattern_boost": _with(MEM, Q, "n AS (SELECT greatest(list_cosine_similarity(vector, q), 0) AS w, importance AS quality FROM memories, q ORDER BY list_cosine_similarity(vector, q) DESC, id LIMIT 5)") + "SELECT round(coalesce(sum(w * quality) / nullif(sum(w), 0), 0.5), 6) AS boost FROM n",
     "memory_context": _with(MEM, Q, _recalled(k=5), "r AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) AS r FROM hits)") + "SELECT string_agg(printf('%d. [%s] (similarity: %.2f): %s', r, lower(memory_type), similarity, 'content of ' || id), chr(10) ORDER BY r) AS context FROM r",
@@ -316,6 +344,12 @@ walk AS (SELECT doc_id, 1 AS i, c[1] AS n, 0 AS g FROM d
 SELECT doc_id, CAST(g AS BIGINT) AS n, string_agg(parts[i], chr(10) || chr(10) ORDER BY i) AS chunk FROM walk JOIN d USING (doc_id) GROUP BY doc_id, g""",
     "weighted_sample": _with(MEM)
     + "SELECT id FROM memories WHERE importance > 0 ORDER BY -ln((CAST('0x' || substr(md5('1|' || id), 1, 13) AS BIGINT)::DOUBLE + 1) / 4503599627370496.0) / importance, id LIMIT 20",
+    "stream_residual_gate": """WITH RECURSIVE r AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT user_id, n, event_id, value, 0.0::DOUBLE AS e FROM r WHERE n = 1 UNION ALL SELECT r.user_id, r.n, r.event_id, r.value, f.e + 0.25::DOUBLE * (f.value - f.e) FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)
+SELECT event_id, round(abs(value - e), 6) AS residual FROM f WHERE abs(value - e) > 0.5::DOUBLE * greatest(abs(e), 1e-9::DOUBLE)""",
+    "stream_clipboard": "SELECT event_id, event_type AS copied FROM events QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type",
+    "stream_retention": """SELECT user_id, epoch_ms(ts) // 86400000 AS day, count(*) AS n FROM events
+WHERE (epoch_ms(ts) // 86400000 + 8) * 86400000 <= (SELECT epoch_ms(max(ts)) - 60000 FROM events) GROUP BY 1, 2""",
     "stream_debounce": f"WITH {SESSIONS} SELECT epoch_us(min(ts)) // 1000 AS start_ms, epoch_us(max(ts)) // 1000 + 600000 AS end_ms, count(*) AS changes, list_sort(list(DISTINCT path)) AS paths FROM s GROUP BY n",
     "attention_rerank": _with(
         MEM, Q, EDGES_LOW, _recalled(),

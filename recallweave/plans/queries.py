@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, vectors
-from ..operators import browse, chunking, graph, learning, lifecycle, neighbours, records, residualindex, search, wordindex
+from ..operators import browse, chunking, graph, learning, lifecycle, neighbours, records, reranker, residualindex, search, selection, wordindex
 from ..sources import connectors, files, store
 from ..sources.scratch import shared_folder, written
-from ..streaming import streams
+from ..streaming import stateful, streams
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -593,11 +593,9 @@ def reward_trend(spark, sf):
 @query
 def latency_percentiles(spark, sf):
     """By event type: the values at index n/2 and min(0.99 n, n - 1) in ascending order."""
-    e = fx.table(spark, sf, "events").select("event_type", "value", "event_id")
-    w = Window.partitionBy("event_type")
-    rows = e.withColumns({"i": F.row_number().over(w.orderBy("value", "event_id")) - 1, "n": F.count("*").over(w)})
-    pick = lambda at: F.max(F.when(F.col("i") == at, F.col("value")))
-    return rows.groupBy("event_type").agg(r6(pick(F.floor(F.col("n") / 2)), "p50"), r6(pick(F.least(F.floor(F.col("n") * 99 / 100), F.col("n") - 1)), "p99"))
+    e = fx.table(spark, sf, "events").select("event_type", "value")
+    at = selection.at_index(e, "event_type", "value", {"p50": lambda n: F.floor(n / 2), "p99": lambda n: F.least(F.floor(n * 99 / 100), n - 1)})
+    return at.select("event_type", r6("p50"), r6("p99"))
 
 
 @query
@@ -667,6 +665,38 @@ def rerank_blend(spark, sf):
     return again.select("id", r6(search.blend(F.col("similarity"), F.col("plain")), "score"))
 
 
+def _query_log(spark, sf):
+    """What was shown for each memory with neighbours, best first, and which of it was selected."""
+    r = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "dst"))), lambda x: x["dst"])
+    shown = _edges(spark, sf).groupBy("src").agg(r.alias("result_ids"))
+    return shown.select("src", "result_ids", F.get("result_ids", (F.substring("src", 5, 9).cast("int") % F.size("result_ids")).cast("int")).alias("selected_id"))
+
+
+@query
+def rerank_pairs(spark, sf):
+    """What the log teaches: each selected memory with each other one that was shown beside it, and their features."""
+    rows = reranker.pairs(_query_log(spark, sf), fx.memories(spark, sf), fx.AS_OF, "semantic")
+    at = lambda c: F.round(F.aggregate(F.zip_with(c, F.array(*[F.lit(float(w)) for w in (1, 10, 100, 1000)]), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x), 6)
+    return rows.groupBy("selected", "other").agg(F.count("*").alias("n"), F.max(at("f_selected")).alias("f_selected"), F.max(at("f_other")).alias("f_other"))
+
+
+@query
+def rerank_step(spark, sf):
+    """The weights after one training step over the whole log."""
+    rows = reranker.pairs(_query_log(spark, sf), fx.memories(spark, sf), fx.AS_OF, "semantic")
+    net, _ = reranker.step(rows, reranker.Network.initial(64, 4), 0.5)
+    return net.to_table(spark).select("name", "i", "h", r6("value"))
+
+
+@query
+def rerank_learned(spark, sf):
+    """The ten recalled memories ranked by a network that was trained on the log for a step."""
+    training = reranker.Training(spark, f"{shared_folder(spark)}/training-{uuid.uuid4().hex}")
+    training.run(reranker.pairs(_query_log(spark, sf), fx.memories(spark, sf), fx.AS_OF, "semantic"), 1, 0.5, 4)
+    hits = reranker.features(search.recall(fx.memories(spark, sf), fx.query_vector(spark, sf), 10), None, fx.AS_OF, "semantic")
+    return reranker.rerank(hits, fx.query_vector(spark, sf), training.weights()).select("id", r6("score"))
+
+
 @query
 def rerank_features(spark, sf):
     hits = search.recall(fx.memories(spark, sf), fx.query_vector(spark, sf), 10)
@@ -816,6 +846,26 @@ def stream_activity_changes(spark, sf):
     return out.groupBy("user_id").agg(F.count("*").alias("changes"))
 
 
+@query
+def stream_residual_gate(spark, sf):
+    """Events that a running prediction of their user's values doesn't foresee."""
+    rows = _stream(spark, sf).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    return streams.run_to_table(stateful.residual_gate(rows, "user_id", ["ts", "event_id"], "value", 0.5, 0.25), _stream_dir(spark)).select("event_id", r6("residual"))
+
+
+@query
+def stream_clipboard(spark, sf):
+    rows = _stream(spark, sf).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit(" "), "event_type", F.lit("\n")).alias("copied"))
+    return streams.run_to_table(stateful.copied(rows, "user_id", ["ts", "event_id"], "copied"), _stream_dir(spark)).select("event_id", "copied")
+
+
+@query
+def stream_retention(spark, sf):
+    """What leaves the store a week after its day, by user and day."""
+    rows = _stream(spark, sf).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return streams.run_to_table(stateful.expired_days(rows, "user_id", "ts", 7), _stream_dir(spark))
+
+
 @query
 def available_now_import(spark, sf):
     root = _stream_dir(spark)

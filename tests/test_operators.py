@@ -119,18 +119,6 @@ def test_pairs_in_blocks(spark):
     assert key(search.pairs_above(df, 3, 0.2, block=7)) == key(search.pairs_above(df, 3, 0.2))
 
 
-def test_reranker(spark):
-    net = learning.Reranker(4, hidden=8)
-    again = learning.Reranker.from_row(net.to_row())
-    q, c, f = np.array([1.0, 0, 0, 0]), np.array([[0.9, 0.1, 0, 0]]), np.array([[0.1, 1.0, 1.0, 0.95]])
-    assert np.isfinite(net.forward(q, c, f)).all() and net.forward(q, c, f) == pytest.approx(again.forward(q, c, f))
-    worse = np.array([[-0.9, 0.1, 0, 0]])
-    losses = [net.train_step(q, c, worse, f, f * 0.1) for _ in range(50)]
-    assert losses[-1] <= losses[0]
-    hits = spark.createDataFrame([("a", c[0].tolist(), 0.95, 0.1, 1.0, 1.0, 0.95)], "id string, vector array<double>, similarity double, a double, b double, c double, d double")
-    assert 0 <= net.rerank(hits, q.tolist(), ["a", "b", "c", "d"]).first().score <= 1
-
-
 def test_compression_tiers(spark):
     m = spark.createDataFrame([(90,), (50,), (5,)], "access_count long")
     tiers = m.select(F.when(F.col("access_count") / 100 > 0.8, "hot").when(F.col("access_count") / 100 > 0.4, "warm").otherwise("cold").alias("t")).groupBy("t").count()
