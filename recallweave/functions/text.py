@@ -42,11 +42,17 @@ def strip_markup(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)[^>]*>", ""), r"<[^>]*(>|$)", "")
 
 
-def concepts(text: Column, count: int = 5) -> Column:
-    """The first words of more than two bytes that are no stop words, without marks at their ends."""
-    bare = F.transform(words(text), lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+def concepts(text: Column, count: int = 5, first: int = 64) -> Column:
+    """The first words of more than two bytes that are no stop words, without marks at their ends. The `first` words are tried
+    before the whole text, which is split only where they give too few."""
     stops = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.slice(F.filter(bare, lambda w: (F.octet_length(w) > 2) & ~F.array_contains(stops, w)), 1, count)
+
+    def found(pieces: Column) -> Column:
+        bare = F.transform(pieces, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+        return F.slice(F.filter(bare, lambda w: (F.octet_length(w) > 2) & ~F.array_contains(stops, w)), 1, count)
+
+    head = found(F.slice(F.split(text, SPACE + "+", first + 1), 1, first))  # the piece after these is the unsplit rest
+    return F.when(F.size(head) >= count, head).otherwise(found(words(text)))
 
 
 def gist(text: Column) -> Column:
