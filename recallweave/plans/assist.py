@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, text, vectors
 from ..operators import assist, browse, graph, lifecycle, records, search
 from ..sources import connectors, store
-from ..streaming import streams
+from ..streaming.bursts import BurstStream
 from . import fixtures as fx
 from . import oracles as sql
 from .queries import _hits, _items, _stream, _stream_dir, r6
@@ -531,17 +531,41 @@ def _bursts_sql(where: str, seconds: int) -> str:
 SELECT epoch_us(min(ts)) // 1000 AS start_ms, count(*) AS changes, list_sort(list(DISTINCT path)) AS paths FROM s GROUP BY n"""
 
 
-def _run(spark, rows: DataFrame, gap: str) -> DataFrame:
-    return streams.run_to_table(streams.debounced(rows, gap), _stream_dir(spark), "complete").select(F.unix_millis("start").alias("start_ms"), "changes", "paths")
+def _run(spark, rows: DataFrame, seconds: int, then=None) -> DataFrame:
+    stream = BurstStream(spark, _stream_dir(spark), seconds * 1_000_000, then=then)
+    stream.close(rows)  # the input is bounded: its last burst too
+    return stream.bursts().select(F.unix_millis("start").alias("start_ms"), "changes", "paths")
 
 
 @query(_bursts_sql("path NOT LIKE '%/.cache/%' AND path LIKE '%.md'", 600))
 def stream_admitted_files(spark, sf):
     """Bursts of changed files, of those that are admitted to the index."""
-    return _run(spark, _changes(spark, sf).where(labels.should_index(F.col("path"), F.lit(1)) & F.endswith("path", F.lit(".md"))), "10 minutes")
+    return _run(spark, _changes(spark, sf).where(labels.should_index(F.col("path"), F.lit(1)) & F.endswith("path", F.lit(".md"))), 600)
 
 
 @query(_bursts_sql("path LIKE '%.jsonl' AND path NOT LIKE '%history.jsonl'", 5))
 def stream_conversations(spark, sf):
     """Bursts of changed conversations, five seconds apart; histories are no conversations."""
-    return _run(spark, assist.conversation_changes(_changes(spark, sf)).select("ts", "path"), "5 seconds")
+    return _run(spark, assist.conversation_changes(_changes(spark, sf)).select("ts", "path"), 5)
+
+
+@query(
+    CHANGES.rstrip(",") + """, p AS (SELECT DISTINCT path, CAST(regexp_extract(path, '([0-9]+)[.]jsonl$', 1) AS BIGINT) AS conv_id FROM c WHERE path LIKE '%.jsonl' AND path NOT LIKE '%history.jsonl'),
+t AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || text || chr(10) || chr(10), '' ORDER BY turn) AS transcript FROM conversations WHERE role IN ('user', 'assistant') AND coalesce(text, '') <> '' GROUP BY conv_id), t2 AS (SELECT * FROM t WHERE strlen(transcript) >= 50),
+""" + sql._chunked("c2", "t2", "conv_id", "transcript", 400, 50) + " SELECT path, chunk_index, md5(content) AS chunk FROM c2 JOIN p USING (conv_id) WHERE chunk_index < 15"
+)
+def stream_conversation_import(spark, sf):
+    """The first fifteen segments of each conversation file that a burst names; each burst's files are imported as it ends, and a file that was there adds nothing."""
+    folder = _stream_dir(spark)
+    schema = "path string, chunk_index long, chunk string"
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/memories/batch=-1")
+    transcripts = records.transcripts(fx.table(spark, sf, "conversations"))
+
+    def take(bursts: DataFrame, n: int) -> None:
+        paths = bursts.select(F.explode("paths").alias("path")).distinct().withColumn("conv_id", F.regexp_extract("path", r"([0-9]+)\.jsonl$", 1).cast("long"))
+        known = spark.read.schema(schema + ", batch int").parquet(f"{folder}/memories").where(F.col("batch") < n).select("path").distinct()
+        rows = records.segments(transcripts.join(paths, "conv_id").join(known, "path", "left_anti"), "path", "transcript", most=15)
+        rows.select("path", F.col("chunk_index").cast("long"), F.md5("chunk").alias("chunk")).write.mode("overwrite").parquet(f"{folder}/memories/batch={n}")
+
+    _run(spark, assist.conversation_changes(_changes(spark, sf)).select("ts", "path"), 5, take)
+    return spark.read.schema(schema).parquet(f"{folder}/memories").select("path", "chunk_index", "chunk")

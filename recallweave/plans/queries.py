@@ -13,6 +13,7 @@ from ..operators import browse, chunking, graph, learning, lifecycle, neighbours
 from ..sources import connectors, files, store
 from ..sources.scratch import shared_folder, written
 from ..streaming import stateful, streams
+from ..streaming.bursts import BurstStream
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -835,8 +836,9 @@ def _stream_dir(spark):
 @query
 def stream_debounce(spark, sf):
     rows = _stream(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("/p/"), "user_id").alias("path"))
-    out = streams.run_to_table(streams.debounced(rows, "10 minutes"), _stream_dir(spark), "complete")  # the input ends: its last burst too
-    return out.select(F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "changes", "paths")
+    stream = BurstStream(spark, _stream_dir(spark), 600_000_000)
+    stream.close(rows)  # the input ends: its last burst too
+    return stream.bursts().select(F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "changes", "paths")
 
 
 @query

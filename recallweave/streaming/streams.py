@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the change, activity and import streams."""
+"""Structured Streaming forms of the activity and import streams; see bursts and stateful for the others."""
 
 from __future__ import annotations
 
@@ -10,17 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def debounced(changes: DataFrame, gap: str = "2 seconds", delay: str = "1 minute") -> DataFrame:
-    """Bursts of changes (ts timestamp, path): a burst ends with a quiet gap; each gives its distinct paths.
-    A burst is one whatever its paths, so all changes share one key. In append mode a burst comes out once the
-    watermark has passed its end, so the last one waits for later changes, and changes later than `delay` are
-    lost; over bounded input, complete mode gives all bursts, and keeps all of them as state."""
-    return (
-        changes.withWatermark("ts", delay).withColumn("all", F.lit(True)).groupBy(F.session_window("ts", gap).alias("w"), "all")
-        .agg(F.count("*").alias("changes"), F.sort_array(F.collect_set("path")).alias("paths")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "changes", "paths")
-    )
-
-
 def changed_only(events: DataFrame, key: str, values: list[str], ts: str = "ts") -> DataFrame:
     """Events whose values differ from the one before of the same key, with the last values as state."""
     names = [key, ts, *values]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recallweave.operators import records, reranker, selection
 from recallweave.streaming import stateful, streams
+from recallweave.streaming.bursts import BurstStream
 
 EVENTS = "event_id long, user string, ts timestamp, value double, text string"
 
@@ -132,3 +133,37 @@ def test_numbers_and_batches_of_large_groups(spark):
     batches = {(r.g, r.batch): (r.content, r["items"]) for r in records.batched(df, "k", "v", 20, ["g"], ",").collect()}
     assert len(batches) == 19 + 7 and batches["a", 0][0].startswith("v0,v1,v2,v4") and batches["a", 18][1] == 375 - 18 * 20
     assert records.batched(df.limit(0), "k", "v", 20, ["g"]).count() == 0
+
+
+def plain_bursts(rows, gap):
+    out = []
+    for ts, path in sorted(rows, key=lambda r: r[0]):
+        if out and ts - out[-1][1] < gap:
+            out[-1][1], out[-1][2] = ts, out[-1][2] + 1
+            out[-1][3].add(path)
+        else:
+            out.append([ts, ts, 1, {path}])
+    return [(a, z + gap, n, sorted(p)) for a, z, n, p in out]
+
+
+def test_bursts_in_two_steps_over_restarts(spark, tmp_path):
+    rng, t, rows = random.Random(2), dt.datetime(2024, 1, 1), []
+    for _ in range(300):
+        t += dt.timedelta(seconds=rng.choice([0, 0.5, 1, 2, 4.9, 5, 7, 20]))  # just a gap parts two bursts
+        rows.append((t, f"/p/{rng.randint(0, 9)}"))
+    late = (rows[10][0], "/late")
+    gap, source = dt.timedelta(seconds=5), f"{tmp_path}/in"
+    changes = lambda: spark.readStream.schema("ts timestamp, path string").parquet(source)
+    batches: list[int] = []
+    for part in (rows[:150], [late, (None, "/none"), *rows[150:]]):
+        spark.createDataFrame(part, "ts timestamp, path string").repartition(2).write.mode("append").parquet(source)
+        stream = BurstStream(spark, f"{tmp_path}/bursts", 5_000_000, "30 seconds", 8, lambda df, n: batches.append(df.count()))
+        stream.run(changes())
+    open_ = stream.bursts().count()
+    stream.close(changes())
+    got = sorted((r.start, r.end, r.changes, r.paths) for r in stream.bursts().collect())
+    assert got == plain_bursts(rows, gap) and 0 < open_ < len(got) == sum(batches)
+    state = spark.read.format("statestore").load(f"{tmp_path}/bursts/points-at")
+    assert state.count() == 1  # what the mark opened; all else has left
+    stream.close(changes())  # nothing more comes
+    assert stream.bursts().count() == len(got)
