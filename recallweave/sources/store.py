@@ -108,6 +108,6 @@ class TableStore:
 
 def latest(rows: DataFrame, key: list[str]) -> DataFrame:
     """The newest version of each key, without tombstones. Of rows of one key in one version the least by a hash of all columns
-    counts, so every reader sees the same one. Old versions go before rows meet, by the maximum of each task's."""
+    counts, so every reader sees the same one. Old versions go before rows meet: each task keeps its newest of a key."""
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_version"), F.xxhash64(*sorted(rows.columns))))
     return rows.withColumn("_r", rank).where((F.col("_r") == 1) & ~F.col("_gone")).drop("_r", "_version", "_gone")
