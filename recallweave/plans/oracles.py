@@ -17,6 +17,54 @@ def _in(values) -> str:
     return "(" + ", ".join("'" + v + "'" for v in values) + ")"
 
 
+def hashed(text: str) -> str:
+    """The first 13 hex digits of a text's MD5 as a double."""
+    return f"CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT)::DOUBLE"
+
+
+def _learn(rounds: int, last: str) -> str:
+    """The learn loop, one round after another, until a mean error is below 0.01."""
+    ctes = [
+        "x AS MATERIALIZED (SELECT event_id AS i, user_id % 50 AS state, event_id % 4 AS action, event_id % 5 / 4 AS reward, (user_id * 7 + 3) % 50 AS next_state, event_id % 9 = 0 AS done FROM events)",
+        "v AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY state ORDER BY i) - 1 AS v FROM x)",
+        "b AS MATERIALIZED (SELECT *, reward + 0.5::DOUBLE * CASE WHEN v = 0 THEN 1 ELSE 1 / (1 + sqrt(v)) END AS total FROM v ORDER BY i DESC LIMIT 10000)",
+        "q0 AS MATERIALIZED (SELECT DISTINCT state, action, (state * 7 + action * 3) % 10 / 10 AS value, 0 AS visits FROM x)",
+        "l0 AS MATERIALIZED (SELECT 0 AS round, 0 AS drawn, 1.0::DOUBLE AS error, true AS going)",
+    ]
+    for r in range(1, rounds + 1):
+        u = f"({hashed(f"'{r}|' || i")} + 1) / 4503599627370496.0"
+        ctes += [
+            f"d{r} AS MATERIALIZED (SELECT b.* FROM b, l{r - 1} WHERE going ORDER BY -ln({u}) / (abs(total) + 0.01::DOUBLE), i LIMIT 32)",
+            f"m{r} AS (SELECT state AS next_state, max(value) AS best FROM q{r - 1} GROUP BY 1)",
+            f"t{r} AS (SELECT state, action, avg(total + 0.99::DOUBLE * CASE WHEN done THEN 0 ELSE coalesce(best, 0) END) AS target, count(*) AS n FROM d{r} LEFT JOIN m{r} USING (next_state) GROUP BY 1, 2)",
+            f"s{r} AS MATERIALIZED (SELECT state, action, coalesce(value, 0) AS old, coalesce(target - coalesce(value, 0), 0) AS error, coalesce(n, 0) AS n, coalesce(visits, 0) AS visits FROM q{r - 1} FULL JOIN t{r} USING (state, action))",
+            f"q{r} AS MATERIALIZED (SELECT state, action, old + 0.1::DOUBLE * error AS value, visits + n AS visits FROM s{r})",
+            f"l{r} AS MATERIALIZED (SELECT {r} AS round, sum(n) AS drawn, sum(n * error) / sum(n) AS error, coalesce(abs(sum(n * error) / sum(n)) >= 0.01::DOUBLE, false) AS going FROM s{r})",
+        ]
+    return "WITH " + ", ".join(ctes) + " " + last
+
+
+def _bank(batches: int, k: int = 100) -> str:
+    """Centres from the first vectors by hash, one pass over all, then batches."""
+    near = lambda rows, c: f"SELECT t.vec_id, t.vector, t.importance, c.centre FROM {rows} t, {c} c QUALIFY row_number() OVER (PARTITION BY t.vec_id ORDER BY list_distance(t.vector, c.vector), c.centre) = 1"
+    total = lambda a: f"SELECT centre, list(x ORDER BY i) AS s, any_value(n) AS n, any_value(qw) AS qw FROM (SELECT centre, i, sum(vector[i]) AS x, count(*) AS n, sum(importance) AS qw FROM {a}, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY 1"
+    ctes = [
+        "p AS (SELECT *, 0.0::DOUBLE AS weight FROM memories)",
+        f"f AS (SELECT vector, min({{'h': {hashed('id')}, 'id': id}}) AS o FROM memories GROUP BY 1)",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS centre, vector FROM f QUALIFY row_number() OVER (ORDER BY o) <= {k})",
+        f"a0 AS MATERIALIZED ({near('memories', 'c0')})", f"u0 AS MATERIALIZED ({total('a0')})",
+        "k0 AS MATERIALIZED (SELECT centre, coalesce(list_transform(s, lambda y: y / n), vector) AS vector, 0.0::DOUBLE AS weight, 0.0::DOUBLE AS quality, 0 AS size FROM c0 LEFT JOIN u0 USING (centre))",
+    ]
+    for b in range(1, batches + 1):
+        ctes += [
+            f"w{b} AS (SELECT * FROM memories WHERE vec_id % {batches} = {b - 1})", f"a{b} AS MATERIALIZED ({near(f'w{b}', f'k{b - 1}')})", f"u{b} AS MATERIALIZED ({total(f'a{b}')})",
+            f"""k{b} AS MATERIALIZED (SELECT centre, CASE WHEN n IS NULL THEN vector ELSE list_transform(range(1, 65), lambda i: (vector[i] * weight * 0.9::DOUBLE + s[i]) / (weight * 0.9::DOUBLE + n)) END AS vector,
+  CASE WHEN n IS NULL THEN weight ELSE weight * 0.9::DOUBLE + n END AS weight, CASE WHEN n IS NULL THEN quality ELSE (quality * weight * 0.9::DOUBLE + qw) / (weight * 0.9::DOUBLE + n) END AS quality, size + coalesce(n, 0) AS size
+  FROM k{b - 1} LEFT JOIN u{b} USING (centre))""",
+        ]
+    return _with(MEM, *ctes) + f"SELECT 'pattern-' || centre AS id, round(quality, 6) AS quality, size, list_transform(vector, lambda y: round(y, 6)) AS vector FROM k{batches} WHERE size > 0 AND quality >= 0.3"
+
+
 MEM = f"""memories AS (SELECT 'mem-' || vec_id AS id, vec_id, CAST(embedding AS DOUBLE[]) AS vector, {_list(labels.MEMORY_TYPES)}[(vec_id % 8) + 1] AS memory_type,
   (vec_id * 37 % 100) / 100 AS importance, (vec_id * 53 % 120) / 100 AS decay, vec_id * 7 % 23 AS access_count, {fx.T0} + vec_id * 60000 AS timestamp FROM embeddings)"""
 Q = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
@@ -297,6 +345,13 @@ x AS (SELECT user_id % 20 AS state, event_id % 4 AS action, event_id % 5 / 4 AS
 b AS (SELECT state AS next_state, max(value) AS best FROM q GROUP BY 1),
 t AS (SELECT state, action, avg(reward + 0.95 * CASE WHEN done THEN 0 ELSE coalesce(best, 0) END) AS target, count(*) AS n FROM x LEFT JOIN b USING (next_state) GROUP BY 1, 2)
 SELECT state, action, round(CASE WHEN target IS NULL THEN coalesce(value, 0) ELSE coalesce(value, 0) + 0.1 * (target - coalesce(value, 0)) END, 6) AS value, coalesce(n, 0) AS visits FROM q FULL JOIN t USING (state, action)""",
+    "learn_loop": _learn(5, "SELECT state, action, round(value, 6) AS value, visits FROM q5"),
+    "learn_rounds": _learn(5, "SELECT round, drawn, round(error, 6) AS error FROM (" + " UNION ALL ".join(f"SELECT * FROM l{r}" for r in range(1, 6)) + ") WHERE drawn > 0"),
+    "explored_actions": f"""WITH q AS (SELECT user_id % 50 AS state, event_id % 4 AS action, round(avg(value), 6) AS value FROM events GROUP BY 1, 2),
+g AS (SELECT *, value / 20 - ln(-ln(({hashed("'1|3|' || state || '|' || action")} + 1) / 4503599627370496.0 * (1 - 1e-12::DOUBLE))) AS noisy FROM q),
+s AS (SELECT state, arg_max(action, {{'v': value, 'a': -action}}) AS best, arg_max(action, {{'v': noisy, 'a': -action}}) AS softmax_action, list(DISTINCT action ORDER BY action) AS actions, ({hashed("'1|3|' || state")} + 1) / 4503599627370496.0 AS u FROM g GROUP BY state)
+SELECT state, best, CASE WHEN u < 0.3 THEN actions[CAST(least(floor(u / 0.3::DOUBLE * len(actions)), len(actions) - 1) AS INT) + 1] ELSE best END AS epsilon_action, softmax_action FROM s""",
+    "pattern_bank": _bank(3),
     "greedy_actions": "WITH q AS (SELECT user_id % 20 AS state, event_id % 4 AS action, round(avg(value), 6) AS value FROM events GROUP BY 1, 2) SELECT state, action FROM q QUALIFY row_number() OVER (PARTITION BY state ORDER BY value DESC, action) = 1",
     "reward_signals": """WITH e AS (SELECT event_id, (event_id % 21 - 10) / 5 AS x, event_id % 5 AS v FROM events)
 SELECT event_id, round(least(greatest((x + 1) / 2, 0), 1), 6) AS quality, round(CASE WHEN v = 0 THEN 1 ELSE 1 / (1 + sqrt(v)) END, 6) AS curiosity, round(1 / (1 + exp(-x)), 6) AS sigmoid,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, vectors
-from ..operators import browse, chunking, graph, learning, lifecycle, neighbours, records, reranker, residualindex, search, selection, wordindex
+from ..operators import browse, chunking, graph, learning, learnloop, lifecycle, neighbours, patternbank, records, reranker, residualindex, search, selection, wordindex
 from ..sources import connectors, files, store
 from ..sources.scratch import shared_folder, written
 from ..streaming import stateful, streams
@@ -759,6 +759,35 @@ def greedy_actions(spark, sf):
     return learning.greedy(q)
 
 
+#: How many rounds the learn loop makes at most.
+LEARN_ROUNDS = 5
+
+
+def _learned(spark, sf):
+    e = fx.table(spark, sf, "events")
+    x = e.select(F.col("event_id").alias("i"), (F.col("user_id") % 50).alias("state"), (F.col("event_id") % 4).alias("action"), (F.col("event_id") % 5 / 4).alias("reward"), ((F.col("user_id") * 7 + 3) % 50).alias("next_state"), (F.col("event_id") % 9 == 0).alias("done"))
+    q = x.select("state", "action").distinct().withColumns({"value": ((F.col("state") * 7 + F.col("action") * 3) % 10) / 10, "visits": F.lit(0).cast("bigint")})
+    return learnloop.learn(x, q, LEARN_ROUNDS, rate=0.1, tolerance=learnloop.CONVERGED)
+
+
+@query
+def learn_loop(spark, sf):
+    """Q-values after rounds of batches that are drawn from the replay buffer by priority."""
+    return _learned(spark, sf)[0].select("state", "action", r6("value"), "visits")
+
+
+@query
+def learn_rounds(spark, sf):
+    """The rounds of the same loop, with the rows drawn and their mean error."""
+    return _learned(spark, sf)[1].select("round", "drawn", r6("error"))
+
+
+@query
+def explored_actions(spark, sf):
+    q = fx.table(spark, sf, "events").groupBy((F.col("user_id") % 50).alias("state"), (F.col("event_id") % 4).alias("action")).agg(F.round(F.avg("value"), 6).alias("value"))
+    return learnloop.chosen(q, 3, 0.3, 20.0)
+
+
 @query
 def reward_signals(spark, sf):
     e = fx.table(spark, sf, "events")
@@ -788,6 +817,22 @@ def kmeans_patterns(spark, sf):
     return learning.patterns(t, 10).select("id", r6("quality"), "size")
 
 
+def _bank(spark, sf) -> patternbank.PatternBank:
+    """A bank that all trajectories reach in three batches by the time they were recorded."""
+    t = fx.memories(spark, sf).select("id", "vec_id", "vector", F.col("importance").alias("quality"))
+    bank = patternbank.PatternBank(spark, f"{shared_folder(spark)}/patterns-{uuid.uuid4().hex}", 100, 0.9)
+    bank.bootstrap(t, "id", rounds=1, spread=False)
+    for b in range(3):
+        bank.record(t.where(F.col("vec_id") % 3 == b), b + 1)
+    return bank
+
+
+@query
+def pattern_bank(spark, sf):
+    """Centres that three batches have moved, those of enough quality, as they are exported."""
+    return _bank(spark, sf).patterns(0.3).select("id", r6("quality"), "size", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
 @query
 def ivf_recall(spark, sf):
     """An index of a third of the vectors that then takes the others, some again with another vector, and deletes: for every tenth vector that is
