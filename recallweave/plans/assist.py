@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, vectors
-from ..operators import assist, browse, graph, lifecycle, records, search
+from ..operators import assist, browse, counters, graph, lifecycle, records, search
 from ..sources import connectors, store
 from ..streaming.bursts import BurstStream
 from . import fixtures as fx
@@ -377,6 +377,34 @@ def connector_memory_notes(spark, sf):
     return _short(connectors.markdown_files(d, "memory", "Semantic", 0.6))
 
 
+@query(sql._with(sql._chunked("n", "documents", "doc_id", "text", 512, 128), sql._chunked("p", "(SELECT doc_id, text FROM documents WHERE strlen(text) >= 50)", "doc_id", "text", 512, 128),
+    "i AS (SELECT 'agent_memory' AS connector, doc_id, content FROM n UNION ALL SELECT 'plans', doc_id, content FROM p)", "k AS (SELECT * FROM i WHERE strlen(content) >= 20)")
+    + "SELECT 1 AS import, connector, count_if(doc_id % 3 <> 0) AS created, 0 AS skipped FROM k GROUP BY connector UNION ALL SELECT 2, connector, count_if(doc_id % 3 = 0), count_if(doc_id % 3 <> 0) FROM k GROUP BY connector")
+def import_counts(spark, sf):
+    """Two imports through the registry, of which the second brings the first's files again: what the writing jobs count."""
+    d = fx.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("/n/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text", F.col("doc_id").alias("timestamp"))
+    registry, tables, counts = connectors.default_registry(), _store(spark), counters.Counters(spark)
+    load = lambda rows: registry.load_into(tables, "items", {"agent_memory": (rows,), "plans": (rows,), "vault": (rows,)}, counts, config={"vault": False})
+    first, second = load(d.where("doc_id % 3 <> 0")), load(d)
+    return first.select(F.lit(1).alias("import"), "*").unionByName(second.select(F.lit(2).alias("import"), "*"))
+
+
+@query(sql._with(sql.MEM, "q AS (SELECT vec_id AS n, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 5)")
+    + "SELECT 'search ' || n AS name, count(*) AS scanned, count_if(list_cosine_similarity(vector, q) >= 0.1) AS above, least(10, count_if(list_cosine_similarity(vector, q) >= 0.1)) AS hits, true AS timed FROM memories, q GROUP BY n")
+def search_counts(spark, sf):
+    """Five searches that tell while they run how many memories they read and how many are near enough; their times are kept with the counts."""
+    counts = counters.Counters(spark)
+    hits = []
+    for n in range(5):
+        rows = search.scored(fx.memories(spark, sf), fx.query_vector(spark, sf, n))
+        near = F.col("similarity") >= 0.1
+        best = lambda seen: seen.where(F.col("similarity") >= 0.1).orderBy(F.desc("similarity"), "id").limit(10).select("id").collect()
+        found, _ = counts.run(f"search {n}", rows, {"scanned": F.count("*"), "above": F.count_if(near)}, best)
+        hits.append((f"search {n}", len(found)))
+    told = counts.table().select("name", F.col("counts")["scanned"].alias("scanned"), F.col("counts")["above"].alias("above"), (F.col("micros") > 0).alias("timed"))
+    return told.join(spark.createDataFrame(hits, "name string, hits bigint"), "name")
+
+
 @query(sql._with("t AS (SELECT doc_id, text, len(" + sql._words("text") + ") AS n FROM documents WHERE text <> '')", sql._chunked("c", "(SELECT doc_id, text FROM t WHERE n > 500)", "doc_id", "text", 400, 50))
     + "SELECT " + SQL_ITEM.format(c="content", k="Semantic", i="0.6", t="doc_id") + " FROM c WHERE chunk_index < 5 UNION ALL SELECT " + SQL_ITEM.format(c="text", k="Semantic", i="0.6", t="doc_id") + " FROM t WHERE n <= 500")
 def connector_vault(spark, sf):

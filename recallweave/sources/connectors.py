@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, text
 from ..operators import chunking, records
+from ..operators.counters import Counters
+from .store import TableStore
 
 
 def item_id(source: str, *parts) -> F.Column:
@@ -142,20 +144,37 @@ class Registry:
         names = self.connectors if not wanted or wanted == ["all"] else [w for w in wanted if w in self.connectors]
         return [self.connectors[n] for n in names if (config or {}).get(n, self.connectors[n].enabled)]
 
+    def _marked(self, inputs: dict[str, tuple], existing: DataFrame, wanted: list[str] | None, config: dict[str, bool] | None) -> tuple[DataFrame, list[str]]:
+        """All items with `known`, whether their id is there already, and the connectors that ran. Of items with one id that of the connector
+        selected first stays, and of one connector's the least by content and what follows."""
+        chosen = [c for c in self.select(wanted, config) if c.name in inputs]
+        if not chosen:
+            raise ValueError("no connector is selected that has an input")
+        rows = None
+        for n, c in enumerate(chosen):
+            part = c.load(*inputs[c.name]).select("id", F.lit(n).alias("nth"), "content", "memory_type", "importance", "timestamp", F.lit(c.name).alias("connector"))
+            rows = part if rows is None else rows.unionByName(part)
+        fields = [c for c in rows.columns if c != "id"]
+        kept = rows.where(F.octet_length("content") >= 20).groupBy("id").agg(F.min(F.struct(*fields)).alias("r")).select("id", "r.*").drop("nth")
+        known = existing.select("id").distinct().withColumn("known", F.lit(True))
+        return kept.join(known, "id", "left").withColumn("known", F.coalesce("known", F.lit(False))), [c.name for c in chosen]
+
     def run(self, inputs: dict[str, tuple], existing: DataFrame, wanted: list[str] | None = None, config: dict[str, bool] | None = None) -> tuple[DataFrame, DataFrame]:
         """(new items of all selected connectors, stats of created and skipped by connector). Ids that exist are skipped."""
-        parts = [c.load(*inputs[c.name]).withColumn("connector", F.lit(c.name)) for c in self.select(wanted, config) if c.name in inputs]
-        if not parts:
-            raise ValueError("no connector is selected that has an input")
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        rows = rows.where(F.octet_length("content") >= 20).dropDuplicates(["id"])
-        known = existing.select("id").withColumn("known", F.lit(True))
-        marked = rows.join(known, "id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        marked, _ = self._marked(inputs, existing, wanted, config)
         stats = marked.groupBy("connector").agg(F.count_if(~F.col("known")).alias("created"), F.count_if("known").alias("skipped"))
         return marked.where(~F.col("known")).drop("known"), stats
 
+    def load_into(self, store: TableStore, table: str, inputs: dict[str, tuple], counters: Counters, wanted: list[str] | None = None, config: dict[str, bool] | None = None) -> DataFrame:
+        """New items into a store's table, and connector, created, skipped, counted by the job that writes them. Connectors without items have a row of zeros."""
+        spark = store.spark
+        existing = store.read(table, ["id"]) if store.exists(table) else spark.createDataFrame([], "id string")
+        marked, names = self._marked(inputs, existing, wanted, config)
+        own = lambda n: F.col("connector") == n
+        counts = {f"created {n}": F.count_if(own(n) & ~F.col("known")) for n in names} | {f"skipped {n}": F.count_if(own(n) & F.col("known")) for n in names}
+        _, told = counters.run(f"import {table}", marked, counts, lambda rows: store.upsert(table, rows.where(~F.col("known")).drop("known")))
+        return spark.createDataFrame([(n, told[f"created {n}"], told[f"skipped {n}"]) for n in names], "connector string, created bigint, skipped bigint")
+
 
 def default_registry() -> Registry:
     out = Registry()
