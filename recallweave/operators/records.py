@@ -24,6 +24,14 @@ def mail_records(raw: DataFrame, column: str) -> DataFrame:
     return rows.select(*[text.strip(F.get("f", F.lit(i))).alias(n) for i, n in enumerate(names)])
 
 
+def recent_mail(mail: DataFrame, now: int, days: int = 30, most: int = 2000) -> DataFrame:
+    """Of mail_records those of the last days before `now` (s, as their date is) from mailboxes that are kept, with bodies cut to `most` characters. A date
+    that is no number takes a mail out."""
+    sent = F.expr("try_cast(date as bigint)")
+    kept = mail.where(sent.between(now - days * 86400, now) & ~labels.skipped_mailbox(F.col("mailbox")))
+    return kept.withColumns({"date": sent, "body": F.substring("body", 1, most)})
+
+
 def changes(rows: DataFrame, keys: list[str], order: list, by: list[str]) -> DataFrame:
     """Rows whose keys differ from the row before, by partition."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, text, vectors
 from ..operators import assist, browse, counters, graph, lifecycle, records, search
-from ..sources import connectors, store
+from ..sources import connectors, readers, store
 from ..streaming.bursts import BurstStream
 from . import fixtures as fx
 from . import oracles as sql
@@ -377,6 +377,69 @@ def connector_memory_notes(spark, sf):
     return _short(connectors.markdown_files(d, "memory", "Semantic", 0.6))
 
 
+def _new_folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id, source, length(text) AS chars, md5(text) AS digest FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0")
+def walked_files(spark, sf):
+    """Documents written as lines of files below a folder and read by a walk, which enters neither hidden folders nor those of packages, where some lie."""
+    folder = _new_folder(spark, "walk")
+    d = fx.table(spark, sf, "documents").select(F.to_json(F.struct("doc_id", "source", "text")).alias("value"), "doc_id", (F.col("doc_id") % 7 == 0).alias("package"), (F.col("doc_id") % 11 == 0).alias("hidden"))
+    for name, rows in {"a/node_modules/b": "package", "a/.b": "hidden and not package", "a/b": "not hidden and not package and doc_id % 2 = 0", "c": "not hidden and not package and doc_id % 2 <> 0"}.items():
+        d.where(rows).select("value").write.text(f"{folder}/{name}")
+    readers.register(spark)
+    found = spark.read.format("folder_walk").load(folder).where(F.endswith("path", F.lit(".txt")) & F.col("valid"))
+    one = found.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    x = F.from_json("line", "doc_id bigint, source string, text string")
+    return one.select(x.alias("x")).select("x.doc_id", "x.source", F.length("x.text").alias("chars"), F.md5("x.text").alias("digest"))
+
+
+def _mailbox(spark, sf) -> str:
+    """Mail as a fetch gives it: fields and records between their separators, in files."""
+    folder = _new_folder(spark, "mailbox")
+    m = fx.emails(spark, sf).withColumn("account", F.lit("account"))
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("message_id", "subject", "sender", "indexed_at", "mailbox", "account", "body")]
+    m = m.select(F.concat_ws("␞", *fields).alias("value"))
+    m.write.option("lineSep", "␟").text(folder)
+    readers.register(spark)
+    return folder
+
+
+def _fetched(raw: DataFrame) -> DataFrame:
+    recent = records.recent_mail(records.mail_records(raw.where("valid"), "record"), fx.T0 // 1000 + 30 * 86400 + 3600)
+    return recent.select(F.col("message_id").cast("bigint").alias("message_id"), "mailbox", "date", F.md5("subject").alias("subject"), F.md5("body").alias("body"))
+
+
+SQL_FETCHED = sql._with(sql.MAIL) + f"""SELECT message_id, mailbox, indexed_at AS date, md5(coalesce(regexp_replace(subject, '^{sql.WS}+|{sql.WS}+$', '', 'g'), '')) AS subject,
+md5(substr(coalesce(regexp_replace(body, '^{sql.WS}+|{sql.WS}+$', '', 'g'), ''), 1, 2000)) AS body FROM mail
+WHERE indexed_at BETWEEN {fx.T0 // 1000 + 3600} AND {fx.T0 // 1000 + 30 * 86400 + 3600} AND lower(mailbox) NOT IN {sql._in([m.lower() for m in labels.SKIPPED_MAILBOXES])}"""
+
+
+@query(SQL_FETCHED)
+def mailbox_fetch(spark, sf):
+    """Mail of the last 30 days from files of records, which many tasks read by ranges of bytes."""
+    return _fetched(spark.read.format("separated_records").option("separator", "␟").option("split_bytes", 1 << 20).load(_mailbox(spark, sf)))
+
+
+@query(SQL_FETCHED)
+def mailbox_stream(spark, sf):
+    """The same as a stream, whose offsets are the bytes read of each file."""
+    rows = spark.readStream.format("separated_records").option("separator", "␟").option("split_bytes", 1 << 20).load(_mailbox(spark, sf))
+    out = _new_folder(spark, "mailbox-out")
+    stream = _fetched(rows).writeStream.format("parquet").option("checkpointLocation", _new_folder(spark, "mailbox-offsets")).trigger(once=True).start(out)
+    stream.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query(sql._with("d AS (SELECT text AS content FROM documents WHERE length(text) > 20 ORDER BY content LIMIT 1000)") + "SELECT " + SQL_ITEM.format(c="content", k="Procedural", i="0.5", t="0") + " FROM d")
+def connector_notebook(spark, sf):
+    """The first table of the catalog that is there and has a text column, by the registry's connector; its thousand first texts."""
+    fx.table(spark, sf, "documents").createOrReplaceTempView("notebook_blocks")
+    fx.table(spark, sf, "documents").select("doc_id").createOrReplaceTempView("notebook_keys")
+    return _short(connectors.discovered_rows(spark, ["no_such_table", "notebook_keys", "notebook_blocks"]))
+
+
 @query(sql._with(sql._chunked("n", "documents", "doc_id", "text", 512, 128), sql._chunked("p", "(SELECT doc_id, text FROM documents WHERE strlen(text) >= 50)", "doc_id", "text", 512, 128),
     "i AS (SELECT 'agent_memory' AS connector, doc_id, content FROM n UNION ALL SELECT 'plans', doc_id, content FROM p)", "k AS (SELECT * FROM i WHERE strlen(content) >= 20)")
     + "SELECT 1 AS import, connector, count_if(doc_id % 3 <> 0) AS created, 0 AS skipped FROM k GROUP BY connector UNION ALL SELECT 2, connector, count_if(doc_id % 3 = 0), count_if(doc_id % 3 <> 0) FROM k GROUP BY connector")
