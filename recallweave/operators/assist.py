@@ -123,7 +123,7 @@ def period_label(first: Column, last: Column) -> Column:
 
 
 def chat_texts(messages: DataFrame, whole: int = 100, snippets: int = 8, chars: int = 80) -> DataFrame:
-    """chat, name, period, label, summary, content of chats (chat, name, sender, text, ts, n): a memory each, or one a month if longer. The summary has the
+    """chat, period, label, summary, content, messages, last of chats (chat, name, sender, text, ts, n): a memory each, or one a month if longer. The summary has the
     longest messages' beginnings, distinct whatever their case; the content every message in order. A memory's messages are what is collected."""
     said = messages.where(F.length("text") > 20)
     size = said.groupBy("chat").agg(F.count("*").alias("all"))
@@ -137,7 +137,7 @@ def chat_texts(messages: DataFrame, whole: int = 100, snippets: int = 8, chars:
     label = period_label(F.col("first"), F.col("last"))
     head = F.concat(F.lit("WhatsApp conversation with "), "name")
     summary = F.concat(head, F.lit(" ("), label, F.lit(", "), F.col("messages").cast("string"), F.lit(" messages). Topics: "), "topics")
-    return body.join(topics, own).select("chat", "period", label.alias("label"), summary.alias("summary"), F.concat(head, F.lit(" — "), label, F.lit("\n\n"), "lines").alias("content"), "messages")
+    return body.join(topics, own).select("chat", "period", label.alias("label"), summary.alias("summary"), F.concat(head, F.lit(" — "), label, F.lit("\n\n"), "lines").alias("content"), "messages", "last")
 
 
 def profile_summary(profiles: DataFrame) -> DataFrame:
@@ -161,13 +161,47 @@ def of_accounts(mail: DataFrame, allowed: list[str]) -> DataFrame:
     return mail.where(F.lower("account").isin(*wanted) | F.exists("addresses", lambda a: F.lower(a).isin(*wanted))) if wanted else mail
 
 
-def bridge_import(memories: DataFrame, refs: DataFrame, limit: int, most_chars: int = 2000) -> DataFrame:
-    """What a batch hands on: the oldest memories without a reference, with decoded vectors, cut content, kind and the context that their id tells."""
+def _bridge_batch(memories: DataFrame, refs: DataFrame, limit: int) -> DataFrame:
+    """The oldest memories without a reference, with decoded vectors; what can't be decoded has an empty one."""
     rows = memories.join(refs.select("id"), "id", "left_anti").orderBy("timestamp", "id").limit(limit)
-    out = rows.withColumn("vector", vectors.unpacked(F.col("blob"))).where(F.size("vector") > 0)
+    vector = vectors.unpacked(F.col("blob"))
+    return rows.withColumn("vector", F.coalesce(vector, F.slice(vector, 1, 0), F.array().cast("array<double>")))
+
+
+def _bridged(batch: DataFrame, most_chars: int) -> DataFrame:
     c = labels.context_of(F.col("id"))
     kind = F.when(F.col("memory_type") == "Episodic", "Episodic").otherwise("Semantic")
-    return out.select("id", F.substring("content", 1, most_chars).alias("content"), "vector", kind.alias("kind"), c["topic"].alias("topic"), text.gist(F.col("content")).alias("gist"), F.array_join(text.concepts(F.col("content")), ", ").alias("concepts"))
+    rows = batch.where(F.size("vector") > 0)
+    return rows.select("id", F.substring("content", 1, most_chars).alias("content"), "vector", kind.alias("kind"), c["topic"].alias("topic"), text.gist(F.col("content")).alias("gist"), F.array_join(text.concepts(F.col("content")), ", ").alias("concepts"))
+
+
+def bridge_import(memories: DataFrame, refs: DataFrame, limit: int, most_chars: int = 2000) -> DataFrame:
+    """What a batch hands on: the oldest memories without a reference, with decoded vectors, cut content, kind and the context that their id tells."""
+    return _bridged(_bridge_batch(memories, refs, limit), most_chars)
+
+
+def bridge_run(store, memories: DataFrame, counters, at: int, limit: int, most_chars: int = 2000, table: str = "refs", handed: str = "handed") -> dict[str, int]:
+    """One batch of the bridge: what is handed on goes to the store's table `handed`, and a reference (id, handed_id, processed_at, gist, concepts) for each to
+    `table`, in the place of an older one. Memories without a vector are skipped and stay without a reference, so they come again. What is handed on
+    is written first, under ids that follow the memory's, and read for the references: a run that stopped between the two is made good by the next."""
+    refs = store.read(table, ["id"]) if store.exists(table) else memories.sparkSession.createDataFrame([], "id string")
+    full = F.size("vector") > 0
+    wire = F.concat(F.lit("bw-"), F.substring(F.sha2("id", 256), 1, 16))
+    counts = {"imported": F.count_if(full), "skipped": F.count_if(~full)}
+
+    def write(batch: DataFrame) -> int:
+        return store.upsert(handed, _bridged(batch, most_chars).select(wire.alias("handed_id"), F.lit(at).alias("processed_at"), "*"))
+
+    version, told = counters.run("bridge", _bridge_batch(memories, refs, limit), counts, write)
+    store.upsert(table, store.version(handed, version).select("id", "handed_id", "processed_at", "gist", "concepts"))
+    return told
+
+
+def bridge_status(memories: DataFrame, refs: DataFrame) -> DataFrame:
+    """total, processed, remaining memories."""
+    known = refs.select("id", F.lit(1).alias("done"))
+    out = memories.select("id").join(known, "id", "left").agg(F.count("*").alias("total"), F.count("done").alias("processed"))
+    return out.withColumn("remaining", F.col("total") - F.col("processed"))
 
 
 def migration(stores: dict[str, DataFrame], migrated: DataFrame, dim: int) -> DataFrame:

@@ -320,7 +320,17 @@ b AS (SELECT chat, period, count(*) AS messages, strftime(min(ts), '%b %Y') AS a
 l AS (SELECT *, CASE WHEN a = z THEN a ELSE a || ' – ' || z END AS label FROM b)
 SELECT chat, period, label, 'WhatsApp conversation with chat ' || chat || ' (' || label || ', ' || messages || ' messages). Topics: ' || topics AS summary, md5('WhatsApp conversation with chat ' || chat || ' — ' || label || chr(10) || chr(10) || lines) AS content, messages FROM l JOIN k USING (chat, period)""")
 def chat_texts(spark, sf):
-    return assist.chat_texts(_messages(spark, sf)).withColumn("content", F.md5("content"))
+    return assist.chat_texts(_messages(spark, sf)).withColumn("content", F.md5("content")).drop("last")
+
+
+@query("""WITH s AS (SELECT user_id % 50 AS chat, CASE WHEN event_id % 2 = 0 THEN 'You' ELSE 'Ann' END AS sender, 'message about the ' || event_type || ' ' || event_id % 5 AS text, ts, event_id AS n FROM events),
+p AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY chat) <= 100 THEN 'all' ELSE strftime(ts, '%Y-%m') END AS period FROM s WHERE length(text) > 20 AND chat % 4 <> 3),
+b AS (SELECT chat, strftime(min(ts), '%b %Y') AS a, strftime(max(ts), '%b %Y') AS z, max(ts) AS last, string_agg('[' || strftime(ts, '%Y-%m-%d %H:%M') || '] ' || sender || ': ' || text, chr(10) ORDER BY ts, n) AS lines FROM p GROUP BY chat, period)
+SELECT md5('WhatsApp conversation with chat ' || chat || ' — ' || CASE WHEN a = z THEN a ELSE a || ' – ' || z END || chr(10) || chr(10) || lines) AS content, 'Episodic' AS memory_type, 0.4::DOUBLE AS importance, epoch_us(last) // 1000 AS timestamp FROM b""")
+def connector_chat(spark, sf):
+    """Messages of the chats that have a session, by the registry's connector."""
+    m = _messages(spark, sf)
+    return _short(connectors.default_registry().connectors["chat"].load(m.drop("name"), m.where("chat % 4 <> 3").select("chat", "name").distinct()))
 
 
 @query("SELECT string_agg(p, ', ' ORDER BY p) AS details FROM (SELECT browser || ' (' || count(*) || CASE WHEN count(*) = 1 THEN ' profile)' ELSE ' profiles)' END AS p FROM (SELECT DISTINCT event_type AS browser, user_id % 3 AS profile FROM events) GROUP BY browser)")
@@ -512,14 +522,41 @@ def memory_stats_connected(spark, sf):
     return assist.stats_connected(m).select("n", r6("avg_importance"), r6("avg_decay"), "accesses", "connections")
 
 
-@query(sql._with(sql.MEM) + f"""SELECT id, CASE WHEN memory_type = 'Episodic' THEN 'Episodic' ELSE 'Semantic' END AS kind, 64 AS dim, '{'x' * 10}' AS head FROM memories WHERE vec_id % 3 <> 0 AND vec_id NOT IN (1, 2) ORDER BY timestamp, id LIMIT 38""")
+def _texted(spark, sf):
+    """Memories with a document's text as content and their vector packed; every tenth has no vector."""
+    m = fx.memories(spark, sf).join(fx.table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content")), "vec_id")
+    packed = vectors.packed(F.col("vector").cast("array<float>"))
+    return m.withColumn("blob", F.when(F.col("vec_id") % 10 == 1, vectors.packed(F.slice("vector", 1, 0).cast("array<float>"))).otherwise(packed)).drop("vector")
+
+
+TEXTED = "texted AS (SELECT m.*, d.text AS content FROM memories m JOIN documents d ON d.doc_id = m.vec_id)"
+
+
+@query(sql._with(sql.MEM, TEXTED, "b AS (SELECT * FROM texted WHERE vec_id % 3 <> 0 ORDER BY timestamp, id LIMIT 40)")
+    + "SELECT id, CASE WHEN memory_type = 'Episodic' THEN 'Episodic' ELSE 'Semantic' END AS kind, len(vector) AS dim, md5(substr(content, 1, 2000)) AS content FROM b WHERE vec_id % 10 <> 1")
 def bridge_import(spark, sf):
-    """A batch of 40 oldest memories without a reference; two have no vector."""
-    m = fx.memories(spark, sf)
-    refs = m.where("vec_id % 3 = 0").select("id")
-    blob = F.when(F.col("vec_id").isin(1, 2), vectors.packed(F.slice("vector", 1, 0).cast("array<float>"))).otherwise(vectors.packed(F.col("vector").cast("array<float>")))
-    out = assist.bridge_import(m.withColumns({"blob": blob, "content": F.repeat(F.lit("x"), 3000)}), refs, 40)
-    return out.where(F.length("content") == 2000).select("id", "kind", F.size("vector").alias("dim"), F.substring("content", 1, 10).alias("head"))
+    """A batch of 40 oldest memories without a reference; some have no vector."""
+    m = _texted(spark, sf)
+    out = assist.bridge_import(m, m.where("vec_id % 3 = 0").select("id"), 40)
+    return out.select("id", "kind", F.size("vector").cast("bigint").alias("dim"), F.md5("content").alias("content"))
+
+
+def _runs(n: int, limit: int) -> str:
+    ctes = [sql.MEM, TEXTED, "r0 AS (SELECT id FROM texted WHERE false)"]
+    for k in range(1, n + 1):
+        ctes += [f"b{k} AS MATERIALIZED (SELECT id, vec_id % 10 <> 1 AS ok FROM texted WHERE id NOT IN (SELECT id FROM r{k - 1}) ORDER BY timestamp, id LIMIT {limit})",
+                 f"r{k} AS MATERIALIZED (SELECT id FROM r{k - 1} UNION ALL SELECT id FROM b{k} WHERE ok)"]
+    rows = " UNION ALL ".join(f"SELECT {k} AS run, count_if(ok) AS imported, count_if(NOT ok) AS skipped FROM b{k}" for k in range(1, n + 1))
+    return sql._with(*ctes) + f"SELECT r.*, total, processed, total - processed AS remaining FROM ({rows}) r, (SELECT (SELECT count(*) FROM texted) AS total, (SELECT count(*) FROM r{n}) AS processed)"
+
+
+@query(_runs(3, 50))
+def bridge_runs(spark, sf):
+    """Three batches that leave their references, what each counted while it wrote, and the bridge's state afterwards."""
+    tables, counts, m = _store(spark), counters.Counters(spark), _texted(spark, sf)
+    told = [assist.bridge_run(tables, m, counts, fx.AS_OF + k, 50) for k in range(3)]
+    rows = spark.createDataFrame([(k + 1, t["imported"], t["skipped"]) for k, t in enumerate(told)], "run int, imported bigint, skipped bigint")
+    return rows.crossJoin(F.broadcast(assist.bridge_status(m, tables.read("refs", ["id"]))))  # one row
 
 
 @query("""WITH r AS (SELECT event_id AS id, (event_id % 21 - 10) / 5 AS reward FROM events)

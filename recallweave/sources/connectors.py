@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
-from ..operators import chunking, records
+from ..operators import assist, chunking, records
 from ..operators.counters import Counters
 from .store import TableStore
 
@@ -49,11 +49,9 @@ def prompt_history(prompts: DataFrame, source: str = "claude_history", size: int
 
 
 def chat(messages: DataFrame, sessions: DataFrame, source: str = "whatsapp") -> DataFrame:
-    """messages (chat, sender, text, ts) joined to sessions (chat, name): one memory each, or one a month."""
-    rows = records.chat_memories(messages)
-    named = rows.join(sessions, "chat")
-    content = F.concat(F.lit("Conversation with "), "name", F.lit(" ("), "period", F.lit(", "), F.col("messages").cast("string"), F.lit(" messages)."))
-    return _items(named.withColumns({"id": item_id(source, F.col("chat").cast("string"), "period"), "content": content, "timestamp": F.unix_millis(F.col("last").cast("timestamp"))}), "Episodic", 0.4)
+    """messages (chat, sender, text, ts, n) joined to sessions (chat, name): a memory of all messages in order each, or one a month."""
+    rows = assist.chat_texts(messages.join(sessions.select("chat", "name"), "chat"))
+    return _items(rows.withColumns({"id": item_id(source, F.col("chat").cast("string"), "period"), "timestamp": F.unix_millis(F.col("last").cast("timestamp"))}), "Episodic", 0.4)
 
 
 def browser_history(history: DataFrame, source: str = "chromium", most: int = 2000) -> DataFrame:

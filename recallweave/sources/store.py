@@ -92,6 +92,11 @@ class TableStore:
             raise FileNotFoundError(f"{self.root}/{table}")
         return latest(rows, key)
 
+    def version(self, table: str, version: int) -> DataFrame:
+        """The rows that one version brought, before it is compacted."""
+        rows = self.spark.read.parquet(f"{self.root}/{table}/log/{version:012d}")
+        return rows.where(~F.col("_gone")).drop("_version", "_gone")
+
     def replace_where(self, table: str, key: list[str], group: str, rows: DataFrame) -> int:
         """All rows of the groups that `rows` holds are replaced by them, as when a file is indexed again; in one version."""
         if not self.exists(table):
