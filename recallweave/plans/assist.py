@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, vectors
-from ..operators import assist, browse, counters, graph, lifecycle, records, search
-from ..sources import connectors, readers, store
+from ..operators import assist, browse, counters, graph, intake, lifecycle, records, search
+from ..sources import connectors, discovery, readers, store
 from ..streaming.bursts import BurstStream
 from . import fixtures as fx
 from . import oracles as sql
-from .queries import _hits, _items, _stream, _stream_dir, r6
+from .queries import _fused, _hits, _items, _stream, _stream_dir, r6
 from .stored import shared_folder
 
 QUERIES: dict = {}
@@ -146,6 +146,63 @@ def workflow_digest(spark, sf):
     return assist.digest(search.recall(_memories(spark, sf), fx.query_vector(spark, sf), 5), "today")
 
 
+def _taught(spark, sf) -> tuple[store.TableStore, list[dict[str, int]]]:
+    """Documents as texts to remember: those of even number first, then all of them."""
+    d = fx.table(spark, sf, "documents")
+    texts = d.select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("id"), F.col("text").alias("content"), F.lit("episodic").alias("memory_type"), F.lit(0.5).alias("importance"), F.col("doc_id").alias("timestamp"))
+    tables, counts = _store(spark), counters.Counters(spark)
+    call = lambda rows: intake.remember_texts(tables, rows, counts, lambda c: vectors.hash_embedding(c, 64), above=0.8)
+    return tables, [call(texts.where("timestamp % 2 = 0")), call(texts)]
+
+
+TAUGHT = [
+    sql._hashed("e", "documents", "doc_id", "text", 64),
+    f"t AS (SELECT doc_id, 'doc-' || doc_id AS id, text, v, doc_id % 2 = 0 AS early FROM documents JOIN e USING (doc_id) WHERE strlen(regexp_replace(text, '^{sql.WS}+|{sql.WS}+$', '', 'g')) >= 20)",
+    "near AS (SELECT a.id AS src, b.id AS dst, list_dot_product(a.v, b.v) AS similarity FROM t a JOIN t b ON a.id <> b.id AND (b.early OR NOT a.early) WHERE list_dot_product(a.v, b.v) > 0.8)",
+    "best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(similarity, 9) DESC, dst) <= 4)",
+]
+
+
+@query(sql._with(*TAUGHT) + "SELECT src, dst, round(similarity, 6) AS similarity FROM best")
+def remember_text_edges(spark, sf):
+    """Edges of texts that were remembered in two calls: the second's see all memories, the first's only one another."""
+    return _taught(spark, sf)[0].read("edges", ["src", "dst"]).select("src", "dst", r6("similarity"))
+
+
+@query(sql._with(*TAUGHT, "h AS (SELECT src FROM best GROUP BY 1 HAVING count(*) >= 2)")
+    + """SELECT 1 AS call, (SELECT count_if(early) FROM t) AS created, (SELECT count_if(doc_id % 2 = 0) FROM documents) - (SELECT count_if(early) FROM t) AS skipped, x.* FROM x
+UNION ALL SELECT 2, (SELECT count_if(NOT early) FROM t), (SELECT count(*) FROM documents) - (SELECT count_if(NOT early) FROM t), x.* FROM x""".replace("FROM x", "FROM (SELECT (SELECT count(*) FROM t) AS memories, (SELECT count(*) FROM t) AS nodes, (SELECT count(*) FROM h) AS hyperedges) x"))
+def remember_text_counts(spark, sf):
+    """What both calls counted while they wrote, and what the store holds afterwards."""
+    tables, told = _taught(spark, sf)
+    rows = spark.createDataFrame([(n + 1, t["created"], t["skipped"]) for n, t in enumerate(told)], "call int, created bigint, skipped bigint")
+    for name, key in {"memories": "id", "nodes": "id", "hyperedges": "src"}.items():
+        rows = rows.crossJoin(F.broadcast(tables.read(name, [key]).agg(F.count("*").alias(name))))  # one row
+    return rows
+
+
+@query(sql._with(*sql.FUSED, sql.MEM, sql.MAIL, sql._recalled(k=5).replace("hits AS", "recalled AS"),
+    f"c AS (SELECT source, id, similarity, CAST(split_part(id, '/', 1) AS BIGINT) AS doc_id, {sql._cut('content', 'chars')} AS content FROM b JOIN hits USING (source, id, content))",
+    """l AS (SELECT c.source, c.content, row_number() OVER (PARTITION BY c.source ORDER BY similarity DESC, c.doc_id, CAST(split_part(id, '/', 2) AS BIGINT)) AS r, CASE c.source
+  WHEN 'email' THEN 'Subject: ' || subject || chr(10) || '   From: ' || sender || ' | Date: ' || indexed_at || ' | Mailbox: ' || mailbox WHEN 'file' THEN name || ' (' || path || ')' ELSE '[' || ext || '] ' || name || ': ' || path END AS head
+  FROM c JOIN files f ON f.doc_id = c.doc_id LEFT JOIN mail ON message_id = c.doc_id)""",
+    """s AS (SELECT source, string_agg(r || '. ' || head || chr(10) || CASE WHEN source = 'file' THEN content || chr(10) || chr(10) ELSE CASE WHEN content <> '' THEN '   Content: ' || content || chr(10) ELSE '' END || CASE source WHEN 'email' THEN chr(10) ELSE '' END END, '' ORDER BY r) AS body FROM l GROUP BY source)""",
+    "x AS (SELECT string_agg(CASE source " + " ".join(f"WHEN '{k}' THEN chr(10) || '{a.strip()}' || chr(10) || body || '{z.strip()}' || chr(10) || chr(10)" for k, (a, z) in intake.SECTIONS.items())
+    + " END, '' ORDER BY CASE source " + " ".join(f"WHEN '{k}' THEN {n}" for n, k in enumerate(intake.SECTIONS)) + " END) AS context FROM s)")
+    + "SELECT md5('" + assist.FOUND.replace("'", "''").replace("\n", "' || chr(10) || '") + "' || substr(context, 1, 2000)) AS response, round((SELECT max(similarity) FROM recalled), 6) AS confidence, (SELECT count(*) FROM recalled) AS memories, md5(context) AS context FROM x")
+def think_with_context(spark, sf):
+    """A question's answer from memories and from mail, system and file results, each cut to its share of the context."""
+    files = fx.file_index(spark, sf).select("doc_id", "name", "path", "ext")
+    mail = fx.emails(spark, sf).select(F.col("message_id").alias("doc_id"), "subject", "sender", "indexed_at", "mailbox")
+    few = _fused(spark, sf).select("source", "doc_id", "chunk_index", "similarity", "content")  # at most 23 rows
+    parts = mail.join(files.join(F.broadcast(few), "doc_id"), "doc_id", "right")
+    shown = F.concat(F.lit("Subject: "), "subject", F.lit("\n   From: "), "sender", F.lit(" | Date: "), F.col("indexed_at").cast("string"), F.lit(" | Mailbox: "), "mailbox")
+    head = F.when(F.col("source") == "email", shown).when(F.col("source") == "file", F.concat("name", F.lit(" ("), "path", F.lit(")"))).otherwise(F.concat(F.lit("["), "ext", F.lit("] "), "name", F.lit(": "), "path"))
+    parts = parts.select("source", F.struct(-F.col("similarity"), "doc_id", "chunk_index").alias("rank"), head.alias("head"), "similarity", "content")
+    out = intake.think(search.recall(_memories(spark, sf), fx.query_vector(spark, sf), 5), parts)
+    return out.select(F.md5("response").alias("response"), r6("confidence"), "memories", F.md5("context").alias("context"))
+
+
 # Files, folders and stores
 
 
@@ -163,11 +220,14 @@ def common_folders(spark, sf):
     return assist.common_folders(fx.file_index(spark, sf).select(place.alias("path")), "/home/a")
 
 
-@query("SELECT doc_id % 5 AS folder FROM documents UNION SELECT doc_id % 7 FROM documents")
+@query("SELECT '/home/a/Documents/p' || user_id % 50 AS folder FROM events UNION SELECT '/data/' || source FROM documents UNION SELECT '/data/src' || user_id % 7 FROM events")
 def watched_folders(spark, sf):
-    """Watched and indexed folders, each once."""
-    d = fx.table(spark, sf, "documents")
-    return d.select((F.col("doc_id") % 5).alias("folder")).union(d.select(F.col("doc_id") % 7)).distinct()
+    """Folders that users named in different ways and folders of indexed files, each once."""
+    e = F.col("user_id").cast("bigint")
+    named = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("~/Documents/p"), (e % 50).cast("string"), F.lit("/"))).otherwise(F.concat(F.lit("/home/a/Documents/p"), (e % 50).cast("string")))
+    again = F.concat(F.lit("/data/src"), (e % 7).cast("string"), F.lit("//"))
+    configured = fx.table(spark, sf, "events").select(F.explode(F.array(named, again)).alias("folder"))
+    return discovery.watched(configured, fx.file_index(spark, sf), "/home/a/")
 
 
 @query(sql._with(sql.MEM) + "SELECT vec_id, timestamp AS modified FROM memories ORDER BY md5('3|' || vec_id), vec_id LIMIT 50")
@@ -339,6 +399,34 @@ def browser_profiles(spark, sf):
     return assist.profile_summary(profiles)
 
 
+@query(f"""WITH p AS (SELECT user_id % 7 AS b, CASE user_id % 4 WHEN 0 THEN 'Default' WHEN 3 THEN 'Guest Profile' ELSE 'Profile ' || user_id % 4 END AS profile, event_id % 2 = 0 AS history FROM events)
+SELECT DISTINCT {sql._list(discovery.BROWSERS)}[b + 1] AS browser, profile, '/home/a/{discovery.APPLICATION_SUPPORT}/' || {sql._list(discovery.BROWSERS.values())}[b + 1] || '/' || profile || '/History' AS path FROM p WHERE history AND profile <> 'Guest Profile'""")
+def browser_profiles_found(spark, sf):
+    """Profiles with a history, found in a listing of files."""
+    u = F.col("user_id")
+    folder = F.get(F.array(*[F.lit(f) for f in discovery.BROWSERS.values()]), (u % 7).cast("int"))
+    profile = F.when(u % 4 == 0, "Default").when(u % 4 == 3, "Guest Profile").otherwise(F.concat(F.lit("Profile "), (u % 4).cast("string")))
+    path = F.concat_ws("/", F.lit(f"/home/a/{discovery.APPLICATION_SUPPORT}"), folder, profile, F.when(F.col("event_id") % 2 == 0, "History").otherwise("Cookies"))
+    return discovery.browser_profiles(fx.table(spark, sf, "events").select(path.alias("path")), "/home/a")
+
+
+@query(sql._with(f"t AS (SELECT doc_id, 'n' || doc_id AS name, text, len({sql._words('text')}) AS n FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND strlen(regexp_replace(text, '^{sql.WS}+|{sql.WS}+$', '', 'g')) >= 20)",
+    sql._chunked("c", "(SELECT * FROM t WHERE n > 500)", "doc_id, name, text", "text", 400, 50))
+    + "SELECT doc_id AS timestamp, md5(text) AS content, md5(name || ' [a, b]: ' || substr(text, 1, 200)) AS summary FROM t WHERE n <= 500 UNION ALL"
+    + " SELECT doc_id, md5(content), md5(name || CASE WHEN chunk_index = 0 THEN ' [a, b]: ' || substr(text, 1, 200) ELSE ' (part ' || chunk_index + 1 || ')' END) FROM c WHERE chunk_index < 5")
+def vault_found(spark, sf):
+    """A vault found in a listing, and its notes as texts to remember; templates, hidden folders and another vault, which comes later, give none."""
+    d = F.col("doc_id")
+    place = F.when(d % 4 == 0, "k2").otherwise("k1")
+    inside = F.when(d % 7 == 0, "templates").when(d % 11 == 0, ".trash").otherwise(F.col("source"))
+    note = fx.table(spark, sf, "documents").select(F.concat_ws("/", F.lit("/home/a/vaults"), place, inside, F.concat(F.lit("n"), d.cast("string"), F.lit(".md"))).alias("path"), F.concat(F.lit("---\ntags: [a, b]\n---\n"), "text").alias("text"), d.alias("timestamp"))
+    p = F.col("page_id")
+    mark = F.concat(F.when(p % 3 == 0, "/home/a/elsewhere").when(p % 3 == 1, "/home/a/vaults/k2").otherwise("/home/a/vaults/k1"), F.lit("/.obsidian/c"), p.cast("string"))
+    listing = note.unionByName(fx.table(spark, sf, "pages").select(mark.alias("path"), F.lit(None).cast("string").alias("text"), p.alias("timestamp")))
+    found = discovery.vault_texts(discovery.vault_notes(listing, discovery.find_vault(listing, "/home/a")))
+    return found.select("timestamp", F.md5("content").alias("content"), F.md5("summary").alias("summary"))
+
+
 def _short(df: DataFrame) -> DataFrame:
     """A connector's items without the hash in their ids."""
     return df.select(F.md5("content").alias("content"), "memory_type", r6("importance"), "timestamp")

@@ -118,6 +118,22 @@ gb AS (SELECT h, sum(CASE WHEN p IN (FROM active) THEN 0.1 * sin(1 + h) * ((b >
 g1 AS (SELECT j, h, sum(CASE WHEN p IN (FROM active) THEN 0.1 * sin(1 + h) * ((b > 0)::INT * (q || v)[j + 1] - (a > 0)::INT * (q || q)[j + 1]) ELSE 0 END) AS g FROM hid JOIN numbered USING (p), range(128) AS t(j) GROUP BY j, h)"""
 
 
+def _hashed(name: str, src: str, key: str, body: str, dim: int) -> str:
+    """The embedding without a model in SQL: `name` has the key and v, a normalised vector. CRC-32 is folded over the bytes of each distinct word or pair."""
+    return f"""{name}_t AS (SELECT {key}, list_transform(string_split(lower({body}), ''), lambda c: unicode(c)) AS c, {_words(f"lower({body})")} AS w FROM {src} WHERE {body} IS NOT NULL),
+{name}_3 AS (SELECT {key}, c[i] AS x, c[i + 1] AS y, c[i + 2] AS z, count(*) AS n FROM (SELECT {key}, c, unnest(range(1, len(c) - 1)) AS i FROM {name}_t) GROUP BY ALL),
+{name}_m AS (SELECT {key}, n, CAST((x::UHUGEINT * 11400714819323198485::UHUGEINT + y::UHUGEINT * 14029467366897019727::UHUGEINT + z::UHUGEINT * 1609587929392839161::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS m FROM {name}_3),
+{name}_k AS (SELECT {key}, n, CAST((CAST(xor(m, m >> 29) AS UHUGEINT) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS m FROM {name}_m),
+{name}_w AS (SELECT {key}, w, count(*) AS n, 0 AS pair FROM (SELECT {key}, unnest(w) AS w FROM {name}_t) GROUP BY ALL UNION ALL
+  SELECT {key}, w, count(*), 1 FROM (SELECT {key}, w[i] || ' ' || w[i + 1] AS w FROM (SELECT {key}, w, unnest(range(1, len(w))) AS i FROM {name}_t)) GROUP BY ALL),
+{name}_h AS (SELECT w, xor(list_reduce(list_transform(range(CAST(len(x) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(x, i * 2 + 1, 2) AS BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM (SELECT DISTINCT w, hex(encode(w)) AS x FROM {name}_w), (SELECT list_transform(range(256), lambda k: list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, k)) AS t)),
+{name}_s AS (SELECT {key}, CAST((m >> 16) % {dim} AS BIGINT) AS s, n AS weight FROM {name}_k UNION ALL SELECT {key}, h % {dim}, n * CASE pair WHEN 1 THEN 1.5 ELSE 2 END FROM {name}_w JOIN {name}_h USING (w)
+  UNION ALL SELECT {key}, (h >> 16) % {dim}, n FROM {name}_w JOIN {name}_h USING (w) WHERE pair = 0),
+{name}_v AS (SELECT {key}, map(list(s), list(weight)) AS p, sqrt(sum(weight * weight)) AS size FROM (SELECT {key}, s, CAST(sum(weight) AS DOUBLE) AS weight FROM {name}_s GROUP BY ALL) GROUP BY {key}),
+{name} AS (SELECT {key}, list_transform(range({dim}), lambda j: coalesce(p[j], 0.0) / coalesce(size, 1.0)) AS v FROM {name}_t LEFT JOIN {name}_v USING ({key}))"""
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
@@ -190,6 +206,17 @@ def _context(field: int) -> str:
 PROJECTS = """marked AS (SELECT DISTINCT '/data/' || source AS root, source AS project FROM documents WHERE CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 2 = 0)"""
 MARKER_MAIL = "'From: ' || sender || chr(10) || 'Subject: ' || subject"
 
+FUSED = (
+    CHUNK_VECTORS, Q, FILE_HITS,
+    "sc AS (SELECT *, list_cosine_similarity(vector, q) AS s FROM cv, q)",
+    """hits AS (SELECT * FROM (SELECT 'email' AS source, doc_id || '/' || chunk_index AS id, content, s AS similarity FROM sc WHERE doc_id % 3 = 0 ORDER BY s DESC, doc_id, chunk_index LIMIT 5)
+  UNION ALL SELECT * FROM (SELECT 'file', doc_id || '/' || chunk_index, content, similarity FROM filehits ORDER BY similarity DESC, path, chunk_index LIMIT 10)
+  UNION ALL SELECT * FROM (SELECT 'system', doc_id || '/' || chunk_index, content, 0.0 FROM cv WHERE contains(lower(content), 'the and') ORDER BY doc_id, chunk_index LIMIT 8))""",
+    """w AS (SELECT *, sum(similarity) OVER (PARTITION BY source) AS total, count(*) OVER (PARTITION BY source) AS n FROM hits)""",
+    """b AS (SELECT source, id, content, CAST(floor(CASE source WHEN 'email' THEN 8000 / n WHEN 'file' THEN greatest(10000 * CASE WHEN total > 0 THEN similarity / total ELSE 1 / n END, 200.0) ELSE 2000 / n END) AS BIGINT) AS chars FROM w)""",
+)
+
+
 ORACLES: dict[str, str] = {
     "recall_topk": _recall(),
     "recall_typed": _recall(k=5, where="lower(memory_type) IN ('semantic', 'goal')"),
@@ -310,15 +337,8 @@ SELECT event_type, round(max(value) FILTER (WHERE i = n // 2), 6) AS p50, round(
 SELECT profile, CAST(floor((n - 1) / 20) AS BIGINT) AS batch, string_agg(term, ',' ORDER BY n) AS content, count(*) AS items FROM n GROUP BY 1, 2""",
     "incremental_sync": _with(HIST) + f"SELECT page_id, url, last_visit_time FROM hist WHERE last_visit_time > {(fx.T0 // 1000 + 11644473600) * 1000000} ORDER BY last_visit_time, page_id LIMIT 40",
     "url_rollup": _with(HIST) + "SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, count(*) AS urls, CAST(sum(visit_count) AS BIGINT) AS visits, arg_max(url, (visit_count, url)) AS top_url FROM hist GROUP BY 1",
-    "fused_context_budget": _with(
-        CHUNK_VECTORS, Q, FILE_HITS,
-        "sc AS (SELECT *, list_cosine_similarity(vector, q) AS s FROM cv, q)",
-        """hits AS (SELECT * FROM (SELECT 'email' AS source, doc_id || '/' || chunk_index AS id, content, s AS similarity FROM sc WHERE doc_id % 3 = 0 ORDER BY s DESC, doc_id, chunk_index LIMIT 5)
-  UNION ALL SELECT * FROM (SELECT 'file', doc_id || '/' || chunk_index, content, similarity FROM filehits ORDER BY similarity DESC, path, chunk_index LIMIT 10)
-  UNION ALL SELECT * FROM (SELECT 'system', doc_id || '/' || chunk_index, content, 0.0 FROM cv WHERE contains(lower(content), 'the and') ORDER BY doc_id, chunk_index LIMIT 8))""",
-        """w AS (SELECT *, sum(similarity) OVER (PARTITION BY source) AS total, count(*) OVER (PARTITION BY source) AS n FROM hits)""",
-        """b AS (SELECT source, id, content, CAST(floor(CASE source WHEN 'email' THEN 8000 / n WHEN 'file' THEN greatest(10000 * CASE WHEN total > 0 THEN similarity / total ELSE 1 / n END, 200.0) ELSE 2000 / n END) AS BIGINT) AS chars FROM w)""",
-    ) + f"SELECT source, id, chars, md5({_cut('content', 'chars')}) AS content FROM b",
+    "hash_embed": _with(_hashed("e", "documents", "doc_id", "text", 64)) + "SELECT doc_id, list_transform(v, lambda x: round(x, 6)) AS embedding FROM documents LEFT JOIN e USING (doc_id)",
+    "fused_context_budget": _with(*FUSED) + f"SELECT source, id, chars, md5({_cut('content', 'chars')}) AS content FROM b",
     "rerank_blend": _with(MEM, Q, _recalled()) + "SELECT id, round(0.7 * similarity + (1 - 0.7::DOUBLE) * list_cosine_similarity(vector, q), 6) AS score FROM hits",
     "rerank_pairs": _with(MEM, EDGES, LOG) + """SELECT selected, other, count(*) AS n, any_value(round(1.0::DOUBLE + 10 * sa + 100 * sr + 1000 * st, 6)) AS f_selected, any_value(round(0.5::DOUBLE + 10 * oa + 100 * ors + 1000 * ot, 6)) AS f_other FROM pairs_of GROUP BY 1, 2""",
     "rerank_step": _with(MEM, EDGES, LOG, STEP) + """SELECT 'w1' AS name, CAST(j AS INT) AS i, CAST(h AS INT) AS h, round(0.1 * sin(1 + j * 4 + h) - 0.5 / n * g, 6) AS value FROM g1, total

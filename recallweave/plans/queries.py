@@ -645,18 +645,24 @@ def url_rollup(spark, sf):
 # Fusion and re-ranking
 
 
-@query
-def fused_context_budget(spark, sf):
+def _fused(spark, sf) -> DataFrame:
+    """Nearest mail, nearest file chunks and chunks that hold a phrase, as parts of one context."""
     q = fx.query_vector(spark, sf)
     vectors_, chunks = fx.chunk_vectors(spark, sf), fx.file_chunks(spark, sf)
-    named = lambda df, source, s: df.select(F.lit(source).alias("source"), F.concat_ws("/", "doc_id", "chunk_index").alias("id"), "content", s)
-    mail = search.scored(vectors_.where("doc_id % 3 = 0"), q).drop("vector").orderBy(F.desc("similarity"), "doc_id", "chunk_index").limit(5)
+    keys = ["file_path", "doc_id", "chunk_index", "similarity", "source"]
+    mail = search.scored(vectors_.where("doc_id % 3 = 0"), q).drop("vector").orderBy(F.desc("similarity"), "doc_id", "chunk_index").limit(5).withColumn("source", F.lit("email"))
+    files = _hits(spark, sf).limit(10).withColumn("source", F.lit("file"))
     index, known = fx.chunk_words(spark, sf)
     first = wordindex.find(index, known, "the and", ["file_path", "doc_id", "chunk_index"]).orderBy("doc_id", "chunk_index").limit(8)
-    system = search.with_content(first.drop("field"), chunks)
-    found = search.with_content(mail.withColumn("source", F.lit("email")).unionByName(_hits(spark, sf).limit(10).select("file_path", "doc_id", "chunk_index", "similarity", F.lit("file").alias("source"))), chunks)
-    both = found.select("source", F.concat_ws("/", "doc_id", "chunk_index").alias("id"), "content", "similarity")
-    return search.budget(both.unionByName(named(system, "system", F.lit(0.0).alias("similarity")))).select("source", "id", "chars", F.md5("content").alias("content"))
+    system = first.withColumns({"similarity": F.lit(0.0), "source": F.lit("system")})
+    found = search.with_content(mail.select(keys).unionByName(files.select(keys)).unionByName(system.select(keys)), chunks)
+    return found.withColumn("id", F.concat_ws("/", "doc_id", "chunk_index"))
+
+
+@query
+def fused_context_budget(spark, sf):
+    both = _fused(spark, sf).select("source", "id", "content", "similarity")
+    return search.budget(both).select("source", "id", "chars", F.md5("content").alias("content"))
 
 
 @query
