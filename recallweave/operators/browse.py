@@ -40,6 +40,21 @@ def learning_trend(patterns: Column, sync: Column, dropped: Column) -> Column:
     return F.when((patterns > 10) & (sync > 0.5), "improving").when(dropped > 0, "declining").otherwise("stable")
 
 
+def introspection(memories: DataFrame, thoughts: DataFrame, goals: DataFrame, trajectories: DataFrame, patterns: DataFrame, synchrony: DataFrame, buffer: int = 10_000) -> DataFrame:
+    """One row: memories, thoughts, experiences (trajectories that the buffer still holds), active_goals (active or pending), avg_reward (the synchrony, one row) and the trend, in which
+    trajectories that the buffer has dropped count against patterns stored."""
+    one = lambda df, **aggs: df.agg(*[a.alias(n) for n, a in aggs.items()])
+    out = one(memories, memories=F.count("*"))
+    parts = [
+        one(thoughts, thoughts=F.count("*")), one(trajectories, experiences=F.least(F.count("*"), F.lit(buffer)), dropped=F.greatest(F.count("*") - buffer, F.lit(0))),
+        one(goals, active_goals=F.count_if(F.col("status").isin("Active", "Pending"))), one(patterns, patterns=F.count("*")), synchrony.select(F.col("synchrony").alias("avg_reward")),
+    ]
+    for part in parts:
+        out = out.crossJoin(F.broadcast(part))  # one row each
+    trend = learning_trend(F.col("patterns"), F.col("avg_reward"), F.col("dropped"))
+    return out.select("memories", "thoughts", "experiences", "active_goals", "avg_reward", trend.alias("trend"))
+
+
 def adaptations(dropped: Column, avg_decay: Column, stored: Column, capacity: Column, sync: Column) -> Column:
     """What a cycle has to do or report, in order."""
     due = [("learn", dropped > 0), ("consolidate", avg_decay > 0.5), ("near_capacity", (capacity > 0) & (stored > 0.8 * capacity)), ("synchronised", sync > 0.7)]

@@ -55,16 +55,25 @@ def order_parameter(phases: DataFrame, phase: str = "phase") -> DataFrame:
     return phases.agg(F.coalesce(F.sqrt(F.pow(F.avg(F.cos(phase)), 2) + F.pow(F.avg(F.sin(phase)), 2)), F.lit(0.0)).alias("synchrony"))
 
 
+def planes(dim: int, wide: int, seed: int) -> np.ndarray:
+    """dim rows of `wide` numbers, uniform with mean 0 and variance 1 / dim, each by a hash of its place and the seed, so tasks and other engines agree on them."""
+    i, j = np.arange(dim, dtype=np.uint64)[:, None], np.arange(wide, dtype=np.uint64)[None, :]
+    m = i * np.uint64(0x9E3779B97F4A7C15) + j * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(seed * 0x165667B19E3779F9 % 2**64)
+    m = (m ^ (m >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    unit = ((m ^ (m >> np.uint64(32))) >> np.uint64(11)).astype(np.float64) / 2.0**53
+    return (unit * 2 - 1) * np.sqrt(3 / dim)
+
+
 def sparse_novelty(rows: DataFrame, vector: str = "vector", expand: int = 4, k: int = 10, seed: int = 42) -> DataFrame:
     """rows with `code`, the k strongest of expand * dim random projections, and `novelty`, min(1, their energy / k)."""
 
     def run(batches):
-        planes = None
+        cast = None
         for batch in batches:
             x = np.asarray(batch.column(batch.schema.get_field_index(vector)).cast(pa.list_(pa.float64())).flatten()).reshape(batch.num_rows, -1)
-            if planes is None:
-                planes = np.random.default_rng(seed).normal(size=(x.shape[1], x.shape[1] * expand)) / np.sqrt(x.shape[1])
-            y = x @ planes
+            if cast is None:
+                cast = planes(x.shape[1], x.shape[1] * expand, seed)
+            y = x @ cast
             top = np.sort(np.argsort(-y, axis=1, kind="stable")[:, :k], axis=1)
             energy = np.take_along_axis(np.maximum(y, 0), top, axis=1).sum(1)
             code = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * top.shape[1]), pa.array(top.reshape(-1).astype(np.int32)))

@@ -17,6 +17,9 @@ from .learning import weighted_sample
 #: A mean error below this counts as a fixed point.
 CONVERGED = 0.01
 
+Q_COLUMNS = ("state", "action", "value", "visits")
+EXPERIENCE_COLUMNS = ("i", "state", "action", "reward", "next_state", "done")
+
 
 def uniform(seed: int, *parts: Column) -> Column:
     """A number from 0 (never reached) to 1 that a hash of the parts gives."""
@@ -79,3 +82,21 @@ def chosen(q: DataFrame, turn: int, epsilon: float = 0.1, temperature: float = 1
     u = uniform(seed, F.lit(turn), F.col("state"))
     at = F.least(F.floor(u / epsilon * F.size("actions")), F.size("actions") - 1).cast("int")
     return states.select("state", "best", F.when(u < epsilon, F.get("actions", at)).otherwise(F.col("best")).alias("epsilon_action"), "softmax_action")
+
+
+def exported(q: DataFrame, experiences: DataFrame, exploration: float) -> DataFrame:
+    """A learner as lines of JSON (value), which `imported` reads: its Q-values (state, action, value, visits), experiences (i, state, action, reward, next_state, done) and exploration rate."""
+    rate = q.sparkSession.range(1).select(F.to_json(F.struct(F.lit(float(exploration)).alias("exploration"))).alias("value"))
+    line = lambda df, kind, columns: df.select(F.to_json(F.struct(F.struct(*columns).alias(kind))).alias("value"))
+    return line(q, "q", Q_COLUMNS).unionByName(line(experiences, "experience", EXPERIENCE_COLUMNS)).unionByName(rate)
+
+
+def imported(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(q, experiences, rate) of lines that were exported; lines of other kinds and broken ones are passed over. rate has one row: the exploration rate, held to 0 to 1, or 0.1 without one.
+    Of lines that are there twice, as after two exports into one folder, one counts: the Q-value with more visits, then the larger; experiences by their number."""
+    schema = "q struct<state: bigint, action: bigint, value: double, visits: bigint>, experience struct<i: bigint, state: bigint, action: bigint, reward: double, next_state: bigint, done: boolean>, exploration double"
+    rows = lines.select(F.from_json("value", schema).alias("x")).select("x.*")
+    q = rows.where("q is not null").select("q.*").groupBy("state", "action").agg(F.max(F.struct("visits", "value")).alias("m")).select("state", "action", "m.value", "m.visits")
+    seen = rows.where("experience is not null").select("experience.*").groupBy("i").agg(F.min(F.struct(*EXPERIENCE_COLUMNS[1:])).alias("r")).select("i", "r.*")
+    rate = rows.agg(F.max("exploration").alias("r")).select(F.least(F.greatest(F.coalesce("r", F.lit(0.1)), F.lit(0.0)), F.lit(1.0)).alias("exploration"))
+    return q, seen, rate

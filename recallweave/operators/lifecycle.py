@@ -88,6 +88,16 @@ def goal_status(progress: F.Column) -> F.Column:
     return F.when(progress >= 1, "Completed").when(progress > 0, "Active").otherwise("Pending")
 
 
+def added_beliefs(beliefs: DataFrame, new: DataFrame) -> DataFrame:
+    """Beliefs (id, content, confidence, source, timestamp) with new ones (content, confidence, source, timestamp), whose ids follow content and source, so a
+    belief that comes again is the one that is there. Of new ones that are alike the first counts, then the least confident. Confidences are 0 to 1."""
+    name = F.concat(F.lit("belief-"), F.substring(F.sha2(F.concat_ws("\x00", "source", "content"), 256), 1, 32))
+    rows = new.where("content is not null").withColumn("confidence", F.least(F.greatest(F.col("confidence"), F.lit(0.0)), F.lit(1.0)))
+    once = rows.select(name.alias("id"), F.struct("timestamp", "confidence", "content", "source").alias("r")).groupBy("id").agg(F.min("r").alias("r"))
+    rows = once.select("id", "r.content", "r.confidence", "r.source", "r.timestamp")
+    return beliefs.unionByName(rows.join(beliefs.select("id"), "id", "left_anti").select(*beliefs.columns))
+
+
 def concept_summary(rows: DataFrame) -> DataFrame:
     """A group's summary: up to seven concepts in order, mean salience, first gist. Concepts are explode-distinct
     before they meet, so a group sends at most its distinct ones."""

@@ -41,6 +41,25 @@ def search_index(chunks: DataFrame, files: DataFrame, query: DataFrame, k: int =
     return joined.withColumn("similarity", labels.type_boost(F.col("ext"), F.col("similarity"))).orderBy(F.desc("similarity"), "path", "chunk_index").limit(k)
 
 
+def search_store(rows: DataFrame, files: DataFrame, query: DataFrame, k: int = 10, least: float = 0.25, fetch: int = 3, wide: int = 10) -> DataFrame:
+    """As search_index over a store of all kinds of vectors (id, source, vector), where a chunk's id is `file::<path>::<number>`: of the `fetch` * k nearest of
+    source file those with at least `least`. Where the store knows no source of files, of `wide` times as many nearest of all those whose id is a file's; other ids end there.
+    Whether it knows one takes a job that ends at the first such row."""
+    known = rows.where("source = 'file' and vector is not null")
+    some = not known.select("id").isEmpty()
+    near = scored(known if some else rows, query).drop("vector").orderBy(F.desc("similarity"), "id").limit(k * fetch * (1 if some else wide))
+    name = F.regexp_extract("id", "(?s)^file::(.*)::([0-9]+)$", 1)
+    number = F.regexp_extract("id", "(?s)^file::(.*)::([0-9]+)$", 2)
+    near = near.where((F.col("similarity") >= least) & (number != "")).select(name.alias("path"), number.cast("bigint").alias("chunk_index"), "similarity")
+    joined = files.select("path", "name", "ext").join(F.broadcast(near), "path")  # near has at most k * fetch * wide rows
+    return joined.withColumn("similarity", labels.type_boost(F.col("ext"), F.col("similarity"))).orderBy(F.desc("similarity"), "path", "chunk_index").limit(k)
+
+
+def sample(rows: DataFrame, n: int, key: str, seed: int = 3) -> DataFrame:
+    """n rows by a hash of the seed and their key, ties by the key: the same ones whenever it is asked."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(n)
+
+
 def with_content(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """A top-k of chunks with their texts."""
     texts = chunks.select("file_path", "chunk_index", "content")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, vectors
-from ..operators import assist, browse, counters, graph, intake, lifecycle, records, search
+from ..operators import assist, browse, counters, graph, intake, learning, learnloop, lifecycle, records, search
 from ..sources import connectors, discovery, readers, store
 from ..streaming.bursts import BurstStream
 from . import fixtures as fx
@@ -232,8 +232,18 @@ def watched_folders(spark, sf):
 
 @query(sql._with(sql.MEM) + "SELECT vec_id, timestamp AS modified FROM memories ORDER BY md5('3|' || vec_id), vec_id LIMIT 50")
 def vector_sample(spark, sf):
-    m = fx.memories(spark, sf)
-    return m.orderBy(F.md5(F.concat(F.lit("3|"), F.col("vec_id").cast("string"))), "vec_id").limit(50).select("vec_id", F.col("timestamp").alias("modified"))
+    return search.sample(fx.memories(spark, sf), 50, "vec_id").select("vec_id", F.col("timestamp").alias("modified"))
+
+
+@query(sql._with(sql.MEM, sql.Q, sql.CHUNK_VECTORS,
+    "n AS (SELECT 'file::' || path || '::' || chunk_index AS id, list_cosine_similarity(vector, q) AS s, path, chunk_index FROM cv, q UNION ALL SELECT 'memory::' || id, list_cosine_similarity(vector, q), NULL, NULL FROM memories, q)",
+    "b AS (SELECT * FROM n ORDER BY s DESC, id LIMIT 600)", f"w AS (SELECT path, chunk_index, CASE WHEN ext IN {sql._in(labels.BOOSTED)} THEN s * 1.15 WHEN ext IN {sql._in(labels.LOWERED)} THEN s * 0.95 ELSE s END AS s FROM b JOIN files USING (path) WHERE s >= 0.2)")
+    + "SELECT path, chunk_index, round(s, 6) AS similarity FROM w ORDER BY w.s DESC, path, chunk_index LIMIT 20")
+def file_search_unlabelled(spark, sf):
+    """A search for files in a store of files and memories that doesn't know which vector is of a file: by their ids, among ten times as many."""
+    chunks = fx.chunk_vectors(spark, sf).select(F.concat(F.lit("file::"), "file_path", F.lit("::"), F.col("chunk_index").cast("string")).alias("id"), "vector")
+    both = chunks.unionByName(fx.memories(spark, sf).select(F.concat(F.lit("memory::"), "id").alias("id"), "vector")).withColumn("source", F.lit(None).cast("string"))
+    return search.search_store(both, fx.file_index(spark, sf), fx.query_vector(spark, sf), 20, 0.2).select("path", "chunk_index", r6("similarity"))
 
 
 @query("SELECT count(*) AS vectors, CAST(sum(len(embedding) * 4) AS BIGINT) AS bytes, true AS ok FROM embeddings")
@@ -292,6 +302,17 @@ def key_values(spark, sf):
     return s.read("config", ["key"])
 
 
+@query("SELECT 'v' || vec_id % 100 AS key, list_transform(arg_max(embedding, vec_id), lambda x: round(CAST(x AS DOUBLE), 6)) AS vector FROM embeddings GROUP BY 1")
+def key_blobs(spark, sf):
+    """Vectors as bytes by key; each put replaces the one before."""
+    e, s = fx.table(spark, sf, "embeddings"), _store(spark)
+    key = F.concat(F.lit("v"), (F.col("vec_id") % 100).cast("string"))
+    rows = e.select(key.alias("key"), "vec_id", vectors.packed(F.col("embedding")).alias("blob"))
+    for best in (F.min_by, F.max_by):
+        s.upsert("blobs", rows.groupBy("key").agg(best("blob", "vec_id").alias("blob")))
+    return s.read("blobs", ["key"]).select("key", F.transform(vectors.unpacked(F.col("blob")).cast("array<double>"), lambda x: F.round(x, 6) + F.lit(0.0)).alias("vector"))
+
+
 @query("SELECT user_id % 20 AS state, event_id % 4 AS action, round(avg(value) + 1, 6) AS value FROM events GROUP BY 1, 2")
 def q_table(spark, sf):
     e, s = fx.table(spark, sf, "events"), _store(spark)
@@ -661,13 +682,55 @@ def pattern_action(spark, sf):
 
 @query("""WITH e AS (SELECT event_id AS i, event_id % 17 / 17 AS reward FROM events), l AS (SELECT * FROM e ORDER BY i DESC LIMIT 100),
 t AS (SELECT avg(reward) AS a, coalesce(regr_slope(reward, i), 0) AS s FROM l)
-SELECT (SELECT count(*) FROM e) AS experiences, (SELECT greatest(count(*) - 31, 0) FROM e) AS updates, 20 AS q_size, round(a, 6) AS avg_reward, round(s, 6) AS trend, CAST(CASE WHEN s < -0.05 THEN 0.11 WHEN s > 0.05 THEN 0.095 ELSE 0.1 END AS DOUBLE) AS exploration FROM t""")
+SELECT (SELECT count(*) FROM e) AS experiences, (SELECT greatest(count(*) - 31, 0) FROM e) AS updates, (SELECT count(DISTINCT (user_id % 20, event_id % 4)) FROM events) AS q_size, round(a, 6) AS avg_reward, round(s, 6) AS trend, CAST(CASE WHEN s < -0.05 THEN 0.11 WHEN s > 0.05 THEN 0.095 ELSE 0.1 END AS DOUBLE) AS exploration FROM t""")
 def learner_stats(spark, sf):
     e = fx.table(spark, sf, "events")
-    out = assist.learner_stats(e.select(F.col("event_id").alias("i"), (F.col("event_id") % 17 / 17).alias("reward")), spark.range(20))
+    q = e.select((F.col("user_id") % 20).alias("state"), (F.col("event_id") % 4).alias("action")).distinct()
+    out = assist.learner_stats(e.select(F.col("event_id").alias("i"), (F.col("event_id") % 17 / 17).alias("reward")), q)
     return out.withColumns({"avg_reward": r6("avg_reward"), "trend": r6("trend")})
 
 
+@query("""SELECT 'q' AS part, user_id % 20 AS state, event_id % 4 AS action, round(avg(value), 6) AS value, count(*) AS n FROM events GROUP BY 2, 3
+UNION ALL SELECT 'experience', user_id % 20, event_id % 4, round(sum(event_id % 5 / 4), 6), count(*) FROM events GROUP BY 2, 3 UNION ALL SELECT 'rate', NULL, NULL, 1.0, 1""")
+def learner_moved(spark, sf):
+    """A learner written as lines by two exports, of which the second repeats the first, and read elsewhere; its rate of 1.5 is held to 1."""
+    e = fx.table(spark, sf, "events")
+    state, action = (F.col("user_id") % 20).cast("bigint").alias("state"), (F.col("event_id") % 4).cast("bigint").alias("action")
+    q = e.groupBy(state, action).agg(F.avg("value").alias("value"), F.count("*").alias("visits"))
+    seen = e.select(F.col("event_id").cast("bigint").alias("i"), state, action, (F.col("event_id") % 5 / 4).alias("reward"), state.alias("next_state"), F.lit(False).alias("done"))
+    folder = _new_folder(spark, "learner")
+    for _ in range(2):
+        learnloop.exported(q, seen, 1.5).write.mode("append").text(folder)
+    q, seen, rate = learnloop.imported(spark.read.text(folder))
+    out = q.select(F.lit("q").alias("part"), "state", "action", r6("value"), F.col("visits").alias("n"))
+    out = out.unionByName(seen.groupBy("state", "action").agg(r6(F.sum("reward"), "value"), F.count("*").alias("n")).withColumn("part", F.lit("experience")))
+    none = F.lit(None).cast("bigint")
+    return out.unionByName(rate.select(F.lit("rate").alias("part"), none.alias("state"), none.alias("action"), F.col("exploration").alias("value"), F.lit(1).cast("bigint").alias("n")))
+
+
+@query("""WITH b AS (SELECT source, substr(text, 1, 40) AS content, least(doc_id / 500, 1) AS confidence, doc_id AS timestamp FROM documents),
+o AS (SELECT * FROM b WHERE timestamp % 2 = 0), n AS (SELECT * FROM b),
+f AS (SELECT content, source, min((timestamp, confidence)) AS r FROM o GROUP BY ALL), g AS (SELECT content, source, min((timestamp, confidence)) AS r FROM n GROUP BY ALL)
+SELECT md5(content) AS content, source, round(r[2], 6) AS confidence, CAST(r[1] AS BIGINT) AS timestamp FROM f UNION ALL SELECT md5(content), source, round(r[2], 6), CAST(r[1] AS BIGINT) FROM g WHERE (content, source) NOT IN (SELECT (content, source) FROM f)""")
+def beliefs_added(spark, sf):
+    """Beliefs in two lots, of which the second brings the first's again; those stay as they were."""
+    d = fx.table(spark, sf, "documents").select(F.substring("text", 1, 40).alias("content"), (F.col("doc_id") / 500).alias("confidence"), "source", F.col("doc_id").alias("timestamp"))
+    none = spark.createDataFrame([], "id string, content string, confidence double, source string, timestamp bigint")
+    out = lifecycle.added_beliefs(lifecycle.added_beliefs(none, d.where("timestamp % 2 = 0")), d)
+    return out.select(F.md5("content").alias("content"), "source", r6("confidence"), "timestamp")
+
+
+@query(sql._with(sql.MEM) + """SELECT count(*) AS memories, (SELECT count(*) FROM events) AS thoughts, (SELECT least(count(*), 1000) FROM events) AS experiences, count_if(vec_id * 53 % 120 < 100) AS active_goals,
+  round((SELECT sqrt(pow(avg(cos(value)), 2) + pow(avg(sin(value)), 2)) FROM events), 6) AS avg_reward,
+  CASE WHEN count_if(importance >= 0.3) > 10 AND (SELECT sqrt(pow(avg(cos(value)), 2) + pow(avg(sin(value)), 2)) FROM events) > 0.5 THEN 'improving' WHEN (SELECT count(*) FROM events) > 1000 THEN 'declining' ELSE 'stable' END AS trend FROM memories""")
+def introspection(spark, sf):
+    """The state of all parts in one row; goals are as far as their memory has decayed."""
+    m, e = fx.memories(spark, sf), fx.table(spark, sf, "events").select(F.col("event_id").alias("id"), ((F.col("event_id") % 21 - 10) / 5).alias("reward"), F.col("event_id").alias("timestamp"), "value")
+    goals = m.select("id", lifecycle.goal_status(F.col("decay")).alias("status"))
+    out = browse.introspection(m, assist.thoughts(e), goals, e, m.where("importance >= 0.3"), learning.order_parameter(e.select(F.col("value").alias("phase")), F.col("phase")), 1000)
+    return out.withColumn("avg_reward", r6("avg_reward"))
+
+
 @query("""WITH e AS (SELECT event_id AS i, user_id AS state, event_id % 5 / 4 AS reward, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS v FROM events)
 SELECT i, round(reward + CASE WHEN v = 0 THEN 1 ELSE 1 / (1 + sqrt(v)) END, 6) AS total FROM e ORDER BY i DESC LIMIT 200""")
 def replay_buffer(spark, sf):

@@ -337,6 +337,12 @@ SELECT event_type, round(max(value) FILTER (WHERE i = n // 2), 6) AS p50, round(
 SELECT profile, CAST(floor((n - 1) / 20) AS BIGINT) AS batch, string_agg(term, ',' ORDER BY n) AS content, count(*) AS items FROM n GROUP BY 1, 2""",
     "incremental_sync": _with(HIST) + f"SELECT page_id, url, last_visit_time FROM hist WHERE last_visit_time > {(fx.T0 // 1000 + 11644473600) * 1000000} ORDER BY last_visit_time, page_id LIMIT 40",
     "url_rollup": _with(HIST) + "SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, count(*) AS urls, CAST(sum(visit_count) AS BIGINT) AS visits, arg_max(url, (visit_count, url)) AS top_url FROM hist GROUP BY 1",
+    "sparse_codes": _with(
+        MEM, "m0 AS (SELECT i, j, CAST((i::UHUGEINT * 11400714819323198485::UHUGEINT + j::UHUGEINT * 14029467366897019727::UHUGEINT + 42::UHUGEINT * 1609587929392839161::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS m FROM range(64) a(i), range(256) b(j))",
+        "m1 AS (SELECT i, j, CAST((CAST(xor(m, m >> 29) AS UHUGEINT) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS m FROM m0)",
+        "planes AS (SELECT j, list((CAST(xor(m, m >> 32) >> 11 AS DOUBLE) / 9007199254740992 * 2 - 1) * sqrt(3 / 64) ORDER BY i) AS p FROM m1 GROUP BY j)",
+        "best AS (SELECT id, j, list_dot_product(vector, p) AS y FROM memories, planes QUALIFY row_number() OVER (PARTITION BY id ORDER BY list_dot_product(vector, p) DESC, j) <= 10)",
+    ) + "SELECT id, list(CAST(j AS INT) ORDER BY j) AS code, round(least(1, sum(greatest(y, 0)) / 10), 6) AS novelty FROM best GROUP BY id",
     "hash_embed": _with(_hashed("e", "documents", "doc_id", "text", 64)) + "SELECT doc_id, list_transform(v, lambda x: round(x, 6)) AS embedding FROM documents LEFT JOIN e USING (doc_id)",
     "fused_context_budget": _with(*FUSED) + f"SELECT source, id, chars, md5({_cut('content', 'chars')}) AS content FROM b",
     "rerank_blend": _with(MEM, Q, _recalled()) + "SELECT id, round(0.7 * similarity + (1 - 0.7::DOUBLE) * list_cosine_similarity(vector, q), 6) AS score FROM hits",
