@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, vectors
-from ..operators import assist, browse, counters, graph, intake, learning, learnloop, lifecycle, records, search
+from ..operators import assist, browse, counters, graph, intake, learning, learnloop, lifecycle, records, search, workflows
 from ..sources import connectors, discovery, readers, store
 from ..streaming.bursts import BurstStream
 from . import fixtures as fx
@@ -377,6 +377,15 @@ def topic_export(spark, sf):
     return files.join(read, "topic").select("topic", "n", F.md5("body").alias("body"))
 
 
+@query(sql._with(sql.FILES) + "SELECT source AS topic, name AS id, md5(rtrim(text, chr(10))) AS content FROM files")
+def topic_files(spark, sf):
+    """Knowledge as folders of markdown files by topic, which many tasks write, and the memories read back from them."""
+    folder = _new_folder(spark, "topics")
+    rows = fx.file_index(spark, sf).select("source", F.col("name").alias("id"), F.col("text").alias("content"), F.col("modified").alias("timestamp"))
+    workflows.write_topics(rows, "source", folder, 100)
+    return workflows.read_topics(spark, folder).select("topic", "id", F.md5("content").alias("content"))
+
+
 # Mail, chats and browsers
 
 
@@ -720,17 +729,42 @@ def beliefs_added(spark, sf):
     return out.select(F.md5("content").alias("content"), "source", r6("confidence"), "timestamp")
 
 
+def _introspected(spark, sf) -> tuple[DataFrame, DataFrame]:
+    m, e = fx.memories(spark, sf), fx.table(spark, sf, "events").select(F.col("event_id").alias("id"), ((F.col("event_id") % 21 - 10) / 5).alias("reward"), F.col("event_id").alias("timestamp"), "value")
+    goals, thoughts = m.select("id", lifecycle.goal_status(F.col("decay")).alias("status")), assist.thoughts(e)
+    phases = e.select(F.col("value").alias("phase"))
+    return browse.introspection(m, thoughts, goals, e, m.where("importance >= 0.3"), learning.order_parameter(phases), 1000), thoughts
+
+
 @query(sql._with(sql.MEM) + """SELECT count(*) AS memories, (SELECT count(*) FROM events) AS thoughts, (SELECT least(count(*), 1000) FROM events) AS experiences, count_if(vec_id * 53 % 120 < 100) AS active_goals,
   round((SELECT sqrt(pow(avg(cos(value)), 2) + pow(avg(sin(value)), 2)) FROM events), 6) AS avg_reward,
   CASE WHEN count_if(importance >= 0.3) > 10 AND (SELECT sqrt(pow(avg(cos(value)), 2) + pow(avg(sin(value)), 2)) FROM events) > 0.5 THEN 'improving' WHEN (SELECT count(*) FROM events) > 1000 THEN 'declining' ELSE 'stable' END AS trend FROM memories""")
 def introspection(spark, sf):
     """The state of all parts in one row; goals are as far as their memory has decayed."""
-    m, e = fx.memories(spark, sf), fx.table(spark, sf, "events").select(F.col("event_id").alias("id"), ((F.col("event_id") % 21 - 10) / 5).alias("reward"), F.col("event_id").alias("timestamp"), "value")
-    goals = m.select("id", lifecycle.goal_status(F.col("decay")).alias("status"))
-    out = browse.introspection(m, assist.thoughts(e), goals, e, m.where("importance >= 0.3"), learning.order_parameter(e.select(F.col("value").alias("phase")), F.col("phase")), 1000)
+    out = _introspected(spark, sf)[0]
     return out.withColumn("avg_reward", r6("avg_reward"))
 
 
+@query("""WITH r AS (SELECT event_id AS id, (event_id % 21 - 10) / 5 AS reward FROM events),
+l AS (SELECT string_agg('  - [' || CASE WHEN reward > 0 THEN 'Evaluation' ELSE 'Reflection' END || '] ' || printf('Trajectory recorded: reward=%.2f, quality=%.2f', reward, least(greatest((reward + 1) / 2, 0), 1)), chr(10) ORDER BY id DESC) AS lines FROM (SELECT * FROM r ORDER BY id DESC LIMIT 5)),
+s AS (SELECT (SELECT count(*) FROM embeddings) AS m, count(*) AS n, least(count(*), 1000) AS x, sqrt(pow(avg(cos(value)), 2) + pow(avg(sin(value)), 2)) AS sync FROM events)
+SELECT printf('Brain Status: healthy' || chr(10) || 'Memories: %d, Thoughts: %d, Experiences: %d' || chr(10) || 'Learning Trend: %s' || chr(10) || 'Recent Thoughts:' || chr(10) || '%s', m, n, x,
+  CASE WHEN (SELECT count_if(vec_id * 37 % 100 >= 30) FROM embeddings) > 10 AND sync > 0.5 THEN 'improving' WHEN n > 1000 THEN 'declining' ELSE 'stable' END, lines) AS message FROM s, l""")
+def state_summary(spark, sf):
+    """The state and the newest thoughts as one text."""
+    return workflows.state_text(*_introspected(spark, sf))
+
+
+@query("SELECT true AS success, event_type || ' copied as number ' || event_id AS preview, 'Working' AS memory_type, 0.6::DOUBLE AS importance, epoch_us(ts) // 1000 AS timestamp FROM events ORDER BY ts DESC, preview DESC LIMIT 1")
+def clipboard_remembered(spark, sf):
+    """The text that was copied last as a memory, asked for twice."""
+    e, tables, counts = fx.table(spark, sf, "events"), _store(spark), counters.Counters(spark)
+    copied = e.select(F.concat("event_type", F.lit(" copied as number "), F.col("event_id").cast("string")).alias("content"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"))
+    for _ in range(2):
+        out = workflows.remember_clipboard(tables, copied, counts)
+    return out.join(tables.read("memories", ["id"]), "id").select("success", "preview", "memory_type", r6("importance"), "timestamp")
+
+
 @query("""WITH e AS (SELECT event_id AS i, user_id AS state, event_id % 5 / 4 AS reward, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS v FROM events)
 SELECT i, round(reward + CASE WHEN v = 0 THEN 1 ELSE 1 / (1 + sqrt(v)) END, 6) AS total FROM e ORDER BY i DESC LIMIT 200""")
 def replay_buffer(spark, sf):

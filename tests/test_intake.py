@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallweave.functions import vectors
-from recallweave.operators import intake
+from recallweave.operators import assist, intake, workflows
 from recallweave.operators.counters import Counters
 from recallweave.sources import discovery
 from recallweave.sources.store import TableStore
@@ -126,3 +126,25 @@ def test_profiles_and_folders(spark):
     assert sorted((r.browser, r.profile) for r in rows.collect()) == [("Chrome", "Default"), ("Chrome", "Profile 2")]
     named = spark.createDataFrame([("~/a/",), ("/h/a",), ("~",), ("/",), ("",), (None,), ("~b",)], "folder string")
     assert sorted(r.folder for r in discovery.watched(named, listing(spark, "/h/a/x", "/h/c/y.md", None), "/h").collect()) == ["/", "/h", "/h/a", "/h/c", "~b"]
+
+
+def test_topics_are_files_in_order(spark, tmp_path):
+    rows = [("a", f"m{n:03d}", f"text {n}\nsecond line", 1000 - n) for n in range(60)] + [("b c/d", "x", "one", 1), (None, "y", "two", 2), ("1", "z", "", None), ("a", "gone", None, 5)]
+    memories = spark.createDataFrame(rows, "t string, id string, content string, timestamp long")
+    workflows.write_topics(memories, "t", str(tmp_path / "t"), 7)
+    files = sorted((tmp_path / "t" / "topic=a").glob("part-*"))
+    assert len(files) >= 9 and all(f.read_text().count("### ") <= 7 for f in files)
+    want = assist.topic_text(memories.where("content is not null and t = 'a'"), "t").first().body
+    assert "".join(f.read_text() for f in files).rstrip("\n") == want.rstrip("\n")
+    got = sorted((r.topic or "", r.id, r.content) for r in workflows.read_topics(spark, str(tmp_path / "t")).collect())
+    assert got == sorted((t or "", i, c) for t, i, c, _ in rows if c is not None)
+
+
+def test_clipboard_is_remembered_once(spark, tmp_path):
+    store, counts = TableStore(spark, str(tmp_path / "s")), Counters(spark)
+    copied = spark.createDataFrame([("old", 1), ("x", 2), ("y" * 150, 2), ("", 3), (None, 4)], "content string, timestamp long")
+    first, again = (workflows.remember_clipboard(store, copied, counts, embed).first() for _ in range(2))
+    assert first == again and first.preview == "y" * 100 and store.read("memories", ["id"]).count() == 1
+    kept = store.read("memories", ["id"]).first()
+    assert (kept.memory_type, kept.importance, kept.content) == ("Working", 0.6, "y" * 150)
+    assert not workflows.remember_clipboard(store, copied.where("content = ''"), counts, embed).first().success
