@@ -59,3 +59,14 @@ def find(index: DataFrame, known: DataFrame, needle: str, keys: list[str], field
     placed = wanted.select(*keys, "field", "i", F.explode("positions").alias("p")).select(*keys, "field", "i", (F.col("p") - F.col("i")).alias("start"))
     whole = placed.groupBy(*keys, "field", "start").agg(F.count("*").alias("n")).where(F.col("n") == len(terms))
     return whole.select(*keys, "field").distinct()
+
+
+def first_found(index: DataFrame, known: DataFrame, needle: str, key: str, field: str = "all", limit: int = 25) -> DataFrame:
+    """key and `whole` of the first rows, by key, whose field (or any, for `all`) holds the needle as whole words; where none does, of those that hold it as a part of
+    words. At most `limit` keys, which the driver gets. A field that the index doesn't have is in no row."""
+    fields = None if field == "all" else [field]
+    for whole in (True, False):
+        hits = find(index, known, needle, [key], fields, whole).select(key).distinct().orderBy(key).limit(limit).collect()
+        if hits:
+            break
+    return index.sparkSession.createDataFrame([(r[0], whole) for r in hits], f"`{key}` {dict(index.dtypes)[key]}, whole boolean")

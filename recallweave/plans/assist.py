@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, vectors
-from ..operators import assist, browse, counters, graph, intake, learning, learnloop, lifecycle, records, search, workflows
+from ..operators import assist, browse, counters, graph, intake, learning, learnloop, lifecycle, records, search, wordindex, workflows
 from ..sources import connectors, discovery, readers, store
 from ..streaming.bursts import BurstStream
 from . import fixtures as fx
@@ -389,6 +390,24 @@ def topic_files(spark, sf):
 # Mail, chats and browsers
 
 
+#: A phrase of whole words, parts of words, what only another field holds, and what is nowhere.
+ASKED = (("weekly digest", "subject"), ("unsub", "body"), ("example", "all"), ("the and", "all"), ("carla", "subject"), ("no such words", "all"))
+
+
+def _asked(n: int, needle: str, field: str) -> str:
+    of = {f: f"array_to_string({sql._words(f'lower(coalesce({f}, chr(32)))')}, ' ')" for f in ("sender", "subject", "body") if field in (f, "all")}
+    whole, part = (" OR ".join(f"contains({a} || {c} || {a}, '{b}{needle}{b}')" for c in of.values()) for a, b in (("' '", " "), ("''", "")))
+    return f"w{n} AS (SELECT message_id FROM mail WHERE {whole}), a{n} AS (SELECT '{needle}' AS needle, '{field}' AS field, message_id, (SELECT count(*) FROM w{n}) > 0 AS whole FROM mail WHERE CASE WHEN (SELECT count(*) FROM w{n}) > 0 THEN message_id IN (FROM w{n}) ELSE {part} END ORDER BY message_id LIMIT 25)"
+
+
+@query(sql._with(sql.MAIL, *[_asked(n, *a) for n, a in enumerate(ASKED)]) + " UNION ALL ".join(f"FROM a{n}" for n in range(len(ASKED))))
+def mail_first_found(spark, sf):
+    """Mails by field, as whole words or, where no mail holds these, as parts of words."""
+    index, known = fx.mail_words(spark, sf)
+    found = [wordindex.first_found(index, known, needle, "message_id", field).select(F.lit(needle).alias("needle"), F.lit(field).alias("field"), "message_id", "whole") for needle, field in ASKED]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 @query(sql._with(sql.MAIL) + "SELECT message_id FROM mail WHERE message_id % 4 IN (0, 1)")
 def account_mail(spark, sf):
     m = F.col("message_id")

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from recallweave.operators import browse, learning, learnloop, lifecycle, search
+from recallweave.operators import browse, learning, learnloop, lifecycle, search, wordindex
 
 
 def test_projections_are_uniform_and_repeatable():
@@ -76,3 +76,12 @@ def test_introspection_of_nothing_and_something(spark):
     assert (some.active_goals, some.experiences, some.trend) == (2, 3, "improving")
     assert browse.introspection(e, e, goals, spark.range(5), spark.range(2), sync.select(F.lit(0.1).alias("synchrony")), 3).first().trend == "declining"
     assert search.sample(spark.range(100), 7, "id").collect() == search.sample(spark.range(100).repartition(5), 7, "id").collect()
+
+
+def test_parts_of_words_only_where_no_whole_words_are(spark):
+    rows = spark.createDataFrame([(1, "the cat sat", "dog"), (2, "concatenate", None), (3, "a Cat", "hot dogs"), (4, None, "")], "id long, a string, b string")
+    index = wordindex.postings(rows, ["id"], ["a", "b"])
+    at = lambda *q, **o: [(r.id, r.whole) for r in wordindex.first_found(index, wordindex.dictionary(index), *q, **o).collect()]
+    assert at("cat", "id") == [(1, True), (3, True)] and at("cat", "id", limit=1) == [(1, True)]
+    assert at("caten", "id") == [(2, False)] and at("dog", "id", "a") == [] and at("ot dog", "id", "b") == [(3, False)]
+    assert at("", "id") == at("cat", "id", "c") == []
