@@ -808,7 +808,7 @@ def embedded_by_provider(spark, sf):
     e = fx.table(spark, sf, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
     k = F.col("vec_id") % 3
     vector, name = assist.embedded({"model": F.when(k == 0, F.col("v")), "remote": F.when(k == 1, F.slice("v", 1, 16)), "hash": F.col("v")}, 32)
-    return e.select("vec_id", name.alias("provider"), F.transform(vector, lambda x: F.round(x, 6)).alias("vector"))
+    return e.select("vec_id", name.alias("provider"), vectors.rounded(vector).alias("vector"))
 
 
 @query("SELECT event_id AS tick, CASE WHEN event_id % 100 = 0 THEN 'consolidate' ELSE 'tick' END AS step FROM events")

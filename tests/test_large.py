@@ -1,8 +1,11 @@
 """What differs only on larger tables: many copies, rows beyond a sample, values that round to zero."""
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from recallweave.functions import vectors
 from recallweave.operators import search
 
 
@@ -36,3 +39,8 @@ def test_equal_up_to_digits(spark):
     df = spark.createDataFrame(rows, "id string, vector array<double>")
     found = search.pairs_above(df, 1, 0.5, digits=9).collect()
     assert {(r.src, r.dst) for r in found} == {("a", "b"), ("b", "a"), ("c", "a"), ("d", "a")}
+
+
+def test_zeros_keep_their_sign(spark):
+    got = spark.range(1).select(vectors.rounded(F.array(*[F.lit(x) for x in (-1e-9, 1e-9, -5e-7, 0.1234565, -2.5)])).alias("v")).first().v
+    assert got == [0.0, 0.0, -1e-06, 0.123457, -2.5] and [math.copysign(1, x) for x in got[:2]] == [-1, 1]
