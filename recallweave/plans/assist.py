@@ -799,7 +799,7 @@ def mean_pooled(spark, sf):
     e = fx.table(spark, sf, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
     tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("v", k * 8 + 1, F.lit(8)))
     mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (k <= F.col("vec_id") % 8).cast("int"))
-    return e.select("vec_id", "v", tokens.alias("tokens"), mask.alias("mask")).select("vec_id", F.transform(assist.mean_pooled(F.col("tokens"), F.col("mask")), lambda x: F.round(x, 6)).alias("pooled"))
+    return e.select("vec_id", "v", tokens.alias("tokens"), mask.alias("mask")).select("vec_id", vectors.rounded(assist.mean_pooled(F.col("tokens"), F.col("mask"))).alias("pooled"))
 
 
 @query("""WITH t AS (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'model' WHEN 1 THEN 'remote' ELSE 'hash' END AS provider, CASE WHEN vec_id % 3 = 1 THEN (embedding::DOUBLE[])[1:16] ELSE (embedding::DOUBLE[])[1:32] END AS v FROM embeddings)
