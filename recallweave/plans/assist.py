@@ -281,7 +281,7 @@ def _blobs(spark, sf):
 @query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS vector FROM embeddings WHERE vec_id % 10 <> 1")
 def memory_scan(spark, sf):
     """Stored vectors, bytes or a JSON list; rows with neither are dropped."""
-    return vectors.decoded_rows(_blobs(spark, sf), "blob", "listed").select("vec_id", F.transform("vector", lambda x: F.round(x, 6) + F.lit(0.0)).alias("vector"))
+    return vectors.decoded_rows(_blobs(spark, sf), "blob", "listed").select("vec_id", vectors.rounded(F.col("vector")).alias("vector"))
 
 
 @query(sql._with(sql.MEM) + "SELECT id, memory_type, round(CASE WHEN vec_id % 4 = 0 THEN importance ELSE importance END, 6) AS importance FROM memories WHERE vec_id % 3 = 0 OR vec_id % 4 = 0")
@@ -311,7 +311,7 @@ def key_blobs(spark, sf):
     rows = e.select(key.alias("key"), "vec_id", vectors.packed(F.col("embedding")).alias("blob"))
     for best in (F.min_by, F.max_by):
         s.upsert("blobs", rows.groupBy("key").agg(best("blob", "vec_id").alias("blob")))
-    return s.read("blobs", ["key"]).select("key", F.transform(vectors.unpacked(F.col("blob")).cast("array<double>"), lambda x: F.round(x, 6) + F.lit(0.0)).alias("vector"))
+    return s.read("blobs", ["key"]).select("key", vectors.rounded(vectors.unpacked(F.col("blob")).cast("array<double>")).alias("vector"))
 
 
 @query("SELECT user_id % 20 AS state, event_id % 4 AS action, round(avg(value) + 1, 6) AS value FROM events GROUP BY 1, 2")
