@@ -99,17 +99,19 @@ class PatternBank:
         state.coalesce(1).write.parquet(aside)  # at most MOST_CENTRES rows
         rename_new(self.spark, aside, f"{self.folder}/state/{version:012d}")
 
-    def bootstrap(self, trajectories: DataFrame, key: str, most: int = 5000, rounds: int = 5, spread: bool = True) -> None:
-        """First centres, from about `most` rows that a hash of their key chooses (all, if there are fewer): distinct vectors, the first k by the hash, or with
+    def bootstrap(self, trajectories: DataFrame, key: str, most: int | None = 5000, rounds: int = 5, spread: bool = True) -> None:
+        """First centres, from about `most` rows that a hash of their key chooses (all, if there are fewer, or without `most`; `spread` needs it): distinct vectors, the first k by the hash, or with
         `spread` each drawn in proportion to its squared distance from those before, on the driver, which holds the sample. Then `rounds` passes over the sample set
         centres to the means of their rows. The first row's length by the hash is the bank's. Centres begin without weight, so `record` counts each trajectory once.
         Without usable rows the bank has no centres. A bank that has begun stays as it is."""
         if self.versions():
             return
+        if spread and most is None:
+            raise ValueError("the driver holds the sample that is spread, so it needs a bound")
         h = F.conv(F.substring(F.md5("key"), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
         rows = usable(trajectories, None, key).withColumn("h", h)
-        n = rows.count()
-        sample = rows.where(F.col("h") < most / n) if n > most else rows
+        n = rows.count() if most is not None else 0
+        sample = rows.where(F.col("h") < most / n) if most is not None and n > most else rows
         distinct = sample.groupBy("vector").agg(F.min(F.struct("h", "key")).alias("o"))
         first = [r.vector for r in distinct.orderBy("o").select("vector").limit(2 * most if spread else self.k).collect()]
         x = np.array([v for v in first if len(v) == len(first[0])], dtype=float)

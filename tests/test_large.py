@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from recallweave.functions import vectors
-from recallweave.operators import search
+from recallweave.operators import patternbank, search
 
 
 def unit(x):
@@ -44,3 +44,15 @@ def test_equal_up_to_digits(spark):
 def test_zeros_keep_their_sign(spark):
     got = spark.range(1).select(vectors.rounded(F.array(*[F.lit(x) for x in (-1e-9, 1e-9, -5e-7, 0.1234565, -2.5)])).alias("v")).first().v
     assert got == [0.0, 0.0, -1e-06, 0.123457, -2.5] and [math.copysign(1, x) for x in got[:2]] == [-1, 1]
+
+
+def test_bootstrap_over_all_rows(spark, tmp_path):
+    x = np.random.default_rng(2).normal(size=(6000, 3))
+    df = spark.createDataFrame([(f"t{i}", v.tolist(), 1.0) for i, v in enumerate(x)], "id string, vector array<double>, quality double")
+    bank = patternbank.PatternBank(spark, str(tmp_path), 4)
+    bank.bootstrap(df, "id", most=None, rounds=1, spread=False)
+    got = np.array([r.vector for r in bank.state().orderBy("centre").collect()])
+    key = lambda i: F.conv(F.substring(F.md5(i), 1, 13), 16, 10).cast("double")
+    first = np.array([r.vector for r in df.orderBy(key("id")).limit(4).select("vector").collect()])
+    at = ((x[:, None] - first) ** 2).sum(2).argmin(1)
+    assert np.allclose(got, [x[at == c].mean(0) for c in range(4)])
