@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from recallweave.functions import vectors
-from recallweave.operators import patternbank, search
+from recallweave.operators import neighbours, patternbank, search
 
 
 def unit(x):
@@ -56,3 +56,11 @@ def test_bootstrap_over_all_rows(spark, tmp_path):
     first = np.array([r.vector for r in df.orderBy(key("id")).limit(4).select("vector").collect()])
     at = ((x[:, None] - first) ** 2).sum(2).argmin(1)
     assert np.allclose(got, [x[at == c].mean(0) for c in range(4)])
+
+
+def test_lists_grow_until_neighbours_are_found(spark):
+    x = unit(np.random.default_rng(4).normal(size=(1500, 48)))
+    df = spark.createDataFrame([(f"m{i}", v.tolist()) for i, v in enumerate(x)], "id string, vector array<double>")
+    exact = {(r.src, r.dst) for r in search.pairs_above(df, 5, -2.0).collect()}
+    found = {(r.src, r.dst) for r in neighbours.descent(df, 5, -2.0, width=6, rounds=3).collect()}
+    assert len(found) == len(exact) and len(exact & found) >= 0.9 * len(exact)
