@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions import text as texts
 
@@ -22,12 +25,36 @@ def slot_of(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
 
 
+def _placed(words: Column) -> Column:
+    """Each distinct word of an array with its places in ascending order, by Arrow."""
+    @arrow_udf("array<struct<word string, positions array<int>>>")
+    def place(column: pa.Array) -> pa.Array:
+        n = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+        coded = column.flatten().dictionary_encode()
+        code, row = np.asarray(coded.indices).astype(np.int64), np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
+        order = np.lexsort((code, row))  # stable, so places stay in order
+        code, row, at = code[order], row[order], at[order]
+        first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1]))) if len(code) else np.zeros(0, np.int64)
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)).astype(np.int32)), pa.array(at.astype(np.int32)))
+        found = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(code[first])), places], names=["word", "positions"])
+        upto = np.append(0, np.cumsum(np.bincount(row[first], minlength=len(n)))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(upto), found)
+
+    return place(words)
+
+
 def postings(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """slot, word, keys, field, positions: the lower-case words of each field of each row. Write it by slot, sorted by word, before searching it."""
+    """slot, word, keys, field, positions: the lower-case words of each field of each row, found row by row without a shuffle. Write it by slot, sorted by word, before searching it."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.col(f)).alias("body")) for f in fields]))
-    split = rows.select(*keys, each.alias("x")).select(*keys, F.col("x.field").alias("field"), F.posexplode(texts.words(F.coalesce("x.body", F.lit("")))).alias("at", "word"))
-    found = split.groupBy("word", *keys, "field").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-    return found.select(slot_of(F.col("word")).alias("slot"), "word", *keys, "field", "positions")
+    split = rows.select(*keys, each.alias("x")).select(*keys, F.col("x.field").alias("field"), texts.words(F.coalesce("x.body", F.lit(""))).alias("words"))
+    found = split.select(*keys, "field", F.explode(_placed(F.col("words"))).alias("x"))
+    return found.select(slot_of(F.col("x.word")).alias("slot"), "x.word", *keys, "field", "x.positions")
+
+
+def by_slot(found: DataFrame) -> DataFrame:
+    """Postings dealt and sorted as they are written: a slot goes to as many tasks as its size asks for, so none holds all of a frequent word."""
+    return found.hint("rebalance", "slot").sortWithinPartitions("slot", "word")
 
 
 def dictionary(index: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from recallweave.functions import vectors
-from recallweave.operators import neighbours, patternbank, search
+from recallweave.operators import neighbours, patternbank, search, wordindex
 
 
 def unit(x):
@@ -64,3 +64,12 @@ def test_lists_grow_until_neighbours_are_found(spark):
     exact = {(r.src, r.dst) for r in search.pairs_above(df, 5, -2.0).collect()}
     found = {(r.src, r.dst) for r in neighbours.descent(df, 5, -2.0, width=6, rounds=3).collect()}
     assert len(found) == len(exact) and len(exact & found) >= 0.9 * len(exact)
+
+
+def test_postings_need_no_shuffle(spark):
+    rows = spark.createDataFrame([(1, "b a B", None), (2, None, "x"), (3, "", "a")], "k int, t string, u string")
+    found = wordindex.postings(rows, ["k"], ["t", "u"])
+    got = sorted((r.k, r.field, r.word, r.positions) for r in found.collect())
+    assert got == [(1, "t", "a", [1]), (1, "t", "b", [0, 2]), (2, "u", "x", [0]), (3, "u", "a", [0])]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert wordindex.postings(rows.limit(0), ["k"], ["t"]).count() == 0
