@@ -73,3 +73,23 @@ def test_postings_need_no_shuffle(spark):
     assert got == [(1, "t", "a", [1]), (1, "t", "b", [0, 2]), (2, "u", "x", [0]), (3, "u", "a", [0])]
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert wordindex.postings(rows.limit(0), ["k"], ["t"]).count() == 0
+
+
+def test_a_products_tile_serves_both_sides_and_each_pair_of_blocks_has_its_partition(spark):
+    """Both directions from one pass over the tiles equal brute force, over several tiles, with copies, ties and weights; pairs of blocks don't share a task."""
+    rng = np.random.default_rng(4)
+    x, y = (rng.integers(-2, 3, (n, 8)).astype(float) + 0.01 for n in (search.TILE + 300, search.TILE + 77))
+    x[5:40], y[900:950] = x[0], x[0]
+    x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, y))
+    wx, wy = np.linspace(0.5, 1, len(x)), np.linspace(1, 0.5, len(y))
+    for weights in ((None, None), (wx, wy)):
+        for (row, col, sim), (a, b, w) in zip(search._best(x, y, weights, 4, 0.3, 9), ((x, y, weights[1]), (y, x, weights[0])), strict=True):
+            s = np.einsum("id,jd->ij", a, b) * (1.0 if w is None else w)
+            best = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :4]
+            want = [(i, int(j)) for i in range(len(a)) for j in best[i] if s[i, j] > 0.3]
+            assert list(zip(row.tolist(), col.tolist(), strict=True)) == want
+            assert np.allclose(sim, s[row, col], rtol=0, atol=1e-12)
+    df = spark.createDataFrame([(f"r{i:03d}", v.tolist()) for i, v in enumerate(x[:60])], "id string, vector array<double>")
+    # Nine blocks have 45 pairs: so many partitions compare them, whatever the number of shuffle partitions.
+    plan = search.pairs_above(df, 3, 0.2, block=7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and ", 45" in plan
