@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from recallweave.functions import vectors
-from recallweave.operators import neighbours, patternbank, search, wordindex
+from recallweave.operators import chunking, neighbours, patternbank, search, wordindex
 
 
 def unit(x):
@@ -93,3 +93,14 @@ def test_a_products_tile_serves_both_sides_and_each_pair_of_blocks_has_its_parti
     # Nine blocks have 45 pairs: so many partitions compare them, whatever the number of shuffle partitions.
     plan = search.pairs_above(df, 3, 0.2, block=7)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and ", 45" in plan
+
+
+def test_a_text_is_split_once_for_all_its_chunks(spark):
+    """Splitting it again for each chunk made the work grow with the square of a text's length."""
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(2000))), (2, " a "), (3, ""), (4, None)], "k int, t string")
+    found = chunking.chunk(df, "t", 100, 20)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    rows = {(r.k, r.chunk_index): r.chunk for r in found.collect()}
+    assert len(rows) == 26 and rows[2, 0] == "a" and all(rows[1, i].split(" ")[0] == f"w{80 * i}" for i in range(25))
+    few = {(r.k, r.chunk_index): r.chunk for r in chunking.chunk(df, "t", 100, 20, 3).collect()}
+    assert few == {k: v for k, v in rows.items() if k[1] < 3}
