@@ -1,8 +1,8 @@
 """Streams whose state has a life of its own: running predictions, the last copied text, and counts by day that expire.
 
-Each is a processor for `transformWithState`: values by key in the state store (RocksDB), timers by event time, and what is left out of
-memory again when it ends. Rows of a batch come to a key in any order, so a step sorts those of one key by time and id first; bound a
-batch by `maxFilesPerTrigger` where a key can be hot. A query that starts again from its checkpoint goes on with the state it had.
+The first two are processors for `transformWithState`: values by key in the state store (RocksDB). Counts by day are windows that the watermark closes.
+Rows of a batch come to a key in any order, so a step sorts those of one key by time and id first; bound a batch by
+`maxFilesPerTrigger` where a key can be hot. A query that starts again from its checkpoint goes on with the state it had.
 """
 
 from __future__ import annotations
@@ -77,37 +77,6 @@ class Changing(StatefulProcessor):
         pass
 
 
-class Retaining(StatefulProcessor):
-    """State: how many rows each day has. A timer for each day removes it `days` after its end, and gives what it had."""
-
-    def __init__(self, key: str, ts: str, days: int):
-        self.key, self.ts, self.days = key, ts, days
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.counts = handle.getMapState("counts", "day long", "n long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        for batch in rows:
-            day = batch[self.ts].astype("datetime64[ms]").astype("int64") // DAY_MS
-            for d, n in day.value_counts().items():
-                have = self.counts.getValue((int(d),))[0] if self.counts.containsKey((int(d),)) else 0
-                if not have:
-                    self.handle.registerTimer((int(d) + 1 + self.days) * DAY_MS)
-                self.counts.updateValue((int(d),), (int(have + n),))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        day = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 1 - self.days
-        if self.counts.containsKey((day,)):
-            n = self.counts.getValue((day,))[0]
-            self.counts.removeKey((day,))
-            yield pd.DataFrame({self.key: [key[0]], "day": [day], "n": [n]})
-
-    def close(self) -> None:
-        pass
-
-
 def _schema(events: DataFrame, names: list[str], more: str = "") -> str:
     types = dict(events.dtypes)
     return ", ".join([f"`{n}` {types[n]}" for n in names] + ([more] if more else []))
@@ -127,7 +96,9 @@ def copied(events: DataFrame, key: str, order: list[str], text: str) -> DataFram
 
 
 def expired_days(events: DataFrame, key: str, ts: str = "ts", days: int = 7, delay: str = "1 minute") -> DataFrame:
-    """key, day, n: what leaves the store `days` after a day's end, by the watermark. What hasn't left is what is retained."""
+    """key, day, n: what leaves the store `days` after a day's end, by a watermark that comes so much later. What hasn't left is what is retained; an event
+    that comes late counts as long as its day hasn't left. Counts are partial sums of the tasks before they are shuffled, and one state a key and day."""
     keep_state_in_rocksdb(events.sparkSession)
-    rows = events.select(key, ts).withWatermark(ts, delay)
-    return rows.groupBy(key).transformWithStateInPandas(Retaining(key, ts, days), _schema(events, [key], "day long, n long"), "Append", "EventTime")
+    rows = events.select(key, ts).withWatermark(ts, f"{days} days {delay}")
+    counts = rows.groupBy(key, F.window(ts, "1 day").alias("w")).agg(F.count("*").alias("n"))
+    return counts.select(key, (F.unix_millis("w.start") / DAY_MS).cast("bigint").alias("day"), "n")

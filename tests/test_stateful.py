@@ -71,6 +71,18 @@ def test_days_expire_by_the_watermark(spark, tmp_path):
     assert got[2] == [("a", 0, 3), ("a", 1, 3), ("a", 2, 3), ("a", 9, 1), ("b", 0, 1)]
 
 
+def test_days_are_counted_without_a_call_for_each(spark, tmp_path):
+    """Each day of each key was a value and a timer that Python set one at a time; now they are windows, and an event of a day that hasn't left counts."""
+    day, t0 = dt.timedelta(days=1), dt.datetime(2024, 1, 1, 12)
+    rows = [(1, "a", t0, 1.0, ""), (2, None, t0, 1.0, ""), (3, "a", None, 1.0, ""), (4, "a", t0 + day * 5, 1.0, "")]
+    more = [(5, "a", t0 + day, 1.0, ""), (6, "a", t0 + day * 10, 1.0, "")]
+    make = lambda s: stateful.expired_days(s, "user", "ts", 7)
+    spark.createDataFrame(rows, EVENTS).write.parquet(f"{tmp_path}/one")
+    assert "TransformWithState" not in make(spark.readStream.schema(EVENTS).parquet(f"{tmp_path}/one"))._jdf.queryExecution().analyzed().toString()
+    got = two_runs(spark, tmp_path, make, rows, more)
+    assert sorted((r.user or "", r.day - 19723, r.n) for r in got) == [("", 0, 1), ("a", 0, 1), ("a", 1, 1)]
+
+
 def plain_step(net, rows, rate):
     """One step by finite differences over every weight, pair by pair."""
     def loss(values):
