@@ -24,6 +24,8 @@ from ..sources.store import rename_new
 from .neighbours import matrix, usable
 
 SAMPLE, QUERIES = 20_000, 1024
+#: Distances that a task holds at a time, whatever the batch.
+HELD = 1 << 20
 ROWS = "id string, code binary, v array<double>, version int, cell int"
 
 
@@ -74,6 +76,23 @@ class Model:
             out += table[:, codes[:, j]]
         return out
 
+    def nearest_coded(self, queries: np.ndarray, cell: int, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row of codes, squared distance) of the k nearest coded rows for each query, of equally near ones the first. Rows come a slice at a time, so that no more than HELD distances, and
+        those kept, are in memory."""
+        k, width = min(k, len(codes)), max(1, HELD // max(1, len(queries)))
+        at, far = np.zeros((len(queries), 0), np.int32), np.zeros((len(queries), 0))
+        for begin in range(0, len(codes), width):
+            d = np.concatenate([far, self.distances(queries, cell, codes[begin : begin + width])], axis=1)
+            own = np.arange(begin, min(begin + width, len(codes)), dtype=np.int32)
+            rows = np.concatenate([at, np.broadcast_to(own, (len(queries), len(own)))], axis=1)
+            if d.shape[1] > k:
+                last = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                nearer, equal = d < last, d == last
+                kept = nearer | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= k - nearer.sum(axis=1, keepdims=True)))
+                d, rows = d[kept].reshape(-1, k), rows[kept].reshape(-1, k)
+            at, far = rows, d
+        return at, far
+
 
 class ResidualIndex:
     def __init__(self, spark: SparkSession, folder: str):
@@ -188,16 +207,15 @@ class ResidualIndex:
         def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, q, by_cell = sent.value
             for batch in batches:
-                ids, cell, version = batch.column(0), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                batch = batch.sort_by([("id", "ascending"), ("version", "ascending")])  # so ties are cut as they are below
+                ids, cell, version = batch.column("id"), batch.column("cell").to_numpy(), batch.column("version").to_numpy()
                 for c in np.unique(cell):
                     at, asks = np.flatnonzero(cell == c), by_cell[int(c)]
-                    codes = np.frombuffer(b"".join(batch.column(1).take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
-                    d = model.distances(q[asks], int(c), codes)
-                    few = min(fetch, len(at))
-                    best = np.argpartition(d, few - 1, axis=1)[:, :few]
+                    codes = np.frombuffer(b"".join(batch.column("code").take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
+                    best, d = model.nearest_coded(q[asks], int(c), codes, fetch)
                     rows = at[best.ravel()]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(asks, few).astype(np.int32)), ids.take(pa.array(rows)), pa.array(cell[rows]), pa.array(version[rows]), pa.array(np.take_along_axis(d, best, 1).ravel())],
+                        [pa.array(np.repeat(asks, best.shape[1]).astype(np.int32)), ids.take(pa.array(rows)), pa.array(cell[rows]), pa.array(version[rows]), pa.array(d.ravel())],
                         names=["asker", "id", "cell", "version", "far"],
                     )
 

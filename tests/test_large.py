@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from recallweave.functions import vectors
-from recallweave.operators import chunking, neighbours, patternbank, search, wordindex
+from recallweave.operators import chunking, neighbours, patternbank, residualindex, search, wordindex
 
 
 def unit(x):
@@ -104,3 +104,18 @@ def test_a_text_is_split_once_for_all_its_chunks(spark):
     assert len(rows) == 26 and rows[2, 0] == "a" and all(rows[1, i].split(" ")[0] == f"w{80 * i}" for i in range(25))
     few = {(r.k, r.chunk_index): r.chunk for r in chunking.chunk(df, "t", 100, 20, 3).collect()}
     assert few == {k: v for k, v in rows.items() if k[1] < 3}
+
+
+def test_coded_rows_are_ranked_by_slices():
+    """A batch's distances were all held at once; slices give the same nearest rows."""
+    rng = np.random.default_rng(6)
+    model = residualindex.Model.learn(rng.normal(size=(400, 8)), 2, 4, 16, 1)
+    q, codes = rng.normal(size=(900, 8)), rng.integers(0, 3, (3000, 4)).astype(np.uint8)  # many are equal
+    held = []
+    whole = model.distances
+    model.distances = lambda a, c, b: held.append(len(a) * len(b)) or whole(a, c, b)
+    at, far = model.nearest_coded(q, 1, codes, 30)
+    d = whole(q, 1, codes)
+    assert max(held) <= residualindex.HELD < d.size
+    assert np.allclose(np.sort(far, axis=1), np.sort(d, axis=1)[:, :30]) and np.array_equal(np.take_along_axis(d, at.astype(int), 1), far)
+    assert np.array_equal(np.sort(at, axis=1), np.sort(np.argsort(d, axis=1, kind="stable")[:, :30], axis=1))  # of equal ones the first
