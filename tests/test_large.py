@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from recallweave.functions import vectors
-from recallweave.operators import chunking, neighbours, patternbank, residualindex, search, wordindex
+from recallweave.operators import chunking, neighbours, packs, patternbank, residualindex, search, wordindex
 
 
 def unit(x):
@@ -119,3 +119,27 @@ def test_coded_rows_are_ranked_by_slices():
     assert max(held) <= residualindex.HELD < d.size
     assert np.allclose(np.sort(far, axis=1), np.sort(d, axis=1)[:, :30]) and np.array_equal(np.take_along_axis(d, at.astype(int), 1), far)
     assert np.array_equal(np.sort(at, axis=1), np.sort(np.argsort(d, axis=1, kind="stable")[:, :30], axis=1))  # of equal ones the first
+
+
+def test_many_rows_are_packed_and_not_sent_to_blocks(spark, monkeypatch):
+    """With more than SENT rows to send, no row is sent to each block; what is found equals brute force, with copies over several packs, ties, weights and few that ask."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-2, 3, (700, 6)).astype(float) + 0.01
+    x[100:160], x[300:420] = x[0], x[1]
+    x[5] *= 3.0  # the same direction, not a copy
+    w = np.where(np.arange(len(x)) % 3 == 0, 0.5, 1.0)
+    w[150:160] = 0.5
+    ids = [f"m{i:03}" for i in rng.permutation(len(x))]
+    df = spark.createDataFrame([(i, v.tolist(), float(n)) for i, v, n in zip(ids, x, w, strict=True)], "id string, vector array<double>, w double")
+    y, name = unit(x), np.array(ids)
+    sims = np.round(y @ y.T * w, 9)
+    best = {ids[i]: [ids[j] for j in np.lexsort((name, -sims[i])) if j != i and sims[i, j] > 0.2][:4] for i in range(len(x))}
+    some = df.where("w = 0.5 or id < 'm100'").select("id")
+    for only in (None, some):
+        want = {(i, j) for i, js in best.items() for j in js if only is None or w[ids.index(i)] == 0.5 or i < "m100"}
+        own = df.select("id", F.col("vector").alias("v"), "w")
+        assert {(r.src, r.dst) for r in packs.nearest(own, 4, 0.2, 9, only, size=90).collect()} == want
+        monkeypatch.setattr(search, "SENT", 500, raising=False)
+        found = search.pairs_above(df, 4, 0.2, weight="w", digits=9, only=only)
+        assert "sequence(" not in found._jdf.queryExecution().analyzed().toString()
+        assert {(r.src, r.dst) for r in found.collect()} == want
