@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from recallweave.functions import vectors
-from recallweave.operators import chunking, neighbours, packs, patternbank, residualindex, search, wordindex
+from recallweave.operators import chunking, counters, intake, neighbours, packs, patternbank, residualindex, search, wordindex
+from recallweave.sources import store
 
 
 def unit(x):
@@ -143,3 +144,16 @@ def test_many_rows_are_packed_and_not_sent_to_blocks(spark, monkeypatch):
         found = search.pairs_above(df, 4, 0.2, weight="w", digits=9, only=only)
         assert "sequence(" not in found._jdf.queryExecution().analyzed().toString()
         assert {(r.src, r.dst) for r in found.collect()} == want
+
+
+def test_new_memories_are_searched_without_their_texts(spark, tmp_path, monkeypatch):
+    """What the search reads several times has no texts to sort out again; its result is the same."""
+    tables = store.TableStore(spark, str(tmp_path))
+    texts = spark.createDataFrame([(f"t{i}", f"one text of several, number {i % 3} of them", "episodic", 0.5, i) for i in range(9)], "id string, content string, memory_type string, importance double, timestamp long")
+    plans, whole = [], search.pairs_above
+    monkeypatch.setattr(search, "pairs_above", lambda rows, *a, **b: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or whole(rows, *a, **b))
+    intake.remember_texts(tables, texts.where("timestamp < 5"), counters.Counters(spark), above=0.7)
+    assert intake.remember_texts(tables, texts, counters.Counters(spark), above=0.7) == {"created": 4, "skipped": 5}
+    assert len(plans) == 2 and not any("content" in p or "Aggregate" in p for p in plans)
+    found = {r.src: r.dst for r in tables.read("edges", ["src", "dst"]).where("similarity > 0.999999").orderBy("src", F.desc("dst")).collect()}
+    assert found == {"t0": "t3", "t1": "t4", "t3": "t0", "t4": "t1", "t5": "t2", "t6": "t0", "t7": "t1", "t8": "t2"}
