@@ -157,3 +157,17 @@ def test_new_memories_are_searched_without_their_texts(spark, tmp_path, monkeypa
     assert len(plans) == 2 and not any("content" in p or "Aggregate" in p for p in plans)
     found = {r.src: r.dst for r in tables.read("edges", ["src", "dst"]).where("similarity > 0.999999").orderBy("src", F.desc("dst")).collect()}
     assert found == {"t0": "t3", "t1": "t4", "t3": "t0", "t4": "t1", "t5": "t2", "t6": "t0", "t7": "t1", "t8": "t2"}
+
+
+def test_lists_end_where_all_pairs_are_less_work(spark, monkeypatch):
+    """Vectors without clusters need ever longer lists; they aren't built where moving vectors to them costs more than all pairs."""
+    x = unit(np.random.default_rng(4).normal(size=(700, 48)))
+    df = spark.createDataFrame([(f"m{i}", v.tolist()) for i, v in enumerate(x)], "id string, vector array<double>")
+    exact = {(r.src, r.dst) for r in search.pairs_above(df, 5, 0.1).collect()}
+    seeded, widths = neighbours._seeded, []
+    monkeypatch.setattr(neighbours, "_seeded", lambda own, graph, width, *a: widths.append(width) or seeded(own, graph, width, *a))
+    for moves, want in ((700 * 3 * 6 * 2, [6]), (0, [])):
+        monkeypatch.setattr(neighbours, "MOVES", moves, raising=False)
+        widths.clear()
+        assert {(r.src, r.dst) for r in neighbours.descent(df, 5, 0.1, width=6, rounds=2).collect()} == exact
+        assert widths == want
